@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import encode_decode
 from .common import table
 from .exact_dedup import exact_dedup
 
 
+def op7_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(table(spark, sf_dir, "documents"), with_ids=False, digests=True)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -32,6 +37,7 @@ WINDOW w AS (PARTITION BY norm ORDER BY length(t) DESC, doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op7_bpe_tree": op7_bpe_tree,
         "op8_exact_dedup": op8_exact_dedup,
     }
 
