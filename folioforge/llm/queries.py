@@ -5,10 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import encode_decode
 from .common import table
 from .exact_dedup import exact_dedup
+from .secrets import count_kind, find_secrets, span_digest
+
+
+def secrets_digest(docs: DataFrame) -> DataFrame:
+    kinds = ("assign", "access", "hex")
+    found = find_secrets(docs, with_text=False)
+    return found.select(
+        "doc_id",
+        *(count_kind(F.col("spans"), k).alias(f"n_{k}") for k in kinds),
+        F.sha2(span_digest(F.col("spans"), kinds), 256).alias("base_sha256"),
+        span_digest(F.col("spans")).alias("spans"),
+    )
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_digest(table(spark, sf_dir, "documents"))
 
 
 def op7_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +54,7 @@ WINDOW w AS (PARTITION BY norm ORDER BY length(t) DESC, doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_secret_scan": op4_secret_scan,
         "op7_bpe_tree": op7_bpe_tree,
         "op8_exact_dedup": op8_exact_dedup,
     }
