@@ -11,6 +11,23 @@ from .bpe import encode_decode
 from .common import table
 from .exact_dedup import exact_dedup
 from .secrets import count_kind, find_secrets, span_digest
+from .warc import warc_round_trip
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages"))
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+g AS (SELECT page_id, octet_length(encode(html)) AS n, sha1(html) AS digest,
+             max(page_id) OVER (PARTITION BY html) AS top
+      FROM p)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id < top THEN top END AS refers_to
+FROM g
+"""
 
 
 def secrets_digest(docs: DataFrame) -> DataFrame:
@@ -54,6 +71,7 @@ WINDOW w AS (PARTITION BY norm ORDER BY length(t) DESC, doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_warc": op2_warc,
         "op4_secret_scan": op4_secret_scan,
         "op7_bpe_tree": op7_bpe_tree,
         "op8_exact_dedup": op8_exact_dedup,
@@ -62,5 +80,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_warc": OP2_SQL,
         "op8_exact_dedup": OP8_SQL,
     }
