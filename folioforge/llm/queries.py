@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 from .bpe import encode_decode
 from .common import table
 from .exact_dedup import exact_dedup
+from .html_extract import extract_main_text
 from .secrets import count_kind, find_secrets, span_digest
 from .warc import warc_round_trip
 
 
+def op1_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
@@ -71,6 +76,7 @@ WINDOW w AS (PARTITION BY norm ORDER BY length(t) DESC, doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_mincut": op1_html_mincut,
         "op2_warc": op2_warc,
         "op4_secret_scan": op4_secret_scan,
         "op7_bpe_tree": op7_bpe_tree,
