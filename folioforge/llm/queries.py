@@ -11,6 +11,7 @@ from .bpe import encode_decode
 from .common import table
 from .exact_dedup import exact_dedup
 from .html_extract import extract_main_text
+from .minhash import near_duplicates
 from .secrets import count_kind, find_secrets, span_digest
 from .warc import warc_round_trip
 
@@ -50,6 +51,32 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN []
+           WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+           ELSE list_distinct(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END) AS g
+  FROM w),
+n AS (SELECT w.doc_id, count(s.g) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id),
+both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+         FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM both JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+         WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM n
+          UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+SELECT doc_id, n AS n_shingles, min(b) AS component_id, doc_id = min(b) AS kept
+FROM n JOIN reach ON reach.a = doc_id GROUP BY doc_id, n
+"""
+
+
 def op7_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), with_ids=False, digests=True)
 
@@ -79,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_html_mincut": op1_html_mincut,
         "op2_warc": op2_warc,
         "op4_secret_scan": op4_secret_scan,
+        "op6_minhash": op6_minhash,
         "op7_bpe_tree": op7_bpe_tree,
         "op8_exact_dedup": op8_exact_dedup,
     }
@@ -87,5 +115,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_warc": OP2_SQL,
+        "op6_minhash": OP6_SQL,
         "op8_exact_dedup": OP8_SQL,
     }
