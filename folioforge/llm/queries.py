@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_decode
 from .common import table
+from .decontaminate import flag_contaminated
 from .exact_dedup import exact_dedup
 from .html_extract import extract_main_text
 from .minhash import near_duplicates
@@ -101,6 +102,10 @@ WINDOW w AS (PARTITION BY norm ORDER BY length(t) DESC, doc_id
 """
 
 
+def op10_bm25_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flag_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_mincut": op1_html_mincut,
@@ -109,6 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_minhash": op6_minhash,
         "op7_bpe_tree": op7_bpe_tree,
         "op8_exact_dedup": op8_exact_dedup,
+        "op10_bm25_wand": op10_bm25_wand,
     }
 
 
