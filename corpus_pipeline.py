@@ -1,18 +1,50 @@
-"""The corpus pipeline; stages are added as their operators land."""
+"""The corpus pipeline: documents become token ids of clean, distinct documents.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
+as Parquet and read again as the next stage's docs.  All stages but the last
+return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioforge.llm.bpe import encode_decode
 from folioforge.llm.common import materialize, table
+from folioforge.llm.decontaminate import drop_contaminated
 from folioforge.llm.exact_dedup import drop_exact_copies
+from folioforge.llm.minhash import drop_near_copies
+from folioforge.llm.quality import select_good, train
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal classifier does not reject."""
+    return select_good(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
     return drop_exact_copies(docs)
 
 
-STAGES = [("exact_dedup", exact_dedup)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component at five-word shingles and 0.8."""
+    return drop_near_copies(docs, k=5, percent=80)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids and the digests of ids and decoded text."""
+    return encode_decode(docs, with_ids=True, digests=True).drop("decoded")
+
+
+STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("tokenize", tokenize)]
+#: The classifier is a fitted model and near duplicates are components; the
+#: pipeline is tested against a brute-force version instead.
 ORACLE_SQL = None
 
 

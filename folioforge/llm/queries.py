@@ -13,6 +13,7 @@ from .decontaminate import flag_contaminated
 from .exact_dedup import exact_dedup
 from .html_extract import extract_main_text
 from .minhash import near_duplicates
+from .quality import score, train
 from .secrets import count_kind, find_secrets, span_digest
 from .warc import warc_round_trip
 
@@ -102,6 +103,11 @@ WINDOW w AS (PARTITION BY norm ORDER BY length(t) DESC, doc_id
 """
 
 
+def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_bm25_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flag_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -114,6 +120,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_minhash": op6_minhash,
         "op7_bpe_tree": op7_bpe_tree,
         "op8_exact_dedup": op8_exact_dedup,
+        "op9_ordinal_quality": op9_ordinal_quality,
         "op10_bm25_wand": op10_bm25_wand,
     }
 
