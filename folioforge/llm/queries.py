@@ -13,6 +13,7 @@ from .decontaminate import flag_contaminated
 from .exact_dedup import exact_dedup
 from .html_extract import extract_main_text
 from .minhash import near_duplicates
+from .pii import KINDS, sanitise
 from .quality import score, train
 from .secrets import count_kind, find_secrets, span_digest
 from .warc import warc_round_trip
@@ -38,6 +39,20 @@ FROM g
 """
 
 
+def pii_digest(docs: DataFrame) -> DataFrame:
+    found = sanitise(docs)
+    return found.select(
+        "doc_id",
+        *(count_kind(F.col("spans"), k).alias(f"n_{k}") for k in KINDS),
+        F.sha2(span_digest(F.col("spans"), KINDS), 256).alias("base_sha256"),
+        span_digest(F.col("spans")).alias("spans"),
+    )
+
+
+def op3_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(table(spark, sf_dir, "documents"))
+
+
 def secrets_digest(docs: DataFrame) -> DataFrame:
     kinds = ("assign", "access", "hex")
     found = find_secrets(docs, with_text=False)
@@ -116,6 +131,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_mincut": op1_html_mincut,
         "op2_warc": op2_warc,
+        "op3_pii_disclosure": op3_pii_disclosure,
         "op4_secret_scan": op4_secret_scan,
         "op6_minhash": op6_minhash,
         "op7_bpe_tree": op7_bpe_tree,
