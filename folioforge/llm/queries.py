@@ -12,6 +12,7 @@ from .common import table
 from .decontaminate import flag_contaminated
 from .exact_dedup import exact_dedup
 from .html_extract import extract_main_text
+from .line_dedup import drop_recurring_lines
 from .minhash import near_duplicates
 from .pii import KINDS, sanitise
 from .quality import score, train
@@ -68,6 +69,42 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_recurring_lines(table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = r"""
+WITH l AS (
+  SELECT DISTINCT doc_id, text, i - 1 AS line_no,
+         regexp_replace(trim(regexp_replace(string_split(text, chr(10))[i], '[ \t\r\f\v]+', ' ', 'g')), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS masked
+  FROM (SELECT doc_id, coalesce(text, '') AS text, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents)),
+t AS (SELECT *, string_split(masked, ' ') AS tok FROM l),
+lines AS (SELECT doc_id, text, line_no, masked, len(tok) AS n, len(tok) || ' ' || array_to_string(tok[1:3], ' ') AS leaf
+          FROM t WHERE len(tok) >= 3),
+shared AS (SELECT leaf FROM lines GROUP BY leaf HAVING count(DISTINCT text) > 1),
+kinds AS (SELECT leaf, masked, n, count(DISTINCT text) AS texts FROM lines SEMI JOIN shared USING (leaf) GROUP BY ALL),
+placed AS (SELECT leaf, masked, n, texts, place, string_split(masked, ' ')[place] AS token
+           FROM (SELECT *, unnest(range(1, n + 1)) AS place FROM kinds)),
+constant AS (SELECT leaf, place, token FROM placed WHERE token <> '<*>' GROUP BY ALL HAVING sum(texts) >= 3),
+templ AS (
+  SELECT leaf, masked, CASE WHEN count(c.token) >= 0.5 * n THEN string_agg(coalesce(c.token, '<*>'), ' ' ORDER BY p.place) ELSE masked END AS template
+  FROM placed p LEFT JOIN constant c USING (leaf, place, token) GROUP BY leaf, masked, n),
+given AS (SELECT leaf, template, n, doc_id, text, line_no FROM lines JOIN templ USING (leaf, masked)),
+recurring AS (
+  SELECT leaf, template, arg_min(text, doc_id) AS first_text FROM given GROUP BY leaf, template, n
+  HAVING count(DISTINCT text) >= 3 OR (count(DISTINCT text) >= 2 AND n >= 50)),
+gone AS (SELECT DISTINCT text, line_no FROM given JOIN recurring USING (leaf, template) WHERE text <> first_text),
+left_over AS (
+  SELECT d.doc_id, len(string_split(d.text, chr(10))) AS n_lines,
+         (SELECT list(line_no) FROM gone g WHERE g.text = d.text) AS dropped, d.text
+  FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) d)
+SELECT doc_id, n_lines, coalesce(len(dropped), 0) AS n_dropped,
+       CASE WHEN dropped IS NULL THEN text
+            ELSE coalesce(array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(dropped, i - 1)), chr(10)), '') END AS text
+FROM left_over
+"""
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
@@ -133,6 +170,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_warc": op2_warc,
         "op3_pii_disclosure": op3_pii_disclosure,
         "op4_secret_scan": op4_secret_scan,
+        "op5_line_templates": op5_line_templates,
         "op6_minhash": op6_minhash,
         "op7_bpe_tree": op7_bpe_tree,
         "op8_exact_dedup": op8_exact_dedup,
@@ -144,6 +182,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_warc": OP2_SQL,
+        "op5_line_templates": OP5_SQL,
         "op6_minhash": OP6_SQL,
         "op8_exact_dedup": OP8_SQL,
     }
