@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.plans import chunks
+from folioforge.plans import chunks, facts
 
-ALL = chunks.QUERIES
+ALL = chunks.QUERIES | facts.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
