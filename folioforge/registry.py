@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.plans import chunks, facts
+from folioforge.plans import chunks, facts, layouts
 
-ALL = chunks.QUERIES | facts.QUERIES
+ALL = chunks.QUERIES | facts.QUERIES | layouts.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
