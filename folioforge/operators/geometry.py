@@ -174,6 +174,6 @@ def is_fragment(fragment: Column, citation: Column, stop: tuple[str, ...] = ())
     f = F.lower(F.trim(fragment))
     quoted = F.regexp_replace(f, r"([^\p{L}\p{N}\s])", r"\\$1")
     whole = F.concat(F.lit(r"(?<![\p{L}\p{N}])"), quoted, F.lit(r"(?![\p{L}\p{N}])"))
-    return (F.length(f) >= LEAST_FRAGMENT) & ~f.isin(*stop or ("",)) & F.lower(citation).rlike(whole)
+    return (F.length(f) >= LEAST_FRAGMENT) & ~f.isin(*(stop or ("",))) & F.rlike(F.lower(citation), whole)
 
 
