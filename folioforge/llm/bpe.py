@@ -20,18 +20,18 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_slices
+
 LEAF = 2048
 WINDOW = 8
 #: Pieces remembered by one worker; beyond that it starts anew.
-REMEMBERED = 400_000
-BATCH_CHARS = 4_000_000
+REMEMBERED = 200_000
 
 #: A space with a plain character on either side: pre-tokens begin at such a
 #: space and nothing before it looks past it.  Other white space is left alone.
@@ -49,15 +49,12 @@ class BpeCodec:
 
     def __init__(self, path: str, leaf: int = LEAF, window: int = WINDOW):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
-        self.raw = Tokenizer.from_file(path)  # the same merges, without splitting
-        self.raw.no_truncation()
-        self.raw.no_padding()
-        self.raw.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.path = path
         self.leaf, self.window = leaf, window
         self.special = {t.content: i for i, t in self.whole.get_added_tokens_decoder().items()}
         self.special_cut = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
@@ -65,6 +62,17 @@ class BpeCodec:
         self.memory: dict[str, tuple[int, ...]] = {}
         self.bytes_of = self._token_bytes()
 
+    @cached_property
+    def raw(self):
+        """The same merges without splitting; only long unsplit text needs it."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        raw = Tokenizer.from_file(self.path)
+        raw.no_truncation()
+        raw.no_padding()
+        raw.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        return raw
+
     def _token_bytes(self) -> list[bytes]:
         # the byte alphabet of byte-level BPE: printable bytes stand for
         # themselves, the others follow from 256 on
@@ -201,31 +209,20 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
         bpe = codec(path, leaf)
         decimal = [str(i).encode() for i in range(len(bpe.bytes_of))]
         sha = hashlib.sha256
-        for batch in batches:
-            for b in _slices(batch):
-                all_ids = bpe.encode_batch([t or "" for t in b.column(1).to_pylist()])
-                cols = [b.column(0).cast(pa.int64()), pa.array(map(len, all_ids), pa.int64())]
-                decoded = [bpe.decode(ids) for ids in all_ids]
-                if with_ids:
-                    cols += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-                if digests:
-                    cols += [
-                        pa.array([sha(b",".join(map(decimal.__getitem__, ids))).hexdigest() for ids in all_ids]),
-                        pa.array([sha(d.encode("utf-8")).hexdigest() for d in decoded]),
-                    ]
-                yield pa.RecordBatch.from_arrays(cols, names)
+        for b in text_slices(batches, 1):
+            all_ids = bpe.encode_batch([t or "" for t in b.column(1).to_pylist()])
+            cols = [b.column(0).cast(pa.int64()), pa.array(map(len, all_ids), pa.int64())]
+            decoded = [bpe.decode(ids) for ids in all_ids]
+            if with_ids:
+                cols += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+            if digests:
+                cols += [
+                    pa.array([sha(b",".join(map(decimal.__getitem__, ids))).hexdigest() for ids in all_ids]),
+                    pa.array([sha(d.encode("utf-8")).hexdigest() for d in decoded]),
+                ]
+            yield pa.RecordBatch.from_arrays(cols, names)
+        bpe.memory.clear()  # a worker outlives its task
 
     names = [f.split()[0] for f in schema.replace("array<int>", "x").split(", ")]
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
-
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with about BATCH_CHARS bytes, so that ids stay bounded."""
-    start = size = 0
-    for i, n in enumerate(pa.compute.binary_length(batch.column(1)).to_pylist()):
-        size += n or 0
-        if size >= BATCH_CHARS:
-            yield batch.slice(start, i + 1 - start)
-            start, size = i + 1, 0
-    if start < batch.num_rows or not batch.num_rows:
-        yield batch.slice(start)

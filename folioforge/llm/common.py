@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 OWN_SCRATCH = "/tmp/checkpoints"
@@ -41,3 +44,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: int | str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about ``most_bytes`` of text in ``column``.
+
+    What a worker makes of a slice (strings, sets, ids) is a multiple of its
+    text; so its memory depends neither on the number of rows of an Arrow batch
+    nor on the length of most texts.  A single longer text is a slice of its own.
+    """
+    for b in batches:
+        start = size = 0
+        at = column if isinstance(column, int) else b.schema.get_field_index(column)
+        for i, n in enumerate(pc.binary_length(b.column(at)).to_pylist()):
+            if size and size + (n or 0) > most_bytes:
+                yield b.slice(start, i - start)
+                start, size = i, 0
+            size += n or 0
+        if start < b.num_rows or not b.num_rows:
+            yield b.slice(start)

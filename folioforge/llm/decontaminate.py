@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, text_slices
 
 K1, B = 1.2, 0.75
 UNIT, THETA = 64, 0.5
@@ -279,7 +279,7 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, shard_bytes: int = SHA
         held = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for b in _slices(batches):
+            for b in text_slices(batches, "text", 1 << 20):
                 ids = b.column("doc_id").to_pylist()
                 rows = [(i, held.value.items[k].item_id, *v) for i, found in zip(ids, held.value.search(b.column("text").to_pylist())) for k, v in sorted(found.items())]
                 kinds = [pa.int64()] * 2 + [pa.float64()] * 4
@@ -291,12 +291,6 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, shard_bytes: int = SHA
     return out
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
-
-
 def flag_contaminated(docs: DataFrame, items: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per document: doc_id, contaminated, item_ids (ascending), max_score.
 
@@ -320,7 +314,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, shard_bytes: int = SHAR
         held = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for b in _slices(batches):
+            for b in text_slices(batches, "text", 1 << 20):
                 found = held.value.search(b.column(b.schema.get_field_index("text")).to_pylist())
                 yield b.filter(pa.array([not f for f in found], pa.bool_()))
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, text_slices
 from .components import connected_components
 
 PERMS, BITS, ROWS, BANDS = 128, 2, 3, 24
@@ -40,7 +40,7 @@ LONGS = PERMS * BITS // 64
 SLACK = 5.0
 #: Members and shingles of a block in step 4, and members a centre meets in one task.
 BLOCK_ROWS, BLOCK_SHINGLES, CHUNK = 1000, 1_000_000, 256
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 LOW = 0x5555555555555555
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
 
@@ -117,7 +117,7 @@ def signatures(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longs = pa.list_(pa.int64())
-        for b in batches:
+        for b in text_slices(batches, 1):
             n, keys, bands, sigs = [], [], [], []
             for text in b.column(1).to_pylist():
                 s = shingle_set(text, k)
@@ -127,6 +127,7 @@ def signatures(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str =
                 bands.append(None if low is None else band_keys(low))
                 sigs.append(None if low is None else pack(low))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, longs), pa.array(sigs, longs)], ["doc_id", "n", "set_key", "bands", "sig"])
+        _words.clear()  # a worker outlives its task
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SIGS)
 

@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_slices
+
 #: Rated documents that the fit uses at most.
 SAMPLE = 8000
 SLOTS = 1 << 18
@@ -28,7 +30,7 @@ SLOTS = 1 << 18
 LEAST_DOCS = 3
 CHI2 = 40.0
 EPOCHS, RATE, RIDGE = 150, 0.05, 0.3
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 EDGE = re.compile(r"^\W+|\W+$")
 
 
@@ -173,9 +175,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in text_slices(batches, 1):
             slots = [features(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(slots, pa.list_(pa.int32()))], ["doc_id", "grade", "slots"])
+        _slots.clear()  # a worker outlives its task
 
     got = sorted(picked.mapInArrow(run, "doc_id long, grade int, slots array<int>").toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["slots"]))
     return fit([np.array(r["slots"], np.int32) for r in got], np.array([r["grade"] for r in got], np.int64), N_GRADES)
@@ -190,10 +193,11 @@ def score(docs: DataFrame, model: Ordinal, least: float = 0.5) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in text_slices(batches, 1):
             above = [held.value.above(features(t)) for t in b.column(1).to_pylist()]
             expected, top = [round(float(a.sum()), 6) for a in above], [round(float(a[-1]), 6) for a in above]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(expected, pa.float64()), pa.array(top, pa.float64()), pa.array([t >= least for t in top], pa.bool_())], ["doc_id", "expected_grade", "p_top", "selected"])
+        _slots.clear()
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return picked.mapInArrow(run, "doc_id long, expected_grade double, p_top double, selected boolean")
@@ -205,8 +209,9 @@ def select_good(docs: DataFrame, model: Ordinal, least: float = 0.5) -> DataFram
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in text_slices(batches, "text"):
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
             yield b.filter(pa.array([round(float(held.value.above(features(t))[-1]), 6) >= least for t in texts], pa.bool_()))
+        _slots.clear()
 
     return docs.mapInArrow(run, docs.schema)
