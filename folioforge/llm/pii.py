@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, text_slices
 
 KINDS = ("email", "ip", "card", "phone")
 GENERALISE, REMOVE, SUPPORT = 0.8, 0.95, 3
@@ -109,7 +109,7 @@ def _scan(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entity = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())]))
-        for b in batches:
+        for b in text_slices(batches, 1):
             texts = [t or "" for t in b.column(1).to_pylist()]
             spans = [base_spans(t) for t in texts]
             entities = [[{"kind": k, "value": v} for k, v in sorted({(KINDS[k], t[a:e]) for a, k, e in s})] for t, s in zip(texts, spans)]
@@ -154,7 +154,7 @@ def _term_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = held.value
         known: dict[str, bool] = {}
-        for b in batches:
+        for b in text_slices(batches, 1):
             terms, keys = [], []
             for text in b.column(1).to_pylist():
                 if not text:
@@ -163,7 +163,7 @@ def _term_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 for t in set(TERM.findall(text.lower())):
                     ok = known.get(t)
                     if ok is None:
-                        if len(known) > 400_000:
+                        if len(known) > 100_000:
                             known.clear()
                         ok = known[t] = _passes(mask, t)
                     if ok:
@@ -217,15 +217,25 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, generalise: float = GENE
     often = held.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support)
     held = materialize(held.join(often, "entity"), "pii-entities")
     rows = distinct.join(held.select("text_key").distinct(), "text_key", "left_semi")
-    pairs = held.join(_terms(rows), "text_key").groupBy("entity", "n_entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
+    terms = materialize(_terms(rows), "pii-text-terms")
+    n_texts = found.agg(F.count_distinct("text_key").alias("n_texts"))
+    n = max(2, n_texts.first()[0])
+    pairs = held.join(terms, "text_key").groupBy("entity", "n_entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
+    # a term occurs in at least the texts looked at here, which bounds its
+    # disclosure from above; common words need not be counted in the corpus
+    seen = terms.groupBy("term").agg(F.count("*").alias("texts"))
+    pairs = pairs.join(seen, "term").where(_disclosure(n) >= generalise).drop("texts")
     pairs = materialize(pairs, "pii-pairs")
     counts = _term_counts(docs, pairs.select("term").distinct())
-    n_texts = found.agg(F.count_distinct("text_key").alias("n_texts"))
-    n = F.greatest(F.lit(2), F.lit(n_texts.first()[0]))
+    scored = pairs.join(counts, "term").withColumn("disclosure", _disclosure(n))
+    return scored.where(F.col("disclosure") >= generalise).select("entity", "term", "disclosure")
+
+
+def _disclosure(n: int):
+    """Of ``n`` texts, from n_entity, n_both and texts (those with the term)."""
     info = F.log(n / F.col("n_entity"))
     ratio = F.log(F.least(F.lit(1.0), F.col("n_both") / F.col("texts")) * n / F.col("n_entity"))
-    scored = pairs.join(counts, "term").withColumn("disclosure", F.when(info > 0, ratio / info).otherwise(0.0))
-    return scored.where(F.col("disclosure") >= generalise).select("entity", "term", "disclosure")
+    return F.when(info > 0, ratio / info).otherwise(0.0)
 
 
 SPANS = "array<struct<kind:string,start:long,end:long>>"
