@@ -185,6 +185,8 @@ class Index:
         starts = np.concatenate([[0], np.cumsum(length)[:-1]])
         hit = np.flatnonzero(ids >= 0)
         hit = hit[self.count[ids[hit]] > 0]
+        if not len(hit):
+            return
         doc = np.searchsorted(starts, hit, side="right") - 1
         block = offset[doc] + (hit - starts[doc]) // UNIT
         key = np.unique(block * len(self.ids) + ids[hit])
@@ -196,7 +198,7 @@ class Index:
         total = np.bincount(inverse, weights=self.e_weight[at], minlength=len(pair))
         follow = np.searchsorted(pair, pair + len(self.item_of))
         follow[follow == len(pair)] = 0
-        total += np.where(pair[follow] == pair + len(self.item_of), total[follow], 0.0) if len(pair) else 0.0
+        total += np.where(pair[follow] == pair + len(self.item_of), total[follow], 0.0)
         block, unit = np.divmod(pair, len(self.item_of))
         found = np.unique(block[total >= self.need[unit]])
         # a bound that is met from this block on may be met from the one before
