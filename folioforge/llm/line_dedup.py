@@ -9,44 +9,94 @@ any other line is its own template.  A template recurs if ``TEXTS`` different
 texts have it (two suffice from ``LONG`` tokens on); recurring lines are dropped
 from every text but the first, that of the smallest doc_id.
 
-Leaves that only one text reaches are dropped before tokens are looked at, so
-most lines are shuffled once and never split up.  Counts are of different texts,
-hence copies of one document make no template.
+Most lines are alone in their leaf, and most texts lose nothing.  Bitmaps of a
+fixed size tell which lines and texts may matter, so the others are never
+shuffled; tokens are looked at only in leaves with several kinds of lines, and as
+hashes.  Counts are of different texts, hence copies of one document make no
+template.  Leaves are told apart by 64 bits and the token count, lines, texts and
+templates by 128 bits.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
 DEPTH, SUPPORT, SHARE, TEXTS, LONG, LEAST = 3, 3, 0.5, 3, 50, 3
 VARIABLE = "<*>"
+#: Bits of a bitmap: two megabytes, whatever the input.  Where it fills up, more
+#: rows pass it and are sorted out by the joins behind it.
+BITS = 1 << 24
+
+
+def _bitmap(keys: DataFrame) -> DataFrame:
+    """One row with one column, bits: an array of BITS / 64 longs.
+
+    ``keys`` has one long column, key.  Equal words meet as aggregates of at
+    most BITS / 64 rows, which is also all that the last task gathers.
+    """
+    at = F.pmod("key", F.lit(BITS))
+    words = keys.select(F.shiftright(at, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("key", F.lit(64)).cast("int")).alias("bit"))
+    words = words.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    every = keys.sparkSession.range(BITS // 64).select(F.col("id").alias("word"))
+    dense = every.join(words, "word", "left").select("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    return materialize(dense.agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).getField("bits").alias("bits")), "line-bitmap")
+
+
+def _in_bitmap(key: Column) -> Column:
+    word = F.element_at("bits", (F.shiftright(F.pmod(key, F.lit(BITS)), 6) + 1).cast("int"))
+    return F.call_function("shiftright", word, F.pmod(key, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.unhex(F.md5("text")).alias("text_key"), "text")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """text_key, doc_id, line_no, masked (tokens joined by one space), leaf."""
-    at = docs.select("doc_id", F.md5("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    tokens = F.trim(F.regexp_replace("line", r"[ \t\r\f\x0B]+", " "))
-    masked = F.regexp_replace(tokens, r"[^ ]*[0-9][^ ]*", VARIABLE)
+    """doc_id, text_key, line_no, masked (tokens joined by one space), n, leaf."""
+    at = _keyed(docs).select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    line = F.col("line")
+    odd = line.startswith(" ") | line.endswith(" ")
+    for part in ("  ", "\t", "\r", "\f", "\x0b"):
+        odd = odd | F.contains(line, F.lit(part))
+    tokens = F.when(odd, F.trim(F.regexp_replace("line", r"[ \t\r\f\x0B]+", " "))).otherwise(line)
+    at = at.withColumn("line", tokens)
+    masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", r"[^ 0-9]*[0-9][^ ]*", VARIABLE)).otherwise(F.col("line"))
     at = at.select("doc_id", "text_key", "line_no", masked.alias("masked"))
-    n = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
-    return at.withColumn("n", n).where((F.col("n") >= LEAST)).withColumn("leaf", F.concat_ws(" ", F.col("n").cast("string"), F.substring_index("masked", " ", DEPTH)))
+    n = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
+    at = at.withColumn("n", n).where(F.col("n") >= LEAST)
+    return at.withColumn("leaf", F.xxhash64("n", F.substring_index("masked", " ", DEPTH)))
 
 
 def _templates(lines: DataFrame) -> DataFrame:
-    """leaf, masked, template for the different lines of the leaves."""
-    kinds = lines.groupBy("leaf", "masked", "n").agg(F.count_distinct("text_key").alias("texts"))
+    """line_key, t1, t2 for the lines of leaves in which tokens must be compared.
+
+    A leaf with one kind of line, or with fewer than SUPPORT of them in all,
+    makes nothing general: there a line is its own template.
+    """
+    kinds = lines.groupBy("leaf", "n", "line_key").agg(F.count_distinct("text_key").alias("texts"))
     kinds = materialize(kinds, "line-kinds")
-    placed = kinds.select("leaf", "masked", "n", "texts", F.posexplode(F.split("masked", " ")).alias("place", "token"))
-    constant = placed.groupBy("leaf", "place", "token").agg(F.sum("texts").alias("having")).where((F.col("having") >= SUPPORT) & (F.col("token") != VARIABLE)).drop("having")
-    marked = placed.join(constant.withColumn("fixed", F.lit(1)), ["leaf", "place", "token"], "left")
-    field = F.struct("place", F.when(F.col("fixed") == 1, F.col("token")).otherwise(VARIABLE).alias("token"))
-    # a line's own tokens: bounded by the line
-    whole = marked.groupBy("leaf", "masked", "n").agg(F.count("fixed").alias("fixed"), F.array_sort(F.collect_list(field)).alias("fields"))
-    general = F.array_join(F.col("fields.token"), " ")
-    return whole.select("leaf", "masked", F.when(F.col("fixed") >= SHARE * F.col("n"), general).otherwise(F.col("masked")).alias("template"))
+    mixed = kinds.groupBy("leaf", "n").agg(F.count("*").alias("kinds"), F.sum("texts").alias("all")).where((F.col("kinds") > 1) & (F.col("all") >= SUPPORT)).select("leaf", "n")
+    kinds = kinds.join(mixed, ["leaf", "n"], "left_semi")
+    words = lines.select("line_key", "masked").join(kinds, "line_key").dropDuplicates(["line_key"])
+    # the leading tokens are those of the leaf: constant, unless variable
+    head = F.slice(F.split("masked", " "), 1, DEPTH)
+    led = F.size(F.filter(head, lambda t: t != VARIABLE))
+    tail = F.posexplode_outer(F.slice(F.split("masked", " "), DEPTH + 1, 1 << 30)).alias("place", "token")
+    placed = words.select("leaf", "n", "line_key", "texts", led.alias("led"), tail)
+    placed = placed.withColumn("token", F.when(F.coalesce(F.col("token"), F.lit(VARIABLE)) != VARIABLE, F.xxhash64("token")))
+    placed = materialize(placed, "line-tokens")
+    constant = placed.where("token is not null").groupBy("leaf", "n", "place", "token").agg(F.sum("texts").alias("having")).where(F.col("having") >= SUPPORT).drop("having")
+    marked = placed.join(constant.withColumn("fixed", F.col("token")), ["leaf", "n", "place", "token"], "left")
+    shown = lambda c, salt: F.bit_xor(F.xxhash64("place", F.coalesce(c, F.lit(0).cast("long")), F.lit(salt)))
+    whole = marked.groupBy("line_key", "n", "led").agg(
+        F.count("fixed").alias("fixed"),
+        *(shown(F.col(c), salt).alias(f"{c}{salt}") for c in ("fixed", "token") for salt in (1, 2)),
+    )
+    general = F.col("fixed") + F.col("led") >= SHARE * F.col("n")
+    return whole.select("line_key", *(F.when(general, F.col(f"fixed{i}")).otherwise(F.col(f"token{i}")).alias(f"t{i}") for i in (1, 2)))
 
 
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: int = TEXTS, keep_first: bool = True) -> DataFrame:
@@ -61,23 +111,33 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     lines = _lines(picked)
-    shared = lines.groupBy("leaf").agg(F.min("text_key").alias("p"), F.max("text_key").alias("q")).where("p < q").select("leaf")
-    lines = materialize(lines.join(shared, "leaf", "left_semi"), "line-leaves")
-    placed = materialize(lines.join(_templates(lines), ["leaf", "masked"]).select("leaf", "template", "n", "text_key", "doc_id", "line_no"), "line-templates")
+    text_hash = F.xxhash64("text_key")
+    shared = lines.groupBy("leaf").agg(F.min(text_hash).alias("p"), F.max(text_hash).alias("q")).where("p < q").select("leaf")
+    shared = materialize(shared, "line-leaves")
+    may = lines.join(F.broadcast(_bitmap(shared.select(F.col("leaf").alias("key")))), _in_bitmap(F.col("leaf")), "left_semi")
+    lines = may.join(shared, "leaf", "left_semi").withColumn("line_key", F.unhex(F.md5("masked")))
+    lines = materialize(lines, "line-shared")
+    own = [F.coalesce(f"t{i}", F.xxhash64("line_key", F.lit(i))).alias(f"t{i}") for i in (1, 2)]
+    placed = materialize(lines.drop("masked").join(_templates(lines), "line_key", "left").select("leaf", "n", "text_key", "doc_id", "line_no", *own), "line-templates")
+    key = ["leaf", "n", "t1", "t2"]
     by_id = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
     recurring = (
-        placed.groupBy("leaf", "template", "n")
+        placed.groupBy(*key)
         .agg(F.count_distinct("text_key").alias("having"), F.min_by("text_key", by_id).alias("first_key"))
         .where((F.col("having") >= texts) | ((F.col("having") >= 2) & (F.col("n") >= LONG)))
     )
-    gone = placed.join(recurring.select("leaf", "template", "first_key"), ["leaf", "template"])
+    gone = placed.join(recurring.select(*key, "first_key"), key)
     if keep_first:
         gone = gone.where("text_key <> first_key")
     # a text's own line numbers: bounded by the text
-    gone = gone.groupBy("text_key").agg(F.collect_set("line_no").alias("gone"))
+    gone = materialize(gone.groupBy("text_key").agg(F.collect_set("line_no").alias("gone")), "line-gone")
+    bits = F.broadcast(_bitmap(gone.select(text_hash.alias("key"))))
+    keyed, hit = _keyed(picked), _in_bitmap(text_hash)
+    touched = keyed.join(bits, hit, "left_semi").join(gone, "text_key", "left")
+    whole = keyed.join(bits, hit, "left_anti").withColumn("gone", F.lit(None).cast("array<int>"))
+    joined = touched.select("doc_id", "text", "gone").union(whole.select("doc_id", "text", "gone"))
     all_lines = F.split("text", "\n")
     none = F.coalesce("gone", F.array().cast("array<int>"))
-    joined = picked.withColumn("text_key", F.md5("text")).join(gone, "text_key", "left")
     left = F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains(none, i)), "\n")
     return joined.select(
         "doc_id", F.size(all_lines).cast("long").alias("n_lines"), F.size(none).cast("long").alias("n_dropped"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text")
