@@ -18,11 +18,6 @@ def is_table_citation(c: Column) -> Column:
     return c.rlike(TABLE)
 
 
-def holds_paragraph(citation: Column, content: Column) -> Column:
-    form = grounding_form(citation)
-    return (form != "") & F.contains(grounding_form(content), form)
-
-
 def holds_cell(citation: Column, table_ref: Column, content: Column) -> Column:
     """The column is a header (or stands before a colon), the row is the chunk's
     row, and the value is in the text."""
@@ -33,12 +28,6 @@ def holds_cell(citation: Column, table_ref: Column, content: Column) -> Column:
     return (row.try_cast("int") == table_ref["row_index"]) & named & (form != "") & F.contains(grounding_form(content), form)
 
 
-def grounds(citation: Column, content: Column, table_ref: Column) -> Column:
-    long_enough = F.length(F.trim(citation)) >= LEAST
-    by_cell = F.coalesce(holds_cell(citation, table_ref, content), F.lit(False))
-    return F.coalesce(long_enough & F.when(is_table_citation(citation), by_cell).otherwise(holds_paragraph(citation, content)), F.lit(False))
-
-
 def clip(c: Column, most: int = MOST) -> Column:
     """At most ``most`` characters, cut after a word where that leaves enough."""
     text = F.trim(c)
@@ -55,10 +44,14 @@ def verify_references(refs: DataFrame, chunks: DataFrame) -> DataFrame:
     table_ref, and id.  Adds chunk_id and grounded.  The join is on document and
     page; a page with many chunks is split like any skewed key.
     """
-    c = chunks.select("document_id", "page_number", F.struct("chunk_index", F.col("id").alias("chunk_id")).alias("__at"), F.col("content").alias("__content"), F.col("table_ref").alias("__table"))
-    near = refs.join(c, ["document_id", "page_number"])
+    # normal forms are made once per row, not once per pair
+    c = chunks.select("document_id", "page_number", F.struct("chunk_index", F.col("id").alias("chunk_id")).alias("__at"), F.col("content").alias("__content"), F.col("table_ref").alias("__table"), grounding_form(F.col("content")).alias("__form"))
+    asked = refs.where(F.length(F.trim("citation")) >= LEAST).withColumn("__cite", grounding_form(F.col("citation"))).withColumn("__cell", is_table_citation(F.col("citation")))
+    near = asked.join(c, ["document_id", "page_number"])
     key = ["analysis_id", "category", "item_no", "ref_no"]
-    hit = near.where(grounds(F.col("citation"), F.col("__content"), F.col("__table"))).groupBy(*key).agg(F.min("__at").alias("__at"))
+    by_cell = F.coalesce(holds_cell(F.col("citation"), F.col("__table"), F.col("__content")), F.lit(False))
+    grounds = F.when(F.col("__cell"), by_cell).otherwise((F.col("__cite") != "") & F.contains("__form", "__cite"))
+    hit = near.where(grounds).groupBy(*key).agg(F.min("__at").alias("__at"))
     return refs.join(hit, key, "left").withColumn("chunk_id", F.col("__at.chunk_id")).withColumn("grounded", F.col("__at").isNotNull()).drop("__at")
 
 
