@@ -15,6 +15,16 @@ def html_blocks(spark: SparkSession, d: str) -> DataFrame:
     return layout.html_blocks(table(spark, d, "pages"))
 
 
+HTML_BLOCKS = r"""
+WITH b AS (SELECT page_id, regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<nav\b.*?</nav>|<footer\b.*?</footer>|<!--.*?-->', '', 'g') AS body FROM pages),
+p AS (SELECT page_id, string_split(regexp_replace(body, '(?i)<(h[1-6]|p)(\s[^>]*)?>', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS parts FROM b),
+r AS (SELECT page_id, unnest(range(1, len(parts))) AS no, parts FROM p),
+x AS (SELECT page_id, no - 1 AS block_no, lower(split_part(parts[no + 1], chr(2), 1)) AS tag, split_part(parts[no + 1], chr(2), 2) AS t FROM r),
+c AS (SELECT page_id, block_no, CASE WHEN tag[1] = 'h' THEN CAST(tag[2] AS INT) END AS heading_level, trim(regexp_replace(regexp_replace(t, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS content FROM x)
+SELECT page_id, block_no, heading_level, content FROM c WHERE content <> ''
+"""
+
+
 def _blocks(spark: SparkSession, d: str) -> DataFrame:
     """The headings and paragraphs of the pages, three to a sheet."""
     b = html_blocks(spark, d)
@@ -125,7 +135,7 @@ def narrative_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "html_blocks": (html_blocks, None),
+    "html_blocks": (html_blocks, HTML_BLOCKS),
     "page_sections": (page_sections, None),
     "section_chunks": (section_chunks, None),
     "repeated_furniture": (repeated_furniture, REPEATED_FURNITURE),
