@@ -141,68 +141,90 @@ def _terms(rows: DataFrame) -> DataFrame:
     return rows.select("text_key", "starts", "kinds", "ends", "text").mapInArrow(run, "text_key binary, term string")
 
 
-def _term_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _term_counts(docs: DataFrame, wanted: DataFrame, found: DataFrame) -> DataFrame:
     """term, texts: in how many different texts of the corpus each term occurs.
 
-    Every text is read.  The wanted terms reach the workers as a filter of fixed
-    size (two bits per term in FILTER_BITS), which lets some others through; the
-    join with ``wanted`` drops those.  Copies are told apart by the text's hash.
+    Every text is read.  Two filters of fixed size tell which terms are wanted
+    and which texts have copies.  Terms of texts without copies are counted where
+    they are read and leave a task as one row per term; only for texts with
+    copies do (term, text) pairs meet to be counted once.  What a filter lets
+    through by chance costs a row more and changes no count: the join with
+    ``wanted`` drops other terms, and a lone text is a pair of its own.
     """
-    bits = _filter(wanted)
-    held = docs.sparkSession.sparkContext.broadcast(bits)
+    spark = docs.sparkSession
+    terms_held = spark.sparkContext.broadcast(_filter(wanted.select(F.encode("term", "utf-8").alias("key"))))
+    copied = found.groupBy("text_key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("text_key").alias("key"))
+    texts_held = spark.sparkContext.broadcast(_filter(copied))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = held.value
+        wanted_terms, copies = terms_held.value, texts_held.value
         known: dict[str, bool] = {}
+        lone: dict[str, int] = {}
+
+        def flush() -> pa.RecordBatch:
+            rows = [list(lone), [None] * len(lone), list(lone.values())]
+            lone.clear()
+            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.int64())], ["term", "text_key", "n"])
+
         for b in text_slices(batches, 1):
             terms, keys = [], []
             for text in b.column(1).to_pylist():
                 if not text:
                     continue
-                key = None
+                key = xxhash.xxh3_128_digest(text.encode())
+                alone = not _passes(copies, key)
                 for t in set(TERM.findall(text.lower())):
                     ok = known.get(t)
                     if ok is None:
                         if len(known) > 100_000:
                             known.clear()
-                        ok = known[t] = _passes(mask, t)
-                    if ok:
-                        key = key or xxhash.xxh3_64_intdigest(text.encode()) - (1 << 63)
+                        ok = known[t] = _passes(wanted_terms, t.encode())
+                    if not ok:
+                        continue
+                    if alone:
+                        lone[t] = lone.get(t, 0) + 1
+                    else:
                         terms.append(t)
                         keys.append(key)
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(keys, pa.int64())], ["term", "text_hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(keys, pa.binary()), pa.array([1] * len(terms), pa.int64())], ["term", "text_key", "n"])
+            if len(lone) > 100_000:
+                yield flush()
+        yield flush()
 
-    hits = docs.mapInArrow(run, "term string, text_hash long")
-    return hits.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("texts"))
+    hits = materialize(docs.mapInArrow(run, "term string, text_key binary, n long"), "pii-term-hits")
+    pairs = hits.where("text_key is not null").join(wanted, "term", "left_semi").distinct()
+    counts = hits.where("text_key is null").join(wanted, "term", "left_semi").select("term", "n")
+    return counts.union(pairs.select("term", "n")).groupBy("term").agg(F.sum("n").alias("texts"))
 
 
 FILTER_BITS = 1 << 24
 
 
-def _filter(wanted: DataFrame) -> bytes:
-    """A Bloom filter of fixed size, made on the executors and united on the driver."""
+def _filter(keys: DataFrame) -> bytes:
+    """A Bloom filter of fixed size over ``keys`` (one binary column), made on
+    the executors and united on the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = bytearray(FILTER_BITS // 8)
         for b in batches:
-            for t in b.column(0).to_pylist():
-                for p in _places(t):
+            for k in b.column(0).to_pylist():
+                for p in _places(k):
                     mask[p >> 3] |= 1 << (p & 7)
         yield pa.RecordBatch.from_arrays([pa.array([bytes(mask)], pa.binary())], ["mask"])
 
     out = 0
-    for row in wanted.coalesce(8).mapInArrow(run, "mask binary").toLocalIterator():
+    for row in keys.coalesce(8).mapInArrow(run, "mask binary").toLocalIterator():
         out |= int.from_bytes(bytes(row.mask), "little")
     return out.to_bytes(FILTER_BITS // 8, "little")
 
 
-def _places(term: str) -> tuple[int, int]:
-    h = xxhash.xxh3_64_intdigest(term.encode())
+def _places(key: bytes) -> tuple[int, int]:
+    h = xxhash.xxh3_64_intdigest(key)
     return h % FILTER_BITS, (h >> 32) % FILTER_BITS
 
 
-def _passes(mask: bytes, term: str) -> bool:
-    return all(mask[p >> 3] >> (p & 7) & 1 for p in _places(term))
+def _passes(mask: bytes, key: bytes) -> bool:
+    return all(mask[p >> 3] >> (p & 7) & 1 for p in _places(key))
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, generalise: float = GENERALISE, support: int = SUPPORT) -> DataFrame:
@@ -226,7 +248,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, generalise: float = GENE
     seen = terms.groupBy("term").agg(F.count("*").alias("texts"))
     pairs = pairs.join(seen, "term").where(_disclosure(n) >= generalise).drop("texts")
     pairs = materialize(pairs, "pii-pairs")
-    counts = _term_counts(docs, pairs.select("term").distinct())
+    counts = _term_counts(docs, pairs.select("term").distinct(), found)
     scored = pairs.join(counts, "term").withColumn("disclosure", _disclosure(n))
     return scored.where(F.col("disclosure") >= generalise).select("entity", "term", "disclosure")
 
