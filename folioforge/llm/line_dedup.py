@@ -54,20 +54,29 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.unhex(F.md5("text")).alias("text_key"), "text")
 
 
+def _masked(text: Column) -> Column:
+    """The text with one space between the tokens of a line, none at its ends,
+    and VARIABLE for tokens with digits; line ends stay.
+
+    Done on whole texts: what is done after lines are split would be evaluated
+    again in every filter on it.
+    """
+    odd = text.startswith(" ") | text.endswith(" ")
+    for part in ("  ", " \n", "\n ", "\t", "\r", "\f", "\x0b"):
+        odd = odd | F.contains(text, F.lit(part))
+    spaced = F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t\r\f\x0B]+", " "), " ?\n ?", "\n"))
+    clean = F.when(odd, spaced).otherwise(text)
+    return F.when(text.rlike("[0-9]"), F.regexp_replace(clean, r"[^ \n0-9]*[0-9][^ \n]*", VARIABLE)).otherwise(clean)
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, line_no, masked (tokens joined by one space), n, leaf."""
-    at = _keyed(docs).select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    line = F.col("line")
-    odd = line.startswith(" ") | line.endswith(" ")
-    for part in ("  ", "\t", "\r", "\f", "\x0b"):
-        odd = odd | F.contains(line, F.lit(part))
-    tokens = F.when(odd, F.trim(F.regexp_replace("line", r"[ \t\r\f\x0B]+", " "))).otherwise(line)
-    at = at.withColumn("line", tokens)
-    masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", r"[^ 0-9]*[0-9][^ ]*", VARIABLE)).otherwise(F.col("line"))
-    at = at.select("doc_id", "text_key", "line_no", masked.alias("masked"))
+    at = docs.select("doc_id", F.unhex(F.md5("text")).alias("text_key"), F.split(_masked(F.col("text")), "\n").alias("lines"))
+    at = at.select("doc_id", "text_key", F.posexplode("lines").alias("line_no", "masked"))
+    # a third token, without counting them all
+    at = at.where(F.substring_index("masked", " ", LEAST - 1) != F.col("masked"))
     n = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
-    at = at.withColumn("n", n).where(F.col("n") >= LEAST)
-    return at.withColumn("leaf", F.xxhash64("n", F.substring_index("masked", " ", DEPTH)))
+    return at.withColumn("n", n).withColumn("leaf", F.xxhash64("n", F.substring_index("masked", " ", DEPTH)))
 
 
 def _templates(lines: DataFrame) -> DataFrame:
