@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from folioforge.functions.text import collapse, grounding_form
 
@@ -239,22 +241,61 @@ def merge_split_facts(items: DataFrame) -> DataFrame:
     item joins the first earlier group that shares a chunk with it if either is
     weak; a group has the chunks of all its items, and is weak only if its first
     item is.  Groups are those of one analysis and category.
-    """
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        groups: list[tuple[set, bool, int]] = []
-        out = []
-        for row in f.sort_values("item_no").itertuples(index=False):
-            chunks = set(row.chunk_ids if row.chunk_ids is not None else ())
-            for have, weak, first in groups:
-                if have & chunks and (weak or row.weak):
-                    have |= chunks
-                    out.append((row.analysis_id, row.category, row.item_no, first))
-                    break
-            else:
-                groups.append((chunks, bool(row.weak), row.item_no))
-                out.append((row.analysis_id, row.category, row.item_no, row.item_no))
-        return pd.DataFrame(out, columns=["analysis_id", "category", "item_no", "group_no"])
-
-    picked = items.select("analysis_id", "category", "item_no", "weak", "chunk_ids")
-    return picked.groupBy("analysis_id", "category").applyInPandas(run, "analysis_id string, category string, item_no int, group_no int")
+    Where all items of a chunk have that chunk only, its first item decides for
+    all of them: a weak one takes every item, a strong one the weak items.  That
+    is an aggregate and a join, however many items an analysis, a category or a
+    chunk has.  The items that remain are linked by items of several chunks; they
+    go by in order, one batch at a time, and a task keeps two numbers per chunk.
+    """
+    key = ["analysis_id", "category"]
+    picked = items.select(*key, "item_no", F.coalesce("weak", F.lit(False)).alias("weak"), F.array_distinct(F.coalesce("chunk_ids", F.array())).alias("chunk_ids"))
+    n = F.size("chunk_ids")
+    firsts = (
+        picked.select(*key, F.struct("item_no", "weak").alias("item"), (n > 1).alias("several"), F.explode("chunk_ids").alias("chunk"))
+        .groupBy(*key, "chunk")
+        .agg(F.min("item").alias("first"), F.max("several").alias("linked"))
+        .select(*(F.col(k).alias(f"__{k}") for k in key), F.col("chunk").alias("__chunk"), "first", "linked")
+    )
+    one = picked.where(n == 1).withColumn("chunk", F.get("chunk_ids", 0))
+    same = one["analysis_id"].eqNullSafe(firsts["__analysis_id"]) & one["category"].eqNullSafe(firsts["__category"]) & one["chunk"].eqNullSafe(firsts["__chunk"])
+    one = one.join(firsts, same)
+    alone = picked.where(n == 0).select(*key, "item_no", F.col("item_no").alias("group_no"))
+    plain = one.where(~F.col("linked")).select(*key, "item_no", F.when(F.col("first.weak") | F.col("weak"), F.col("first.item_no")).otherwise(F.col("item_no")).alias("group_no"))
+    linked = picked.where(n > 1).union(one.where("linked").select(picked.columns))
+    out = alone.union(plain).union(_fold_linked(linked, items.schema))
+    return out.select(F.col("analysis_id").cast("string").alias("analysis_id"), F.col("category").cast("string").alias("category"), F.col("item_no").cast("int").alias("item_no"), F.col("group_no").cast("int").alias("group_no"))
+
+
+def _fold_linked(items: DataFrame, schema: StructType) -> DataFrame:
+    """The fold over rows in order.  Per chunk the first group that has it and the
+    first weak one are all that a later item can ask for."""
+    kind = StructType([*(schema[k] for k in ("analysis_id", "category", "item_no")), StructField("group_no", schema["item_no"].dataType)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, n_groups = None, 0
+        names: dict[int, tuple] = {}  # only of groups that some chunk still leads to
+        first: dict = {}
+        first_weak: dict = {}
+        for b in batches:
+            groups = []
+            for analysis, category, item_no, weak, chunks in zip(*(c.to_pylist() for c in b.columns)):
+                if (analysis, category) != at:
+                    at, n_groups, names, first, first_weak = (analysis, category), 0, {}, {}, {}
+                lead = first if weak else first_weak
+                g = min((lead[c] for c in chunks if c in lead), default=None)
+                if g is None:
+                    g, n_groups = n_groups, n_groups + 1
+                    names[g] = (item_no, weak)
+                for c in chunks:
+                    first[c] = min(g, first.get(c, g))
+                    if names[g][1]:
+                        first_weak[c] = min(g, first_weak.get(c, g))
+                if len(names) > 2 * (len(first) + len(first_weak)) + 1000:
+                    used = {*first.values(), *first_weak.values()}
+                    names = {k: v for k, v in names.items() if k in used}
+                groups.append(names[g][0] if g in names else item_no)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(groups, b.column(2).type)], kind.names)
+
+    dealt = items.repartition("analysis_id", "category").sortWithinPartitions("analysis_id", "category", "item_no", "weak")
+    return dealt.mapInArrow(run, kind)

@@ -81,7 +81,7 @@ def shaped_citations(spark: SparkSession, d: str) -> DataFrame:
 def split_facts(spark: SparkSession, d: str) -> DataFrame:
     """Order lines as items that share parts of a supplier as chunks."""
     f = table(spark, d, "lineitem")
-    rows = f.where("l_suppkey % 20 = 0").select(F.col("l_suppkey").cast("string").alias("analysis_id"), F.col("l_returnflag").alias("category"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("int").alias("item_no"), (F.col("l_linestatus") == "F").alias("weak"), F.array(F.col("l_partkey").cast("string")).alias("chunk_ids"))
+    rows = f.select(F.col("l_suppkey").cast("string").alias("analysis_id"), F.col("l_returnflag").alias("category"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("int").alias("item_no"), (F.col("l_linestatus") == "F").alias("weak"), F.array(F.col("l_partkey").cast("string")).alias("chunk_ids"))
     out = ground.merge_split_facts(rows)
     return out.groupBy("analysis_id", "category").agg(F.count("*").alias("n_items"), F.count_distinct("group_no").alias("n_facts"))
 

@@ -1,5 +1,7 @@
 import datetime as dt
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from folioforge.functions import plain, text
@@ -104,6 +106,39 @@ def test_split_facts(spark):
     assert got == {("c", 0): 0, ("c", 1): 0, ("c", 2): 2, ("c", 3): 0, ("x", 0): 0}
 
 
+def folded(rows):
+    """The fold as it is stated: earlier groups are looked at one after the other."""
+    groups, out = {}, set()
+    for a, c, no, weak, chunks in sorted(rows, key=lambda x: x[2]):
+        mine, own = groups.setdefault((a, c), []), set(chunks or ())
+        g = next((g for g in mine if g[0] & own and (g[1] or weak)), None)
+        if g is None:
+            mine.append(g := (set(), weak, no))
+        g[0].update(own)
+        out.add((a, c, no, g[2]))
+    return out
+
+
+@pytest.mark.parametrize("most", [1, 3])
+def test_split_facts_are_the_fold(spark, most):
+    r = random.Random(most)
+    rows = []
+    for no in range(3000):
+        pool = r.choice([4, 60, 900])
+        chunks = [r.choice(["hot", f"{pool}-{r.randrange(pool)}"]) if pool > 4 else f"{pool}-{r.randrange(pool)}" for _ in range(r.choice([0, 1, 1, 1, most]))]
+        rows.append((r.choice(["a", "b", None]), r.choice("xy"), no, r.random() < 0.3, chunks if r.random() < 0.98 else None))
+    df = spark.createDataFrame(rows, "analysis_id string, category string, item_no int, weak boolean, chunk_ids array<string>").repartition(5)
+    got = ground.merge_split_facts(df).collect()
+    assert len(got) == len(rows) and {tuple(x) for x in got} == folded(rows)
+
+
+def test_split_facts_query_has_every_line(spark):
+    from folioforge.plans import layouts
+
+    d = "/root/testdata/sf0.001"
+    assert layouts.split_facts(spark, d).agg({"n_items": "sum"}).first()[0] == spark.read.parquet(f"{d}/lineitem.parquet").count()
+
+
 def test_types(spark):
     t = lambda f, x: values(spark, f(lit(x)))
     assert t(consolidate.deadline_type, "Respuesta a Consultas") == "respuesta_consultas" and t(consolidate.deadline_type, "Plazo de Ejecución") == "plazo_ejecucion" and t(consolidate.deadline_type, "") == "otro"
