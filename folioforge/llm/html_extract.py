@@ -34,6 +34,8 @@ BLOCK = frozenset(
 #: A start tag of the key ends an open element of the value (up to the scope).
 CLOSES_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt"}
 SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
+#: All that a head may hold; any other start tag, and text, ends it.
+IN_HEAD = frozenset("html head title meta link base basefont bgsound script style noscript noframes template".split())
 SCOPE = frozenset("ul ol dl table td th body html article section div aside nav main footer header form menu".split())
 
 #: Containers that speak for or against content, with log odds.
@@ -44,6 +46,10 @@ NOT_CONTENT = frozenset(
     "ad ads adv advert adverts advertisement advertisements adsbygoogle banner sponsor sponsored sponsors promo promotion promoted comment comments discussion disqus respond replies reply feedback sidebar sidebars rail widget widgets nav navbar navigation menu menus breadcrumb breadcrumbs pager pagination footer foot masthead header topbar toolbar cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations trending copyright legal disclaimer tags taglist skip skiplink hidden".split()
 )
 CONTENT = frozenset("article content post entry story main maincontent articlebody body text prose".split())
+#: has-sidebar and the like tell of the layout, not of what the element holds.
+LAYOUT = frozenset("has with no without".split())
+#: What these words name is not the article of the page, though articles may be in it.
+OTHERS = frozenset("comment comments discussion disqus respond replies reply feedback related recommended recommendations trending sponsored promoted".split())
 CLASS_ODDS, GOOD_ODDS = -5.0, 1.0
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 SPACE = re.compile(r"\s+")
@@ -57,6 +63,7 @@ class Block:
     odds: float  # of the containers
     tag: str
     linked: int = 0
+    alone: float = 0.0  # the odds if the wrappers of its article were of no opinion
 
 
 @dataclass
@@ -65,6 +72,9 @@ class _Open:
     number: int
     odds: float
     hidden: bool
+    bare: float = 0.0  # odds without the class words of wrappers
+    alone: float = 0.0
+    inside: bool = False  # an article or main
 
 
 @dataclass
@@ -83,6 +93,8 @@ class Parser(HTMLParser):
     # elements
 
     def handle_starttag(self, tag, attrs):
+        if self.stack:
+            self._close_head(tag)
         if tag in VOID:
             if tag in BLOCK:
                 self._flush()
@@ -98,11 +110,22 @@ class Parser(HTMLParser):
             if tag[0] == "h" and tag[1:].isdigit() and self.stack and self.stack[-1].tag[0] == "h" and self.stack[-1].tag[1:].isdigit():
                 self._pop_to(len(self.stack) - 1)
         self.count += 1
-        odds, hidden = self._judge(tag, dict(attrs))
-        top = self.stack[-1] if self.stack else None
-        if top:
-            odds, hidden = self._inherit(top.odds, odds), hidden or top.hidden
-        self.stack.append(_Open(tag, self.count, odds, hidden))
+        odds, bare, hidden, role = self._judge(tag, dict(attrs))
+        top = self.stack[-1] if self.stack else _Open("", 0, 0.0, False)
+        inside = top.inside or role is not None
+        alone = self._inherit(top.alone if top.inside else top.bare, odds) if inside else 0.0
+        odds, bare, hidden = self._inherit(top.odds, odds), self._inherit(top.bare, bare), hidden or top.hidden
+        if role == "main":
+            odds = alone
+        self.stack.append(_Open(tag, self.count, odds, hidden, bare, alone if inside else odds, inside))
+
+    def _close_head(self, tag: str) -> None:
+        if self.stack[-1].tag == "head" and tag not in IN_HEAD:
+            self._pop_to(len(self.stack) - 1)
+        elif tag == "body" and not any(o.tag == "template" for o in self.stack):
+            for i, o in enumerate(self.stack):
+                if o.tag == "head":
+                    return self._pop_to(i)
 
     def _inherit(self, outer: float, own: float) -> float:
         # what is negative stays so inside; an article in a page part of no
@@ -149,6 +172,8 @@ class Parser(HTMLParser):
     # text
 
     def handle_data(self, data):
+        if self.stack and self.stack[-1].tag == "head" and not data.isspace():
+            self._close_head("")
         if self.stack and self.stack[-1].hidden:
             return
         self.parts.append(data)
@@ -160,26 +185,39 @@ class Parser(HTMLParser):
             text = SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
                 block = next((o.tag for o in reversed(self.stack) if o.tag in BLOCK), "body")
-                self.blocks.append(Block(text, tuple(o.number for o in self.stack), self.stack[-1].odds if self.stack else 0.0, block, self.linked))
+                odds, alone = (self.stack[-1].odds, self.stack[-1].alone) if self.stack else (0.0, 0.0)
+                self.blocks.append(Block(text, tuple(o.number for o in self.stack), odds, block, self.linked, alone))
         self.parts, self.linked = [], 0
 
     def close(self):
         super().close()
         self._flush()
-
-    def _judge(self, tag: str, attrs: dict) -> tuple[float, bool]:
+        # articles in a wrapper with a bad word: where the rest of the page has
+        # less to say, the word is about the layout
+        held = sum(len(b.text) - b.linked for b in self.blocks if b.alone > b.odds)
+        if held > sum(len(b.text) - b.linked for b in self.blocks if b.odds >= -2):
+            for b in self.blocks:
+                b.odds = b.alone
+
+    def _judge(self, tag: str, attrs: dict) -> tuple[float, float, bool, str | None]:
+        """Log odds with and without class words, whether it is hidden, and article or main."""
         style = (attrs.get("style") or "").replace(" ", "").lower()
         hidden = tag in HIDDEN or "hidden" in attrs or "display:none" in style or "visibility:hidden" in style or attrs.get("aria-hidden") == "true"
         odds = TAG_ODDS.get(tag, 0.0) + ROLE_ODDS.get((attrs.get("role") or "").lower(), 0.0)
         if tag == "header" and any(o.tag in ("article", "main") for o in self.stack):
             odds += 2.0  # the heading of an article, not of the page
+        role = next((x for x in ("main", "article") if x in (tag, (attrs.get("role") or "").lower())), None)
+        bare = odds
         if tag not in ("html", "body", "article", "main", "h1", "h2", "h3"):
-            words = {w.lower() for k in ("class", "id") for w in WORD.findall(attrs.get(k) or "")}
+            names = ([w.lower() for w in WORD.findall(x)] for k in ("class", "id") for x in (attrs.get(k) or "").split())
+            words = {w for name in names if name and name[0] not in LAYOUT for w in name}
             if words & NOT_CONTENT:
                 odds += CLASS_ODDS
+                bare = odds if words & OTHERS else bare
             elif words & CONTENT:
                 odds += GOOD_ODDS
-        return odds, hidden
+                bare = odds
+        return odds, bare, hidden, role
 
 
 def log_odds(b: Block) -> float:

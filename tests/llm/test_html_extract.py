@@ -38,6 +38,26 @@ def test_cases():
     assert len(main_text("<article>" + f"<p>{LONG}</p>" * 3000 + "</article>")) == 3000 * len(LONG) + 2 * 2999
 
 
+def test_wrappers_of_the_article():
+    for wrapper in ("<div class='layout has-sidebar'>", "<div class=noSidebar>", "<div class='grid sidebar-right'>", "<div id=page class=social>", "<div class=widget><div class='banner top'>"):
+        for open_, close in (("<article>", "</article>"), ("<main>", "</main>"), ("<div role=main>", "</div>")):
+            side = f"<div class=sidebar><p>{LONG}</p></div><section class=comments><article><p>{LONG}</p></article></section><div class=ad>{LONG}</div>"
+            page = f"<html><head><title>t</title></head><body>{wrapper}{open_}<h1>A title</h1>{INNER}<div class=ad>{LONG}</div>{close}{side}</div></div></body></html>"
+            assert main_text(page) == clean(BODY), (wrapper, open_)
+    # articles beside the text stay what they are
+    side = f"<div class=sidebar><article><p>{LONG}</p></article></div><div class=comments><article><p>{LONG}</p></article></div>"
+    assert main_text(f"<body><div><h1>A title</h1>{INNER}</div>{side}") == clean(BODY)
+
+
+def test_head_without_end():
+    head = "<meta charset=utf-8><title>t</title><link rel=x><style>p{}</style><script>var x;</script>\n"
+    for html in ("<html><head>", "<head>", "<!DOCTYPE html><html lang=en><head id=h>"):
+        for body in ("<body>", "", "<body class=x>"):
+            assert main_text(f"{html}{head}{body}<article><h1>A title</h1>{INNER}</article>") == clean(BODY), (html, body)
+    assert main_text(f"<html><head>{head}{LONG}") == LONG
+    assert main_text(f"<head>{head}<noscript><img src=x></noscript></head><body><p>{LONG}</p>") == LONG
+
+
 def test_min_cut_is_minimal():
     r = random.Random(8)
     for _ in range(60):
