@@ -8,6 +8,12 @@ so 1 means that every word of the unit occurs.  All units that reach ``THETA``
 are retrieved, and their items are verified on five-word shingles: the whole
 item, or question and answer each, must occur in the document to ``PERCENT``.
 
+No passage may reach THETA where the parts of an item stand apart and are edited.
+So the rarest shingles of the whole item, and of its question (or the answer, if
+that is longer and the question has no shingle of five words), are indexed too:
+one more than may be missing.  A document that is verified holds one of them,
+wherever its parts are; with the retrieved units no item is lost.
+
 Most passages hold nothing.  Per unit the commonest words, up to half of THETA,
 are set aside; a passage can reach THETA only if the other (essential) words add
 up to the rest.  That bound is computed for whole batches at a time, and only
@@ -34,6 +40,9 @@ K1, B = 1.2, 0.75
 UNIT, THETA = 64, 0.5
 SHINGLE, PERCENT = 5, 80
 BLOCK = 32
+#: Odd factors of a shingle's hash, by position; bits of its table.
+FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+TABLE_BITS = 20
 #: Text of one shard of the index; a larger benchmark is searched in several passes.
 SHARD_BYTES = 8 << 20
 WORD = re.compile(r"[^\W_]+")
@@ -118,6 +127,60 @@ class Index:
         self.e_unit = np.array([u for x in essential for u, _ in x], np.int64)
         self.e_weight = np.array([w for x in essential for _, w in x])
         self.count = np.diff(self.start)
+        self._index_shingles(df)
+
+    def _index_shingles(self, df: Counter) -> None:
+        """By size of shingle: sorted hashes, their item numbers, and a table of the hashes' first bits."""
+        keys: dict[int, set[tuple[int, int]]] = {}
+        for i, x in enumerate(self.items):
+            size = lambda part: (len(next(iter(part))), len(part)) if part else (0, 0)
+            parts = [x.whole]
+            if x.question and x.answer:
+                q, a = size(x.question), size(x.answer)
+                parts.append(x.answer if q[0] < SHINGLE and a > q else x.question)
+            for part in parts:
+                rare = sorted(part, key=lambda g: (min(df[t] for t in g), g))[: len(part) * (100 - PERCENT) // 100 + 1]
+                ids = np.array([[self.ids[t] for t in g] for g in rare], np.int64)
+                keys.setdefault(ids.shape[1], set()).update((h, i) for h in _hashes(ids.ravel(), ids.shape[1])[:: ids.shape[1]].tolist())
+        self.shingled = {}
+        for k, pairs in keys.items():
+            pairs = sorted(pairs)
+            h = np.array([x for x, _ in pairs], np.uint64)
+            table = np.zeros(1 << TABLE_BITS, bool)
+            table[h >> np.uint64(64 - TABLE_BITS)] = True
+            self.shingled[k] = h, np.array([i for _, i in pairs], np.int64), table
+
+    def sharing(self, ids: np.ndarray, starts: np.ndarray) -> set[tuple[int, int]]:
+        """(document, item number) where the document may hold an indexed shingle of the item."""
+        out = set()
+        for k, (keys, items, table) in self.shingled.items():
+            if len(ids) < k:
+                continue
+            h = _hashes(ids, k)
+            at = np.flatnonzero(table[h >> np.uint64(64 - TABLE_BITS)])
+            first, end = (np.searchsorted(keys, h[at], side) for side in ("left", "right"))
+            hit = np.flatnonzero(end > first)
+            doc = np.searchsorted(starts, at[hit], side="right") - 1
+            for d, a, e in set(zip(doc.tolist(), first[hit].tolist(), end[hit].tolist())):
+                out.update((d, i) for i in items[a:e].tolist())
+        return out
+
+    def best_score(self, ids: np.ndarray, item: int) -> float:
+        """The largest score of a unit of the item over all passages of one document."""
+        best = 0.0
+        held = [t for t in np.unique(ids).tolist() if t >= 0]
+        for unit in range(bisect_left(self.item_of, item), bisect_left(self.item_of, item + 1)):
+            weight = {}
+            for t in held:
+                p = bisect_left(self.units[t], unit)
+                if p < len(self.units[t]) and self.units[t][p] == unit:
+                    weight[t] = self.weights[t][p]
+            at = np.flatnonzero(np.isin(ids, list(weight)))
+            for block in np.unique(at // UNIT).tolist():
+                for start in (max(0, block - 1) * UNIT, block * UNIT):
+                    inside = ids[at[np.searchsorted(at, start) : np.searchsorted(at, start + 2 * UNIT)]]
+                    best = max(best, sum(weight[t] for t in np.unique(inside).tolist()))
+        return best
 
     def wand(self, terms: list[int], theta: float = THETA) -> dict[int, float]:
         """Every unit whose score against ``terms`` reaches ``theta``: block-max WAND."""
@@ -219,7 +282,14 @@ class Index:
             for unit, score in self.wand(np.unique(window[window >= 0]).tolist()).items():
                 i = self.item_of[unit]
                 candidates[d][i] = max(score, candidates[d].get(i, 0.0))
-        return [self._verified(docs[d], c) if c else {} for d, c in enumerate(candidates)]
+        for d, i in self.sharing(ids, starts):
+            candidates[d].setdefault(i, -1.0)
+        found = [self._verified(docs[d], c) if c else {} for d, c in enumerate(candidates)]
+        for d, held in enumerate(found):
+            for i, (score, *overlaps) in held.items():
+                if score < 0:
+                    held[i] = (self.best_score(ids[starts[d] : starts[d + 1]], i), *overlaps)
+        return found
 
     def _verified(self, words: list[str], candidates: dict[int, float]) -> dict[int, tuple]:
         by_size: dict[int, set] = {}
@@ -241,6 +311,15 @@ class Index:
         return out
 
 
+def _hashes(ids: np.ndarray, k: int) -> np.ndarray:
+    """A hash of the k ids from each place on."""
+    x, n = ids.astype(np.uint64) + np.uint64(1), len(ids) - k + 1
+    h = np.zeros(n, np.uint64)
+    for j in range(k):
+        h += x[j : n + j] * FACTORS[j]
+    return h
+
+
 def cut_units(words: list[str]) -> list[list[str]]:
     n = max(1, math.ceil(len(words) / UNIT))
     size = max(1, math.ceil(len(words) / n))

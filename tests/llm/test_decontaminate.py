@@ -94,3 +94,32 @@ def test_against_brute_force(spark, shard):
     assert kept.columns == docs.columns and kept.count() == sum(not {p for p in brute([x], items)} for x in rows)
     assert D.flag_contaminated(docs.limit(0), tests).count() == 0
     assert D.flag_contaminated(docs, tests.limit(0)).where("contaminated").count() == 0
+
+
+def test_parts_far_apart():
+    r = random.Random(9)
+    rare = [f"r{i}" for i in range(4000)]
+    common = [f"c{i}" for i in range(30)]
+    items, rows = [], []
+    for i in range(60):
+        # what the check lets go is what weighs most
+        ends = lambda n: r.sample(rare, n // 5 - 1) + r.choices(common, k=n - 2 * (n // 5) + 2) + r.sample(rare, n // 5 - 1)  # noqa: B023,E731
+        q, a = ends(r.choice([20, 30, 45])), ends(r.choice([15, 20, 30]))
+        items.append((i, " ".join(q) + "\n" + " ".join(a)))
+        far = [f"f{r.randrange(999)}" for _ in range(300)]
+        cut = lambda x: x[(len(x) - 4) // 5 :]
+        rows.append((3 * i, " ".join(cut(q) + far + cut(a))))
+        rows.append((3 * i + 1, " ".join(a + far + q[: len(q) // 2] + far + q[len(q) // 2 :])))
+        rows.append((3 * i + 2, " ".join(cut(q) + far)))
+    items += [(100, "one two\nthree"), (101, "what is r1\n" + " ".join(rare[:12]))]
+    rows += [(900, "three " + "x " * 200 + "one two"), (901, " ".join(rare[:11]) + " y" * 300 + " what is r1"), (902, "one three two")]
+    index = D.Index(items)
+    found = {(d, index.items[k].item_id): x for (d, _), held in zip(rows, index.search([t for _, t in rows])) for k, x in held.items()}
+    want = brute(rows, items)
+    assert found.keys() == want and len(want) >= 100 and {(900, 100), (901, 101)} <= want
+    assert sum(x[0] < D.THETA for x in found.values()) >= 10
+    for (d, i), x in found.items():
+        w = [index.ids.get(t, -1) for t in D.words_of(dict(rows)[d])]
+        k = next(k for k, y in enumerate(index.items) if y.item_id == i)
+        passages = [scores(index, set(w[at : at + 2 * D.UNIT]) - {-1}) for at in range(0, len(w), D.UNIT)]
+        assert abs(x[0] - max(p.get(u, 0.0) for p in passages for u, own in enumerate(index.item_of) if own == k)) < 1e-9
