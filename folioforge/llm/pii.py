@@ -13,6 +13,9 @@ reads it knows the entity.  In a document that holds e, terms with
 D >= ``GENERALISE`` are replaced by their shape, terms with D >= ``REMOVE`` are
 removed.
 
+A text has a term if the term stands outside the text's base spans, in the
+entity's texts and in the corpus alike.
+
 Texts that are equal count once, so copies of one text make no evidence, and a
 pair counts only with ``SUPPORT`` different texts behind it.
 """
@@ -142,7 +145,8 @@ def _terms(rows: DataFrame) -> DataFrame:
 
 
 def _term_counts(docs: DataFrame, wanted: DataFrame, found: DataFrame) -> DataFrame:
-    """term, texts: in how many different texts of the corpus each term occurs.
+    """term, texts: in how many different texts of the corpus each term occurs
+    outside the base spans, as in ``terms_of``.
 
     Every text is read.  Two filters of fixed size tell which terms are wanted
     and which texts have copies.  Terms of texts without copies are counted where
@@ -173,7 +177,8 @@ def _term_counts(docs: DataFrame, wanted: DataFrame, found: DataFrame) -> DataFr
                     continue
                 key = xxhash.xxh3_128_digest(text.encode())
                 alone = not _passes(copies, key)
-                for t in set(TERM.findall(text.lower())):
+                spans = base_spans(text)
+                for t in terms_of(text, spans) if spans else set(map(str.lower, TERM.findall(text))):
                     ok = known.get(t)
                     if ok is None:
                         if len(known) > 100_000:

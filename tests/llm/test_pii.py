@@ -102,3 +102,15 @@ def test_terms_against_brute_force(spark):
     d = {x.doc_id: x for x in pii_digest(df).collect()}
     assert d[100].n_email == 1 and d[100].base_sha256 == sha256_hex("email:7:20") and d[200].spans == ""
     assert P.sanitise(df.limit(0)).count() == 0
+
+
+def test_corpus_counts_leave_spans_out(spark):
+    rows = [(i, f"plain text number {i} about nothing" + " smith@x.org" * (i < 33) + " Smith wrote \u0130zmirli" * (i < 3)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x for x in P.sanitise(df).where("size(spans) > 0").collect()}
+    assert len(got) == 33
+    for i, x in got.items():
+        text = rows[i][1]
+        terms = {text[s.start : s.end] for s in x.spans if s.kind == "term"}
+        assert terms == ({"Smith", "wrote", "\u0130zmirli"} if i < 3 else set())
+        assert "mith" not in x.sanitised
