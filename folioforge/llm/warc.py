@@ -119,8 +119,9 @@ def write_warc(pages: DataFrame, path: str, least: int = LEAST_REVISIT, level: i
 # reading --------------------------------------------------------------------
 
 
-def parse_record(data: bytes) -> tuple[dict, int]:
-    """Fields and end of the record that starts ``data``; ValueError if a check fails."""
+def parse_record(data: bytes, proof: bool = False) -> tuple[dict, int]:
+    """Fields and end of the record that starts ``data``; ValueError if a check
+    fails, and with ``proof`` also if the record states no digest of its own."""
     v = VERSION.match(data)
     if not v:
         raise ValueError("no version line")
@@ -146,6 +147,8 @@ def parse_record(data: bytes) -> tuple[dict, int]:
     stated = head.get("warc-block-digest", "").removeprefix("sha1:")
     if stated and stated != hashlib.sha1(block).hexdigest():
         raise ValueError("block digest differs")
+    if proof and not stated and (head.get("warc-type") == "revisit" or not head.get("warc-payload-digest")):
+        raise ValueError("no digest in a broken member")
     return _fields(head, block), stop + 4
 
 
@@ -171,36 +174,68 @@ def _fields(head: dict, block: bytes) -> dict:
     }
 
 
-def _inflate(data: memoryview, at: int, most: int = 1 << 31) -> tuple[bytes, int]:
-    """The member at ``at`` and where it ends; ValueError if its checksum fails."""
+def _inflate(data: memoryview, at: int) -> tuple[bytes, int, str | None]:
+    """The member at ``at``, where it ends, and what is wrong with it; of a broken
+    one what comes before its error."""
     z = zlib.decompressobj(31)
     out, pos = [], at
-    try:
-        while not z.eof and pos < len(data):
-            chunk = data[pos : pos + (1 << 16)]
+    while not z.eof and pos < len(data):
+        chunk, before = data[pos : pos + (1 << 16)], z.copy()
+        try:
             out.append(z.decompress(chunk))
-            pos += len(chunk)
-    except zlib.error as e:
-        raise ValueError(f"member: {e}") from None
-    if not z.eof:
-        raise ValueError("member without end")
-    return b"".join(out), pos - len(z.unused_data)
+        except zlib.error as e:
+            for i in range(len(chunk)):
+                try:
+                    out.append(before.decompress(chunk[i : i + 1]))
+                except zlib.error:
+                    break
+            return b"".join(out), pos + i, f"member: {e}"
+        pos += len(chunk)
+    return b"".join(out), pos - len(z.unused_data), None if z.eof else "member without end"
+
+
+def _records_of(text: bytes, proof: bool) -> tuple[list[dict], str | None]:
+    """The records of an inflated member and the first thing wrong with it; after
+    a record that fails, the next version line is looked for."""
+    found, used, wrong = [], 0, None
+    while used < len(text):
+        try:
+            fields, size = parse_record(text[used : _plain_end(text, used)], proof)
+        except ValueError as e:
+            wrong = wrong or str(e)
+            m = VERSION.search(text, used + 1)
+            used = m.start() if m else len(text)
+            continue
+        found.append(fields)
+        used += size
+    return found, wrong
 
 
 def salvage(data: bytes) -> Iterator[tuple]:
-    """("record", start, stop, fields) and ("gap", start, stop, reason), in order."""
+    """("record", start, stop, fields) and ("gap", start, stop, reason), in order.
+
+    Records of one member have its place; where some of them fail, a gap at the
+    member follows those that don't.  In a member that is itself broken, only
+    records with a digest of their own are kept.
+    """
     view, at, n = memoryview(data), 0, len(data)
     gap = reason = None
     while at < n:
         try:
             found = []
             if data[at : at + 3] == MEMBER:
-                text, stop = _inflate(view, at)
-                used = 0
-                while used < len(text):
-                    fields, size = parse_record(text[used:] if used else text)
-                    found.append(fields)
-                    used += size
+                text, stop, broken = _inflate(view, at)
+                found, wrong = _records_of(text, broken is not None)
+                if broken and not found:
+                    raise ValueError(broken)
+                if broken or wrong:
+                    if gap is not None:
+                        yield "gap", gap, at, reason
+                    for fields in found:
+                        yield "record", at, stop, fields
+                    gap, reason = at, broken or wrong
+                    at = _next_start(data, at + 1) if broken else stop
+                    continue
             elif VERSION.match(data, at):
                 # headers tell how much to look at
                 fields, size = parse_record(data[at : _plain_end(data, at)])

@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import random
+import re
 
 from folioforge.llm.common import scratch
 from folioforge.llm.warc import member, quarantined, read_warc, record_bytes, records, salvage, warc_round_trip, write_warc
@@ -58,6 +59,24 @@ def test_salvage_of_any_damage():
         assert at == len(bad)
 
 
+def test_salvage_inside_a_member():
+    texts = [rec(i, bytes([97 + i]) * 300) for i in range(5)]
+    whole = gzip.compress(b"".join(texts))
+    assert [x[3]["page_id"] for x in salvage(whole)] == [0, 1, 2, 3, 4]
+    # a payload that is not the one of the digest, and a length that is not the block's
+    for bad in (texts[2].replace(b"c" * 300, b"c" * 299 + b"x"), re.sub(rb"(?i)(\r\ncontent-length: *)\d+", rb"\g<1>7", texts[2], count=1)):
+        assert bad != texts[2]
+        one = gzip.compress(b"".join([*texts[:2], bad, *texts[3:]]))
+        got = list(salvage(one + whole))
+        assert [x[3]["page_id"] for x in got if x[0] == "record"] == [0, 1, 3, 4, 0, 1, 2, 3, 4]
+        assert [x[1:3] for x in got if x[0] == "gap"] == [(0, len(one))]
+    # the checksum of the member, and its end
+    for one in (whole[:-6] + b"\x00\x00" + whole[-4:], whole[:-8]):
+        got = list(salvage(one))
+        assert [x[3]["page_id"] for x in got if x[0] == "record"] == [0, 1, 2, 3, 4]
+        assert [x[1:3] for x in got if x[0] == "gap"] == [(0, len(one))]
+
+
 def test_round_trip(spark):
     big, other = "ü" * 600, "b" * 1000
     rows = [(1, "u", big), (2, "u", big), (3, None, big), (4, "u", "small"), (5, "u", "small"), (6, "u", None), (7, "a\r\nb", other), (None, "u", other), (8, "u", ""), (8, "u", ""), (9, "u", "c" * 999), (10, "u", "c" * 999)]
