@@ -18,22 +18,33 @@ import math
 import re
 from collections import deque
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from html.parser import HTMLParser
+from dataclasses import dataclass
+from functools import cache
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_slices
+
 # Fixed values of HTML: how elements behave.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template head title svg math iframe object canvas audio video select option datalist textarea button".split())
-BLOCK = frozenset(
-    "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
+#: A button is a control, except in a heading, where it is the heading's text.
+HIDDEN = frozenset("script style noscript template head title svg annotation annotation-xml iframe noembed noframes object canvas audio video select option datalist textarea button".split())
+#: Up to its own end tag nothing in it is markup.
+RAW = frozenset("script style noscript title textarea xmp iframe noembed noframes".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+BLOCK = HEADINGS | frozenset(
+    "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul xmp".split()
 )
 #: A start tag of the key ends an open element of the value (up to the scope).
 CLOSES_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt"}
 SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
+LISTS = frozenset("ul ol dl table".split())
+CELLS = frozenset("td th table".split())
+#: End tags that may end a table's cells from inside.
+OF_TABLE = frozenset("tr table tbody thead tfoot body html".split())
 #: All that a head may hold; any other start tag, and text, ends it.
 IN_HEAD = frozenset("html head title meta link base basefont bgsound script style noscript noframes template".split())
 SCOPE = frozenset("ul ol dl table td th body html article section div aside nav main footer header form menu".split())
@@ -53,20 +64,93 @@ OTHERS = frozenset("comment comments discussion disqus respond replies reply fee
 CLASS_ODDS, GOOD_ODDS = -5.0, 1.0
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 SPACE = re.compile(r"\s+")
+TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+NAME = re.compile(r"[^\s/>][^\s/>=]*")
+EQUALS = re.compile(r"\s*=\s*")
+VALUE = re.compile(r"[^\s>]*")
+BETWEEN = re.compile(r"[\s/]*")
 PRIOR, SMOOTH, NEAR = -0.4, 1.6, 0.8
 
 
+@cache
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE)
+
+
+def markup(html: str) -> Iterator[tuple[str, str, dict | None]]:
+    """("text", characters, None), ("start", tag, attributes) and ("end", tag, None).
+
+    As in browsers: comments, declarations and processing instructions are left
+    out, unclosed ones to the end of the page, and so is a tag that the page
+    breaks off in.  Every character is looked at a bounded number of times, and
+    no input is an error.
+    """
+    at, n = 0, len(html)
+    while at < n:
+        start = html.find("<", at)
+        if start != at:
+            yield "text", html[at : start if start >= 0 else n], None
+        if start < 0:
+            return
+        m = TAG.match(html, start)
+        if not m:
+            after = html[start + 1 : start + 2]
+            if html.startswith("<!--", start):
+                short = next((x for x in ("<!-->", "<!--->") if html.startswith(x, start)), None)
+                end = start + len(short) if short else html.find("-->", start + 4) + 3
+                if end < 3:
+                    return
+                at = end
+            elif after in ("!", "?") or after == "/" and start + 2 < n:
+                at = html.find(">", start) + 1
+                if not at:
+                    return
+            else:
+                yield "text", "<", None
+                at = start + 1
+            continue
+        tag, attributes, at = m[2].lower(), {}, m.end()
+        while True:
+            at = BETWEEN.match(html, at).end()
+            if at >= n:
+                return
+            if html[at] == ">":
+                at += 1
+                break
+            name = NAME.match(html, at)
+            at, value = name.end(), ""
+            if equals := EQUALS.match(html, at):
+                at = equals.end()
+                if html[at : at + 1] in ("'", '"'):
+                    end = html.find(html[at], at + 1)
+                    if end < 0:
+                        return
+                    value, at = html[at + 1 : end], end + 1
+                else:
+                    value = VALUE.match(html, at)[0]
+                    at += len(value)
+            attributes.setdefault(name[0].lower(), value)
+        if m[1]:
+            yield "end", tag, None
+            continue
+        yield "start", tag, attributes
+        if tag in RAW or tag == "plaintext":
+            end = _raw_end(tag).search(html, at) if tag in RAW else None
+            yield "text", html[at : end.start() if end else n], None
+            at = end.start() if end else n
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[int, ...]  # the numbers of the open elements
+    node: int  # the number of the innermost open element
     odds: float  # of the containers
     tag: str
     linked: int = 0
     alone: float = 0.0  # the odds if the wrappers of its article were of no opinion
 
 
-@dataclass
+@dataclass(slots=True)
 class _Open:
     tag: str
     number: int
@@ -75,24 +159,42 @@ class _Open:
     bare: float = 0.0  # odds without the class words of wrappers
     alone: float = 0.0
     inside: bool = False  # an article or main
+    block: str = "body"  # the innermost block element
+    heading: bool = False
 
 
-@dataclass
-class Parser(HTMLParser):
-    """Tolerant parser that yields text blocks; unclosed elements end as in browsers."""
+class Parser:
+    """Tolerant parser that yields text blocks; unclosed elements end as in browsers.
 
-    blocks: list[Block] = field(default_factory=list)
+    ``parent`` and ``depth`` describe the element tree by the numbers of its
+    elements.  The open elements are also listed by tag, so that nothing walks
+    down the stack: the work is linear in the page, however deep it nests.
+    """
 
-    def __post_init__(self):
-        super().__init__(convert_charrefs=True)
+    def __init__(self, html: str):
+        self.blocks: list[Block] = []
+        self.parent, self.depth = [0], [0]
         self.stack: list[_Open] = []
+        self.places: dict[str, list[int]] = {}
         self.parts: list[str] = []
-        self.linked = self.count = 0
-        self.in_article = 0
+        self.linked = 0
+        for kind, x, attributes in markup(html):
+            if kind == "text":
+                self._text(x)
+            elif kind == "start":
+                self._start(x, attributes)
+            else:
+                self._end(x)
+        self._flush()
+        self._weigh_articles()
 
     # elements
 
-    def handle_starttag(self, tag, attrs):
+    def _last(self, tags) -> int:
+        """The place of the innermost open element of ``tags``, else -1."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=-1)
+
+    def _start(self, tag: str, attributes: dict) -> None:
         if self.stack:
             self._close_head(tag)
         if tag in VOID:
@@ -106,76 +208,66 @@ class Parser(HTMLParser):
         if tag in SIBLING:
             self._close_sibling(SIBLING[tag])
         elif tag in CLOSES_P:
-            self._close_p()
-            if tag[0] == "h" and tag[1:].isdigit() and self.stack and self.stack[-1].tag[0] == "h" and self.stack[-1].tag[1:].isdigit():
+            if (p := self._last(("p",))) > self._last(SCOPE):
+                self._pop_to(p)
+            if tag in HEADINGS and self.stack and self.stack[-1].tag in HEADINGS:
                 self._pop_to(len(self.stack) - 1)
-        self.count += 1
-        odds, bare, hidden, role = self._judge(tag, dict(attrs))
         top = self.stack[-1] if self.stack else _Open("", 0, 0.0, False)
+        odds, bare, hidden, role = self._judge(tag, attributes, top)
         inside = top.inside or role is not None
         alone = self._inherit(top.alone if top.inside else top.bare, odds) if inside else 0.0
         odds, bare, hidden = self._inherit(top.odds, odds), self._inherit(top.bare, bare), hidden or top.hidden
         if role == "main":
             odds = alone
-        self.stack.append(_Open(tag, self.count, odds, hidden, bare, alone if inside else odds, inside))
+        self.parent.append(top.number)
+        self.depth.append(self.depth[top.number] + 1)
+        self.places.setdefault(tag, []).append(len(self.stack))
+        block = tag if tag in BLOCK else top.block
+        self.stack.append(_Open(tag, len(self.parent) - 1, odds, hidden, bare, alone if inside else odds, inside, block, top.heading or tag in HEADINGS))
 
     def _close_head(self, tag: str) -> None:
         if self.stack[-1].tag == "head" and tag not in IN_HEAD:
             self._pop_to(len(self.stack) - 1)
-        elif tag == "body" and not any(o.tag == "template" for o in self.stack):
-            for i, o in enumerate(self.stack):
-                if o.tag == "head":
-                    return self._pop_to(i)
+        elif tag == "body" and not self.places.get("template") and self.places.get("head"):
+            self._pop_to(self.places["head"][0])
 
     def _inherit(self, outer: float, own: float) -> float:
         # what is negative stays so inside; an article in a page part of no
         # opinion speaks for itself
         return min(outer, own) if outer < -2 or own < -2 else max(-8.0, min(5.0, outer + own))
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag in HIDDEN:
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag):
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i].tag == tag:
-                if tag not in BLOCK and any(o.tag in SCOPE or o.tag == "p" for o in self.stack[i + 1 :]):
-                    return  # a stray inline end tag doesn't end blocks
-                self._pop_to(i)
-                return
-            if self.stack[i].tag in ("td", "th", "table") and tag not in ("tr", "table", "tbody", "thead", "tfoot", "body", "html"):
-                return
+    def _end(self, tag: str) -> None:
+        i = self._last((tag,))
+        if i < 0 or (tag not in OF_TABLE and self._last(CELLS) > i):
+            return
+        if tag not in BLOCK and max(self._last(SCOPE), self._last(("p",))) > i:
+            return  # a stray inline end tag doesn't end blocks
+        self._pop_to(i)
 
     def _pop_to(self, i: int) -> None:
-        if any(o.tag in BLOCK for o in self.stack[i:]):
+        gone = self.stack[i:]
+        if any(o.tag in BLOCK for o in gone):
             self._flush()
+        for o in gone:
+            self.places[o.tag].pop()
         del self.stack[i:]
 
-    def _close_p(self) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i].tag == "p":
-                return self._pop_to(i)
-            if self.stack[i].tag in SCOPE:
-                return None
-
     def _close_sibling(self, tags: set[str]) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i].tag in tags:
-                last = i
-                while last and self.stack[last - 1].tag in tags:
-                    last -= 1
-                return self._pop_to(last)
-            if self.stack[i].tag in ("ul", "ol", "dl", "table"):
-                return None
+        i = self._last(tags)
+        if i <= self._last(LISTS):
+            return
+        while i and self.stack[i - 1].tag in tags:
+            i -= 1
+        self._pop_to(i)
 
     # text
 
-    def handle_data(self, data):
+    def _text(self, data: str) -> None:
         if self.stack and self.stack[-1].tag == "head" and not data.isspace():
             self._close_head("")
         if self.stack and self.stack[-1].hidden:
             return
+        data = unescape(data) if "&" in data and not (self.stack and self.stack[-1].tag in ("xmp", "plaintext")) else data
         self.parts.append(data)
         if any(o.tag == "a" for o in self.stack[-4:]):
             self.linked += len(data.strip())
@@ -184,14 +276,11 @@ class Parser(HTMLParser):
         if self.parts:
             text = SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                block = next((o.tag for o in reversed(self.stack) if o.tag in BLOCK), "body")
-                odds, alone = (self.stack[-1].odds, self.stack[-1].alone) if self.stack else (0.0, 0.0)
-                self.blocks.append(Block(text, tuple(o.number for o in self.stack), odds, block, self.linked, alone))
+                o = self.stack[-1] if self.stack else _Open("", 0, 0.0, False)
+                self.blocks.append(Block(text, o.number, o.odds, o.block, self.linked, o.alone))
         self.parts, self.linked = [], 0
 
-    def close(self):
-        super().close()
-        self._flush()
+    def _weigh_articles(self) -> None:
         # articles in a wrapper with a bad word: where the rest of the page has
         # less to say, the word is about the layout
         held = sum(len(b.text) - b.linked for b in self.blocks if b.alone > b.odds)
@@ -199,17 +288,20 @@ class Parser(HTMLParser):
             for b in self.blocks:
                 b.odds = b.alone
 
-    def _judge(self, tag: str, attrs: dict) -> tuple[float, float, bool, str | None]:
+    def _judge(self, tag: str, attributes: dict, top: _Open) -> tuple[float, float, bool, str | None]:
         """Log odds with and without class words, whether it is hidden, and article or main."""
-        style = (attrs.get("style") or "").replace(" ", "").lower()
-        hidden = tag in HIDDEN or "hidden" in attrs or "display:none" in style or "visibility:hidden" in style or attrs.get("aria-hidden") == "true"
-        odds = TAG_ODDS.get(tag, 0.0) + ROLE_ODDS.get((attrs.get("role") or "").lower(), 0.0)
-        if tag == "header" and any(o.tag in ("article", "main") for o in self.stack):
+        get = lambda k: unescape(attributes.get(k) or "")
+        style = get("style").replace(" ", "").lower()
+        hidden = tag in HIDDEN and not (tag == "button" and top.heading)
+        hidden = hidden or "hidden" in attributes or "display:none" in style or "visibility:hidden" in style or attributes.get("aria-hidden") == "true"
+        role_name = get("role").lower()
+        odds = TAG_ODDS.get(tag, 0.0) + ROLE_ODDS.get(role_name, 0.0)
+        if tag == "header" and self._last(("article", "main")) >= 0:
             odds += 2.0  # the heading of an article, not of the page
-        role = next((x for x in ("main", "article") if x in (tag, (attrs.get("role") or "").lower())), None)
+        role = next((x for x in ("main", "article") if x in (tag, role_name)), None)
         bare = odds
         if tag not in ("html", "body", "article", "main", "h1", "h2", "h3"):
-            names = ([w.lower() for w in WORD.findall(x)] for k in ("class", "id") for x in (attrs.get(k) or "").split())
+            names = ([w.lower() for w in WORD.findall(x)] for k in ("class", "id") for x in get(k).split())
             words = {w for name in names if name and name[0] not in LAYOUT for w in name}
             if words & NOT_CONTENT:
                 odds += CLASS_ODDS
@@ -234,21 +326,25 @@ def log_odds(b: Block) -> float:
     return x
 
 
-def _edges(blocks: list[Block]) -> Iterator[tuple[int, int, float]]:
+def _edges(p: Parser) -> Iterator[tuple[int, int, float]]:
+    """Between a block and the next, and the next but some of the same parent."""
+    parent, depth = p.parent, p.depth
     by_parent: dict[int, int] = {}
-    for i, b in enumerate(blocks):
+    for i, b in enumerate(p.blocks):
         if i:
-            shared = 0
-            for x, y in zip(blocks[i - 1].path, b.path):
-                if x != y:
-                    break
-                shared += 1
-            distance = len(blocks[i - 1].path) + len(b.path) - 2 * shared
-            yield i - 1, i, SMOOTH / max(1, distance - 1)
-        parent = b.path[-2] if len(b.path) > 1 else 0
-        if parent in by_parent and by_parent[parent] < i - 1:
-            yield by_parent[parent], i, NEAR
-        by_parent[parent] = i
+            # what is walked here was opened or closed between the two
+            x, y = p.blocks[i - 1].node, b.node
+            distance = depth[x] + depth[y]
+            while x != y:
+                if depth[x] >= depth[y]:
+                    x = parent[x]
+                else:
+                    y = parent[y]
+            yield i - 1, i, SMOOTH / max(1, distance - 2 * depth[x] - 1)
+        up = parent[b.node]
+        if up in by_parent and by_parent[up] < i - 1:
+            yield by_parent[up], i, NEAR
+        by_parent[up] = i
 
 
 def min_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -316,12 +412,8 @@ def min_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool
 
 
 def label(html: str) -> list[tuple[Block, bool]]:
-    p = Parser()
-    p.feed(html)
-    p.close()
-    if not p.blocks:
-        return []
-    return list(zip(p.blocks, min_cut([log_odds(b) for b in p.blocks], list(_edges(p.blocks)))))
+    p = Parser(html)
+    return list(zip(p.blocks, min_cut([log_odds(b) for b in p.blocks], list(_edges(p)))))
 
 
 def main_text(html: str | None) -> str:
@@ -333,11 +425,13 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text (empty if none), n_chars.
 
     Null html = empty page.  Pages are independent of each other; repeated rows
-    give repeated results.  Pages of any length are parsed whole.
+    give repeated results.  Pages of any length and nesting are parsed whole, and
+    no page is an error: comments, declarations and tags without an end run to
+    the end of the page.  Formulas are text; buttons are not, except in headings.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in text_slices(batches, 2):
             texts = [main_text(h) for h in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 

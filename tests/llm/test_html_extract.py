@@ -1,7 +1,8 @@
 import itertools
 import random
+import time
 
-from folioforge.llm.html_extract import extract_main_text, main_text, min_cut
+from folioforge.llm.html_extract import Parser, _edges, extract_main_text, label, log_odds, main_text, min_cut
 
 LONG = "This paragraph has a fair number of words, and it says one thing after another until it ends."
 BODY = "\n\n".join(["A title", LONG, "Short one.", LONG + " Again & again."])
@@ -78,3 +79,64 @@ def test_frame(spark):
     got = sorted((tuple(r) for r in extract_main_text(df).collect()), key=repr)
     assert got == [(1, "u", LONG, len(LONG))] * 2 + [(None, None, "", 0)]
     assert extract_main_text(df.limit(0)).count() == 0
+
+
+def test_markup_never_leaks_or_raises():
+    text = "hello there my dear friend, this is a sentence of some length."
+    for junk in ("<![foo[x]]>", "<![if !IE]>", "<![endif]-->", "<![CDATA[x]]>", "<!x y>", "<?php echo 1 ?>", "<!-->", "<!--->", "<!-- <p>x</p> -->", "</>", "</ x>", "<!>"):
+        assert main_text(f"<p>{text}{junk}</p><p>{text}</p>") == f"{text}\n\n{text}", junk
+    for rest in ("<!-- open <p>x</p>", "<!", "<?", "<!x", "<a href='x", '<a href="x>y', "<a", "<a href", "<a href=", "<a href= ", "</a", "<title>x", "<script>x"):
+        assert main_text(f"<p>{text}{rest}") == text, rest
+    assert main_text(f"<p>{text} 1 < 2 <") == f"{text} 1 < 2 <"
+    assert main_text("<p>&#xD800;&#x110000;&#0; is what they made of it, and so it went on.</p>").encode()
+    sums = "<article><p>The sum <math><mi>x</mi><annotation>TeX</annotation></math> is what we want to have.</p><button>Copy</button><h2><button>Heading of it</button></h2></article>"
+    assert main_text(sums) == "The sum x is what we want to have.\n\nHeading of it"
+
+
+def test_mutated_pages():
+    r = random.Random(3)
+    page = f"<!DOCTYPE html><html><head><title>t</title></head><body class='a b'><nav><a href=/x>x</a></nav><article><h1>A title</h1>{INNER}<table><tr><td>1<td>2</table></article><!-- c --></body></html>".encode()
+    junk = [b"<![", b"<!", b"<?", b"<!--", b"-->", b"<", b">", b'"', b"'", b"=", b"&", b"</", b"\0", b"<math>", b"&#xD800;", b"<table>", b"</p>"]
+    for _ in range(3000):
+        h = bytearray(page)
+        for _ in range(r.randrange(1, 10)):
+            i = r.randrange(len(h) + 1)
+            h[i : i + r.choice([0, 0, 1, 9])] = r.choice(junk) if r.random() < 0.6 else bytes([r.randrange(256)])
+        assert main_text(h.decode("utf-8", "replace")).encode() is not None
+
+
+def test_depth_costs_no_more_than_length():
+    for part in ("<div>", "<span>", "<b>x</i>", "<fieldset>", "<!--", "</", "<a x='", "<ul><li>"):
+        n = 100_000
+        began = time.time()
+        main_text(part * n)
+        assert time.time() - began < 10, part
+    deep = "".join(f"<div>{x}" for x in ["word"] * 20_000) + "</div>and" * 20_000
+    assert len(label(deep)) == 40_000
+
+
+def test_labels_of_whole_pages_are_the_best_of_all():
+    r = random.Random(5)
+    texts = ["A title", LONG, "Short one.", "Home", "<a href=x>a link to somewhere</a>", "© 2020 somebody", LONG[:40]]
+    tags = ["p", "div", "h2", "li", "td", "aside", "nav", "article", "section class=comments", "div class=ad", "main", "form"]
+    for _ in range(80):
+        html, open_ = "", []
+        for _ in range(r.randrange(1, 12)):
+            if open_ and r.random() < 0.4:
+                html += f"</{open_.pop().split()[0]}>"
+            open_.append(r.choice(tags))
+            html += f"<{open_[-1]}>{r.choice(texts)}"
+        p = Parser(html)
+        gain, edges = [log_odds(b) for b in p.blocks], list(_edges(p))
+        assert len(gain) <= 15
+
+        def cost(keep):
+            return sum(max(0, g) if not k else max(0, -g) for g, k in zip(gain, keep)) + sum(c for i, j, c in edges if keep[i] != keep[j])
+
+        best = min(map(cost, itertools.product([False, True], repeat=len(gain))))
+        assert abs(cost([k for _, k in label(html)]) - best) < 1e-6
+        # distances in the tree, by whole paths
+        path = lambda x: [x, *path(p.parent[x])] if x else [0]
+        for i in range(1, len(gain)):
+            a, b = set(path(p.blocks[i - 1].node)), set(path(p.blocks[i].node))
+            assert (i - 1, i, 1.6 / max(1, len(a ^ b) - 1)) in edges
