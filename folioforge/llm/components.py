@@ -5,36 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_hot, materialize
 
 
-def _least(edges: DataFrame) -> DataFrame:
+def _least(edges: DataFrame, total: int) -> DataFrame:
     """edges (u, v) with m: the least of u and its neighbours."""
-    m = edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return edges.join(m, "u")
+    m = edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n_rows"))
+    return join_hot(edges, m, ["u"], total)
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, label) for every node that occurs in ``edges`` (a, b); label is
     the smallest node that can be reached.
 
-    Only minima are kept per node, never lists of neighbours, and every round is
-    a written table in the shared folder.  Rounds grow with the logarithm of
-    the longest path.
+    Only minima are kept per node, never lists of neighbours; the edges of a hub
+    meet its minimum as a broadcast.  Every star is a written table in the shared
+    folder.  Rounds grow with the logarithm of the longest path.
     """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     before = None
     while True:
+        n, *mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if (n, mark) == before:
+            break
+        before = n, mark
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _least(both, 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = materialize(large, name)
         # small star: an edge points down already, so u's neighbours are below it
-        small = _least(large)
+        small = _least(large, n)
         small = small.select(F.col("v").alias("a"), F.col("m").alias("b")).union(small.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
         now = materialize(small, name)
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == before:
-            break
-        before = mark
     stars = now.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "node")
     roots = stars.select(F.col("label").alias("node")).distinct().select("node", F.col("node").alias("label"))
     return stars.union(roots)
