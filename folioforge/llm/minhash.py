@@ -14,7 +14,15 @@
    band) and only between different components; what passes the estimate is
    confirmed on the full sets inside the task.  No pairs are written, only the
    links that join components.
-5. Components of the confirmed links give the result.
+5. Blocks cost the square of a bucket's members, so buckets of more than
+   ``GIANT`` (pages of one template, say) are left out of step 4.  Most of their
+   links show up in smaller buckets; for the rest their members go through an
+   exact filter on the full sets (see :func:`_prefix_rows`), whose candidates
+   share a rare shingle early enough to reach the threshold.
+6. Components of the confirmed links give the result.
+
+Sets, not identifiers, are what is linked; a set is known by a number that it
+gets when the table of sets is written.
 
 A pair at the threshold of 0.85 (0.8) shares no band with a probability of
 1e-10 (4e-8); the estimate lets through what lies within five standard
@@ -32,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_slices
+from .common import join_hot, keep_rows, materialize, row_key, text_slices
 from .components import connected_components
 
 PERMS, BITS, ROWS, BANDS = 128, 2, 3, 24
@@ -40,6 +48,10 @@ LONGS = PERMS * BITS // 64
 SLACK = 5.0
 #: Members and shingles of a block in step 4, and members a centre meets in one task.
 BLOCK_ROWS, BLOCK_SHINGLES, CHUNK = 1000, 1_000_000, 256
+#: Members beyond which a bucket is not compared in blocks; counters of step 5.
+GIANT, COUNTERS = 8000, 1 << 20
+#: In place of a band key whose bucket is left out.
+GONE = -(1 << 63)
 REMEMBERED = 100_000
 LOW = 0x5555555555555555
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
@@ -109,27 +121,34 @@ def set_key(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes()) + len(shingles).to_bytes(4, "big")
 
 
-SIGS = "doc_id long, n long, set_key binary, bands array<long>, sig array<long>"
+SIGS = "doc_id long, k1 long, k2 long, n long, set_key binary, bands array<long>, sig array<long>"
 
 
 def signatures(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n (size of the set), set_key, bands, sig (null for empty sets)."""
+    """doc_id, k1, k2 (the row's key), n (size of the set), set_key, bands, sig
+    (null for empty sets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longs = pa.list_(pa.int64())
-        for b in text_slices(batches, 1):
+        names = [f.split()[0] for f in SIGS.split(", ")]
+        for b in text_slices(batches, 3):
             n, keys, bands, sigs = [], [], [], []
-            for text in b.column(1).to_pylist():
+            for text in b.column(3).to_pylist():
                 s = shingle_set(text, k)
                 n.append(len(s))
                 keys.append(set_key(s))
                 low = minima(s) if len(s) else None
                 bands.append(None if low is None else band_keys(low))
                 sigs.append(None if low is None else pack(low))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, longs), pa.array(sigs, longs)], ["doc_id", "n", "set_key", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, longs), pa.array(sigs, longs)], names)
         _words.clear()  # a worker outlives its task
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SIGS)
+    return _keyed(docs, id_col, text_col).mapInArrow(run, SIGS)
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    doc_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    return docs.select(doc_id.alias("doc_id"), *row_key(doc_id, text), text.alias("text"))
 
 
 # estimates ------------------------------------------------------------------
@@ -185,47 +204,50 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 # steps ----------------------------------------------------------------------
 
 
-def _buckets(reps: DataFrame) -> DataFrame:
+def _buckets(reps: DataFrame, n_sets: int) -> DataFrame:
     """bkey, rep, centre for the members of buckets of two or more."""
     rows = reps.select(F.explode("bands").alias("bkey"), "rep")
-    shared = rows.groupBy("bkey").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre < last").drop("last")
-    return rows.join(shared, "bkey")
+    shared = rows.groupBy("bkey").agg(F.min("rep").alias("centre"), F.count("*").alias("n_rows")).where("n_rows > 1")
+    shared = materialize(shared, "minhash-shared")
+    return join_hot(rows, shared, ["bkey"], BANDS * n_sets).drop("n_rows")
 
 
 def _star_links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (centre, rep) that are links.  A centre's members are dealt out
-    in chunks, so its text is repeated once for every CHUNK of them."""
-    size = pairs.groupBy("centre").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
-    dealt = pairs.join(size, "centre").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    members = dealt.select("centre", "part", "rep")
+    """The pairs (centre, rep) that are links.  A centre's members (at most
+    n_rows) are dealt out in chunks, so its text is repeated once for about CHUNK
+    of them."""
+    parts = F.ceil(F.col("n_rows") / CHUNK)
+    members = pairs.select("centre", F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part"), "rep")
     centres = members.select("centre", "part").distinct().withColumn("rep", F.col("centre"))
     rows = members.union(centres).join(texts, "rep").select("centre", "part", "rep", "set_key", "text")
     rows = rows.repartition("centre", "part").sortWithinPartitions("centre", "part", F.col("rep") != F.col("centre"), "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own = None, None
-        for b in batches:
+        for b in text_slices(batches, 4):
             out: list[tuple[int, int]] = []
-            for centre, part, rep, key, text in zip(*(c.to_pylist() for c in b.columns)):
+            for centre, part, rep, _, text in zip(*(c.to_pylist() for c in b.columns)):
                 s = shingle_set(text, k)
-                if set_key(s) != key:  # another text under the same identifier
-                    continue
                 if rep == centre:
                     now, own = (centre, part), s
                 elif now == (centre, part) and linked(own, s, percent):
                     out.append((centre, rep))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+            yield _edges(out)
 
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
 def _in_blocks(members: DataFrame) -> DataFrame:
     """Deal the members of each bucket into blocks and every pair of blocks to
     a task; adds lo, hi (the blocks) and own (the member's block)."""
-    size = members.groupBy("bkey").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
-    dealt = members.join(size, "bkey").withColumn("own", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("parts")).cast("int"))
+    size = members.groupBy("bkey").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"), F.count("*").alias("n_rows"))
+    dealt = join_hot(members, size, ["bkey"], members.count()).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    return dealt.select("*", other).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other", "parts")
+    return dealt.select("*", other).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other", "parts", "n_rows")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
@@ -256,7 +278,7 @@ def _open_pairs(own: np.ndarray, lo: int, hi: int, n: np.ndarray, sig: np.ndarra
         i, j = np.nonzero(ok)
         for t in range(0, len(i), 50_000):
             x, y = rows[i[t : t + 50_000]], right[j[t : t + 50_000]]
-            same = bands[x] == bands[y]
+            same = (bands[x] == bands[y]) & (bands[x] != GONE)
             first = bands[x, same.argmax(axis=1)] == bkey
             yield x[first], y[first]
 
@@ -295,16 +317,8 @@ def _block_links(members: DataFrame, texts: DataFrame, k: int, percent: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _grouped(batches, 3):
             bkey, lo, hi = g[0][:3]
-            seen: dict[int, tuple] = {}
-            for row in g:
-                s = shingle_set(row[10], k)
-                if set_key(s) == row[9]:
-                    seen[row[4]] = (row, s)
-            rows = [x[0] for x in seen.values()]
-            if len(rows) < 2:
-                continue
-            sets = [x[1] for x in seen.values()]
-            own, rep, n, label, sig, bands = _unpacked(rows, 3)
+            sets = [shingle_set(row[9], k) for row in g]
+            own, rep, n, label, sig, bands = _unpacked(g, 3)
             root = {c: c for c in label.tolist()}
 
             def find(c: int) -> int:
@@ -319,55 +333,202 @@ def _block_links(members: DataFrame, texts: DataFrame, k: int, percent: int) ->
                     if p != q and linked(sets[i], sets[j], percent):
                         root[max(p, q)] = min(p, q)
                         out.append((int(rep[i]), int(rep[j])))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out]), pa.array([o[1] for o in out])], ["a", "b"])
+            yield _edges(out)
 
-    rows = _in_blocks(members).join(texts, "rep").select(*TASK, "set_key", "text")
+    rows = _in_blocks(members).join(texts, "rep").select(*TASK, "text")
     return rows.repartition("bkey", "lo", "hi").sortWithinPartitions("bkey", "lo", "hi").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Components of documents whose shingle sets have 100 * Jaccard >= percent.
+# step 5 ---------------------------------------------------------------------
 
-    Returns one row per input row: doc_id, n_shingles, component_id (smallest
-    doc_id reachable), kept (doc_id = component_id).  Null or white text has no
-    shingles and stands alone, with its own doc_id.  Rows without a doc_id take
-    no part: component_id is null and they are kept.  Rows that repeat a doc_id
-    have one result each; with equal texts they are all kept or all not.  Empty
-    table: empty result.
+
+def _counters(texts: DataFrame, k: int) -> np.ndarray:
+    """How many of the sets hold shingles of each counter; COUNTERS numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for b in text_slices(batches, 0):
+            for text in b.column(0).to_pylist():
+                np.add.at(total, (shingle_set(text, k) % np.uint64(COUNTERS)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
+
+    out = np.zeros(COUNTERS, np.int64)
+    for b in texts.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow().to_batches():
+        out[b.column(0).to_numpy()] = b.column(1).to_numpy()
+    return out
+
+
+def _prefix_rows(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """bkey (a shingle), rep, n, label, sig, at (its place), index: the shingles that
+    decide about links, rarest first.
+
+    In one order of all shingles, sets of at least ``percent`` share one of their
+    first n - ceil(percent n) + 1; the smaller of the two holds it among its first
+    n - ceil(2 percent / (100 + percent) n) + 1, those with ``index``.  Any order
+    is exact; counting makes what a template has in common come last.
     """
+    held = texts.sparkSession.sparkContext.broadcast(_counters(texts, k))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_slices(batches, 3):
+            for rep, label, sig, text in zip(*(c.to_pylist() for c in b.columns)):
+                s = shingle_set(text, k)
+                n = len(s)
+                first = n + percent * -n // 100 + 1
+                own = n + 2 * percent * -n // (100 + percent) + 1
+                order = np.lexsort((s, held.value[(s % np.uint64(COUNTERS)).astype(np.int64)]))[:first]
+                m = len(order)
+                at = np.arange(m)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(s[order].view(np.int64)), pa.array([rep] * m, pa.int64()), pa.array([n] * m, pa.int64()), pa.array([label] * m, pa.int64()), pa.array([sig] * m, pa.list_(pa.int64())), pa.array(at), pa.array(at < own)],
+                    ["bkey", "rep", "n", "label", "sig", "at", "index"],
+                )
+
+    return texts.select("rep", "label", "sig", "text").mapInArrow(run, "bkey long, rep long, n long, label long, sig array<long>, at long, index boolean")
+
+
+def _prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of different components that may be links, by place and estimate."""
+    live = rows.groupBy("bkey").agg(F.count("*").alias("n_rows"), F.max("index").alias("any"), F.min("label").alias("p"), F.max("label").alias("q")).where("n_rows > 1 and any and p <> q").select("bkey", "n_rows")
+    live = materialize(live, "minhash-rare")
+    kept = materialize(join_hot(rows, live, ["bkey"], rows.count()).drop("n_rows"), "minhash-prefixes")
+    least = least_matches(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _grouped(batches, 3):
+            own, rep, n, label, at = (np.array([x[i] for x in g], np.int64) for i in (3, 4, 5, 6, 8))
+            index = np.array([x[9] for x in g], bool)
+            sig = np.array([x[7] for x in g], np.int64).view(np.uint64)
+            lo, hi = g[0][1:3]
+            sides = [(lo, hi)] if lo == hi else [(lo, hi), (hi, lo)]
+            for one, two in sides:
+                left, right = np.flatnonzero((own == one) & index), np.flatnonzero(own == two)
+                for t in range(0, len(left), 256):
+                    x = left[t : t + 256]
+                    a, b = x[:, None], right[None, :]
+                    ok = (n[a] < n[b]) | ((n[a] == n[b]) & (rep[a] != rep[b]))
+                    # what both can still share from here on
+                    most = np.minimum(n[a] - at[a], n[b] - at[b])
+                    ok &= most * (100 + percent) >= percent * (n[a] + n[b])
+                    ok &= label[a] != label[b]
+                    ok &= _matches(sig[x], sig[right]) >= least
+                    i, j = np.nonzero(ok)
+                    p, q = rep[x[i]], rep[right[j]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
+
+    tasks = _in_blocks(kept).select("bkey", "lo", "hi", "own", "rep", "n", "label", "sig", "at", "index").repartition("bkey", "lo", "hi").sortWithinPartitions("bkey", "lo", "hi")
+    return tasks.mapInArrow(run, "a long, b long").distinct()
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs that are links, on the full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_slices(batches, 2, 1 << 20):
+            yield _edges([(p, q) for p, q, x, y in zip(*(c.to_pylist() for c in b.columns)) if linked(shingle_set(x, k), shingle_set(y, k), percent)])
+
+    one, two = (texts.select(F.col("rep").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+# the whole ------------------------------------------------------------------
+
+
+def _decided(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """One row per input row: doc_id, k1, k2, set_key, n, component_id, first (whether
+    its set is the one that stays of its component)."""
     sigs = materialize(signatures(docs, k, id_col, text_col), "minhash-signatures")
     able = sigs.where("n > 0 and doc_id is not null")
-    reps = able.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    reps = materialize(reps, "minhash-sets")
-    buckets = materialize(_buckets(reps), "minhash-buckets")
+    of_set = F.min(F.struct("doc_id", "k1", "k2"))
+    reps = able.groupBy("set_key").agg(of_set.alias("o"), F.count("*").alias("n_rows"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    # numbered once, where it is written
+    reps = materialize(reps.select(F.monotonically_increasing_id().alias("rep"), "set_key", "o.*", "n_rows", "n", "bands", "sig"), "minhash-sets")
+    n_sets = reps.count()
+    buckets = materialize(_buckets(reps, n_sets), "minhash-buckets")
 
-    involved = reps.join(buckets.select("rep").distinct(), "rep", "left_semi").select("rep", "set_key")
-    own = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
-    texts = materialize(own.join(involved, "rep").select("rep", "set_key", "text"), "minhash-texts")
+    involved = reps.join(buckets.select("rep").distinct(), "rep", "left_semi").select("k1", "k2", "rep", "set_key")
+    own = _keyed(docs, id_col, text_col).select("k1", "k2", "text").join(involved, ["k1", "k2"])
+    texts = materialize(own.dropDuplicates(["k1", "k2", "rep"]).select("rep", "set_key", "text"), "minhash-texts")
 
     slim = reps.select("rep", "n", "sig")
-    pairs = buckets.where("rep <> centre").select("rep", "centre").distinct()
-    pairs = pairs.join(slim, "rep").join(slim.select(F.col("rep").alias("centre"), F.col("n").alias("n2"), F.col("sig").alias("sig2")), "centre")
+    pairs = materialize(buckets.where("rep <> centre").select("rep", "centre").distinct(), "minhash-pairs")
+    centres = pairs.groupBy("centre").agg(F.count("*").alias("n_rows")).join(slim.select(F.col("rep").alias("centre"), F.col("n").alias("n2"), F.col("sig").alias("sig2")), "centre")
+    pairs = join_hot(pairs.join(slim, "rep"), materialize(centres, "minhash-centres"), ["centre"], pairs.count())
     near = (matching(F.col("sig"), F.col("sig2")) >= least_matches(percent)) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
-    stars = materialize(_star_links(pairs.where(near).select("centre", "rep"), texts, k, percent), "minhash-stars")
-    first = materialize(connected_components(stars, "minhash-components"), "minhash-labels")
+    stars = materialize(_star_links(pairs.where(near).select("centre", "rep", "n_rows"), texts, k, percent), "minhash-stars")
+    label = materialize(connected_components(stars, "minhash-components"), "minhash-labels")
+
+    members = _mixed(buckets, label, reps)
+    giant = members.where(F.col("n_rows") > GIANT)
+    has_giant = not giant.isEmpty()
+    small = members.where(F.col("n_rows") <= GIANT).drop("n_rows")
+    if has_giant:
+        # a pair is judged in its first shared band that is compared at all
+        left_out = giant.groupBy("rep").agg(F.collect_set("bkey").alias("left_out"))
+        compared = F.transform("bands", lambda x: F.when(F.array_contains("left_out", x), F.lit(GONE)).otherwise(x))
+        small = materialize(small.join(left_out, "rep", "left").withColumn("bands", F.when(F.col("left_out").isNull(), F.col("bands")).otherwise(compared)).drop("left_out"), "minhash-small")
+    undecided = materialize(_undecided(small, percent), "minhash-undecided")
+    more = materialize(_block_links(small.join(undecided, ["bkey", "rep"], "left_semi"), texts, k, percent), "minhash-links")
+    if not more.isEmpty():
+        stars = stars.union(more)
+        label = materialize(connected_components(stars, "minhash-components"), "minhash-labels")
+    if has_giant:
+        labelled = giant.select("rep").distinct().join(label, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("label", "rep").alias("label"))
+        held = materialize(texts.join(labelled, "rep").join(slim.select("rep", "sig"), "rep"), "minhash-giant")
+        rare = materialize(_prefix_pairs(materialize(_prefix_rows(held, k, percent), "minhash-rows"), percent), "minhash-candidates")
+        more = materialize(_confirmed(rare, texts, k, percent), "minhash-links")
+        label = materialize(connected_components(stars.union(more), "minhash-components"), "minhash-labels")
+
+    labelled = reps.select("rep", "set_key", "n_rows", "doc_id").join(label, F.col("rep") == F.col("node"), "left").select("rep", "set_key", "n_rows", "doc_id", F.coalesce("label", "rep").alias("label"))
+    labelled = materialize(labelled, "minhash-labelled")
+    least = F.min(F.struct("doc_id", "rep"))
+    component = materialize(labelled.groupBy("label").agg(least.alias("least"), F.count("*").alias("n_rows")), "minhash-least")
+    joined = join_hot(labelled.withColumnRenamed("n_rows", "copies"), component, ["label"], n_sets)
+    found = joined.select("set_key", F.col("copies").alias("n_rows"), F.col("least.doc_id").alias("component_id"), (F.col("least.rep") == F.col("rep")).alias("first"))
+    joined = join_hot(able.select("doc_id", "k1", "k2", "set_key", "n"), materialize(found, "minhash-found"), ["set_key"], sigs.count()).drop("n_rows")
+    alone = sigs.where("n = 0 or doc_id is null").select("doc_id", "k1", "k2", "set_key", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))
+    return joined.unionByName(alone)
+
+
+def _mixed(buckets: DataFrame, label: DataFrame, reps: DataFrame) -> DataFrame:
+    """The members of buckets with several components: bkey, rep, label, n_rows (of
+    the bucket), n, sig, bands."""
+    labelled = buckets.join(label, F.col("rep") == F.col("node"), "left").select("bkey", "rep", F.coalesce("label", "rep").alias("label"))
+    labelled = materialize(labelled, "minhash-members")
+    mixed = labelled.groupBy("bkey").agg(F.min("label").alias("p"), F.max("label").alias("q"), F.count("*").alias("n_rows")).where("p <> q").select("bkey", "n_rows")
+    members = join_hot(labelled, materialize(mixed, "minhash-mixed"), ["bkey"], labelled.count())
+    return materialize(members.join(reps.select("rep", "n", "sig", "bands"), "rep"), "minhash-mixed")
 
-    labelled = buckets.join(first, F.col("rep") == F.col("node"), "left").select("bkey", "rep", F.coalesce("label", "rep").alias("label"))
-    mixed = labelled.groupBy("bkey").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").select("bkey")
-    members = labelled.join(mixed, "bkey", "left_semi").join(reps.select("rep", "n", "sig", "bands"), "rep")
-    members = materialize(members, "minhash-mixed")
-    undecided = materialize(_undecided(members, percent), "minhash-undecided")
-    more = _block_links(members.join(undecided, ["bkey", "rep"], "left_semi"), texts, k, percent)
 
-    label = connected_components(stars.union(more), "minhash-components")
-    of_set = reps.join(label, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("label", "rep").alias("component_id"))
-    joined = able.join(of_set, "set_key").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = sigs.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return joined.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Components of documents whose shingle sets have 100 * Jaccard >= percent.
+
+    Returns one row per input row: doc_id, n_shingles, component_id (smallest
+    doc_id reachable), kept (doc_id = component_id).  Null or white text has no
+    shingles and stands alone, with its own doc_id.  Rows without a doc_id take
+    no part: component_id is null and they are kept.  Rows that repeat a doc_id
+    are documents of their own and have one result each; those in the component
+    of that doc_id are all kept, since an identifier cannot tell them apart.
+    Empty table: empty result.
+    """
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return _decided(docs, k, percent, id_col, text_col).select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component; columns unchanged."""
-    gone = near_duplicates(docs, k, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """``docs`` with one document of each component; columns unchanged.
+
+    It is one of the smallest doc_id, and decided on rows: where a doc_id repeats,
+    its other texts are judged by themselves, and of rows equal in doc_id and text
+    one stays.  Rows without a doc_id or without words stand alone.
+    """
+    found = _decided(docs, k, percent, "doc_id", "text")
+    kept = F.col("first") & F.col("doc_id").eqNullSafe(F.col("component_id"))
+    decided = materialize(found.select("doc_id", "set_key", "k1", "k2", kept.alias("kept"), (F.col("doc_id").isNotNull() & (F.col("n") > 0)).alias("able")), "minhash-decided")
+    # other texts with the identifier and the set of the one that stays
+    ties = decided.where("kept and able").groupBy("doc_id", "set_key").agg(F.min(F.struct("k1", "k2")).alias("best"), F.max(F.struct("k1", "k2")).alias("worst")).where("best <> worst")
+    ties = materialize(ties.select("doc_id", "set_key", "best"), "minhash-ties")
+    again = decided.where("kept and able").join(ties, ["doc_id", "set_key"]).select("k1", "k2", (F.struct("k1", "k2") == F.col("best")).alias("stays"))
+    rest = decided.where("not (kept and able)").union(decided.where("kept and able").join(ties, ["doc_id", "set_key"], "left_anti").select(*decided.columns))
+    return keep_rows(docs, rest.select("k1", "k2", F.col("kept").alias("stays")).union(again))

@@ -56,7 +56,9 @@ def test_against_brute_force(spark, monkeypatch, k, percent):
     df = spark.createDataFrame([(*x, 0) for x in rows], "doc_id long, text string, rep int").repartition(5)
     want = brute(rows, k, percent)
     assert sorted((tuple(x) for x in M.near_duplicates(df, k, percent).collect()), key=repr) == want
-    assert M.drop_near_copies(df, k, percent).count() == sum(x[3] for x in want)
+    # of the kept rows, those equal in identifier and text are one
+    kept = {(d, t or "") for (d, t) in rows if any(x[0] == d and x[3] for x in want)}
+    assert sorted(((x.doc_id, x.text or "") for x in M.drop_near_copies(df, k, percent).collect()), key=repr) == sorted(kept, key=repr)
 
 
 def test_hub_whose_copies_are_not_linked(spark, monkeypatch):
@@ -75,6 +77,57 @@ def test_hub_whose_copies_are_not_linked(spark, monkeypatch):
     assert sorted((tuple(x) for x in M.near_duplicates(df, 3, 85).collect()), key=repr) == brute(rows, 3, 85)
 
 
+@pytest.mark.parametrize("giant", [8000, 30, 3])
+def test_pages_of_one_template(spark, monkeypatch, giant):
+    """Template pages below the threshold share buckets; copies among them are found
+    whatever the size from which a bucket is left to the exact filter."""
+    monkeypatch.setattr(M, "GIANT", giant)
+    monkeypatch.setattr(M, "BLOCK_ROWS", 25)
+    r = random.Random(giant)
+    template = [f"t{i}" for i in range(300)]
+    rows = []
+    for i in range(70):
+        own = [f"o{i}.{j}" for j in range(r.choice([40, 60, 90]))]
+        page = template[:150] + own + template[150:]
+        rows.append((i, " ".join(page)))
+        for c in range(r.choice([0, 0, 1, 2])):
+            copy = list(page)
+            for _ in range(r.choice([1, 6, 9])):
+                copy[r.randrange(len(copy))] = f"c{i}.{c}.{r.random()}"
+            rows.append((100 + 3 * i + c, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute(rows, 3, 85)
+    assert 40 < sum(x[3] for x in want) < len(rows)
+    assert sorted((tuple(x) for x in M.near_duplicates(df, 3, 85).collect()), key=repr) == want
+
+
+def test_prefix_filter_misses_nothing(spark):
+    """The exact filter alone finds every link, bands or not."""
+    r = random.Random(2)
+    rows = [(d, t) for d, t in corpus(3, 12) if t and t.strip() and d is not None]
+    rows = list({d: (d, t) for d, t in rows}.values())
+    texts = spark.createDataFrame([(d, d, M.pack(M.minima(M.shingle_set(t, 3))), t) for d, t in rows], "rep long, label long, sig array<long>, text string")
+    for percent in (60, 85, 100):
+        pairs = M._prefix_pairs(M._prefix_rows(texts, 3, percent), percent)
+        got = {(x.a, x.b) for x in M._confirmed(pairs, texts.select("rep", "text"), 3, percent).collect()}
+        sets = {d: sets_of(t, 3) for d, t in rows}
+        want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+        assert got == want and want
+
+
+def test_repeated_identifiers_lose_no_text(spark):
+    words = [f"w{i}" for i in range(60)]
+    same, other, twin = " ".join(words), "a quite unique other text of more than five words", "the twin text has some words of its own"
+    rows = [(3, same), (5, same), (5, other), (7, twin), (7, twin), (7, twin + " "), (8, " ".join([*words, "x"])), (8, "one two"), (None, same), (9, None), (9, "")]
+    df = spark.createDataFrame([(*x, n) for n, x in enumerate(rows)], "doc_id long, text string, k1 int").repartition(4)
+    got = M.drop_near_copies(df)
+    assert got.columns == df.columns
+    left = sorted(((x.doc_id, (x.text or "").strip()) for x in got.collect()), key=repr)
+    assert left == sorted([(3, same), (5, other), (7, twin), (8, "one two"), (None, same), (9, "")], key=repr)
+    found = sorted((tuple(x) for x in M.near_duplicates(df.select("doc_id", "text")).collect()), key=repr)
+    assert found == brute(rows, 5, 80)
+
+
 def test_hot_group_of_equal_sets(spark):
     df = spark.range(4000).selectExpr("id as doc_id", "if(id % 3 = 0, 'one text of some words that many share', concat('t', id, ' u', id, ' v w x', id)) as text")
     got = M.near_duplicates(df).where("not kept").collect()
