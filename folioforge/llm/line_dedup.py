@@ -22,32 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bitmap, in_bitmap, join_hot, materialize
 
-DEPTH, SUPPORT, SHARE, TEXTS, LONG, LEAST = 3, 3, 0.5, 3, 50, 3
+DEPTH, SUPPORT, SHARE, TEXTS, LONG = 3, 3, 0.5, 3, 50
 VARIABLE = "<*>"
-#: Bits of a bitmap: two megabytes, whatever the input.  Where it fills up, more
-#: rows pass it and are sorted out by the joins behind it.
-BITS = 1 << 24
-
-
-def _bitmap(keys: DataFrame) -> DataFrame:
-    """One row with one column, bits: an array of BITS / 64 longs.
-
-    ``keys`` has one long column, key.  Equal words meet as aggregates of at
-    most BITS / 64 rows, which is also all that the last task gathers.
-    """
-    at = F.pmod("key", F.lit(BITS))
-    words = keys.select(F.shiftright(at, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("key", F.lit(64)).cast("int")).alias("bit"))
-    words = words.groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    every = keys.sparkSession.range(BITS // 64).select(F.col("id").alias("word"))
-    dense = every.join(words, "word", "left").select("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
-    return materialize(dense.agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).getField("bits").alias("bits")), "line-bitmap")
-
-
-def _in_bitmap(key: Column) -> Column:
-    word = F.element_at("bits", (F.shiftright(F.pmod(key, F.lit(BITS)), 6) + 1).cast("int"))
-    return F.call_function("shiftright", word, F.pmod(key, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
+#: Scripts written without spaces: there a character is a token.
+UNSPACED = "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -59,95 +39,112 @@ def _masked(text: Column) -> Column:
     and VARIABLE for tokens with digits; line ends stay.
 
     Done on whole texts: what is done after lines are split would be evaluated
-    again in every filter on it.
+    again in every filter on it.  A token is looked at from its beginning only,
+    so the work is linear however long tokens are.
     """
-    odd = text.startswith(" ") | text.endswith(" ")
+    unspaced = (F.octet_length(text) > F.char_length(text)) & text.rlike(f"[{UNSPACED}]")
+    odd = text.startswith(" ") | text.endswith(" ") | unspaced
     for part in ("  ", " \n", "\n ", "\t", "\r", "\f", "\x0b"):
         odd = odd | F.contains(text, F.lit(part))
-    spaced = F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t\r\f\x0B]+", " "), " ?\n ?", "\n"))
+    apart = F.when(unspaced, F.regexp_replace(text, f"([{UNSPACED}])", " $1 ")).otherwise(text)
+    spaced = F.trim(F.regexp_replace(F.regexp_replace(apart, r"[ \t\r\f\x0B]+", " "), " ?\n ?", "\n"))
     clean = F.when(odd, spaced).otherwise(text)
-    return F.when(text.rlike("[0-9]"), F.regexp_replace(clean, r"[^ \n0-9]*[0-9][^ \n]*", VARIABLE)).otherwise(clean)
+    return F.when(text.rlike("[0-9]"), F.regexp_replace(clean, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", VARIABLE)).otherwise(clean)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, line_no, masked (tokens joined by one space), n, leaf."""
     at = docs.select("doc_id", F.unhex(F.md5("text")).alias("text_key"), F.split(_masked(F.col("text")), "\n").alias("lines"))
     at = at.select("doc_id", "text_key", F.posexplode("lines").alias("line_no", "masked"))
-    # a third token, without counting them all
-    at = at.where(F.substring_index("masked", " ", LEAST - 1) != F.col("masked"))
+    # rules of dashes, brackets, numbers alone tell nothing
+    at = at.where(F.col("masked").rlike(r"\p{L}"))
     n = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
     return at.withColumn("n", n).withColumn("leaf", F.xxhash64("n", F.substring_index("masked", " ", DEPTH)))
 
 
 def _templates(lines: DataFrame) -> DataFrame:
-    """line_key, t1, t2 for the lines of leaves in which tokens must be compared.
+    """line_key, t1, t2, n_rows for the lines of leaves in which tokens must be
+    compared.
 
     A leaf with one kind of line, or with fewer than SUPPORT of them in all,
     makes nothing general: there a line is its own template.
     """
-    kinds = lines.groupBy("leaf", "n", "line_key").agg(F.count_distinct("text_key").alias("texts"))
+    kinds = lines.groupBy("leaf", "n", "line_key").agg(F.count_distinct("text_key").alias("texts"), F.count("*").alias("n_rows"))
     kinds = materialize(kinds, "line-kinds")
-    mixed = kinds.groupBy("leaf", "n").agg(F.count("*").alias("kinds"), F.sum("texts").alias("all")).where((F.col("kinds") > 1) & (F.col("all") >= SUPPORT)).select("leaf", "n")
-    kinds = kinds.join(mixed, ["leaf", "n"], "left_semi")
-    words = lines.select("line_key", "masked").join(kinds, "line_key").dropDuplicates(["line_key"])
+    mixed = kinds.groupBy("leaf", "n").agg(F.count("*").alias("kinds"), F.sum("texts").alias("all"), F.count("*").alias("of_leaf")).where((F.col("kinds") > 1) & (F.col("all") >= SUPPORT))
+    mixed = mixed.select("leaf", "n", F.col("of_leaf").alias("n_rows"))
+    kinds = join_hot(kinds.withColumnRenamed("n_rows", "rows_of_line"), materialize(mixed, "line-mixed"), ["leaf", "n"], kinds.count()).drop("n_rows")
+    words = lines.select("line_key", "masked").dropDuplicates(["line_key"]).join(kinds, "line_key")
     # the leading tokens are those of the leaf: constant, unless variable
     head = F.slice(F.split("masked", " "), 1, DEPTH)
     led = F.size(F.filter(head, lambda t: t != VARIABLE))
     tail = F.posexplode_outer(F.slice(F.split("masked", " "), DEPTH + 1, 1 << 30)).alias("place", "token")
-    placed = words.select("leaf", "n", "line_key", "texts", led.alias("led"), tail)
+    placed = words.select("leaf", "n", "line_key", "rows_of_line", "texts", led.alias("led"), tail)
     placed = placed.withColumn("token", F.when(F.coalesce(F.col("token"), F.lit(VARIABLE)) != VARIABLE, F.xxhash64("token")))
     placed = materialize(placed, "line-tokens")
-    constant = placed.where("token is not null").groupBy("leaf", "n", "place", "token").agg(F.sum("texts").alias("having")).where(F.col("having") >= SUPPORT).drop("having")
-    marked = placed.join(constant.withColumn("fixed", F.col("token")), ["leaf", "n", "place", "token"], "left")
+    constant = placed.where("token is not null").groupBy("leaf", "n", "place", "token").agg(F.sum("texts").alias("having"), F.count("*").alias("n_rows")).where(F.col("having") >= SUPPORT).drop("having")
+    constant = materialize(constant.withColumn("fixed", F.col("token")), "line-constants")
+    marked = join_hot(placed, constant, ["leaf", "n", "place", "token"], placed.count(), "left")
     shown = lambda c, salt: F.bit_xor(F.xxhash64("place", F.coalesce(c, F.lit(0).cast("long")), F.lit(salt)))
-    whole = marked.groupBy("line_key", "n", "led").agg(
+    whole = marked.groupBy("line_key", "n", "led", "rows_of_line").agg(
         F.count("fixed").alias("fixed"),
         *(shown(F.col(c), salt).alias(f"{c}{salt}") for c in ("fixed", "token") for salt in (1, 2)),
     )
     general = F.col("fixed") + F.col("led") >= SHARE * F.col("n")
-    return whole.select("line_key", *(F.when(general, F.col(f"fixed{i}")).otherwise(F.col(f"token{i}")).alias(f"t{i}") for i in (1, 2)))
+    return whole.select("line_key", F.col("rows_of_line").alias("n_rows"), *(F.when(general, F.col(f"fixed{i}")).otherwise(F.col(f"token{i}")).alias(f"t{i}") for i in (1, 2)))
+
+
+def _marks(numbers: Column) -> Column:
+    """Bytes, one per line up to the last number: '1' for the numbers, else '0'."""
+    ascending = F.sort_array(numbers)
+    gaps = F.zip_with(ascending, F.concat(F.array(F.lit(-1)), ascending), lambda x, before: F.repeat(F.lit("0"), x - before - 1))
+    return F.concat(F.array_join(gaps, "1"), F.lit("1")).cast("binary")
 
 
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: int = TEXTS, keep_first: bool = True) -> DataFrame:
     """Every document without the lines whose template recurs.
 
     Columns: doc_id, n_lines, n_dropped, text (remaining lines, order kept).
-    Lines end at ``\\n``; lines of fewer than three tokens and blank lines are
-    never dropped.  Null text = empty text, which has one empty line.  Documents
-    with equal texts get equal results.  Ties for the first text cannot occur
-    between different identifiers; rows without one come last.  Empty table:
-    empty result.  With ``keep_first`` off the first text loses its line too.
+    Lines end at ``\\n``; blank lines and lines without a letter outside variable
+    fields (rules, brackets, numbers) are never dropped.  In scripts written
+    without spaces every character is a token.  Null text = empty text, which has
+    one empty line.  Documents with equal texts get equal results.  Ties for the
+    first text cannot occur between different identifiers; rows without one come
+    last.  Empty table: empty result.  With ``keep_first`` off the first text
+    loses its line too.
     """
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     lines = _lines(picked)
     text_hash = F.xxhash64("text_key")
-    shared = lines.groupBy("leaf").agg(F.min(text_hash).alias("p"), F.max(text_hash).alias("q")).where("p < q").select("leaf")
+    shared = lines.groupBy("leaf").agg(F.min(text_hash).alias("p"), F.max(text_hash).alias("q"), F.count("*").alias("n_rows")).where("p < q").select("leaf", "n_rows")
     shared = materialize(shared, "line-leaves")
-    may = lines.join(F.broadcast(_bitmap(shared.select(F.col("leaf").alias("key")))), _in_bitmap(F.col("leaf")), "left_semi")
-    lines = may.join(shared, "leaf", "left_semi").withColumn("line_key", F.unhex(F.md5("masked")))
+    n_leaves, n_lines = shared.agg(F.count("*"), F.coalesce(F.sum("n_rows"), F.lit(0))).first()
+    may = lines.join(F.broadcast(bitmap(shared.select(F.col("leaf").alias("key")), n_leaves, "line-bitmap")), in_bitmap(F.col("leaf")), "left_semi")
+    lines = join_hot(may, shared, ["leaf"], n_lines).drop("n_rows").withColumn("line_key", F.unhex(F.md5("masked")))
     lines = materialize(lines, "line-shared")
     own = [F.coalesce(f"t{i}", F.xxhash64("line_key", F.lit(i))).alias(f"t{i}") for i in (1, 2)]
-    placed = materialize(lines.drop("masked").join(_templates(lines), "line_key", "left").select("leaf", "n", "text_key", "doc_id", "line_no", *own), "line-templates")
+    placed = join_hot(lines.drop("masked"), materialize(_templates(lines), "line-kinds"), ["line_key"], n_lines, "left")
+    placed = materialize(placed.select("leaf", "n", "text_key", "doc_id", "line_no", *own), "line-templates")
     key = ["leaf", "n", "t1", "t2"]
     by_id = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
     recurring = (
         placed.groupBy(*key)
-        .agg(F.count_distinct("text_key").alias("having"), F.min_by("text_key", by_id).alias("first_key"))
+        .agg(F.count_distinct("text_key").alias("having"), F.min_by("text_key", by_id).alias("first_key"), F.count("*").alias("n_rows"))
         .where((F.col("having") >= texts) | ((F.col("having") >= 2) & (F.col("n") >= LONG)))
     )
-    gone = placed.join(recurring.select(*key, "first_key"), key)
+    gone = join_hot(placed, materialize(recurring.select(*key, "first_key", "n_rows"), "line-recurring"), key, n_lines)
     if keep_first:
         gone = gone.where("text_key <> first_key")
-    # a text's own line numbers: bounded by the text
-    gone = materialize(gone.groupBy("text_key").agg(F.collect_set("line_no").alias("gone")), "line-gone")
-    bits = F.broadcast(_bitmap(gone.select(text_hash.alias("key"))))
-    keyed, hit = _keyed(picked), _in_bitmap(text_hash)
-    touched = keyed.join(bits, hit, "left_semi").join(gone, "text_key", "left")
-    whole = keyed.join(bits, hit, "left_anti").withColumn("gone", F.lit(None).cast("array<int>"))
-    joined = touched.select("doc_id", "text", "gone").union(whole.select("doc_id", "text", "gone"))
+    # a text's own line numbers: bounded by the text; n_rows: the texts equal to it
+    gone = gone.groupBy("text_key", "line_no").agg(F.count("*").alias("n")).groupBy("text_key").agg(F.collect_list("line_no").alias("numbers"), F.max("n").alias("n_rows"))
+    gone = materialize(gone.select("text_key", F.size("numbers").cast("long").alias("n_gone"), _marks(F.col("numbers")).alias("marks"), "n_rows"), "line-gone")
+    bits = F.broadcast(bitmap(gone.select(text_hash.alias("key")), gone.count(), "line-bitmap"))
+    keyed, hit = _keyed(picked), in_bitmap(text_hash)
+    touched = join_hot(keyed.join(bits, hit, "left_semi"), gone, ["text_key"], picked.count(), "left")
+    whole = keyed.join(bits, hit, "left_anti").select("*", F.lit(None).cast("long").alias("n_gone"), F.lit(None).cast("binary").alias("marks"))
+    joined = touched.select("doc_id", "text", "n_gone", "marks").union(whole.select("doc_id", "text", "n_gone", "marks"))
     all_lines = F.split("text", "\n")
-    none = F.coalesce("gone", F.array().cast("array<int>"))
-    left = F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains(none, i)), "\n")
+    left = F.array_join(F.filter(all_lines, lambda x, i: F.substring("marks", i + 1, F.lit(1)) != F.lit(b"1")), "\n")
     return joined.select(
-        "doc_id", F.size(all_lines).cast("long").alias("n_lines"), F.size(none).cast("long").alias("n_dropped"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text")
+        "doc_id", F.size(all_lines).cast("long").alias("n_lines"), F.coalesce("n_gone", F.lit(0).cast("long")).alias("n_dropped"), F.when(F.col("marks").isNull(), F.col("text")).otherwise(left).alias("text")
     )

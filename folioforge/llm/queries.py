@@ -76,11 +76,12 @@ def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = r"""
 WITH l AS (
   SELECT DISTINCT doc_id, text, i - 1 AS line_no,
-         regexp_replace(trim(regexp_replace(string_split(text, chr(10))[i], '[ \t\r\f\v]+', ' ', 'g')), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS masked
+         regexp_replace(trim(regexp_replace(regexp_replace(string_split(text, chr(10))[i], '([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])', ' \1 ', 'g'),
+           '[ \t\r\f\v]+', ' ', 'g')), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS masked
   FROM (SELECT doc_id, coalesce(text, '') AS text, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents)),
 t AS (SELECT *, string_split(masked, ' ') AS tok FROM l),
 lines AS (SELECT doc_id, text, line_no, masked, len(tok) AS n, len(tok) || ' ' || array_to_string(tok[1:3], ' ') AS leaf
-          FROM t WHERE len(tok) >= 3),
+          FROM t WHERE regexp_matches(masked, '\p{L}')),
 shared AS (SELECT leaf FROM lines GROUP BY leaf HAVING count(DISTINCT text) > 1),
 kinds AS (SELECT leaf, masked, n, count(DISTINCT text) AS texts FROM lines SEMI JOIN shared USING (leaf) GROUP BY ALL),
 placed AS (SELECT leaf, masked, n, texts, place, string_split(masked, ' ')[place] AS token
