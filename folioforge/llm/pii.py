@@ -16,8 +16,9 @@ removed.
 A text has a term if the term stands outside the text's base spans, in the
 entity's texts and in the corpus alike.
 
-Texts that are equal count once, so copies of one text make no evidence, and a
-pair counts only with ``SUPPORT`` different texts behind it.
+Terms are all words, short ones and numbers included; common ones never reach the
+bound.  Texts that are equal count once, so copies of one text make no evidence,
+and a pair counts only with ``SUPPORT`` different texts behind it.
 """
 
 from __future__ import annotations
@@ -25,12 +26,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_slices
+from .common import bitmap, join_hot, materialize, text_slices
 
 KINDS = ("email", "ip", "card", "phone")
 GENERALISE, REMOVE, SUPPORT = 0.8, 0.95, 3
@@ -43,7 +45,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 # shorter still
 CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){11,}+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-TERM = re.compile(r"[^\W\d_]{4,}")
+TERM = re.compile(r"[^\W_]+")
 
 
 def _luhn(digits: str) -> bool:
@@ -91,7 +93,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def terms_of(text: str, spans: list[tuple[int, int, int]]) -> dict[str, list[tuple[int, int]]]:
-    """Lower-cased terms (four letters or more) outside the spans, and where they are."""
+    """Lower-cased terms outside the spans, and where they are."""
     out: dict[str, list[tuple[int, int]]] = {}
     k, reach = 0, 0
     for m in TERM.finditer(text):
@@ -136,10 +138,13 @@ def _terms(rows: DataFrame) -> DataFrame:
     """text_key, term: the distinct terms of each text that holds entities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in text_slices(batches, 4):
+            keys, terms = [], []
             for key, starts, kinds, ends, text in zip(*(c.to_pylist() for c in b.columns)):
-                terms = sorted(terms_of(text, list(zip(starts, kinds, ends))))
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(terms), pa.binary()), pa.array(terms, pa.string())], ["text_key", "term"])
+                own = sorted(terms_of(text, list(zip(starts, kinds, ends))))
+                keys += [key] * len(own)
+                terms += own
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(terms, pa.string())], ["text_key", "term"])
 
     return rows.select("text_key", "starts", "kinds", "ends", "text").mapInArrow(run, "text_key binary, term string")
 
@@ -148,17 +153,18 @@ def _term_counts(docs: DataFrame, wanted: DataFrame, found: DataFrame) -> DataFr
     """term, texts: in how many different texts of the corpus each term occurs
     outside the base spans, as in ``terms_of``.
 
-    Every text is read.  Two filters of fixed size tell which terms are wanted
+    Every text is read.  Two bitmaps of bounded size tell which terms are wanted
     and which texts have copies.  Terms of texts without copies are counted where
     they are read and leave a task as one row per term; only for texts with
-    copies do (term, text) pairs meet to be counted once.  What a filter lets
+    copies do (term, text) pairs meet to be counted once.  What a bitmap lets
     through by chance costs a row more and changes no count: the join with
     ``wanted`` drops other terms, and a lone text is a pair of its own.
     """
     spark = docs.sparkSession
-    terms_held = spark.sparkContext.broadcast(_filter(wanted.select(F.encode("term", "utf-8").alias("key"))))
-    copied = found.groupBy("text_key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("text_key").alias("key"))
-    texts_held = spark.sparkContext.broadcast(_filter(copied))
+    wanted = materialize(wanted, "pii-wanted")
+    terms_held = spark.sparkContext.broadcast(_bits(wanted.select(F.xxhash64("term").alias("key")), wanted.count()))
+    copied = materialize(found.groupBy("text_key").agg(F.count("*").alias("n")).where("n > 1").select(F.xxhash64("text_key").alias("key")), "pii-copied")
+    texts_held = spark.sparkContext.broadcast(_bits(copied, copied.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted_terms, copies = terms_held.value, texts_held.value
@@ -176,14 +182,14 @@ def _term_counts(docs: DataFrame, wanted: DataFrame, found: DataFrame) -> DataFr
                 if not text:
                     continue
                 key = xxhash.xxh3_128_digest(text.encode())
-                alone = not _passes(copies, key)
+                alone = not passes(copies, key)
                 spans = base_spans(text)
                 for t in terms_of(text, spans) if spans else set(map(str.lower, TERM.findall(text))):
                     ok = known.get(t)
                     if ok is None:
                         if len(known) > 100_000:
                             known.clear()
-                        ok = known[t] = _passes(wanted_terms, t.encode())
+                        ok = known[t] = passes(wanted_terms, t.encode())
                     if not ok:
                         continue
                     if alone:
@@ -197,39 +203,19 @@ def _term_counts(docs: DataFrame, wanted: DataFrame, found: DataFrame) -> DataFr
         yield flush()
 
     hits = materialize(docs.mapInArrow(run, "term string, text_key binary, n long"), "pii-term-hits")
-    pairs = hits.where("text_key is not null").join(wanted, "term", "left_semi").distinct()
-    counts = hits.where("text_key is null").join(wanted, "term", "left_semi").select("term", "n")
-    return counts.union(pairs.select("term", "n")).groupBy("term").agg(F.sum("n").alias("texts"))
+    pairs = hits.where("text_key is not null").distinct().select("term", "n")
+    return hits.where("text_key is null").select("term", "n").union(pairs).groupBy("term").agg(F.sum("n").alias("texts")).join(wanted, "term", "left_semi")
 
 
-FILTER_BITS = 1 << 24
+def _bits(keys: DataFrame, n_keys: int) -> np.ndarray:
+    """The longs of a bitmap (at most four megabytes), for workers."""
+    return np.array(bitmap(keys, n_keys, "pii-bitmap").first().bits, np.int64)
 
 
-def _filter(keys: DataFrame) -> bytes:
-    """A Bloom filter of fixed size over ``keys`` (one binary column), made on
-    the executors and united on the driver."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = bytearray(FILTER_BITS // 8)
-        for b in batches:
-            for k in b.column(0).to_pylist():
-                for p in _places(k):
-                    mask[p >> 3] |= 1 << (p & 7)
-        yield pa.RecordBatch.from_arrays([pa.array([bytes(mask)], pa.binary())], ["mask"])
-
-    out = 0
-    for row in keys.coalesce(8).mapInArrow(run, "mask binary").toLocalIterator():
-        out |= int.from_bytes(bytes(row.mask), "little")
-    return out.to_bytes(FILTER_BITS // 8, "little")
-
-
-def _places(key: bytes) -> tuple[int, int]:
-    h = xxhash.xxh3_64_intdigest(key)
-    return h % FILTER_BITS, (h >> 32) % FILTER_BITS
-
-
-def _passes(mask: bytes, key: bytes) -> bool:
-    return all(mask[p >> 3] >> (p & 7) & 1 for p in _places(key))
+def passes(bits: np.ndarray, key: bytes) -> bool:
+    """Whether the bitmap may hold the hash that Spark has of ``key``."""
+    h = xxhash.xxh64_intdigest(key, 42)
+    return bool(int(bits[(h & (64 * len(bits) - 1)) >> 6]) >> (h & 63) & 1)
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, generalise: float = GENERALISE, support: int = SUPPORT) -> DataFrame:
@@ -247,24 +233,35 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, generalise: float = GENE
     terms = materialize(_terms(rows), "pii-text-terms")
     n_texts = found.agg(F.count_distinct("text_key").alias("n_texts"))
     n = max(2, n_texts.first()[0])
-    pairs = held.join(terms, "text_key").groupBy("entity", "n_entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
     # a term occurs in at least the texts looked at here, which bounds its
-    # disclosure from above; common words need not be counted in the corpus
-    seen = terms.groupBy("term").agg(F.count("*").alias("texts"))
-    pairs = pairs.join(seen, "term").where(_disclosure(n) >= generalise).drop("texts")
+    # disclosure from above; so common words and lone ones meet no entity, and
+    # need not be counted in the corpus
+    most = materialize(held.where(F.col("n_entity") < n).agg(F.max("n_entity").alias("n_entity")), "pii-most")
+    seen = terms.groupBy("term").agg(F.count("*").alias("texts")).where(F.col("texts") >= support)
+    seen = seen.join(F.broadcast(most), _bound(n) >= generalise).select("term", "texts", F.col("texts").alias("n_rows"))
+    terms = join_hot(terms, materialize(seen, "pii-seen"), ["term"], terms.count()).drop("n_rows")
+    pairs = held.join(terms, "text_key").where(_bound(n) >= generalise).groupBy("entity", "n_entity", "term", "texts").agg(F.count("*").alias("n_both"))
+    pairs = pairs.where((F.col("n_both") >= support) & (_disclosure(n) >= generalise)).drop("texts")
     pairs = materialize(pairs, "pii-pairs")
     counts = _term_counts(docs, pairs.select("term").distinct(), found)
     scored = pairs.join(counts, "term").withColumn("disclosure", _disclosure(n))
     return scored.where(F.col("disclosure") >= generalise).select("entity", "term", "disclosure")
 
 
-def _disclosure(n: int):
+def _disclosure(n: int, both: Column | None = None) -> Column:
     """Of ``n`` texts, from n_entity, n_both and texts (those with the term)."""
+    both = F.col("n_both") if both is None else both
     info = F.log(n / F.col("n_entity"))
-    ratio = F.log(F.least(F.lit(1.0), F.col("n_both") / F.col("texts")) * n / F.col("n_entity"))
+    ratio = F.log(F.least(F.lit(1.0), both / F.col("texts")) * n / F.col("n_entity"))
     return F.when(info > 0, ratio / info).otherwise(0.0)
 
 
+def _bound(n: int) -> Column:
+    """The most a term in at least ``texts`` texts can disclose of an entity: if
+    all texts of the rarer of the two have both."""
+    return _disclosure(n, F.least("n_entity", "texts")) + 1e-9
+
+
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 OUT = f"doc_id long, spans {SPANS}, sanitised string"
 
@@ -274,7 +271,7 @@ def _apply(rows: DataFrame, remove: float) -> DataFrame:
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in text_slices(batches, 4):
             ids, all_spans, texts = [], [], []
             for doc_id, starts, kinds, ends, text, terms in zip(*(c.to_pylist() for c in b.columns)):
                 spans = [(a, k, e, KINDS[k], MASK[KINDS[k]]) for a, k, e in zip(starts, kinds, ends)]

@@ -47,6 +47,7 @@ def pii_digest(docs: DataFrame) -> DataFrame:
         *(count_kind(F.col("spans"), k).alias(f"n_{k}") for k in KINDS),
         F.sha2(span_digest(F.col("spans"), KINDS), 256).alias("base_sha256"),
         span_digest(F.col("spans")).alias("spans"),
+        (F.size("spans") > 0).alias("has_personal_data"),
     )
 
 
