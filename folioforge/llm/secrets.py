@@ -9,8 +9,10 @@ are verified with the rule itself.  A rule whose expression guarantees no
 trigram (a long run of hexadecimal digits, say) has the query TRUE and scans the
 whole block.
 
-A block is what a task holds at a time, so building, querying and verifying is
-one pass without a shuffle and with bounded memory.
+A block is a slice of a task's rows with a few megabytes of text, so building,
+querying and verifying is one pass without a shuffle and with bounded memory.  The
+trigrams of a block are looked up once for all rules together; more rules make
+the table of wanted trigrams larger, not the number of passes.
 """
 
 from __future__ import annotations
@@ -25,9 +27,12 @@ from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_slices
+
 # Boolean queries: True, False, a trigram, or ("and" | "or", frozenset of queries)
 
 MAX_EXACT = 24
@@ -198,20 +203,34 @@ RULES = BASE_RULES + MORE_RULES
 class Scanner:
     def __init__(self, rules: tuple[Rule, ...]):
         self.rules = rules
-        self.queries = [trigram_query(r.pattern, r.flags) for r in rules]
-        self.vocabulary = sorted(set().union(*(trigrams_of(q) for q in self.queries)))
+        # letters outside ASCII may fold to ASCII ones; such a rule scans fully
+        self.queries = [True if r.flags & re.IGNORECASE and not r.flags & re.ASCII else trigram_query(r.pattern, r.flags) for r in rules]
+        self.vocabulary = sorted(g for g in set().union(*(trigrams_of(q) for q in self.queries)) if g.isascii())
+        self.codes = np.array([int.from_bytes(g.encode(), "big") for g in self.vocabulary], np.uint32)
+        self.wanted = np.zeros(1 << 24, bool)
+        self.wanted[self.codes] = True
         # a run that is too short is dropped in the expression already, which
         # keeps every other match where it was
         self.compiled = [re.compile(r"(?<![0-9a-f])[0-9a-f]{%d,}+" % r.least if r.kind == "hex" else r.pattern, r.flags) for r in rules]
 
     def index(self, texts: list[str]) -> dict[str, np.ndarray]:
-        """trigram -> ascending numbers of the texts that hold it in either case.
-
-        A few characters outside ASCII fold to ASCII letters; ``lower`` maps
-        them too, which only adds candidates.
-        """
-        low = [t.lower() for t in texts]
-        return {g: np.fromiter((n for n, t in enumerate(low) if g in t), dtype=np.int64) for g in self.vocabulary}
+        """trigram -> ascending numbers of the texts that hold it in either case,
+        from one pass over the trigrams of all texts."""
+        parts = [t.encode("utf-8", "surrogatepass") for t in texts]
+        raw = np.frombuffer(b"\0\0".join([*parts, b""]).lower(), np.uint8)
+        if not len(self.codes) or len(raw) < 3:
+            return {g: np.empty(0, np.int64) for g in self.vocabulary}
+        code = raw[:-2].astype(np.uint32)
+        for ahead in (raw[1:-1], raw[2:]):
+            code <<= 8
+            code |= ahead
+        at = np.flatnonzero(self.wanted[code])
+        starts = np.cumsum([0, *(len(p) + 2 for p in parts)])
+        text = np.searchsorted(starts, at, side="right") - 1
+        pair = np.unique(np.searchsorted(self.codes, code[at]) * len(texts) + text)
+        trigram, text = np.divmod(pair, len(texts))
+        ends = np.searchsorted(trigram, np.arange(len(self.codes) + 1))
+        return {g: text[ends[i] : ends[i + 1]] for i, g in enumerate(self.vocabulary)}
 
     def candidates(self, query, postings: dict[str, np.ndarray], n: int) -> np.ndarray:
         if query is True:
@@ -219,7 +238,7 @@ class Scanner:
         if query is False:
             return np.empty(0, np.int64)
         if isinstance(query, str):
-            return postings[query]
+            return postings[query] if query in postings else np.arange(n)
         lists = sorted((self.candidates(q, postings, n) for q in query[1]), key=len)
         if query[0] == "or":
             return np.unique(np.concatenate(lists))
@@ -245,17 +264,23 @@ def scanner(rules: tuple[Rule, ...]) -> Scanner:
 
 
 def posting_lists(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The index itself: block, trigram, postings array<long> (doc_ids of a block)."""
+    """The index itself: block, trigram, postings array<long> (doc_ids of a block).
+
+    A block is numbered by its partition and its place in it; doc_ids are in the
+    order of the block's rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = scanner(rules)
-        for b in batches:
+        block = TaskContext.get().partitionId() << 32
+        for b in text_slices(batches, 1):
             ids = b.column(0).to_pylist()
-            for g, p in s.index([t or "" for t in b.column(1).to_pylist()]).items():
-                if len(p):
-                    yield pa.RecordBatch.from_pylist([{"trigram": g, "postings": [ids[n] for n in p]}], pa.schema([("trigram", pa.string()), ("postings", pa.list_(pa.int64()))]))
+            held = [(g, [ids[n] for n in p]) for g, p in s.index([t or "" for t in b.column(1).to_pylist()]).items() if len(p)]
+            cols = [pa.array([block] * len(held), pa.int64()), pa.array([g for g, _ in held], pa.string()), pa.array([p for _, p in held], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["block", "trigram", "postings"])
+            block += 1
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "trigram string, postings array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "block long, trigram string, postings array<long>")
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", mask: str | None = "[{kind}]", with_text: bool = True) -> DataFrame:
@@ -274,7 +299,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = scanner(rules)
-        for b in batches:
+        for b in text_slices(batches, 1):
             texts = [t or "" for t in b.column(1).to_pylist()]
             found = s.scan(texts)
             spans = [[{"kind": rules[k].kind, "start": a, "end": e} for a, k, e in f] for f in found]

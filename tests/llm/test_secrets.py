@@ -2,7 +2,7 @@ import random
 import re
 
 from folioforge.llm.queries import secrets_digest
-from folioforge.llm.secrets import BASE_RULES, RULES, Scanner, find_secrets, posting_lists, sha256_hex, trigram_query, trigrams_of
+from folioforge.llm.secrets import BASE_RULES, RULES, Rule, Scanner, find_secrets, posting_lists, sha256_hex, trigram_query, trigrams_of
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 
@@ -58,4 +58,18 @@ def test_frame(spark):
     assert d[0].n_assign == 1 and d[0].base_sha256 == sha256_hex("assign:2:20") and d[0].spans == "assign:2:20"
     assert d[2].base_sha256 == sha256_hex("") and d[2].spans == ""
     assert find_secrets(df.limit(0)).count() == 0
-    assert {r.trigram for r in posting_lists(df).collect()} == {"tok", "oke", "ken"}
+    lists = posting_lists(df.coalesce(1)).collect()
+    assert {r.trigram for r in lists} == {"tok", "oke", "ken"} and {r.block for r in lists} == {0} and all(r.postings == [1, 1] for r in lists)
+
+
+def test_index_equals_search():
+    s, all_texts = Scanner(RULES), texts()
+    low = [re.sub("[A-Z]", lambda m: m[0].lower(), t) for t in all_texts]
+    got = s.index(all_texts)
+    assert set(got) == set(s.vocabulary)
+    for g, p in got.items():
+        assert p.tolist() == [n for n, t in enumerate(low) if g in t], g
+    assert all(len(p) == 0 for p in s.index(["", "to", "k"]).values()) and all(len(p) == 0 for p in s.index([]).values())
+    # rules over other letters, or folding ones, are scanned fully
+    odd = Scanner((Rule("a", "stra\u00dfe[0-9]+", 0), Rule("b", "kis[0-9]+", re.IGNORECASE)))
+    assert [len(x) for x in odd.scan(["stra\u00dfe1", "\u212ai\u017f1", "x"])] == [1, 1, 0]
