@@ -3,8 +3,9 @@
 Ordinary text falls into pieces that are encoded independently, so a piece is
 encoded once and remembered.  A piece that the pre-tokenizer does not split and
 that is longer than ``leaf`` code points (a run of letters, say) is cut into
-leaves, all leaves are encoded in one batch, and neighbours are joined pairwise
-up a tree.  A join re-encodes a window around the seam and accepts it only when
+leaves, the leaves are encoded in parallel (by threads: the library gives up the
+interpreter's lock while it encodes), and neighbours are joined pairwise up a
+tree, the joins of a level side by side.  A join re-encodes a window around the seam and accepts it only when
 the window starts with a token of the left side and ends with a token of the
 right side; otherwise the window grows.
 
@@ -20,6 +21,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import cache, cached_property
 
 import pyarrow as pa
@@ -30,6 +32,8 @@ from .common import text_slices
 
 LEAF = 2048
 WINDOW = 8
+#: Threads over the leaves of one long piece, and leaves from which they are used.
+THREADS, MANY_LEAVES = 4, 8
 #: Pieces remembered by one worker; beyond that it starts anew.
 REMEMBERED = 200_000
 
@@ -150,13 +154,23 @@ class BpeCodec:
         return [text[a:b] for _, (a, b) in self.whole.pre_tokenizer.pre_tokenize_str(text)]
 
     def encode_unsplit(self, piece: str) -> list[int]:
-        """Tree concatenation over one pre-token."""
+        """Tree concatenation over one pre-token; its parts in parallel."""
         leaves = [piece[i : i + self.leaf] for i in range(0, len(piece), self.leaf)]
-        level = [e.ids for e in self.raw.encode_batch_fast(leaves, add_special_tokens=False)]
+        if len(leaves) < MANY_LEAVES:
+            return self._tree(leaves, map)
+        with ThreadPoolExecutor(THREADS) as pool:
+            return self._tree(leaves, pool.map)
+
+    def _tree(self, leaves: list[str], each) -> list[int]:
+        level = list(each(self._leaf, leaves))
         while len(level) > 1:
-            level = [self.join(*level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+            joined = list(each(self.join, level[::2], level[1::2]))
+            level = joined + level[2 * len(joined) :]
         return list(level[0]) if level else []
 
+    def _leaf(self, text: str) -> list[int]:
+        return self.raw.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of both texts together, given the encoding of each."""
         if not left or not right:

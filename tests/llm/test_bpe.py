@@ -1,5 +1,6 @@
 import hashlib
 import random
+import threading
 
 import pytest
 from tokenizers import Tokenizer
@@ -37,6 +38,21 @@ def test_equals_the_library(library, leaf):
         assert bpe.decode(ids) == library.decode(want, skip_special_tokens=False)
 
 
+def test_leaves_are_encoded_in_parallel(library, monkeypatch):
+    """Two leaves are inside the library at the same time, at every level of a join."""
+    bpe = BpeCodec(default_vocabulary(), 64)
+    text = "".join(random.Random(7).choices("abcdefgh\u00fc", k=64 * 50))
+    together = threading.Barrier(2, timeout=20)
+    leaf = bpe._leaf
+
+    def waiting(x):
+        together.wait()
+        return leaf(x)
+
+    monkeypatch.setattr(bpe, "_leaf", waiting)
+    assert bpe.encode_unsplit(text) == library.encode(text, add_special_tokens=False).ids
+
+
 def test_decoding_broken_sequences(library):
     bpe = BpeCodec(default_vocabulary())
     r = random.Random(1)
