@@ -14,6 +14,9 @@ that is longer and the question has no shingle of five words), are indexed too:
 one more than may be missing.  A document that is verified holds one of them,
 wherever its parts are; with the retrieved units no item is lost.
 
+An item of fewer than five words is one shingle: it must occur as it stands, all
+its words in a row (so a one-word item is in every document with that word).
+
 Most passages hold nothing.  Per unit the commonest words, up to half of THETA,
 are set aside; a passage can reach THETA only if the other (essential) words add
 up to the rest.  That bound is computed for whole batches at a time, and only
@@ -28,10 +31,11 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, text_slices
@@ -45,6 +49,8 @@ FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 TABLE_BITS = 20
 #: Text of one shard of the index; a larger benchmark is searched in several passes.
 SHARD_BYTES = 8 << 20
+#: Shards that are broadcast together and searched in one pass over the documents.
+AT_ONCE = 4
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -326,7 +332,7 @@ def cut_units(words: list[str]) -> list[list[str]]:
     return [words[i : i + size] for i in range(0, len(words), size)]
 
 
-def build_shards(items: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[Index]:
+def build_shards(items: DataFrame, shard_bytes: int = SHARD_BYTES) -> Iterator[Index]:
     """Indexes of at most about ``shard_bytes`` of text each, with common statistics.
 
     A benchmark is gathered one shard at a time.  Repeated items are separate
@@ -336,7 +342,8 @@ def build_shards(items: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[Index
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(size / shard_bytes))
     if n == 1:
-        return [Index(sorted(map(tuple, rows.collect()), key=repr))]
+        yield Index(sorted(map(tuple, rows.collect()), key=repr))
+        return
     shard = lambda i: sorted(map(tuple, rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()), key=repr)
     df: Counter = Counter()
     units = words = 0
@@ -345,7 +352,8 @@ def build_shards(items: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[Index
             for u in cut_units(words_of(text)):
                 df.update(set(u))
                 units, words = units + 1, words + len(u)
-    return [Index(shard(i), df, units, words / max(1, units)) for i in range(n)]
+    for i in range(n):
+        yield Index(shard(i), df, units, words / max(1, units))
 
 
 PAIRS = "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
@@ -356,13 +364,12 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, shard_bytes: int = SHA
     overlap, question_overlap, answer_overlap (null without an answer line)."""
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
-    for index in build_shards(items, shard_bytes):
-        held = docs.sparkSession.sparkContext.broadcast(index)
+    for held in _broadcast(docs.sparkSession, items, shard_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for b in text_slices(batches, "text", 1 << 20):
-                ids = b.column("doc_id").to_pylist()
-                rows = [(i, held.value.items[k].item_id, *v) for i, found in zip(ids, held.value.search(b.column("text").to_pylist())) for k, v in sorted(found.items())]
+                ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
+                rows = [(i, index.items[k].item_id, *v) for index in held.value for i, found in zip(ids, index.search(texts)) for k, v in sorted(found.items())]
                 kinds = [pa.int64()] * 2 + [pa.float64()] * 4
                 cols = list(zip(*rows)) or [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], [f.split()[0] for f in PAIRS.split(", ")])
@@ -372,6 +379,12 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, shard_bytes: int = SHA
     return out
 
 
+def _broadcast(spark: SparkSession, items: DataFrame, shard_bytes: int) -> Iterator:
+    """Broadcasts of up to AT_ONCE indexes each."""
+    for shards in batched(build_shards(items, shard_bytes), AT_ONCE):
+        yield spark.sparkContext.broadcast(shards)
+
+
 def flag_contaminated(docs: DataFrame, items: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per document: doc_id, contaminated, item_ids (ascending), max_score.
 
@@ -391,13 +404,16 @@ def flag_contaminated(docs: DataFrame, items: DataFrame, shard_bytes: int = SHAR
 def drop_contaminated(docs: DataFrame, items: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``docs`` without the documents that hold a test item; columns unchanged.
     Rows are judged where they are; nothing is shuffled."""
-    for index in build_shards(items, shard_bytes):
-        held = docs.sparkSession.sparkContext.broadcast(index)
+    for held in _broadcast(docs.sparkSession, items, shard_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for b in text_slices(batches, "text", 1 << 20):
-                found = held.value.search(b.column(b.schema.get_field_index("text")).to_pylist())
-                yield b.filter(pa.array([not f for f in found], pa.bool_()))
+                texts = b.column(b.schema.get_field_index("text")).to_pylist()
+                kept = np.ones(len(texts), bool)
+                for index in held.value:
+                    at = np.flatnonzero(kept)
+                    kept[at] = [not f for f in index.search([texts[i] for i in at.tolist()])]
+                yield b.filter(pa.array(kept))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
