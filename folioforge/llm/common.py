@@ -104,16 +104,18 @@ def join_hot(rows: DataFrame, side: DataFrame, keys: list[str], total: int, how:
     """``rows`` joined with ``side`` on ``keys``, hot keys without a shuffle.
 
     ``side`` has one row per key and the column n_rows: how many of the ``total``
-    rows have the key (more is allowed).  The rows of hot keys stay where they
-    are and meet the fewer than HOT entries of ``side`` as a broadcast; all
-    others are joined by a shuffle, where no key has more than its share.
-    ``how`` is inner or left; n_rows is part of the result.
+    rows have the key (more is allowed).  Fewer than HOT keys can be hot, so their
+    hashes are gathered.  Rows with such a hash stay where they are and meet
+    their entries of ``side`` as a broadcast; all others are joined by a shuffle,
+    where no key has more than its share.  ``how`` is inner or left; n_rows is
+    part of the result.
     """
-    is_hot = F.col("n_rows") * HOT > max(total, HOT)
-    hot, cold = side.where(is_hot), side.where(~is_hot)
-    found = rows.join(F.broadcast(hot), keys)
-    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
-    return found.unionByName(rest)
+    hashed = F.xxhash64(*keys)
+    found = side.where(F.col("n_rows") * HOT > max(total, HOT)).select(hashed.alias("h")).distinct().collect()
+    if not found:
+        return rows.join(side, keys, how)
+    hot = hashed.isin([x.h for x in found])
+    return rows.where(hot).join(F.broadcast(side.where(hot)), keys, how).unionByName(rows.where(~hot).join(side.where(~hot), keys, how))
 
 
 # bitmaps --------------------------------------------------------------------

@@ -11,7 +11,7 @@ from .common import join_hot, materialize
 def _least(edges: DataFrame, total: int) -> DataFrame:
     """edges (u, v) with m: the least of u and its neighbours."""
     m = edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n_rows"))
-    return join_hot(edges, m, ["u"], total)
+    return join_hot(edges, materialize(m, "components-least"), ["u"], total)
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:

@@ -47,7 +47,7 @@ PERMS, BITS, ROWS, BANDS = 128, 2, 3, 24
 LONGS = PERMS * BITS // 64
 SLACK = 5.0
 #: Members and shingles of a block in step 4, and members a centre meets in one task.
-BLOCK_ROWS, BLOCK_SHINGLES, CHUNK = 1000, 1_000_000, 256
+BLOCK_ROWS, BLOCK_SHINGLES, CHUNK = 500, 500_000, 256
 #: Members beyond which a bucket is not compared in blocks; counters of step 5.
 GIANT, COUNTERS = 8000, 1 << 20
 #: In place of a band key whose bucket is left out.
@@ -245,7 +245,7 @@ def _in_blocks(members: DataFrame) -> DataFrame:
     """Deal the members of each bucket into blocks and every pair of blocks to
     a task; adds lo, hi (the blocks) and own (the member's block)."""
     size = members.groupBy("bkey").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"), F.count("*").alias("n_rows"))
-    dealt = join_hot(members, size, ["bkey"], members.count()).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("parts")).cast("int"))
+    dealt = join_hot(members, materialize(size, "minhash-sizes"), ["bkey"], members.count()).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     return dealt.select("*", other).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other", "parts", "n_rows")
 
