@@ -11,8 +11,12 @@ Reading.  Each archive is walked member by member.  A record is accepted if its
 member inflates with the right checksum, the version line and headers parse, the
 block has the stated length, and the stated block digest is the block's.  After a
 failed check the reader searches for the next place where a member (or, in a
-plain archive, a version line) begins a valid record, goes on from there, and
-logs the bytes in between as a quarantined gap.
+plain archive, a version line) begins a record, goes on from there, and logs the
+bytes in between as a quarantined gap.  A place counts as a member only if its
+first bytes inflate to a version line, so bytes that look like one cost little.
+
+An archive is read whole by one task, so it must be smaller than the two gigabytes
+that Spark's reader of binary files takes; the writer keeps its own far below.
 """
 
 from __future__ import annotations
@@ -27,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch
+from .common import bitmap, in_bitmap, join_hot, materialize, scratch, text_slices
 
 LEAST_REVISIT = 1000
+#: Payload bytes that an archive should hold about, and inflated bytes a member may have.
+ARCHIVE_BYTES, MEMBER_BYTES = 512 << 20, 1 << 30
 MEMBER = b"\x1f\x8b\x08"
-VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+VERSION = re.compile(rb"WARC/(?:0\.1[78]|1\.[01])\r\n")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 STAMP = datetime(2000, 1, 1, tzinfo=UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 ID = re.compile(r"<urn:page:(-?\d*)>")
@@ -81,39 +87,53 @@ def _gzip(data: bytes, level: int) -> bytes:
 # writing --------------------------------------------------------------------
 
 
-def plan_records(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
+def _payloads(pages: DataFrame) -> DataFrame:
+    picked = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    return picked.withColumn("sha1", F.sha1(F.encode("html", "utf-8"))).withColumn("n_bytes", F.octet_length("html").cast("long"))
+
+
+def plan_records(pages: DataFrame, keys: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """page_id, url, html, sha1, n_bytes, refers_to: what each record will be.
 
-    ``refers_to`` is set on rows whose payload of at least ``least`` bytes also
-    belongs to a row with a larger page_id; it is the largest such page_id.
+    ``keys``: page_id, sha1, n_bytes of all pages.  ``refers_to`` is set on rows
+    whose payload of at least ``least`` bytes also belongs to a row with a larger
+    page_id; it is the largest such page_id.  Only pages whose payload occurs
+    more than once (by a bitmap) are shuffled, and those by page, not by payload:
+    a payload that a third of all pages share is dealt out evenly.
     """
-    picked = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    payload = picked.withColumn("sha1", F.sha1(F.encode("html", "utf-8"))).withColumn("n_bytes", F.octet_length("html").cast("long"))
-    keys = materialize(payload.where(F.col("n_bytes") >= least).select("page_id", "sha1", "n_bytes"), "warc-keys")
+    keys = keys.where(F.col("n_bytes") >= least)
     # groups of copies are aggregated before the shuffle; what remains is one
     # row for each payload that occurs more than once
-    first = keys.groupBy("sha1", "n_bytes").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = keys.join(first, ["sha1", "n_bytes"]).where("page_id is not null and page_id < response").select("page_id", "sha1", F.col("response").alias("refers_to")).distinct()
-    # by page, not by payload: a payload that a third of all pages share is
-    # dealt out evenly
-    return payload.join(again, ["page_id", "sha1"], "left").select("page_id", "url", "html", "sha1", "n_bytes", "refers_to")
+    first = keys.groupBy("sha1", "n_bytes").agg(F.max("page_id").alias("response"), F.count("*").alias("n_rows")).where("n_rows > 1")
+    again = join_hot(keys, materialize(first, "warc-copies"), ["sha1", "n_bytes"], keys.count()).where("page_id is not null and page_id < response")
+    again = materialize(again.select("page_id", "sha1", F.col("response").alias("refers_to")).distinct(), "warc-revisits")
+    bits = F.broadcast(bitmap(again.select(F.xxhash64("sha1").alias("key")), again.count(), "warc-bitmap"))
+    payload, may = _payloads(pages), in_bitmap(F.xxhash64("sha1"))
+    out = ["page_id", "url", "html", "sha1", "n_bytes", "refers_to"]
+    copied = payload.join(bits, may, "left_semi").join(again, ["page_id", "sha1"], "left")
+    return copied.select(*out).union(payload.join(bits, may, "left_anti").withColumn("refers_to", F.lit(None).cast("long")).select(*out))
 
 
-def write_warc(pages: DataFrame, path: str, least: int = LEAST_REVISIT, level: int = 6, max_records_per_file: int = 20_000) -> None:
+def write_warc(pages: DataFrame, path: str, least: int = LEAST_REVISIT, level: int = 6, max_records_per_file: int = 20_000, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Write one record per row below ``path``.  Null html = empty payload; a
-    null page_id gives an identifier without a number."""
+    null page_id gives an identifier without a number.  A file has as many
+    records as make ``archive_bytes`` of average payloads, at most
+    ``max_records_per_file``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in text_slices(batches, 2):
             out = []
             for page_id, url, html, sha1, _, refers_to in zip(*(c.to_pylist() for c in b.columns)):
                 kind = "response" if refers_to is None else "revisit"
                 out.append(member(record_bytes(page_id, url, html.encode("utf-8"), sha1, refers_to, kind), level)[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
-    packed = plan_records(pages, least).mapInArrow(run, "value binary")
+    keys = materialize(_payloads(pages).select("page_id", "sha1", "n_bytes"), "warc-keys")
+    mean = keys.agg(F.avg("n_bytes")).first()[0] or 1
+    packed = plan_records(pages, keys, least).mapInArrow(run, "value binary")
     # the cast keeps the bytes as they are
-    packed.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\x00").option("compression", "none").option("maxRecordsPerFile", max_records_per_file).text(path)
+    rows = packed.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\x00").option("compression", "none")
+    rows.option("maxRecordsPerFile", max(1, min(max_records_per_file, int(archive_bytes / max(1, mean))))).text(path)
 
 
 # reading --------------------------------------------------------------------
@@ -174,26 +194,63 @@ def _fields(head: dict, block: bytes) -> dict:
     }
 
 
-def _inflate(data: memoryview, at: int) -> tuple[bytes, int, str | None]:
+def _inflate(data: memoryview, at: int, most: int = MEMBER_BYTES) -> tuple[bytes, int, str | None]:
     """The member at ``at``, where it ends, and what is wrong with it; of a broken
-    one what comes before its error."""
+    one what comes before its error, of one that inflates to more than ``most``
+    bytes that many."""
     z = zlib.decompressobj(31)
-    out, pos = [], at
+    out, pos, size = [], at, 0
     while not z.eof and pos < len(data):
         chunk, before = data[pos : pos + (1 << 16)], z.copy()
         try:
-            out.append(z.decompress(chunk))
+            out.append(z.decompress(chunk, most - size + 1))
         except zlib.error as e:
             for i in range(len(chunk)):
                 try:
-                    out.append(before.decompress(chunk[i : i + 1]))
+                    out.append(before.decompress(chunk[i : i + 1], most))
                 except zlib.error:
                     break
             return b"".join(out), pos + i, f"member: {e}"
+        size += len(out[-1])
+        if size > most:
+            return b"".join(out)[:most], pos + len(chunk) - len(z.unconsumed_tail), "member inflates to too much"
         pos += len(chunk)
     return b"".join(out), pos - len(z.unused_data), None if z.eof else "member without end"
 
 
+def _begins(data: bytes, at: int) -> bool:
+    """Whether a gzip member at ``at`` starts with a version line, within 2048 bytes."""
+    if at + 4 > len(data) or data[at + 3] & 0xE0:
+        return False
+    z, got = zlib.decompressobj(31), b""
+    try:
+        for i in range(at, min(at + 2048, len(data)), 512):
+            got += z.decompress(data[i : i + 512], 12 - len(got))
+            if len(got) >= 12 or z.eof:
+                break
+    except zlib.error:
+        return False
+    return VERSION.match(got) is not None
+
+
+class _Starts:
+    """The places at which a record may begin, in ascending order of asking;
+    every byte is searched once."""
+
+    def __init__(self, data: bytes):
+        self.data, self.member, self.line = data, -1, -1
+
+    def after(self, at: int) -> int:
+        data, n = self.data, len(self.data)
+        if self.line < at:
+            m = VERSION.search(data, at)
+            self.line = m.start() if m else n
+        while self.member < min(at, n) or self.member < self.line and not _begins(data, self.member):
+            found = data.find(MEMBER, max(at, self.member + 1))
+            self.member = found if found >= 0 else n
+        return min(self.member, self.line)
+
+
 def _records_of(text: bytes, proof: bool) -> tuple[list[dict], str | None]:
     """The records of an inflated member and the first thing wrong with it; after
     a record that fails, the next version line is looked for."""
@@ -219,6 +276,7 @@ def salvage(data: bytes) -> Iterator[tuple]:
     records with a digest of their own are kept.
     """
     view, at, n = memoryview(data), 0, len(data)
+    starts = _Starts(data)
     gap = reason = None
     while at < n:
         try:
@@ -234,7 +292,7 @@ def salvage(data: bytes) -> Iterator[tuple]:
                     for fields in found:
                         yield "record", at, stop, fields
                     gap, reason = at, broken or wrong
-                    at = _next_start(data, at + 1) if broken else stop
+                    at = starts.after(at + 1) if broken else stop
                     continue
             elif VERSION.match(data, at):
                 # headers tell how much to look at
@@ -245,7 +303,7 @@ def salvage(data: bytes) -> Iterator[tuple]:
         except ValueError as e:
             if gap is None:
                 gap, reason = at, str(e)
-            at = _next_start(data, at + 1)
+            at = starts.after(at + 1)
             continue
         if gap is not None:
             yield "gap", gap, at, reason
@@ -264,13 +322,6 @@ def _plain_end(data: bytes, at: int) -> int:
     return head + 8 + int(m[1]) if m else min(len(data), at + (1 << 16))
 
 
-def _next_start(data: bytes, at: int) -> int:
-    """The next offset at which a member or a version line may begin."""
-    a = data.find(MEMBER, at)
-    m = VERSION.search(data, at)
-    return min(a if a >= 0 else len(data), m.start() if m else len(data))
-
-
 def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """Everything found below ``path``: one row per record or gap (``gap``).
 

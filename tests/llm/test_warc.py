@@ -2,7 +2,9 @@ import gzip
 import hashlib
 import random
 import re
+import time
 
+from folioforge.llm import warc
 from folioforge.llm.common import scratch
 from folioforge.llm.warc import member, quarantined, read_warc, record_bytes, records, salvage, warc_round_trip, write_warc
 
@@ -103,3 +105,34 @@ def test_archives_on_disk(spark):
         body = (str(i % 50) * 900).encode()
         assert r.payload_bytes == len(body) and r.url == f"http://h/{i}"
         assert bytes(r.payload) == body if r.record_type == "response" else r.refers_to == 150 + i % 50
+
+
+def test_false_starts_cost_little():
+    good = member(rec(1, b"x" * 500))
+    for junk in (b"\x1f\x8b\x08" * 100_000, (b"\x1f\x8b\x08\x00" + b"\0" * 6) * 30_000, gzip.compress(b"no record " * 50)[:40] * 8_000, b"WARC/1.0\r\n" * 20_000, b"\x00" * 3_000_000):
+        began = time.time()
+        got = list(salvage(junk + good + junk + good))
+        assert time.time() - began < 20, junk[:20]
+        assert [x[3]["page_id"] for x in got if x[0] == "record"] == [1, 1]
+
+
+def test_versions_and_bombs(monkeypatch):
+    for version in (b"WARC/0.17", b"WARC/0.18", b"WARC/1.0", b"WARC/1.1"):
+        one = rec(3, b"abc").replace(b"WARC/1.1", version, 1)
+        assert [x[3]["page_id"] for x in salvage(one + member(one))] == [3, 3]
+    assert [x[0] for x in salvage(rec(3, b"abc").replace(b"WARC/1.1", b"WARC/9.9", 1))] == ["gap"]
+    bomb = gzip.compress(rec(1, b"a") + b"\0" * 5_000_000 + rec(2, b"b"))
+    text, _, wrong = warc._inflate(memoryview(bomb), 0, 1 << 16)
+    assert len(text) == 1 << 16 and "too much" in wrong
+    whole, stop, wrong = warc._inflate(memoryview(bomb), 0)
+    assert stop == len(bomb) and wrong is None and len(whole) > 5_000_000
+
+
+def test_pages_without_copies_are_not_shuffled(spark):
+    df = spark.range(300).selectExpr("id as page_id", "'u' as url", "repeat(cast(if(id < 20, 7, id) as string), 1900) as html").repartition(5)
+    path = scratch(spark, "t")
+    write_warc(df, path, archive_bytes=20_000)
+    read = read_warc(spark, path)
+    assert read.select("file").distinct().count() > 10 and quarantined(read).count() == 0
+    got = {r.page_id: r for r in records(read).collect()}
+    assert len(got) == 300 and sum(r.record_type == "revisit" for r in got.values()) == 19 and {r.refers_to for r in got.values() if r.refers_to} == {19}
