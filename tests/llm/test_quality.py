@@ -45,3 +45,46 @@ def test_whole_table_is_scored(spark):
     from folioforge.llm.queries import op9_ordinal_quality
 
     assert op9_ordinal_quality(spark, "/root/testdata/sf0.01").count() == n
+
+
+def test_fit_against_brute_force():
+    """No point of a fine search around it has a better penalised likelihood."""
+    r = np.random.default_rng(5)
+    n, ridge = 240, 0.3
+    x = r.random((n, 3)) < 0.5
+    y = ((x @ np.array([3.0, -2.0, 1.0]) + r.logistic(size=n))[:, None] > np.array([-0.5, 1.0])).sum(1)
+    Q_chi2, Q.CHI2 = Q.CHI2, 0.0
+    try:
+        m = Q.fit([np.flatnonzero(row).astype(np.int32) for row in x], y, 3, 1500, 0.03, ridge)
+    finally:
+        Q.CHI2 = Q_chi2
+
+    def loss(p):
+        w, cuts = p[:3], np.sort(p[3:])
+        at = lambda k: np.where(k == 0, 0.0, np.where(k == 3, 1.0, 1 / (1 + np.exp(-(cuts[np.clip(k - 1, 0, 1)] - x @ w)))))
+        return -np.log(np.maximum(at(y + 1) - at(y), 1e-12)).sum() + ridge / 2 * (w**2).sum()
+
+    best = np.concatenate([m.weights[:3], m.thresholds])
+    least = loss(best)
+    p, step = r.normal(size=5), 1.0
+    while step > 1e-4:  # a plain pattern search from elsewhere
+        for d in np.vstack([np.eye(5), -np.eye(5)]):
+            if loss(p + step * d) < loss(p):
+                p = p + step * d
+                break
+        else:
+            step /= 2
+    p[3:].sort()
+    assert abs(loss(p) - least) < 1e-2 and np.allclose(p, best, atol=0.05)
+
+
+def test_scores_against_brute_force(spark):
+    docs = spark.createDataFrame([(1, "some good words"), (2, "BAD *** words"), (3, None), (4, "")], "doc_id long, text string")
+    w = np.zeros(Q.SLOTS)
+    w[Q.features("good")] = 1.5
+    model = Q.Ordinal(w, np.array([-1.0, 0.5]))
+    for row in Q.score(docs, model).collect():
+        text = {1: "some good words", 2: "BAD *** words"}.get(row.doc_id)
+        s = sum(w[i] for i in set(Q.features(text).tolist()))
+        above = [1 - 1 / (1 + np.exp(-(c - s))) for c in (-1.0, 0.5)]
+        assert abs(row.expected_grade - sum(above)) < 1e-5 and abs(row.p_top - above[1]) < 1e-5 and row.selected == (round(above[1], 6) >= 0.5)
