@@ -6,9 +6,15 @@ import re
 import unicodedata
 
 
+def fold_char(t: str) -> str:
+    """Compatibility decomposition without marks, in lower case; what is no mark
+    is put together again, so Hangul syllables stay whole."""
+    marks = unicodedata.normalize("NFKD", t)
+    return unicodedata.normalize("NFC", "".join(c for c in marks if not unicodedata.combining(c)).lower())
+
+
 def fold_text(t: str | None) -> str:
-    marks = unicodedata.normalize("NFKD", t or "")
-    return " ".join("".join(c for c in marks if not unicodedata.combining(c)).lower().split())
+    return " ".join(fold_char(t or "").split())
 
 
 def search_text(t: str | None) -> str:

@@ -2,28 +2,59 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
+from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-#: Letters with marks and what remains without them (fixed values).
-ACCENTED = "äçèéêíñóöüáàâëìîïòôúùûãõ"
-PLAIN = "aceeeinoouaaaeiiioouuuao"
+from .plain import fold_char
+
 DASHES = "‐‑‒–—−"
 
 
-def fold(c: Column) -> Column:
-    """Lower case without the marks of Western European letters; stays in the JVM."""
-    return F.translate(F.lower(c), ACCENTED, PLAIN)
+#: Where letters stand that decompose; Hangul and ideographs stay whole.
+DECOMPOSED = ((0x80, 0x3400), (0xA640, 0xAC00), (0xF900, 0x20000))
+#: Stand-ins for characters that become several: private use, plane 16.
+STAND_INS = 0x100000
+_STAND_IN = "[\\x{100000}-\\x{10FFFF}]"
+
+
+@cache
+def fold_table() -> tuple[str, str, str]:
+    """Characters, what stands for each of the first of them (the rest go), and a
+    JSON object of stand-ins with their several characters; by the rule of
+    :func:`~folioforge.functions.plain.fold_char`."""
+    singles: dict[str, str] = {}
+    gone, several = [], {}
+    for first, end in DECOMPOSED:
+        for c in map(chr, range(first, end)):
+            if c != c.lower() or (to := fold_char(c)) == c:
+                continue  # what has a lower form is lowered before
+            if len(to) == 1:
+                singles[c] = to
+            elif to:
+                singles[c] = chr(STAND_INS + len(several))
+                several[singles[c]] = to
+            else:
+                gone.append(c)
+    return "".join([*singles, *gone]), "".join(singles.values()), json.dumps(several, ensure_ascii=False)
 
 
-@F.pandas_udf(StringType())
-def fold_nfkd(s: pd.Series) -> pd.Series:
-    """As :func:`fold` for every script: compatibility decomposition, marks dropped."""
-    return s.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower())
+def fold(c: Column) -> Column:
+    """Lower case, compatibility decomposition, without marks; stays in the JVM.
+
+    Equals ``fold_text`` without its spaces.  Plain ASCII is only lowered.
+    """
+    chars, to, several = fold_table()
+    parts = F.from_json(F.lit(several), "map<string,string>")
+    bound = F.array(F.translate(F.lower(c), chars, to))
+    first = lambda x: F.substring(x, 1, 1)
+    one = lambda x: F.concat(F.coalesce(F.try_element_at(parts, first(x)), first(x)), F.substring(x, 2, 1 << 30))
+    whole = lambda t: F.array_join(F.transform(F.split(t, f"(?={_STAND_IN})"), one), "")
+    folded = F.get(F.transform(bound, lambda t: F.when(t.rlike(_STAND_IN), whole(t)).otherwise(t)), F.lit(0))
+    return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(folded)
 
 
 def collapse(c: Column) -> Column:

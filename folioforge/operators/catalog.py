@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,6 +67,15 @@ def list_analyses(analyses: DataFrame, documents: DataFrame, user: str, *, searc
     return list_rows(rows.where(matches_search(search, text)), sort_by, descending, "analysis_id", page, per_page)
 
 
+def date_preset(name: str, today: str) -> tuple[str | None, str | None]:
+    """(date_from, date_to) of a named window: last_7_days, last_30_days, today, all."""
+    days = {"today": 1, "last_7_days": 7, "last_30_days": 30, "all": None}[name]
+    if days is None:
+        return None, None
+    end = date.fromisoformat(today)
+    return (end - timedelta(days=days - 1)).isoformat(), end.isoformat()
+
+
 def latest(versions: DataFrame, by: str, number: str) -> DataFrame:
     """The row with the largest number of each key, and the number to come."""
     cols = [c for c in versions.columns if c != by]
@@ -170,12 +180,18 @@ def compare_and_put(store: DataFrame, writes: DataFrame, key: Sequence[str]) ->
 
     A write carries the etag that it has read (null: the row is new).  It is
     applied if that is still the stored one; the rest are conflicts and change
-    nothing.
+    nothing.  Of several writes of one key that could be applied the first (by
+    its own content) is, and the others are conflicts, as if it had come before
+    them.
     """
     have = store.select(*key, F.col("etag").alias("__now"), F.lit(True).alias("__is"))
     seen = writes.join(have, list(key), "left")
-    ok = F.col("__now").eqNullSafe(F.col("etag"))
-    good = seen.where(ok).drop("__now", "__is")
-    bad = seen.where(~ok).drop("__now", "__is")
-    fresh = good.withColumn("etag", F.md5(F.concat_ws("\x1f", *[F.col(c).cast("string") for c in good.columns])))
+    # nulls count: they are fields of the JSON
+    mark = F.md5(F.to_json(F.struct(*[F.col(c) for c in writes.columns]), {"ignoreNullFields": "false"}))
+    fits = F.col("__now").eqNullSafe(F.col("etag"))
+    seen = seen.withColumn("__mark", mark).withColumn("__fits", fits)
+    turn = Window.partitionBy(*key, "__fits").orderBy("__mark")
+    seen = seen.withColumn("__ok", F.col("__fits") & (F.row_number().over(turn) == 1))
+    bad = seen.where(~F.col("__ok")).select(writes.columns)
+    fresh = seen.where("__ok").withColumn("etag", F.col("__mark")).select(writes.columns)
     return store.join(fresh.select(*key), list(key), "left_anti").unionByName(fresh), bad

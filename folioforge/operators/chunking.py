@@ -13,7 +13,7 @@ from folioforge.functions.text import collapse, fold, tokens
 
 SIZE, OVERLAP = 700, 120
 PARENT_CHARS, CHILD_CHARS = 800, 100
-#: The start of a clause inside an article: "a)", "iv)", "2." or "2)".
+#: Fixed value, the start of a clause inside an article: "a)", "iv)", "2." or "2)".
 CLAUSE = re.compile(r"^([a-z]\)|[ivxIVX]+\)|[0-9]+[.)])\s+(.+)", re.M)
 
 
@@ -33,8 +33,13 @@ def windows(words: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
 
 
 def window_rows(docs: DataFrame, text: str = "text", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """One row per window: the other columns, window_no, n_words, window_text."""
-    cut = docs.withColumn("__w", windows(tokens(F.col(text)), size, overlap)).drop(text)
+    """One row per window: the other columns, window_no, n_words, window_text.
+
+    The words are a generated column: as an expression they would be made again
+    for every window.
+    """
+    split = docs.select("*", F.explode(F.array(tokens(F.col(text)))).alias("__t")).drop(text)
+    cut = split.withColumn("__w", windows(F.col("__t"), size, overlap)).drop("__t")
     rows = cut.select("*", F.posexplode("__w").alias("window_no", "__words")).drop("__w")
     return rows.withColumn("n_words", F.size("__words")).withColumn("window_text", F.array_join("__words", " ")).drop("__words")
 
@@ -104,7 +109,10 @@ def clauses(content: str) -> list[tuple[str, str]]:
 
 def blocks_of(piece: Column, blocks: Column) -> Column:
     """The source blocks whose text is in the piece; all of them if none is."""
-    inside = F.filter(blocks, lambda b: F.contains(collapse(fold(piece)), collapse(fold(b["content"]))) & (F.trim(b["content"]) != ""))
+    form = lambda c: F.array(collapse(fold(c)))
+    # the piece's form is a variable, so it is made once for all blocks
+    of = lambda f: F.filter(blocks, lambda b: F.contains(f, collapse(fold(b["content"]))) & (F.trim(b["content"]) != ""))
+    inside = F.get(F.transform(form(piece), of), F.lit(0))
     return F.when(F.size(inside) > 0, inside).otherwise(blocks)
 
 
@@ -145,7 +153,8 @@ def create_chunks(sections: DataFrame, size: int = SIZE, overlap: int = OVERLAP)
     made = made.withColumn("chunk_index", F.row_number().over(by_doc) - 1)
     piece = Window.partitionBy("document_id", "block_no", "piece_no").orderBy("child_no")
     made = made.withColumn("parent_chunk_index", F.when(F.col("chunk_type") == "child", F.first("chunk_index").over(piece)))
-    keys = sections.select("document_id", "block_no", "page_number", "block_type", "heading_path", "blocks")
+    more = [c for c in ("table_ref",) if c in sections.columns]
+    keys = sections.select("document_id", "block_no", "page_number", "block_type", "heading_path", "blocks", *more)
     path = F.when(F.size("heading_path") > 0, F.array_join("heading_path", " > ")).otherwise("general")
     return made.join(keys, ["document_id", "block_no"]).withColumn("section_path", path).withColumn("blocks", blocks_of(F.col("content"), F.col("blocks"))).drop("piece_no", "child_no")
 

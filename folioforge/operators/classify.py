@@ -6,6 +6,7 @@ no join, no shuffle, one pass over the text inside generated code.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -13,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.functions.plain import fold_text
 from folioforge.functions.text import matching_form, n_tokens
 
 SATURATION, DENSITY = 4.0, 1.0
@@ -58,24 +60,34 @@ def check_glossary(glossary: Sequence[Category]) -> None:
 
 
 def _folded(term: str) -> str:
-    import re
-    import unicodedata
+    return " ".join(re.sub(r"[^\w\s]", " ", fold_text(term)).split())
 
-    t = "".join(c for c in unicodedata.normalize("NFKD", term.lower()) if not unicodedata.combining(c))
-    return " ".join(re.sub(r"[^\w\s]", " ", t).split())
 
+def padded_form(content: Column) -> Column:
+    """The matching form with a space at each end.
 
-def matches(content: Column, terms: Sequence[str]) -> Column:
-    """How many different terms the text has: whole words, phrases in order.
-
-    The normal form has single spaces, so a padded text makes a word and a
-    phrase the same test.
+    It has single spaces, so a word and a phrase are the same test.
     """
-    padded = F.concat(F.lit(" "), matching_form(content), F.lit(" "))
-    found = [F.contains(padded, F.lit(f" {t} ")).cast("int") for t in dict.fromkeys(filter(None, map(_folded, terms)))]
+    return F.concat(F.lit(" "), matching_form(content), F.lit(" "))
+
+
+def form_hits(form: Column, terms: Sequence[str]) -> Column:
+    found = [F.contains(form, F.lit(f" {t} ")).cast("int") for t in dict.fromkeys(filter(None, map(_folded, terms)))]
     return reduce(lambda a, b: a + b, found, F.lit(0))
 
 
+def matches(content: Column, terms: Sequence[str]) -> Column:
+    """How many different terms the text has: whole words, phrases in order."""
+    # the form is a variable: as an expression it would be made for each term
+    return F.get(F.transform(F.array(padded_form(content)), lambda form: form_hits(form, terms)), F.lit(0))
+
+
+def term_counts(chunks: DataFrame, glossary: Sequence[Category], content: str = "content") -> DataFrame:
+    """Adds hits: a struct with the number of terms of each category."""
+    formed = chunks.select("*", F.explode(F.array(padded_form(F.col(content)))).alias("__form"))
+    return formed.withColumn("hits", F.struct(*[form_hits(F.col("__form"), c.terms).alias(c.name) for c in glossary])).drop("__form")
+
+
 def density_score(m: Column, words: Column, weight: float) -> Column:
     """Breadth of terms times their density per hundred words, at most 1."""
     breadth = F.least(m / SATURATION, F.lit(1.0))
@@ -93,8 +105,7 @@ def heading_category(path: Column, glossary: Sequence[Category]) -> Column:
     if not chosen:
         return F.lit(None).cast("string")
 
-    def one(heading: Column) -> Column:
-        text = matching_form(heading)
+    def one(text: Column) -> Column:
         ranks = []
         for no, c in enumerate(chosen):
             at = [F.instr(text, _folded(p)) for p in c.headings]
@@ -104,7 +115,7 @@ def heading_category(path: Column, glossary: Sequence[Category]) -> Column:
             ranks.append(F.when(hits > 0, F.struct((-hits).alias("n"), first.alias("at"), F.lit(no).alias("no"), F.lit(c.name).alias("name"))))
         return F.array_min(F.array(*ranks))["name"]
 
-    found = F.filter(F.transform(F.reverse(path), one), lambda x: x.isNotNull())
+    found = F.filter(F.transform(F.transform(F.reverse(path), matching_form), one), lambda x: x.isNotNull())
     return F.get(found, 0)
 
 
@@ -117,8 +128,8 @@ def classify(chunks: DataFrame, glossary: Sequence[Category], content: str = "co
     that reach theirs, in that order.
     """
     check_glossary(glossary)
-    words = n_tokens(F.col(content))
-    scored = chunks.withColumn("scores", F.struct(*[density_score(matches(F.col(content), c.terms), words, c.weight).alias(c.name) for c in glossary]))
+    counted = term_counts(chunks, glossary, content).withColumn("__n", n_tokens(F.col(content)))
+    scored = counted.withColumn("scores", F.struct(*[density_score(F.col(f"hits.{c.name}"), F.col("__n"), c.weight).alias(c.name) for c in glossary])).drop("hits", "__n")
     of = lambda c: F.col(f"scores.{c.name}")
     able = F.array(*[F.when((of(c) >= c.primary) & (of(c) > 0), F.struct((-of(c)).alias("s"), F.lit(no).alias("no"), F.lit(c.name).alias("name"))) for no, c in enumerate(glossary)])
     by_words = F.array_min(able)["name"]

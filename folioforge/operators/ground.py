@@ -13,6 +13,7 @@ from pyspark.sql.types import StructField, StructType
 from folioforge.functions.text import collapse, grounding_form
 
 LEAST, PREFERRED, MOST, LEAD = 12, 40, 120, 45
+#: Fixed value, how a citation of a table's cell is written.
 TABLE = r"(?i)^\s*Encabezado:\s*(.+?)\s*\|\s*Fila:\s*(\d+)\s*\|\s*Valor:\s*(.+?)\s*$"
 
 
@@ -95,14 +96,21 @@ def find_passages(passages: DataFrame, docs: DataFrame, most_bytes: int = 64 <<
     """item_id, doc_id for every passage that a document holds literally.
 
     Without a document key there is nothing to join on: the passages' normal
-    forms (of checked size) go into one automaton that reads each document once.
+    forms go into automata of at most about ``most_bytes`` each, one pass over
+    the documents per automaton.
     """
-    import ahocorasick
-
     wanted = passages.select("item_id", grounding_form(F.col("text")).alias("form")).where(F.length("form") >= LEAST)
     size = wanted.agg(F.sum(F.octet_length("form"))).first()[0] or 0
-    if size > most_bytes:
-        raise ValueError(f"{size} bytes of passages; search them in parts of {most_bytes}")
+    n, out = max(1, -(-size // most_bytes)), None
+    for i in range(n):
+        found = _find(wanted if n == 1 else wanted.where(F.pmod(F.xxhash64("form"), F.lit(n)) == i), docs)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _find(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    import ahocorasick
+
     ids: dict[str, list[int]] = {}
     for r in wanted.collect():
         ids.setdefault(r.form, []).append(r.item_id)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -135,9 +136,14 @@ def paragraph_ids(paragraphs: DataFrame) -> DataFrame:
 def same_text(a: str, b: str) -> bool:
     """Whether one of two paragraphs starts or ends with the other; short ones
     must be equal, long ones may agree on their first characters only."""
-    import re
+    return _agree(_plain(a), _plain(b))
 
-    a, b = (re.sub(r"\\([\\`*_{}\[\]()#+\-.!|~>])", r"\1", " ".join((x or "").split()).lower()) for x in (a, b))
+
+def _plain(text: str | None) -> str:
+    return re.sub(r"\\([\\`*_{}\[\]()#+\-.!|~>])", r"\1", " ".join((text or "").split()).lower())
+
+
+def _agree(a: str, b: str) -> bool:
     short, long = sorted((a, b), key=len)
     if not short:
         return False
@@ -154,15 +160,18 @@ def match_paragraphs(blocks: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """
 
     def run(b: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("idx").to_dict("records")
-        used, cursor, out = set(), -1, []
+        rows = p.sort_values("idx").to_dict("records")
+        forms = [_plain(x["content"]) for x in rows]
+        used, cursor, out = [False] * len(rows), -1, []
         for row in b.sort_values("block_no").itertuples(index=False):
-            free = [x for x in p if x["idx"] not in used]
-            hit = next((x for x in free if x["idx"] > cursor and same_text(row.content, x["content"])), None) or next((x for x in free if same_text(row.content, x["content"])), None)
-            if hit:
-                used.add(hit["idx"])
-                cursor = max(cursor, hit["idx"])
-                out.append((row.document_id, row.block_no, row.page_number, hit["idx"]))
+            form = _plain(row.content)
+            # forward first, then what was passed over
+            for i in [*range(cursor + 1, len(rows)), *range(cursor + 1)]:
+                if not used[i] and _agree(form, forms[i]):
+                    used[i] = True
+                    cursor = max(cursor, i)
+                    out.append((row.document_id, row.block_no, row.page_number, rows[i]["idx"]))
+                    break
         return pd.DataFrame(out, columns=["document_id", "block_no", "page_number", "idx"])
 
     p = paragraph_ids(paragraphs).withColumn("idx", F.col("para_id.idx"))

@@ -8,10 +8,13 @@ before anything is shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import matching_form, tokens
+from folioforge.sources.scratch import written
 
 K1, B, RRF = 1.2, 0.75, 60
 FETCH_LEAST, KNN_MOST = 30, 1000
@@ -22,28 +25,45 @@ BUDGET = 16_000
 QUERY_BYTES = 64 << 20
 
 
-def inverted_index(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """term, id, tf, n_words (of the document)."""
-    words = docs.select(F.col(id_col).alias("id"), tokens(matching_form(F.col(text))).alias("w"))
-    rows = words.select("id", F.size("w").alias("n_words"), F.explode("w").alias("term"))
-    return rows.groupBy("id", "n_words", "term").agg(F.count("*").alias("tf"))
-
+def inverted_index(docs: DataFrame, wanted: DataFrame, id_col: str, fields: Sequence[str]) -> DataFrame:
+    """id, field (its number), n_words, term, tf: the postings of the ``wanted``
+    terms, and for every field of every document one row without a term.
 
-def bm25(queries: DataFrame, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    One pass over the text.  Terms that no query has are dropped where they are
+    read if the wanted ones are few enough to be sent there.
+    """
+    parts = [F.struct(F.lit(i).alias("field"), tokens(matching_form(F.col(f))).alias("w")) for i, f in enumerate(fields)]
+    words = docs.select(F.col(id_col).alias("id"), F.explode(F.array(*parts)).alias("x"))
+    rows = words.select("id", "x.field", F.size("x.w").alias("n_words"), F.explode(F.concat("x.w", F.array(F.lit(None).cast("string")))).alias("term"))
+    size = wanted.agg(F.sum(F.octet_length("term") + 16)).first()[0] or 0
+    if size <= QUERY_BYTES:
+        rows = rows.join(F.broadcast(wanted.select("term", F.lit(True).alias("__is"))), "term", "left").where("term is null or __is")
+        return rows.groupBy("id", "field", "n_words", "term").agg(F.count("*").alias("tf"))
+    counted = rows.groupBy("id", "field", "n_words", "term").agg(F.count("*").alias("tf"))
+    return counted.where("term is null").unionByName(counted.join(wanted, "term", "left_semi"))
+
+
+def bm25(queries: DataFrame, docs: DataFrame, id_col: str = "doc_id", text: str | Sequence[str] = "text", within: str | None = None) -> DataFrame:
     """query_id, id, score for every document with a query term.
 
-    ``queries``: query_id, query.  Only postings of query terms are weighted;
-    document counts and the mean length cover all documents.
+    ``queries``: query_id, query.  ``text``: one field or several; each has
+    statistics of its own and the scores add up.  Counts and mean lengths cover
+    all documents.  ``within``: a column of both sides (the analysis, say) in
+    which query and document must agree.
     """
-    index = inverted_index(docs, id_col, text)
-    wanted = queries.select("query_id", F.explode(F.array_distinct(tokens(matching_form(F.col("query"))))).alias("term"))
-    hits = index.join(wanted.select("term").distinct(), "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    stats = docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens(matching_form(F.col(text))))).alias("mean"))
+    fields = [text] if isinstance(text, str) else list(text)
+    wanted = queries.select("query_id", *([within] if within else []), F.explode(F.array_distinct(tokens(matching_form(F.col("query"))))).alias("term"))
+    index = written(inverted_index(docs, wanted.select("term").distinct(), id_col, fields), "bm25-index")
+    hits = index.where("term is not null")
+    df = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
+    stats = index.where("term is null").groupBy("field").agg(F.sum("tf").alias("n"), (F.sum(F.col("n_words") * F.col("tf")) / F.sum("tf")).alias("mean"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_words") / F.col("mean")))
-    # stats is one row
-    weighted = hits.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "id", weight.alias("w"))
+    # stats has one row per field
+    weighted = hits.join(df, ["field", "term"]).join(F.broadcast(stats), "field").select("term", "id", weight.alias("w"))
+    if within:
+        weighted = weighted.join(docs.select(F.col(id_col).alias("id"), within), "id")
+        return weighted.join(wanted, ["term", within]).groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"))
     return weighted.join(wanted, "term").groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"))
 
 
@@ -63,16 +83,18 @@ def knn_size(top_k: int) -> int:
 def knn(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """query_id, id, score (cosine): the k nearest of each query.
 
-    ``queries``: query_id, query_vec; a stated set whose size is checked.  The
-    rank limit is pushed below the shuffle, so a partition sends at most k rows
+    ``queries``: query_id, query_vec; a stated set, broadcast in parts of at most
+    QUERY_BYTES, one pass over the vectors each.  The rank limit is pushed below the shuffle, so a partition sends at most k rows
     per query.
     """
-    size = queries.agg(F.sum(F.size("query_vec")).alias("n")).first()["n"] or 0
-    if 8 * size > QUERY_BYTES:
-        raise ValueError(f"{8 * size} bytes of query vectors; search them in parts of {QUERY_BYTES}")
-    pairs = vectors.select(F.col(id_col).alias("id"), F.col(vec).alias("v")).join(F.broadcast(queries.select("query_id", "query_vec")))
-    scored = pairs.select("query_id", "id", F.round(cosine(F.col("v"), F.col("query_vec")), 6).alias("score"))
-    return top(scored, k)
+    size = 8 * (queries.agg(F.sum(F.size("query_vec")).alias("n")).first()["n"] or 0)
+    n, out = max(1, -(-size // QUERY_BYTES)), None
+    for i in range(n):
+        part = queries if n == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)
+        pairs = vectors.select(F.col(id_col).alias("id"), F.col(vec).alias("v")).join(F.broadcast(part.select("query_id", "query_vec")))
+        scored = pairs.select("query_id", "id", F.round(cosine(F.col("v"), F.col("query_vec")), 6).alias("score"))
+        out = top(scored, k) if out is None else out.unionByName(top(scored, k))
+    return out
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:
@@ -101,22 +123,33 @@ def rank_with_overlap(hits: DataFrame) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(w))
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, top_k: int = 25) -> DataFrame:
+def hybrid(queries: DataFrame, chunks: DataFrame, top_k: int = 25, fields: Sequence[str] = ("content",), within: str | None = None) -> DataFrame:
     """query_id, id, score, overlap, rank.
 
     ``queries``: query_id, query, query_vec (may be null: lexical only).
     ``chunks``: id, content, embedding.  Without any hit and without a vector the
-    first chunks by id are returned with score 0.
+    first chunks by id are returned with score 0.  ``fields`` are searched
+    lexically; ``within`` is a column of both (the analysis) that must agree.
     """
     fetch = max(2 * top_k, FETCH_LEAST)
-    lexical = top(bm25(queries, chunks, "id", "content"), fetch)
-    vector = knn(queries.where("query_vec is not null"), chunks, knn_size(top_k), "id", "embedding")
+    lexical = top(bm25(queries, chunks, "id", fields, within), fetch)
+    asked = queries.where("query_vec is not null")
+    if within:
+        pairs = chunks.select(within, "id", "embedding").join(asked.select(within, "query_id", "query_vec"), within)
+        vector = top(pairs.select("query_id", "id", F.round(cosine(F.col("embedding"), F.col("query_vec")), 6).alias("score")), knn_size(top_k))
+    else:
+        vector = knn(asked, chunks, knn_size(top_k), "id", "embedding")
     both = top(fuse(lexical, vector), fetch)
     with_text = both.join(chunks.select("id", "content"), "id").join(queries.select("query_id", "query"), "query_id")
     ranked = rank_with_overlap(with_text.select("query_id", "id", "score", token_overlap(F.col("query"), F.col("content")).alias("overlap")))
-    without = queries.where("query_vec is null").join(both, "query_id", "left_anti").select("query_id")
-    first = chunks.select("id").orderBy("id").limit(fetch).withColumn("rank", F.row_number().over(Window.orderBy("id")))
-    wild = without.crossJoin(F.broadcast(first)).select("query_id", "id", F.lit(0.0).alias("score"), F.lit(0).alias("overlap"), "rank")
+    without = queries.where("query_vec is null").join(both, "query_id", "left_anti")
+    if within:
+        first = top(chunks.select(F.col(within).alias("query_id"), "id", F.lit(0.0).alias("score")), fetch).select(F.col("query_id").alias(within), "id", "rank")
+        wild = without.select(within, "query_id").join(first, within)
+    else:
+        first = chunks.select("id").orderBy("id").limit(fetch).withColumn("rank", F.row_number().over(Window.orderBy("id")))
+        wild = without.select("query_id").crossJoin(F.broadcast(first))
+    wild = wild.select("query_id", "id", F.lit(0.0).alias("score"), F.lit(0).alias("overlap"), "rank")
     return ranked.unionByName(wild)
 
 
@@ -166,10 +199,16 @@ def token_budget(hits: DataFrame, budget: int = BUDGET, size: str = "token_count
 
 
 def purity(hits: DataFrame, category: str) -> DataFrame:
-    """query_id, n, n_target, purity."""
+    """query_id, n, n_target, purity (the share of one category)."""
     target = F.count_if(F.col("primary_category").eqNullSafe(category))
     return hits.groupBy("query_id").agg(F.count("*").alias("n"), target.alias("n_target"), F.round(target / F.count("*"), 6).alias("purity"))
 
 
+def category_distribution(hits: DataFrame) -> DataFrame:
+    """query_id, primary_category (null: none), n, share of the query's hits."""
+    n = hits.groupBy("query_id", "primary_category").agg(F.count("*").alias("n"))
+    return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("query_id")), 6))
+
+
 def prompt_fragment(no: Column, label: Column, page: Column, section: Column, kind: Column, content: Column) -> Column:
     return F.format_string("[%d] %s, p. %d, %s (%s)\n%s", no, F.coalesce(label, F.lit("?")), page, F.coalesce(section, F.lit("general")), kind, content)

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ALLOWED = {"not_reviewed": ("in_review", "closed"), "in_review": ("closed",), "closed": ("in_review",)}
@@ -40,23 +39,17 @@ def allowed(current: Column, target: Column) -> Column:
 def replay(events: DataFrame, key: Sequence[str], order: Sequence[str], target: str) -> DataFrame:
     """Walks the requests of each key in order: adds accepted, state (after it).
 
-    A rejected request changes nothing, so a row depends on all before it; keys
-    are small (one tracked item) and dealt over the cluster.
+    From every state each of the others can be asked for but not_reviewed, and
+    asking for the present one is refused.  So a request is accepted exactly if
+    it differs from the last request before it that names in_review or closed
+    (not_reviewed, if none does), and the state is the last such request: two
+    windows, nothing to walk.
     """
-    schema = events.schema
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(list(order), kind="stable")
-        now, ok, states = "not_reviewed", [], []
-        for want in f[target]:
-            good = want in ALLOWED.get(now, ())
-            now = want if good else now
-            ok.append(good)
-            states.append(now)
-        return f.assign(accepted=ok, state=states)
-
-    out = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in schema) + ", accepted boolean, state string"
-    return events.groupBy(*key).applyInPandas(run, out)
+    w = Window.partitionBy(*key).orderBy(*order)
+    asked = F.when(F.col(target).isin("in_review", "closed"), F.col(target))
+    before = F.coalesce(F.last(asked, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit("not_reviewed"))
+    now = F.coalesce(F.last(asked, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit("not_reviewed"))
+    return events.withColumn("accepted", F.coalesce(asked != before, F.lit(False))).withColumn("state", now)
 
 
 def summary(categories: DataFrame, key: str, total: int = CATEGORIES) -> DataFrame:

@@ -202,7 +202,7 @@ ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 20
 
 
 def list_search(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return c.where(catalog.matches_search(" B ", [F.col("n_name"), F.col("c_mktsegment")])).groupBy("n_name").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
 
 

@@ -112,7 +112,7 @@ SELECT user_id AS citation_id, CAST(sum(fresh) - 1 AS BIGINT) AS last_occurrence
 
 def answer_items(spark: SparkSession, d: str) -> DataFrame:
     """Answers made of event properties, fenced or wordy, back to items."""
-    e = table(spark, d, "events").where("event_id % 5 = 0")
+    e = table(spark, d, "events")
     item = F.to_json(F.struct(F.array(F.struct(F.col("event_type").alias("tipo"), F.col("user_id").cast("string").alias("valor"), (F.col("value") / 100).alias("confidence"), F.lit("odd").alias("extraction_status"))).alias("items")))
     answer = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("```json\n"), item, F.lit("\n```"))).when(F.col("event_id") % 7 == 0, F.lit("no answer")).otherwise(F.concat(F.lit("Here: "), item))
     out = extract.normalise_items(e.select("event_id", answer.alias("answer")), ["event_id"])
@@ -120,7 +120,7 @@ def answer_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 ANSWER_ITEMS = """SELECT event_id, event_type AS tipo, CAST(user_id AS VARCHAR) AS valor, CASE WHEN value / 100 BETWEEN 0 AND 1 THEN round(value / 100, 6) END AS confidence, 'not_found' AS extraction_status
-FROM events WHERE event_id % 5 = 0 AND (event_id % 3 = 0 OR event_id % 7 <> 0)"""
+FROM events WHERE (event_id % 3 = 0 OR event_id % 7 <> 0)"""
 
 
 def narrative_sources(spark: SparkSession, d: str) -> DataFrame:
@@ -129,7 +129,7 @@ def narrative_sources(spark: SparkSession, d: str) -> DataFrame:
     ref = F.struct(F.col("conv_id").cast("string").alias("document_id"), F.lit(1).alias("page_number"), F.substring("text", 1, 100).alias("citation"), F.lit(None).cast("string").alias("block_id"), F.lit(None).cast("string").alias("chunk_id"))
     items = c.select(F.col("conv_id").cast("string").alias("category"), F.col("turn").cast("int").alias("item_no"), F.array(ref).alias("source_references"))
     elements = c.where("turn > 0").select(F.col("conv_id").cast("string").alias("category"), F.lit(0).alias("block_no"), F.col("turn").cast("int").alias("element_no"), "text", F.array((F.col("turn") - 1).cast("int"), F.lit(999)).alias("item_refs"))
-    evidence = c.where("turn > 0 and conv_id % 2 = 0").select(F.col("conv_id").cast("string").alias("category"), F.col("turn").cast("int").alias("evidence_no"), F.substring("text", 1, 40).alias("text"), F.array((F.col("turn") - 1).cast("int")).alias("item_refs"))
+    evidence = c.where("turn > 0").select(F.col("conv_id").cast("string").alias("category"), F.col("turn").cast("int").alias("evidence_no"), F.substring("text", 1, 40).alias("text"), F.array((F.col("turn") - 1).cast("int")).alias("item_refs"))
     out, _ = narrative.resolve(elements, evidence, items)
     return out.select("category", "element_no", F.array_join("source_ids", ",").alias("source_ids"))
 

@@ -13,9 +13,11 @@ from . import schemas
 CAP = 50_000
 
 
-def chunks_of(index: DataFrame, analysis_id: str, cap: int = CAP) -> tuple[DataFrame, bool]:
-    """All chunks of an analysis in order, and whether the cap cut some off."""
+def chunks_of(index: DataFrame, analysis_id: str, cap: int | None = None) -> tuple[DataFrame, bool]:
+    """All chunks of an analysis in order, and whether a cap (CAP, say) cut some off."""
     rows = index.where(F.col("analysis_id") == analysis_id)
+    if cap is None:
+        return rows.orderBy("document_id", "chunk_index"), False
     cut = rows.select("id").limit(cap + 1).count() > cap
     return rows.orderBy("document_id", "chunk_index").limit(cap), cut
 

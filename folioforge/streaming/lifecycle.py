@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -47,19 +48,50 @@ def track(events: DataFrame) -> DataFrame:
     return events.groupBy("key").transformWithStateInPandas(Tracker(), OUT, "Append", "None")
 
 
-def upsert_batches(path: str):
+BUCKETS = 64
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def current(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table that :func:`upsert_batches` keeps below ``path``; None before any."""
+    if not _exists(spark, f"{path}/marker"):
+        return None
+    moved = spark.read.parquet(f"{path}/marker").groupBy("bucket").agg(F.max_by("generation", "seq").alias("generation"))
+    rows = spark.read.parquet(f"{path}/rows")
+    return rows.join(F.broadcast(moved), ["bucket", "generation"]).drop("bucket", "generation")  # BUCKETS rows
+
+
+def upsert_batches(path: str, buckets: int = BUCKETS):
     """A foreachBatch body that keeps the last row of each key below ``path``.
 
-    Each batch writes a generation of its own before the marker that names it
-    moves on, so a batch that is repeated after a failure ends in the same table.
+    Keys are dealt into buckets.  A batch rewrites only the buckets that it
+    touches, as a generation of its own (rows/bucket=/generation=); a row in the
+    marker then says which generation a bucket has.  A batch that is repeated
+    after a failure makes generations anew and marks those, whether it had come
+    to its marker or not, so it ends in the same table.  The order of events
+    decides, not that of batches, so a stream that starts over with a new
+    checkpoint goes on with the same table.
     """
 
     def put(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        last = batch.groupBy("key").agg(F.max_by(F.struct("event_no", "state", "progress"), "event_no").alias("s")).select("key", "s.*")
-        if batch_id > 0:
-            old = spark.read.parquet(f"{path}/generation={batch_id - 1}")
-            last = last.unionByName(old.join(last, "key", "left_anti"))
-        last.write.mode("overwrite").parquet(f"{path}/generation={batch_id}")
+        generation = uuid.uuid4().hex
+        of_key = F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")
+        new = batch.select("key", "event_no", "state", "progress").withColumn("bucket", of_key)
+        touched = new.select("bucket").distinct()
+        old = current(spark, path)
+        if old is not None:
+            kept = old.withColumn("bucket", of_key).join(F.broadcast(touched), "bucket", "left_semi")  # BUCKETS rows
+            new = new.unionByName(kept)
+        last = new.groupBy("bucket", "key").agg(F.max_by(F.struct("event_no", "state", "progress"), "event_no").alias("s"))
+        rows = last.select("key", "s.*", "bucket", F.lit(generation).alias("generation"))
+        rows.repartition("bucket").write.mode("append").partitionBy("bucket", "generation").parquet(f"{path}/rows")
+        seq = spark.read.parquet(f"{path}/marker").agg(F.max("seq")).first()[0] + 1 if old is not None else 0
+        written = spark.read.parquet(f"{path}/rows").where(F.col("generation") == generation).select("bucket").distinct()
+        written.select("bucket", F.lit(generation).alias("generation"), F.lit(seq).cast("long").alias("seq")).coalesce(1).write.mode("append").parquet(f"{path}/marker")
 
     return put

@@ -46,7 +46,17 @@ def test_upsert_batches(spark, tmp_path):
     put(make([("a", 1, "x", 5), ("a", 2, "y", 6), ("b", 1, "x", 1)]), 0)
     for _ in range(2):  # a repeated batch changes nothing
         put(make([("a", 3, "z", 9)]), 1)
-    assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/generation=1").collect()) == [("a", 3, "z", 9), ("b", 1, "x", 1)]
+    now = lambda: sorted(tuple(r) for r in lifecycle.current(spark, str(tmp_path)).collect())
+    assert now() == [("a", 3, "z", 9), ("b", 1, "x", 1)]
+    # a new checkpoint starts at batch 0 again and goes on with the table
+    put(make([("c", 1, "x", 1), ("a", 2, "late", 1)]), 0)
+    assert now() == [("a", 3, "z", 9), ("b", 1, "x", 1), ("c", 1, "x", 1)]
+    # only touched buckets are written anew
+    moved = spark.read.parquet(f"{tmp_path}/marker").groupBy("seq").count().collect()
+    assert {r.seq: r["count"] for r in moved} == {0: 2, 1: 1, 2: 1, 3: 2}
+    # rows of a batch that failed before its marker count for nothing
+    make([("b", 99, "lost", 1)]).selectExpr("*", "0 as bucket", "'g' as generation").write.mode("append").partitionBy("bucket", "generation").parquet(f"{tmp_path}/rows")
+    assert ("b", 1, "x", 1) in now() and lifecycle.current(spark, f"{tmp_path}/none") is None
 
 
 def test_layout_reader(spark, tmp_path):
