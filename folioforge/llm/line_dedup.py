@@ -26,8 +26,8 @@ from .common import bitmap, in_bitmap, join_hot, materialize
 
 DEPTH, SUPPORT, SHARE, TEXTS, LONG = 3, 3, 0.5, 3, 50
 VARIABLE = "<*>"
-#: Scripts written without spaces: there a character is a token.
-UNSPACED = "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
+#: Scripts written without spaces (Thai, Lao, Myanmar, Khmer, kana, ideographs): there a character is a token.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u9fff"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -36,11 +36,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _masked(text: Column) -> Column:
     """The text with one space between the tokens of a line, none at its ends,
-    and VARIABLE for tokens with digits; line ends stay.
+    and VARIABLE for tokens with digits; line ends stay.  A token is tried from the
+    space or line end before it.
 
     Done on whole texts: what is done after lines are split would be evaluated
-    again in every filter on it.  A token is looked at from its beginning only,
-    so the work is linear however long tokens are.
+    again in every filter on it.  The work is linear however long tokens are.
     """
     unspaced = (F.octet_length(text) > F.char_length(text)) & text.rlike(f"[{UNSPACED}]")
     odd = text.startswith(" ") | text.endswith(" ") | unspaced
@@ -49,7 +49,7 @@ def _masked(text: Column) -> Column:
     apart = F.when(unspaced, F.regexp_replace(text, f"([{UNSPACED}])", " $1 ")).otherwise(text)
     spaced = F.trim(F.regexp_replace(F.regexp_replace(apart, r"[ \t\r\f\x0B]+", " "), " ?\n ?", "\n"))
     clean = F.when(odd, spaced).otherwise(text)
-    return F.when(text.rlike("[0-9]"), F.regexp_replace(clean, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", VARIABLE)).otherwise(clean)
+    return F.when(text.rlike("[0-9]"), F.regexp_replace(clean, r"(^|[ \n])[^ \n0-9]*+[0-9][^ \n]*+", f"$1{VARIABLE}")).otherwise(clean)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -116,12 +116,13 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     lines = _lines(picked)
     text_hash = F.xxhash64("text_key")
-    shared = lines.groupBy("leaf").agg(F.min(text_hash).alias("p"), F.max(text_hash).alias("q"), F.count("*").alias("n_rows")).where("p < q").select("leaf", "n_rows")
+    shared = lines.groupBy("leaf").agg(F.min(text_hash).alias("p"), F.max(text_hash).alias("q")).where("p < q").select("leaf")
     shared = materialize(shared, "line-leaves")
-    n_leaves, n_lines = shared.agg(F.count("*"), F.coalesce(F.sum("n_rows"), F.lit(0))).first()
+    n_leaves = 2 * shared.count()  # for twice the bits
+    # a lone leaf that the bitmap lets through makes no template of several texts
     may = lines.join(F.broadcast(bitmap(shared.select(F.col("leaf").alias("key")), n_leaves, "line-bitmap")), in_bitmap(F.col("leaf")), "left_semi")
-    lines = join_hot(may, shared, ["leaf"], n_lines).drop("n_rows").withColumn("line_key", F.unhex(F.md5("masked")))
-    lines = materialize(lines, "line-shared")
+    lines = materialize(may.withColumn("line_key", F.unhex(F.md5("masked"))), "line-shared")
+    n_lines = lines.count()
     own = [F.coalesce(f"t{i}", F.xxhash64("line_key", F.lit(i))).alias(f"t{i}") for i in (1, 2)]
     placed = join_hot(lines.drop("masked"), materialize(_templates(lines), "line-kinds"), ["line_key"], n_lines, "left")
     placed = materialize(placed.select("leaf", "n", "text_key", "doc_id", "line_no", *own), "line-templates")

@@ -77,7 +77,7 @@ def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = r"""
 WITH l AS (
   SELECT DISTINCT doc_id, text, i - 1 AS line_no,
-         regexp_replace(trim(regexp_replace(regexp_replace(string_split(text, chr(10))[i], '([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])', ' \1 ', 'g'),
+         regexp_replace(trim(regexp_replace(regexp_replace(string_split(text, chr(10))[i], '([\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3041}-\x{30FF}\x{3400}-\x{9FFF}])', ' \1 ', 'g'),
            '[ \t\r\f\v]+', ' ', 'g')), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS masked
   FROM (SELECT doc_id, coalesce(text, '') AS text, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents)),
 t AS (SELECT *, string_split(masked, ' ') AS tok FROM l),
