@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.plans import chunks, facts, layouts
+from folioforge.plans import chunks, facts, layouts, steps
 
-ALL = chunks.QUERIES | facts.QUERIES | layouts.QUERIES
+ALL = chunks.QUERIES | facts.QUERIES | layouts.QUERIES | steps.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
