@@ -157,8 +157,8 @@ def _term_counts(docs: DataFrame, wanted: DataFrame, found: DataFrame) -> DataFr
     and which texts have copies.  Terms of texts without copies are counted where
     they are read and leave a task as one row per term; only for texts with
     copies do (term, text) pairs meet to be counted once.  What a bitmap lets
-    through by chance costs a row more and changes no count: the join with
-    ``wanted`` drops other terms, and a lone text is a pair of its own.
+    through by chance costs a row more and changes no count: terms that are not
+    wanted meet no entity later, and a lone text is a pair of its own.
     """
     spark = docs.sparkSession
     wanted = materialize(wanted, "pii-wanted")
@@ -204,12 +204,13 @@ def _term_counts(docs: DataFrame, wanted: DataFrame, found: DataFrame) -> DataFr
 
     hits = materialize(docs.mapInArrow(run, "term string, text_key binary, n long"), "pii-term-hits")
     pairs = hits.where("text_key is not null").distinct().select("term", "n")
-    return hits.where("text_key is null").select("term", "n").union(pairs).groupBy("term").agg(F.sum("n").alias("texts")).join(wanted, "term", "left_semi")
+    return hits.where("text_key is null").select("term", "n").union(pairs).groupBy("term").agg(F.sum("n").alias("texts"))
 
 
 def _bits(keys: DataFrame, n_keys: int) -> np.ndarray:
-    """The longs of a bitmap (at most four megabytes), for workers."""
-    return np.array(bitmap(keys, n_keys, "pii-bitmap").first().bits, np.int64)
+    """The longs of a bitmap (at most four megabytes), for workers; with 32 bits for
+    a key, as every word of every text is looked up."""
+    return np.array(bitmap(keys, 4 * n_keys, "pii-bitmap").first().bits, np.int64)
 
 
 def passes(bits: np.ndarray, key: bytes) -> bool:
