@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -94,11 +95,19 @@ def substantive(items: DataFrame) -> Column:
     return out
 
 
-def run_extractor(work: DataFrame, extractor: Callable[[str, list[dict]], list[dict]], tries: int = 3) -> DataFrame:
-    """work: analysis_id, category, chunks (array of struct) -> answer, status, error.
+#: Names under which models report what they have read and written.
+USAGE = {"prompt_tokens": ("prompt_tokens", "input_tokens"), "completion_tokens": ("completion_tokens", "output_tokens")}
+LONGEST_WAIT = 10.0
 
-    ``extractor(category, chunks)`` is the model or a stand-in.  Whatever it
-    raises after the last try makes that row failed, with no items.
+
+def run_extractor(work: DataFrame, extractor: Callable[[str, list[dict]], list[dict] | dict], tries: int = 3, wait: float = 2.0) -> DataFrame:
+    """work: analysis_id, category, chunks (array of struct) -> answer, status,
+    error, prompt_tokens, completion_tokens.
+
+    ``extractor(category, chunks)`` is the model or a stand-in; it gives items, or
+    a dict with items and usage.  Tries are ``wait`` seconds apart, doubled each
+    time up to LONGEST_WAIT.  Whatever it raises after the last makes that row
+    failed, with no items.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,17 +115,23 @@ def run_extractor(work: DataFrame, extractor: Callable[[str, list[dict]], list[d
             out = []
             for r in f.itertuples(index=False):
                 chunks = [c.asDict() if hasattr(c, "asDict") else dict(c) for c in (r.chunks if r.chunks is not None else [])]
-                answer, error = None, None
-                for _ in range(tries):
+                answer, error, usage = None, None, {}
+                for i in range(tries):
                     try:
-                        answer, error = json.dumps({"items": extractor(r.category, chunks)}), None
+                        made = extractor(r.category, chunks)
+                        made = made if isinstance(made, dict) else {"items": made}
+                        usage = made.get("usage") or {}
+                        answer, error = json.dumps({"items": made["items"]}), None
                         break
                     except Exception as e:  # noqa: BLE001  becomes the row's error
                         error = f"{type(e).__name__}: {e}"
-                out.append((r.analysis_id, r.category, answer, "failed" if error else "success", error))
-            yield pd.DataFrame(out, columns=["analysis_id", "category", "answer", "status", "error"])
+                        if i + 1 < tries:
+                            time.sleep(min(LONGEST_WAIT, wait * 2**i))
+                n = [next((int(usage[k]) for k in names if usage.get(k) is not None), 0) for names in USAGE.values()]
+                out.append((r.analysis_id, r.category, answer, "failed" if error else "success", error, *n))
+            yield pd.DataFrame(out, columns=["analysis_id", "category", "answer", "status", "error", *USAGE])
 
-    return work.select("analysis_id", "category", "chunks").mapInPandas(run, "analysis_id string, category string, answer string, status string, error string")
+    return work.select("analysis_id", "category", "chunks").mapInPandas(run, "analysis_id string, category string, answer string, status string, error string, prompt_tokens long, completion_tokens long")
 
 
 class HashEmbedder:
@@ -144,19 +159,31 @@ def batch_size(mean_tokens: float, most: int = 16, budget: int = 20_000) -> int:
     return min(most, max(1, int(budget / mean_tokens))) if mean_tokens else most
 
 
-def embed(chunks: DataFrame, embedder: Callable[[list[str]], list[list[float]]], dim: int, batch: int = 16) -> DataFrame:
-    """Adds embedding, of the title, a blank line and the content."""
+def embed(chunks: DataFrame, embedder: Callable[[list[str]], list[list[float]]], dim: int, batch: int | None = None, strict: bool = True) -> DataFrame:
+    """Adds embedding, of the title, a blank line and the content.
+
+    Requests have ``batch`` inputs, or as many as :func:`batch_size` allows for the
+    first hundred texts of an Arrow batch.  Without ``strict`` the inputs of a
+    request that fails have a null vector (and are found by their words alone).
+    """
     from pyspark.sql.types import ArrayType, FloatType
 
     def run(s: pd.Series) -> pd.Series:
         texts, out = list(s), []
-        for i in range(0, len(texts), batch):
-            out += embedder(texts[i : i + batch])
-        if any(len(v) != dim for v in out):
-            raise ValueError(f"a vector without {dim} numbers")
+        some = [len((t or "").split()) for t in texts[:100]]
+        step = batch or batch_size(sum(some) / len(some) if some else 0)
+        for i in range(0, len(texts), step):
+            part = texts[i : i + step]
+            try:
+                made = embedder(part)
+                if any(len(v) != dim for v in made):
+                    raise ValueError(f"a vector without {dim} numbers")
+            except Exception:
+                if strict:
+                    raise
+                made = [None] * len(part)
+            out += made
         return pd.Series(out, dtype=object)
 
     text = F.when(F.coalesce(F.trim("title"), F.lit("")) != "", F.concat("title", F.lit("\n\n"), "content")).otherwise(F.col("content"))
     return chunks.withColumn("embedding", F.pandas_udf(run, ArrayType(FloatType()))(text))
-
-

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import dehyphenate
+from folioforge.sources.schemas import BOX
 
 TABLE_BASE, TABLE_STEP = 10_000_000, 1000
 TOLERANCE, SHEET_TOLERANCE = 2.0, 1.0
@@ -176,7 +177,8 @@ def match_paragraphs(blocks: DataFrame, paragraphs: DataFrame) -> DataFrame:
 
     p = paragraph_ids(paragraphs).withColumn("idx", F.col("para_id.idx"))
     left = blocks.where("block_type = 'paragraph'").select("document_id", "page_number", "block_no", "content").groupBy("document_id", "page_number")
-    right = p.select("document_id", "page_number", "idx", "content").groupBy("document_id", "page_number")
+    # both sides may come from one table: new columns keep them apart
+    right = p.select(*(F.col(c).alias(c) for c in ("document_id", "page_number", "idx", "content"))).groupBy("document_id", "page_number")
     found = left.cogroup(right).applyInPandas(run, "document_id string, block_no int, page_number int, idx int")
     return found.join(p.select("document_id", "page_number", "idx", "para_id", *(["box"] if "box" in p.columns else [])), ["document_id", "page_number", "idx"]).drop("idx")
 
@@ -187,6 +189,29 @@ def valid_boxes(boxes: Column, width: Column, height: Column) -> Column:
     return F.filter(boxes, lambda b: (b["width"] > 0) & (b["height"] > 0) & (b["x"] >= -t) & (b["y"] >= -t) & (b["x"] + b["width"] <= width + t) & (b["y"] + b["height"] <= height + t))
 
 
+def with_geometry(blocks: DataFrame, paragraphs: DataFrame, pages: DataFrame) -> DataFrame:
+    """Adds para_id and bbox (on the sheet, in points) of the paragraph that a block is.
+
+    ``blocks`` need block_no.  A block without a paragraph, or on a page without
+    a unit of length, has no box.
+    """
+    sizes = page_sizes(pages).select("document_id", "page_number", "page_width", "page_height")
+    boxed = scaled(paragraphs, pages).select("document_id", "page_number", "span_offset", "box")
+    found = match_paragraphs(blocks, paragraphs.join(boxed, ["document_id", "page_number", "span_offset"], "left")).select("document_id", "block_no", "para_id", "box")
+    out = blocks.join(found, ["document_id", "block_no"], "left").join(sizes, ["document_id", "page_number"], "left")
+    boxes = F.when(F.col("box").isNotNull(), valid_boxes(F.array("box"), F.col("page_width"), F.col("page_height")))
+    return out.withColumn("bbox", F.coalesce(boxes, F.array().cast(f"array<{BOX}>"))).drop("box", "page_width", "page_height")
+
+
+def row_boxes(cells: DataFrame, tables: DataFrame, pages: DataFrame) -> DataFrame:
+    """document_id, table_id, row_index (from 1), box: around the cells of a row."""
+    placed = scaled(cells.join(tables.select("document_id", "table_id", "page_number"), ["document_id", "table_id"]), pages)
+    x, y = F.min("box.x"), F.min("box.y")
+    wide, high = F.max(F.col("box.x") + F.col("box.width")) - x, F.max(F.col("box.y") + F.col("box.height")) - y
+    box = F.struct(F.min("box.page").alias("page"), x.alias("x"), y.alias("y"), wide.alias("width"), high.alias("height"))
+    return placed.groupBy("document_id", "table_id", (F.col("row_index") + 1).alias("row_index")).agg(box.alias("box"))
+
+
 def html_blocks(pages: DataFrame) -> DataFrame:
     """page_id, block_no, heading_level, content of headings and paragraphs of HTML.
 

@@ -113,7 +113,7 @@ def fuse(*legs: DataFrame, constant: int = RRF) -> DataFrame:
 
 def token_overlap(query: Column, content: Column) -> Column:
     """Different query words of more than two letters that the text has."""
-    q = F.filter(F.array_distinct(tokens(matching_form(query))), lambda t: F.length(t) > 2)
+    q = F.filter(F.array_distinct(tokens(matching_form(query))), lambda t: F.char_length(t) > 2)
     return F.size(F.array_intersect(q, tokens(matching_form(content))))
 
 
@@ -168,8 +168,8 @@ def expand_parents(hits: DataFrame, chunks: DataFrame, top_k: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k).select("query_id", "id", "b.score", "b.matched_id", "rank")
 
 
-def boost_category(hits: DataFrame, category: str, top_k: int, factor: float = BOOST) -> DataFrame:
-    """Raises chunks of a category; a missing score is 1 / (rank + 1), rank from 0.
+def boost_category(hits: DataFrame, category: str | Column, top_k: int, factor: float = BOOST) -> DataFrame:
+    """Raises chunks of a category (or of each row's own); a missing score is 1 / (rank + 1), rank from 0.
 
     ``hits``: query_id, id, rank (from 1), score, primary_category,
     secondary_categories.

@@ -4,29 +4,82 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.operators import chunking, classify, consolidate, extract, layout, sections
-from folioforge.sources import store
+from folioforge.operators import chunking, classify, consolidate, extract, ground, layout, retrieve, sections
+from folioforge.sources import schemas, scratch, store
 
 FIELDS = ("valor", "fecha", "hora", "expresion_relativa", "texto_original", "lugar", "monto_porcentaje", "monto_valor", "moneda")
 
 
+def document_blocks(layouts: DataFrame) -> DataFrame:
+    """Layouts (document_id, markdown and any of schemas.LAYOUT) -> schemas.BLOCK.
+
+    With cells, tables become "header: value" rows at their place in the text;
+    with paragraphs and pages, blocks get paragraph ids, boxes and lines.  What a
+    reader does not give is null; tables without cells are left out.
+    """
+    part = lambda name: layouts.select("document_id", F.explode(name).alias("x")).select("document_id", "x.*")
+    has = lambda *names: all(n in layouts.columns for n in names)
+    blocks = layout.parse_markdown(layouts.where(F.col("markdown").isNotNull()))
+    if has("cells", "tables"):
+        blocks = layout.place_tables(blocks, layout.table_rows(part("cells")), part("tables"))
+    else:
+        blocks = blocks.where("block_type <> 'table'").withColumns({"row_order": F.lit(0), "table_ref": F.lit(None).cast(schemas.TABLE_REF)})
+    order = Window.partitionBy("document_id").orderBy("source_order", "row_order")
+    blocks = blocks.withColumn("block_no", F.row_number().over(order) - 1)
+    if not has("paragraphs", "pages"):
+        return blocks.withColumns({"para_id": F.lit(None).cast(schemas.PARA_ID), "bbox": F.array().cast(f"array<{schemas.BOX}>"), "lines": F.lit(None).cast(f"array<{schemas.LINE}>")})
+    blocks = layout.with_geometry(blocks, part("paragraphs"), part("pages"))
+    if has("cells", "tables"):
+        rows = layout.row_boxes(part("cells"), part("tables"), part("pages")).select(F.col("document_id").alias("__d"), F.col("table_id").alias("__t"), F.col("row_index").alias("__r"), "box")
+        same = (F.col("document_id") == F.col("__d")) & (F.col("table_ref.table_id") == F.col("__t")) & (F.col("row_order") == F.col("__r"))
+        blocks = blocks.join(rows, same, "left").withColumn("bbox", F.when(F.col("box").isNotNull(), F.array("box")).otherwise(F.col("bbox"))).drop("__d", "__t", "__r", "box")
+    if has("lines"):
+        return layout.attach_lines(blocks, layout.scaled(part("lines"), part("pages")))
+    return blocks.withColumn("lines", F.lit(None).cast(f"array<{schemas.LINE}>"))
+
+
 def ingest(layouts: DataFrame, analysis_id: str, glossary: Sequence[classify.Category], embedder: Callable, dim: int, size: int = chunking.SIZE, overlap: int = chunking.OVERLAP) -> tuple[DataFrame, DataFrame]:
     """(index rows, failed documents) of an analysis.
 
-    ``layouts``: document_id, markdown, error.  A document that could not be read
-    is reported and does not keep the others from the index.
+    ``layouts``: document_id, markdown, error, and what else the reader gives.  A
+    document that could not be read is reported and does not keep the others
+    from the index.
     """
     failed = layouts.where(F.col("error").isNotNull()).select("document_id", "error")
-    blocks = layout.parse_markdown(layouts.where(F.col("error").isNull() & F.col("markdown").isNotNull())).where("block_type <> 'table'")
-    full = blocks.withColumns({"row_order": F.lit(0), "table_ref": F.lit(None).cast("struct<table_id:string,row_index:int,headers:array<string>>"), "para_id": F.lit(None).cast("struct<page:int,idx:int>"), "bbox": F.array().cast("array<struct<page:int,x:double,y:double,width:double,height:double>>")})
-    chunks = chunking.create_chunks(sections.build_sections(full), size, overlap)
+    blocks = document_blocks(layouts.where(F.col("error").isNull() & F.col("markdown").isNotNull()))
+    chunks = chunking.create_chunks(sections.build_sections(blocks), size, overlap)
     labelled = classify.classify(chunks, glossary)
     return store.index_ids(extract.embed(labelled, embedder, dim), analysis_id), failed
 
 
+def extract_facts(questions: DataFrame, index: DataFrame, extractor: Callable, top_k: int = 25, tries: int = 3, wait: float = 2.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(items, references, runs): one extractor run per analysis and category.
+
+    ``questions``: analysis_id, category, query, query_vec (may be null).
+    ``index``: what :func:`ingest` makes.  Retrieval inside the analysis over all
+    text fields, the category's chunks raised, the relevance cut, the token
+    budget, the model, its answer as items, and every reference verified against
+    the chunks of its page.
+    """
+    name = F.concat_ws("\x1f", "analysis_id", "category")
+    asked = questions.withColumn("query_id", name)
+    fields = index.withColumn("heading", F.array_join(F.coalesce("heading_path", F.array().cast("array<string>")), " "))
+    hits = retrieve.hybrid(asked, fields, 3 * top_k, ("content", "title", "section_path", "heading"), "analysis_id")
+    more = index.select("id", "primary_category", "secondary_categories", "token_count", "document_id", "page_number", "content", "section_path")
+    hits = hits.join(more, "id").join(asked.select("query_id", "analysis_id", "category"), "query_id")
+    best = retrieve.boost_category(hits, F.col("category"), top_k).withColumns({"score": F.col("boosted"), "rank": F.col("new_rank")})
+    kept = retrieve.token_budget(retrieve.relevance_cut(best))
+    shown = F.struct("rank", "id", "document_id", "page_number", "section_path", "content")
+    work = kept.groupBy("analysis_id", "category").agg(F.array_sort(F.collect_list(shown)).alias("chunks"))  # bounded by the budget
+    runs = scratch.written(extract.run_extractor(work, extractor, tries, wait), "extractor-runs")
+    items = extract.normalise_items(runs.where("status = 'success'"), ["analysis_id", "category"])
+    refs = items.select("analysis_id", "category", "item_no", F.posexplode("source_references").alias("ref_no", "r")).select("analysis_id", "category", "item_no", "ref_no", "r.document_id", "r.page_number", "r.citation")
+    checked = ground.verify_references(refs, index.select("document_id", "page_number", "chunk_index", "content", "table_ref", "id")).withColumn("rescued", F.lit(False))
+    return ground.item_status(checked, items), checked, runs
+
 
 def canonical(category: Column, tipo: Column, strict: bool = False) -> Column:
     """The type of an item in the vocabulary of its category."""

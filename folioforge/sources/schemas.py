@@ -5,6 +5,15 @@ LINE = "struct<x:double,y:double,width:double,height:double,t:string>"
 TABLE_REF = "struct<table_id:string,row_index:int,headers:array<string>>"
 PARA_ID = "struct<page:int,idx:int>"
 
+#: What a layout reader gives besides its markdown.
+LAYOUT = {
+    "pages": "array<struct<page_number:int,unit:string,width:double,height:double>>",
+    "paragraphs": "array<struct<page_number:int,span_offset:int,content:string,polygon:array<double>>>",
+    "tables": "array<struct<table_id:string,table_no:int,page_number:int>>",
+    "cells": "array<struct<table_id:string,row_index:int,column_index:int,kind:string,content:string,polygon:array<double>>>",
+    "lines": "array<struct<page_number:int,content:string,polygon:array<double>>>",
+}
+
 BLOCK = f"document_id string, block_no int, page_number int, block_type string, content string, source_order int, row_order int, heading_level int, table_ref {TABLE_REF}, para_id {PARA_ID}, bbox array<{BOX}>, lines array<{LINE}>"
 SOURCE_BLOCK = f"struct<para_id:{PARA_ID},bbox:array<{BOX}>,content:string>"
 SECTION = f"document_id string, block_no int, page_number int, block_type string, content string, heading_path array<string>, is_heading boolean, table_ref {TABLE_REF}, table_context string, blocks array<{SOURCE_BLOCK}>"

@@ -195,12 +195,13 @@ def test_extractor_and_embedder(spark):
         return [{"tipo": "x", "valor": c["content"], "confidence": 7, "extraction_status": "?", "source_references": []} for c in chunks]
 
     work = spark.createDataFrame([("a", "good", [("uno",), ("dos",)]), ("a", "bad", [("x",)])], "analysis_id string, category string, chunks array<struct<content:string>>")
-    out = extract.run_extractor(work, model)
+    out = extract.run_extractor(work, model, wait=0.0)
     assert {r.category: r.status for r in out.collect()} == {"good": "success", "bad": "failed"}
     items = extract.normalise_items(out, ["analysis_id", "category"]).collect()
     assert [(r.valor, r.confidence, r.extraction_status) for r in items] == [("uno", None, "not_found"), ("dos", None, "not_found")]
     chunks = spark.createDataFrame([("t", "c"), (None, "c")], "title string, content string")
     a, b = extract.embed(chunks, extract.HashEmbedder(8), 8).collect()
+    assert [r.embedding for r in extract.embed(chunks, lambda texts: [[0.0]] * len(texts), 8, strict=False).collect()] == [None, None]
     assert len(a.embedding) == 8 and a.embedding != b.embedding and extract.batch_size(3000) == 6 and extract.batch_size(50_000) == 1
 
 

@@ -17,6 +17,56 @@ def test_ingest_to_index(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "i")).count() == 3
 
 
+def test_tables_and_boxes_reach_the_index(spark):
+    md = "# Pliego\n\nEl plazo de entrega es de 30 días.\n\n<table>\n<tr><td>x</td></tr>\n</table>\n\nFin del documento."
+    square = lambda x, y, w=2.0, h=0.5: [float(v) for v in (x, y, x + w, y, x + w, y + h, x, y + h)]
+    rows = [
+        (
+            "d1",
+            md,
+            None,
+            [(1, "inch", 8.0, 11.0)],
+            [(1, 0, "Pliego", square(1.0, 1.0)), (1, 10, "El plazo de entrega es de 30 días.", square(1.0, 2.0)), (1, 90, "Fin del documento.", square(7.5, 9.0))],
+            [("t", 0, 1)],
+            [("t", 0, 0, "columnHeader", "Renglón", square(1, 3)), ("t", 0, 1, "columnHeader", "Precio", square(3, 3)), ("t", 1, 0, None, "Papel", square(1, 4)), ("t", 1, 1, None, "$ 5", square(3, 4))],
+            [(1, "El plazo de entrega", square(1.1, 2.1, 1.0, 0.2)), (1, "elsewhere", square(5, 9))],
+        )
+    ]
+    kinds = ", ".join(f"{n} {k}" for n, k in schemas.LAYOUT.items())
+    layouts = spark.createDataFrame(rows, f"document_id string, markdown string, error string, {kinds}")
+    blocks = {r.content: r for r in jobs.document_blocks(layouts).collect()}
+    assert blocks["Pliego"].bbox[0].asDict() == {"page": 1, "x": 72.0, "y": 72.0, "width": 144.0, "height": 36.0} and blocks["Pliego"].para_id.idx == 0
+    assert [x.t for x in blocks["El plazo de entrega es de 30 días."].lines] == ["El plazo de entrega"]
+    assert blocks["Fin del documento."].bbox == []  # beyond the sheet
+    row = blocks["Renglón: Papel\nPrecio: $ 5"]
+    assert row.block_type == "table" and row.table_ref.asDict() == {"table_id": "t", "row_index": 2, "headers": ["Renglón", "Precio"]} and row.bbox[0].width == 4 * 72.0
+    index, _ = jobs.ingest(layouts, "a", (Category("plazos", ("dias",), ("plazo",)),), HashEmbedder(16), 16)
+    got = {r.block_type: r for r in index.collect()}
+    assert got["table"].table_ref.headers == ["Renglón", "Precio"] and "Precio: $ 5" in got["table"].content and len(got["table"].blocks[0].bbox) == 1
+
+
+def test_extractor_run(spark):
+    md = "# Pliego\n\n## Plazo de entrega\n\nEl plazo de entrega es de 30 días corridos.\n\n## Garantía\n\nLa garantía de oferta es del 5 % del total."
+    layouts = spark.createDataFrame([("d1", md, None), ("d2", "# Otro\n\nNada.", None)], "document_id string, markdown string, error string")
+    glossary = (Category("plazos", ("plazo de entrega", "dias"), ("plazo",)), Category("garantias", ("oferta",), ("garantia",)))
+    embedder = HashEmbedder(16)
+    index, _ = jobs.ingest(layouts, "a", glossary, embedder, 16)
+    asked = spark.createDataFrame([("a", "plazos", "plazo de entrega", embedder(["plazo de entrega"])[0]), ("a", "garantias", "garantía de oferta", None), ("a", "roto", "plazo", None)], "analysis_id string, category string, query string, query_vec array<double>")
+
+    def model(category, chunks):
+        if category == "roto":
+            raise RuntimeError("no model")
+        text = chunks[0]["content"]
+        ref = {"document_id": chunks[0]["document_id"], "page_number": chunks[0]["page_number"], "citation": text if category == "plazos" else "una cita que nadie escribió"}
+        return {"items": [{"tipo": "t", "valor": text, "confidence": 0.9, "extraction_status": "success", "source_references": [ref]}], "usage": {"input_tokens": 7, "completion_tokens": 2}}
+
+    items, refs, runs = jobs.extract_facts(asked, index, model, top_k=3, tries=2, wait=0.0)
+    got = {r.category: (r.extraction_status, r.n_grounded, r.warning) for r in items.collect()}
+    assert got == {"plazos": ("success", 1, None), "garantias": ("partial", 0, "citation_unverified")}
+    assert {r.category: (r.status, r.prompt_tokens, r.completion_tokens) for r in runs.collect()} == {"plazos": ("success", 7, 2), "garantias": ("success", 7, 2), "roto": ("failed", 0, 0)}
+    assert {r.grounded for r in refs.collect()} == {True, False}
+
+
 def item(no, category, tipo, status="success", refs=(("d", 1, "una cita bastante larga"),), **k):
     base = dict.fromkeys("valor fecha hora expresion_relativa texto_original lugar monto_porcentaje monto_valor moneda".split()) | k
     return ("a", category, no, tipo, *[base[c] for c in ("valor", "fecha", "hora", "expresion_relativa", "texto_original", "lugar", "monto_porcentaje", "monto_valor", "moneda")], {}, 0.5, status, [(*r, None, None) for r in refs])
