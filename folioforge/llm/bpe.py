@@ -35,7 +35,9 @@ WINDOW = 8
 #: Threads over the leaves of one long piece, and leaves from which they are used.
 THREADS, MANY_LEAVES = 4, 8
 #: Pieces remembered by one worker; beyond that it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
+#: Text that goes to the library together: it answers with hundreds of bytes a piece.
+SLICE_BYTES = 1 << 20
 
 #: A space with a plain character on either side: pre-tokens begin at such a
 #: space and nothing before it looks past it.  Other white space is left alone.
@@ -223,7 +225,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
         bpe = codec(path, leaf)
         decimal = [str(i).encode() for i in range(len(bpe.bytes_of))]
         sha = hashlib.sha256
-        for b in text_slices(batches, 1):
+        for b in text_slices(batches, 1, SLICE_BYTES):
             all_ids = bpe.encode_batch([t or "" for t in b.column(1).to_pylist()])
             cols = [b.column(0).cast(pa.int64()), pa.array(map(len, all_ids), pa.int64())]
             decoded = [bpe.decode(ids) for ids in all_ids]
