@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from folioforge.llm.bpe import encode_decode
-from folioforge.llm.common import materialize, table
+from folioforge.llm.common import materialize, scratch_scope, table
 from folioforge.llm.decontaminate import drop_contaminated
 from folioforge.llm.exact_dedup import drop_exact_copies
 from folioforge.llm.minhash import drop_near_copies
@@ -51,5 +51,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch_scope(spark):  # what a stage has put aside goes with it
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
     return docs
