@@ -42,7 +42,7 @@ def test_equals_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_runs(spark, name):
-    assert registry.queries()[name](spark, SF).columns
+    assert registry.queries()[name](spark, SF).count() > 0
 
 
 def test_contract(spark):
