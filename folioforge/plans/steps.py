@@ -60,7 +60,7 @@ def polygon_boxes(spark: SparkSession, d: str) -> DataFrame:
     return f.select("l_orderkey", "l_linenumber", box.alias("b")).where("b is not null").select("l_orderkey", "l_linenumber", "b.page", *[F.round(f"b.{c}", 4).alias(c) for c in ("x", "y", "width", "height")])
 
 
-POLYGON_BOXES = """SELECT l_orderkey, l_linenumber, l_linenumber AS page, round(l_quantity * s, 4) AS x, round((l_tax * 100 - 1) * s, 4) AS y, round(5.0 * s, 4) AS width, round(8.0 * s, 4) AS height
+POLYGON_BOXES = """SELECT l_orderkey, l_linenumber, l_linenumber AS page, round(l_quantity * s, 4) AS x, round((l_tax * 100 - 1) * s, 4) AS y, CAST(5.0 * s AS DOUBLE) AS width, CAST(8.0 * s AS DOUBLE) AS height
 FROM (SELECT *, CASE l_returnflag WHEN 'A' THEN 72.0 WHEN 'N' THEN 1.0 END AS s FROM lineitem) WHERE s IS NOT NULL"""
 
 
