@@ -30,6 +30,10 @@ VARIABLE = "<*>"
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u9fff"
 
 
+#: Characters below and beside those; a text of them alone is passed over in one loop.
+SPACED = r"\A[\x00-\u0dff\u1d00-\u2fff]*+\z"
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.unhex(F.md5("text")).alias("text_key"), "text")
 
@@ -42,7 +46,7 @@ def _masked(text: Column) -> Column:
     Done on whole texts: what is done after lines are split would be evaluated
     again in every filter on it.  The work is linear however long tokens are.
     """
-    unspaced = (F.octet_length(text) > F.char_length(text)) & text.rlike(f"[{UNSPACED}]")
+    unspaced = (F.octet_length(text) > F.char_length(text)) & ~text.rlike(SPACED) & text.rlike(f"[{UNSPACED}]")
     odd = text.startswith(" ") | text.endswith(" ") | unspaced
     for part in ("  ", " \n", "\n ", "\t", "\r", "\f", "\x0b"):
         odd = odd | F.contains(text, F.lit(part))
@@ -56,8 +60,9 @@ def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, line_no, masked (tokens joined by one space), n, leaf."""
     at = docs.select("doc_id", F.unhex(F.md5("text")).alias("text_key"), F.split(_masked(F.col("text")), "\n").alias("lines"))
     at = at.select("doc_id", "text_key", F.posexplode("lines").alias("line_no", "masked"))
-    # rules of dashes, brackets, numbers alone tell nothing
-    at = at.where(F.col("masked").rlike(r"\p{L}"))
+    # rules of dashes, brackets, numbers alone tell nothing; most lines begin with a letter
+    line = F.col("masked")
+    at = at.where(((line >= "A") & (line < "[")) | ((line >= "a") & (line < "{")) | line.rlike(r"\p{L}"))
     n = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
     return at.withColumn("n", n).withColumn("leaf", F.xxhash64("n", F.substring_index("masked", " ", DEPTH)))
 
