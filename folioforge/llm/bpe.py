@@ -36,8 +36,9 @@ WINDOW = 8
 THREADS, MANY_LEAVES = 4, 8
 #: Pieces remembered by one worker; beyond that it starts anew.
 REMEMBERED = 100_000
-#: Text that goes to the library together: it answers with hundreds of bytes a piece.
-SLICE_BYTES = 1 << 20
+#: Text of a slice, and pieces that go to the library together, which answers with
+#: hundreds of bytes each.
+SLICE_BYTES, TOGETHER = 1 << 20, 20_000
 
 #: A space with a plain character on either side: pre-tokens begin at such a
 #: space and nothing before it looks past it.  Other white space is left alone.
@@ -122,8 +123,10 @@ class BpeCodec:
             if pieces:
                 new.update(dict.fromkeys(p for p in pieces if p not in memory))
         fresh = list(new)
-        for p, e in zip(fresh, self.whole.encode_batch_fast(fresh, add_special_tokens=False)):
-            memory[p] = tuple(e.ids)
+        for i in range(0, len(fresh), TOGETHER):
+            part = fresh[i : i + TOGETHER]
+            for p, e in zip(part, self.whole.encode_batch_fast(part, add_special_tokens=False)):
+                memory[p] = tuple(e.ids)
         out = []
         for text, pieces in zip(texts, cut):
             if pieces is None:

@@ -35,6 +35,8 @@ from .common import text_slices
 
 # Boolean queries: True, False, a trigram, or ("and" | "or", frozenset of queries)
 
+#: Bytes of text whose trigrams are looked up at a time.
+WINDOW = 1 << 20
 MAX_EXACT = 24
 MAX_CLASS = 8
 
@@ -220,14 +222,18 @@ class Scanner:
         raw = np.frombuffer(b"\0\0".join([*parts, b""]).lower(), np.uint8)
         if not len(self.codes) or len(raw) < 3:
             return {g: np.empty(0, np.int64) for g in self.vocabulary}
-        code = raw[:-2].astype(np.uint32)
-        for ahead in (raw[1:-1], raw[2:]):
-            code <<= 8
-            code |= ahead
-        at = np.flatnonzero(self.wanted[code])
         starts = np.cumsum([0, *(len(p) + 2 for p in parts)])
-        text = np.searchsorted(starts, at, side="right") - 1
-        pair = np.unique(np.searchsorted(self.codes, code[at]) * len(texts) + text)
+        pairs = [np.empty(0, np.int64)]
+        for first in range(0, len(raw) - 2, WINDOW):
+            part = raw[first : first + WINDOW + 2]
+            code = part[:-2].astype(np.uint32)
+            for ahead in (part[1:-1], part[2:]):
+                code <<= 8
+                code |= ahead
+            at = np.flatnonzero(self.wanted[code])
+            text = np.searchsorted(starts, at + first, side="right") - 1
+            pairs.append(np.unique(np.searchsorted(self.codes, code[at]) * len(texts) + text))
+        pair = np.unique(np.concatenate(pairs))
         trigram, text = np.divmod(pair, len(texts))
         ends = np.searchsorted(trigram, np.arange(len(self.codes) + 1))
         return {g: text[ends[i] : ends[i + 1]] for i, g in enumerate(self.vocabulary)}

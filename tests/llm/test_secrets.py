@@ -1,6 +1,9 @@
 import random
 import re
 
+import pytest
+
+from folioforge.llm import secrets
 from folioforge.llm.queries import secrets_digest
 from folioforge.llm.secrets import BASE_RULES, RULES, Rule, Scanner, find_secrets, posting_lists, sha256_hex, trigram_query, trigrams_of
 
@@ -62,7 +65,9 @@ def test_frame(spark):
     assert {r.trigram for r in lists} == {"tok", "oke", "ken"} and {r.block for r in lists} == {0} and all(r.postings == [1, 1] for r in lists)
 
 
-def test_index_equals_search():
+@pytest.mark.parametrize("window", [1 << 20, 50])
+def test_index_equals_search(monkeypatch, window):
+    monkeypatch.setattr(secrets, "WINDOW", window)
     s, all_texts = Scanner(RULES), texts()
     low = [re.sub("[A-Z]", lambda m: m[0].lower(), t) for t in all_texts]
     got = s.index(all_texts)
