@@ -11,6 +11,7 @@ from .bpe import encode_decode
 from .common import table
 from .decontaminate import flag_contaminated
 from .exact_dedup import exact_dedup
+from .fim import fill_in_middle, restore
 from .html_extract import extract_main_text
 from .line_dedup import drop_recurring_lines
 from .minhash import near_duplicates
@@ -166,6 +167,35 @@ def op10_bm25_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flag_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = restore(fill_in_middle(table(spark, sf_dir, "documents")))
+    digests = (F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("output", "restored"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+OP12_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+         sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents),
+c AS (
+  SELECT doc_id, text, u, len(u) AS n,
+         CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS x, CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS y,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 100 THEN 'plain'
+              WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM t),
+p AS (
+  SELECT doc_id, text, n, form, array_to_string(u[1:least(x, y)], '') AS prefix,
+         array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS middle, array_to_string(u[greatest(x, y) + 1:n], '') AS suffix
+  FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_mincut": op1_html_mincut,
@@ -178,6 +208,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_ordinal_quality": op9_ordinal_quality,
         "op10_bm25_wand": op10_bm25_wand,
+        "op12_fill_in_middle": op12_fill_in_middle,
     }
 
 
@@ -187,4 +218,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_line_templates": OP5_SQL,
         "op6_minhash": OP6_SQL,
         "op8_exact_dedup": OP8_SQL,
+        "op12_fill_in_middle": OP12_SQL,
     }
