@@ -13,10 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .buffers import bytes_of
 from .common import text_slices
 
 #: Prefix, suffix, middle.
@@ -41,17 +41,6 @@ UNITS = {
 }
 
 
-def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all texts (null: empty), and where each begins and the last ends."""
-    texts = pc.fill_null(texts, "")
-    wide = pa.types.is_large_string(texts.type)
-    _, offsets, data = texts.buffers()
-    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
-    at = at.astype(np.int64)
-    whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    return whole[at[0] : at[-1]], at - at[0]
-
-
 def _find(data: np.ndarray, word: bytes) -> np.ndarray:
     """Where ``word`` begins, ascending."""
     at = np.flatnonzero(data[: max(0, len(data) - len(word) + 1)] == word[0])
@@ -78,7 +67,7 @@ def _gather(source: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Arr
 def transform_batch(texts: pa.Array, h: list[np.ndarray], unit: str, plain_from: int, spm_below: int, marks: tuple[str, ...]) -> list[pa.Array]:
     """n, form, prefix_chars, middle_chars and output for one batch; ``h``: four
     arrays of numbers that decide each row."""
-    data, at = _bytes_of(texts)
+    data, at = bytes_of(texts)
     lo, hi = at[:-1], at[1:]
     classes, begins = UNITS[unit]
     kind = classes[data]
@@ -114,7 +103,7 @@ def transform_batch(texts: pa.Array, h: list[np.ndarray], unit: str, plain_from:
 
 def restore_batch(outputs: pa.Array, forms: pa.Array, marks: tuple[str, ...]) -> pa.Array:
     """The texts from which ``outputs`` were made."""
-    data, at = _bytes_of(outputs)
+    data, at = bytes_of(outputs)
     lo, hi = at[:-1], at[1:]
     form = np.array(forms.to_pylist(), object)
     spm, plain = form == "spm", (form != "spm") & (form != "psm")

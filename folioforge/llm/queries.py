@@ -13,6 +13,7 @@ from .decontaminate import flag_contaminated
 from .exact_dedup import exact_dedup
 from .fim import fill_in_middle, restore
 from .html_extract import extract_main_text
+from .licenses import PHRASES, TEMPLATES, THRESHOLD, compiled, scan_licenses
 from .line_dedup import drop_recurring_lines
 from .minhash import near_duplicates
 from .pii import KINDS, sanitise
@@ -167,6 +168,65 @@ def op10_bm25_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flag_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def license_digest(docs: DataFrame) -> DataFrame:
+    found = scan_licenses(docs)
+    joined = (F.array_join(c, ",").alias(c) for c in ("base_labels", "labels"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", *joined, "score")
+
+
+def op11_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_digest(table(spark, sf_dir, "documents"))
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def op11_sql() -> str:
+    """Windows, sets of words and shares by brute force."""
+    known = compiled(TEMPLATES, THRESHOLD)
+    words = ",\n  ".join(f"({k}, {_quoted(w)})" for k, t in enumerate(known) for w in sorted(t.words))
+    heads = ",\n  ".join(f"({k}, {_quoted(t.family)}, {_quoted(t.label)}, {t.window}, {t.least}, {len(t.words)})" for k, t in enumerate(known))
+    phrases = ", ".join(f"({_quoted(label)}, [{', '.join(map(_quoted, p.split()))}])" for label, p in PHRASES)
+    return rf"""
+WITH tw(tid, word) AS (VALUES
+  {words}),
+t(tid, family, label, size, least, n_own) AS (VALUES
+  {heads}),
+ph(label, p) AS (VALUES {phrases}),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents),
+base AS (
+  SELECT r, label, unnest(list_filter(range(0, len(w) - len(p) + 1), lambda i: w[i + 1] = p[1] AND w[i + 1:i + len(p)] = p)) AS pos
+  FROM d CROSS JOIN ph WHERE list_contains(w, p[1])),
+per AS (SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS labels FROM base GROUP BY r),
+p AS (SELECT r, len(w) AS n, unnest(range(0, len(w))) AS pos, unnest(w) AS word FROM d),
+hit AS (
+  SELECT r, n, tid, word, unnest([pos // (size // 2), pos // (size // 2) - 1]) AS block
+  FROM p JOIN tw USING (word) JOIN t USING (tid)),
+fit AS (
+  SELECT r, tid, block, count(DISTINCT word) AS c FROM hit JOIN t USING (tid)
+  WHERE block >= 0 AND block < greatest(1, (hit.n + size // 2 - 1) // (size // 2) - 1)
+  GROUP BY r, tid, block, least HAVING count(DISTINCT word) >= least),
+ranked AS (
+  SELECT r, label, CAST(c AS DOUBLE) / n_own AS share, family, block, size,
+         rank() OVER (PARTITION BY r, size, block, family ORDER BY CAST(c AS DOUBLE) / n_own DESC, n_own DESC) AS place
+  FROM fit JOIN t USING (tid)),
+best AS (
+  SELECT r, size, block, family, min(label) AS label FROM ranked WHERE place = 1 GROUP BY ALL HAVING min(label) = max(label)),
+own AS (SELECT r, list(DISTINCT label) AS labels FROM best GROUP BY r),
+top AS (SELECT r, max(share) AS share FROM ranked GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(array_to_string(list_sort(per.labels), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(per.labels, []), coalesce(own.labels, [])))), ','), '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END AS score
+FROM d LEFT JOIN per USING (r) LEFT JOIN own USING (r) LEFT JOIN top USING (r)
+"""
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = restore(fill_in_middle(table(spark, sf_dir, "documents")))
     digests = (F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("output", "restored"))
@@ -208,6 +268,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_ordinal_quality": op9_ordinal_quality,
         "op10_bm25_wand": op10_bm25_wand,
+        "op11_license_join": op11_license_join,
         "op12_fill_in_middle": op12_fill_in_middle,
     }
 
@@ -218,5 +279,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_line_templates": OP5_SQL,
         "op6_minhash": OP6_SQL,
         "op8_exact_dedup": OP8_SQL,
+        "op11_license_join": op11_sql(),
         "op12_fill_in_middle": OP12_SQL,
     }
