@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_decode
+from .collocations import mine_collocations
 from .common import table
 from .decontaminate import flag_contaminated
 from .exact_dedup import exact_dedup
@@ -256,6 +257,41 @@ FROM p
 """
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_collocations(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS phrase
+  FROM w CROSS JOIN (VALUES (1), (2), (3), (4)) AS sizes(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k AS size, phrase, f AS a FROM f WHERE k > 1 AND f >= 30),
+cut AS (SELECT c.*, i AS k, phrase[1:i] AS head, phrase[i + 1:size] AS tail FROM cand c, (VALUES (1), (2), (3)) AS at(i) WHERE i < size),
+scored AS (
+  SELECT c.lang, c.size, c.phrase, c.a, x.f AS l, y.f AS r, c.k, ((2000000::HUGEINT * c.a) // (x.f::HUGEINT + y.f))::BIGINT AS score
+  FROM cut c JOIN f x ON x.lang = c.lang AND x.phrase = c.head JOIN f y ON y.lang = c.lang AND y.phrase = c.tail),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+part AS (
+  SELECT lang, a, unnest(list_transform(range(1, size - m + 2), lambda i: phrase[i:i + m - 1])) AS phrase
+  FROM cand CROSS JOIN (VALUES (2), (3)) AS sizes(m) WHERE m < size),
+over_ AS (SELECT lang, phrase, max(a) AS within FROM part GROUP BY ALL),
+kept AS (
+  SELECT b.* FROM best b LEFT JOIN over_ o ON o.lang = b.lang AND o.phrase = b.phrase
+  WHERE within IS NULL OR 100::HUGEINT * within < 80::HUGEINT * a),
+ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(phrase, ' ')) AS rank, array_to_string(phrase, ' ') AS phrase, a, l, r, score
+  FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_mincut": op1_html_mincut,
@@ -270,6 +306,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_bm25_wand": op10_bm25_wand,
         "op11_license_join": op11_license_join,
         "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_collocations": op13_collocations,
     }
 
 
@@ -281,4 +318,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_exact_dedup": OP8_SQL,
         "op11_license_join": op11_sql(),
         "op12_fill_in_middle": OP12_SQL,
+        "op13_collocations": OP13_SQL,
     }
