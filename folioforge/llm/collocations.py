@@ -34,7 +34,7 @@ from .common import bitmap, join_hot, materialize, text_slices
 SUPPORT, LONGEST, TOP, COVER = 30, 4, 2000, 80
 #: Scores count in parts of this many.
 SCALE = 2_000_000
-SLICE_BYTES, CHUNK = 32 << 20, 12 << 20
+SLICE_BYTES, CHUNK = 12 << 20, 6 << 20
 #: Salts of the first rounds of a ranking; each round keeps the best of each salt.
 ROUNDS = (1024, 32)
 _SEPARATES = np.isin(np.arange(256), np.frombuffer(b".,;:!?\n\v\f\r", np.uint8))
@@ -241,7 +241,7 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LON
     named = named.groupBy("slice").agg(F.collect_list(F.struct("place", "id")).alias("x")).select("slice", F.col("x.place").alias("places"), F.col("x.id").alias("ids"))
     spelled = coded.select("slice", "lang", "codes").join(named, "slice").select("lang", "codes", "places", "ids").mapInArrow(_spell, "lang string, codes binary, ids array<long>")
     spelled = materialize(spelled, "phrase-spelled")
-    pairs = spelled.mapInArrow(_pairs, "w1 long, w2 long, lang string, n long").groupBy("w1", "w2").agg(F.first("lang").alias("lang"), F.sum("n").alias("a")).where(F.col("a") >= support)
+    pairs = spelled.mapInArrow(_pairs, "w1 long, w2 long, lang string, n long").groupBy("lang", "w1", "w2").agg(F.sum("n").alias("a")).where(F.col("a") >= support)
     pairs = materialize(pairs, "phrase-pairs")
     phrases = pairs.select("lang", F.array("w1", "w2").alias("ids"), "a")
     if longest > 2:
@@ -251,7 +251,7 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LON
         windows = materialize(spelled.mapInArrow(_windows(longest, sent), "lang string, window array<long>, n long"), "phrase-windows")
         ranges = windows.repartitionByRange("window").sortWithinPartitions("window")
         grown = ranges.mapInArrow(_grown(longest, support), "lang string, phrase array<long>, n long")
-        grown = grown.groupBy(F.col("phrase").alias("ids")).agg(F.first("lang").alias("lang"), F.sum("n").alias("a")).where(F.col("a") >= support)
+        grown = grown.groupBy("lang", F.col("phrase").alias("ids")).agg(F.sum("n").alias("a")).where(F.col("a") >= support)
         phrases = phrases.unionByName(grown)
     return totals, words, materialize(phrases, "phrases")
 
@@ -268,7 +268,7 @@ def mine_collocations(docs: DataFrame, support: int = SUPPORT, longest: int = LO
     ``cover`` per cent of its occurrences or more is left out.  Ranks go by score
     and a descending, then by the phrase's bytes.  Null lang is ``und``, null text
     empty; repeated rows count each; an empty table gives an empty result.  A
-    worker holds some twenty times a chunk of twelve megabytes of text (or of the
+    worker holds some twenty times a chunk of six megabytes of text (or of the
     longest run without punctuation).
     """
     totals, words, phrases = frequent_phrases(docs, support, longest, lang_col, text_col)
@@ -278,7 +278,7 @@ def mine_collocations(docs: DataFrame, support: int = SUPPORT, longest: int = LO
     known = words.select(F.array("id").alias("part"), F.col("a").alias("f")).unionByName(phrases.where(size < longest).select(F.col("ids").alias("part"), F.col("a").alias("f")))
     of_part = _counted_join(materialize(cuts, "phrase-cuts"), known, "part")
     of_cut = lambda side, k: F.max(F.when((F.col("side") == side) & (F.col("k") == k), F.col("f")))
-    both = of_part.groupBy("ids").agg(F.first("lang").alias("lang"), F.first("a").alias("a"), *(of_cut(s, k).alias(f"{c}{k}") for k in range(1, longest) for s, c in enumerate("lr")))
+    both = of_part.groupBy("lang", "ids", "a").agg(*(of_cut(s, k).alias(f"{c}{k}") for k in range(1, longest) for s, c in enumerate("lr")))
     score = "CAST(a AS DECIMAL(20,0)) * {scale} div (CAST(l{k} AS DECIMAL(20,0)) + CAST(r{k} AS DECIMAL(20,0)))"
     each_cut = [F.when(F.col(f"l{k}").isNotNull(), F.struct(F.expr(score.format(scale=SCALE, k=k)).alias("score"), F.lit(k).alias("k"), F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r"))) for k in range(1, longest)]
     scored = both.withColumn("cut", F.array_min(F.array_compact(F.array(*each_cut)))).select("lang", "ids", "a", "cut.l", "cut.r", "cut.score")

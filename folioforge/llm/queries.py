@@ -273,7 +273,7 @@ g AS (
 f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
 total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
 cand AS (SELECT lang, k AS size, phrase, f AS a FROM f WHERE k > 1 AND f >= 30),
-cut AS (SELECT c.*, i AS k, phrase[1:i] AS head, phrase[i + 1:size] AS tail FROM cand c, (VALUES (1), (2), (3)) AS at(i) WHERE i < size),
+cut AS (SELECT c.*, i AS k, phrase[1:i] AS head, phrase[i + 1:size] AS tail FROM cand c, (VALUES (1), (2), (3)) AS place(i) WHERE i < size),
 scored AS (
   SELECT c.lang, c.size, c.phrase, c.a, x.f AS l, y.f AS r, c.k, ((2000000::HUGEINT * c.a) // (x.f::HUGEINT + y.f))::BIGINT AS score
   FROM cut c JOIN f x ON x.lang = c.lang AND x.phrase = c.head JOIN f y ON y.lang = c.lang AND y.phrase = c.tail),
