@@ -65,7 +65,7 @@ class BpeCodec:
         self.leaf, self.window = leaf, window
         self.special = {t.content: i for i, t in self.whole.get_added_tokens_decoder().items()}
         self.special_cut = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.unsplit = re.compile(rf"\S{{{leaf},}}|\s{{{leaf},}}")
+        self.unsplit = re.compile(rf"(?<!\S)\S{{{leaf},}}+|(?<!\s)\s{{{leaf},}}+")
         self.memory: dict[str, tuple[int, ...]] = {}
         self.bytes_of = self._token_bytes()
 

@@ -241,7 +241,9 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LON
     named = named.groupBy("slice").agg(F.collect_list(F.struct("place", "id")).alias("x")).select("slice", F.col("x.place").alias("places"), F.col("x.id").alias("ids"))
     spelled = coded.select("slice", "lang", "codes").join(named, "slice").select("lang", "codes", "places", "ids").mapInArrow(_spell, "lang string, codes binary, ids array<long>")
     spelled = materialize(spelled, "phrase-spelled")
-    pairs = spelled.mapInArrow(_pairs, "w1 long, w2 long, lang string, n long").groupBy("lang", "w1", "w2").agg(F.sum("n").alias("a")).where(F.col("a") >= support)
+    # a slice has counted its pairs; few of them are in the next slice, so nothing is gained by summing before the shuffle
+    pairs = spelled.mapInArrow(_pairs, "w1 long, w2 long, lang string, n long").repartition("lang", "w1", "w2")
+    pairs = pairs.groupBy("lang", "w1", "w2").agg(F.sum("n").alias("a")).where(F.col("a") >= support)
     pairs = materialize(pairs, "phrase-pairs")
     phrases = pairs.select("lang", F.array("w1", "w2").alias("ids"), "a")
     if longest > 2:

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, text_slices
+from .common import UNSPACED, materialize, text_slices
 
 K1, B = 1.2, 0.75
 UNIT, THETA = 64, 0.5
@@ -51,7 +51,8 @@ TABLE_BITS = 20
 SHARD_BYTES = 8 << 20
 #: Shards that are broadcast together and searched in one pass over the documents.
 AT_ONCE = 4
-WORD = re.compile(r"[^\W_]+")
+#: In scripts written without spaces (UNSPACED) a character is a word.
+WORD = re.compile(rf"(?=[^\W_])[{UNSPACED}]|[^\W_{UNSPACED}]+")
 
 
 def words_of(text: str | None) -> list[str]:

@@ -50,8 +50,8 @@ IN_HEAD = frozenset("html head title meta link base basefont bgsound script styl
 SCOPE = frozenset("ul ol dl table td th body html article section div aside nav main footer header form menu".split())
 
 #: Containers that speak for or against content, with log odds.
-TAG_ODDS = {"article": 3.0, "main": 2.5, "nav": -6.0, "aside": -6.0, "footer": -6.0, "header": -2.5, "form": -6.0, "menu": -6.0, "dialog": -6.0, "search": -6.0}
-ROLE_ODDS = {"main": 2.5, "article": 3.0, "navigation": -6.0, "banner": -4.0, "complementary": -6.0, "contentinfo": -6.0, "search": -6.0, "dialog": -6.0, "alertdialog": -6.0, "alert": -6.0, "form": -6.0, "menu": -6.0, "menubar": -6.0, "note": -1.0}
+TAG_ODDS = {"article": 3.0, "main": 2.5, "nav": -6.0, "aside": -6.0, "footer": -6.0, "header": -2.5, "menu": -6.0, "dialog": -6.0, "search": -6.0}
+ROLE_ODDS = {"main": 2.5, "article": 3.0, "navigation": -6.0, "banner": -4.0, "complementary": -6.0, "contentinfo": -6.0, "search": -6.0, "dialog": -6.0, "alertdialog": -6.0, "alert": -6.0, "menu": -6.0, "menubar": -6.0, "note": -1.0}
 #: Words of class and id attributes.
 NOT_CONTENT = frozenset(
     "ad ads adv advert adverts advertisement advertisements adsbygoogle banner sponsor sponsored sponsors promo promotion promoted comment comments discussion disqus respond replies reply feedback sidebar sidebars rail widget widgets nav navbar navigation menu menus breadcrumb breadcrumbs pager pagination footer foot masthead header topbar toolbar cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations trending copyright legal disclaimer tags taglist skip skiplink hidden".split()
@@ -61,7 +61,11 @@ CONTENT = frozenset("article content post entry story main maincontent articlebo
 LAYOUT = frozenset("has with no without".split())
 #: What these words name is not the article of the page, though articles may be in it.
 OTHERS = frozenset("comment comments discussion disqus respond replies reply feedback related recommended recommendations trending sponsored promoted".split())
-CLASS_ODDS, GOOD_ODDS = -5.0, 1.0
+CLASS_ODDS, GOOD_ODDS, FORM_ODDS = -5.0, 1.0, -6.0
+#: What makes a form one: a form with less than so much text for each control is.
+CONTROLS, TEXT_OF_CONTROL = frozenset("input select textarea button label".split()), 100
+#: A class word gives way where the element has so many times the text that the page says elsewhere.
+OUTWEIGHS = 4
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 SPACE = re.compile(r"\s+")
 TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
@@ -69,7 +73,7 @@ NAME = re.compile(r"[^\s/>][^\s/>=]*")
 EQUALS = re.compile(r"\s*=\s*")
 VALUE = re.compile(r"[^\s>]*")
 BETWEEN = re.compile(r"[\s/]*")
-PRIOR, SMOOTH, NEAR = -0.4, 1.6, 0.8
+PRIOR, SMOOTH, NEAR, LONELY = -0.4, 1.6, 0.8, 1.0
 
 
 @cache
@@ -148,6 +152,7 @@ class Block:
     tag: str
     linked: int = 0
     alone: float = 0.0  # the odds if the wrappers of its article were of no opinion
+    free: float = 0.0  # the odds without any class word or form
 
 
 @dataclass(slots=True)
@@ -161,6 +166,19 @@ class _Open:
     inside: bool = False  # an article or main
     block: str = "body"  # the innermost block element
     heading: bool = False
+    free: float = 0.0
+    suspect: int = -1  # its place in the list of suspects
+
+
+@dataclass(slots=True)
+class _Suspect:
+    """An element with a class word against it, or a form: the blocks and controls in it."""
+
+    node: int
+    kind: str  # form, word, other
+    first: int
+    controls: int
+    last: int = -1
 
 
 class Parser:
@@ -172,6 +190,18 @@ class Parser:
     """
 
     def __init__(self, html: str):
+        pardoned: set[int] = set()
+        while True:
+            self._parse(html, pardoned)
+            more = self._pardons(pardoned) if self.suspects else set()
+            if not more:
+                return
+            pardoned |= more
+
+    def _parse(self, html: str, pardoned: set[int]) -> None:
+        self.pardoned = pardoned
+        self.suspects: list[_Suspect] = []
+        self.controls = 0
         self.blocks: list[Block] = []
         self.parent, self.depth = [0], [0]
         self.stack: list[_Open] = []
@@ -186,6 +216,7 @@ class Parser:
             else:
                 self._end(x)
         self._flush()
+        self._pop_to(0)
         self._weigh_articles()
 
     # elements
@@ -197,6 +228,8 @@ class Parser:
     def _start(self, tag: str, attributes: dict) -> None:
         if self.stack:
             self._close_head(tag)
+        if tag in CONTROLS and attributes.get("type", "").lower() != "hidden":
+            self.controls += 1
         if tag in VOID:
             if tag in BLOCK:
                 self._flush()
@@ -213,17 +246,20 @@ class Parser:
             if tag in HEADINGS and self.stack and self.stack[-1].tag in HEADINGS:
                 self._pop_to(len(self.stack) - 1)
         top = self.stack[-1] if self.stack else _Open("", 0, 0.0, False)
-        odds, bare, hidden, role = self._judge(tag, attributes, top)
+        odds, bare, free, hidden, role, suspect = self._judge(tag, attributes, top)
         inside = top.inside or role is not None
         alone = self._inherit(top.alone if top.inside else top.bare, odds) if inside else 0.0
         odds, bare, hidden = self._inherit(top.odds, odds), self._inherit(top.bare, bare), hidden or top.hidden
+        free = self._inherit(top.free, free)
         if role == "main":
             odds = alone
+        if suspect:
+            self.suspects.append(_Suspect(len(self.parent), suspect, len(self.blocks), self.controls))
         self.parent.append(top.number)
         self.depth.append(self.depth[top.number] + 1)
         self.places.setdefault(tag, []).append(len(self.stack))
         block = tag if tag in BLOCK else top.block
-        self.stack.append(_Open(tag, len(self.parent) - 1, odds, hidden, bare, alone if inside else odds, inside, block, top.heading or tag in HEADINGS))
+        self.stack.append(_Open(tag, len(self.parent) - 1, odds, hidden, bare, alone if inside else odds, inside, block, top.heading or tag in HEADINGS, free, len(self.suspects) - 1 if suspect else -1))
 
     def _close_head(self, tag: str) -> None:
         if self.stack[-1].tag == "head" and tag not in IN_HEAD:
@@ -250,6 +286,9 @@ class Parser:
             self._flush()
         for o in gone:
             self.places[o.tag].pop()
+            if o.suspect >= 0:
+                x = self.suspects[o.suspect]
+                x.last, x.controls = len(self.blocks), self.controls - x.controls
         del self.stack[i:]
 
     def _close_sibling(self, tags: set[str]) -> None:
@@ -277,7 +316,7 @@ class Parser:
             text = SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
                 o = self.stack[-1] if self.stack else _Open("", 0, 0.0, False)
-                self.blocks.append(Block(text, o.number, o.odds, o.block, self.linked, o.alone))
+                self.blocks.append(Block(text, o.number, o.odds, o.block, self.linked, o.alone, o.free))
         self.parts, self.linked = [], 0
 
     def _weigh_articles(self) -> None:
@@ -288,8 +327,36 @@ class Parser:
             for b in self.blocks:
                 b.odds = b.alone
 
-    def _judge(self, tag: str, attributes: dict, top: _Open) -> tuple[float, float, bool, str | None]:
-        """Log odds with and without class words, whether it is hidden, and article or main."""
+    def _pardons(self, pardoned: set[int]) -> set[int]:
+        """Elements whose class word or form tag is not about the text in them.
+
+        A form counts against its text by its controls.  A class word is about the
+        layout where the element holds most of what the page says: OUTWEIGHS times
+        the text elsewhere, or, for the words of OTHERS, all of it.  The largest
+        such element goes first, with those inside that hold more than half of it.
+        """
+        said, could = [0], [0]  # text of blocks taken for content as it is, and without class words
+        for b in self.blocks:
+            size, evidence = len(b.text) - b.linked, _evidence(b)
+            said.append(said[-1] + (size if b.odds >= -2 and evidence + b.odds > 0 else 0))
+            could.append(could[-1] + (size if b.free >= -2 and evidence + b.free > 0 else 0))
+        own = lambda x: could[x.last] - could[x.first]
+        elsewhere = lambda x: said[-1] - said[x.last] + said[x.first]
+        held = [x for x in self.suspects if x.node not in pardoned and own(x)]
+        forms = {x.node for x in held if x.kind == "form" and own(x) >= TEXT_OF_CONTROL * x.controls}
+        if forms:
+            return forms
+        words = [x for x in held if x.kind == "word" and own(x) > OUTWEIGHS * elsewhere(x) or x.kind == "other" and not elsewhere(x)]
+        # what it hides already counts elsewhere if it is not hidden
+        words = [x for x in words if said[x.last] - said[x.first] < own(x)]
+        if not words:
+            return set()
+        top = max(words, key=own)
+        return {x.node for x in self.suspects if x.kind != "form" and top.first <= x.first and x.last <= top.last and 2 * own(x) > own(top)}
+
+    def _judge(self, tag: str, attributes: dict, top: _Open) -> tuple[float, float, float, bool, str | None, str | None]:
+        """Log odds, those without class words, those without form and class words,
+        whether it is hidden, article or main, and the kind of suspect."""
         get = lambda k: unescape(attributes.get(k) or "")
         style = get("style").replace(" ", "").lower()
         hidden = tag in HIDDEN and not (tag == "button" and top.heading)
@@ -299,24 +366,35 @@ class Parser:
         if tag == "header" and self._last(("article", "main")) >= 0:
             odds += 2.0  # the heading of an article, not of the page
         role = next((x for x in ("main", "article") if x in (tag, role_name)), None)
+        free, suspect = odds, None
+        pardoned = len(self.parent) in self.pardoned
+        if (tag == "form" or role_name == "form") and not pardoned:
+            suspect, odds = "form", odds + FORM_ODDS
         bare = odds
         if tag not in ("html", "body", "article", "main", "h1", "h2", "h3"):
             names = ([w.lower() for w in WORD.findall(x)] for k in ("class", "id") for x in get(k).split())
             words = {w for name in names if name and name[0] not in LAYOUT for w in name}
             if words & NOT_CONTENT:
-                odds += CLASS_ODDS
-                bare = odds if words & OTHERS else bare
+                if not pardoned:
+                    odds += CLASS_ODDS
+                    bare = odds if words & OTHERS else bare
+                    suspect = suspect or ("other" if words & OTHERS else "word")
             elif words & CONTENT:
-                odds += GOOD_ODDS
+                odds, free = odds + GOOD_ODDS, free + GOOD_ODDS
                 bare = odds
-        return odds, bare, hidden, role
+        return odds, bare, free, hidden, role, suspect
 
 
 def log_odds(b: Block) -> float:
     """The classifier: above 0 it takes the block for content."""
+    return b.odds + _evidence(b)
+
+
+def _evidence(b: Block) -> float:
+    """What the block itself says, without its containers."""
     words = len(b.text.split())
     density = b.linked / max(1, len(b.text))
-    x = PRIOR + b.odds + min(2.5, 0.9 * math.log1p(words / 4)) - 5.0 * density * (1 if words < 60 else 0.3)
+    x = PRIOR + min(2.5, 0.9 * math.log1p(words / 4)) - 5.0 * density * (1 if words < 60 else 0.3)
     if b.text[-1:] in ".!?…»”\"。":
         x += 0.6
     if b.tag in ("h1", "h2", "h3", "p", "blockquote", "pre"):
@@ -411,14 +489,18 @@ def min_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool
             a = to[e]
 
 
-def label(html: str) -> list[tuple[Block, bool]]:
+def label(html: str, least: float = 0.0) -> list[tuple[Block, bool]]:
+    """Blocks, and whether they are kept; ``least`` is added for blocks of which
+    no container speaks against them."""
     p = Parser(html)
-    return list(zip(p.blocks, min_cut([log_odds(b) for b in p.blocks], list(_edges(p)))))
+    return list(zip(p.blocks, min_cut([log_odds(b) + (least if b.odds >= -2 else 0.0) for b in p.blocks], list(_edges(p)))))
 
 
 def main_text(html: str | None) -> str:
-    """The kept blocks in page order, joined by two line ends."""
-    return "\n\n".join(b.text for b, keep in label(html or "") if keep)
+    """The kept blocks in page order, joined by two line ends.  Where none is
+    kept, short plain blocks are all that the page has to say."""
+    kept = [b.text for b, keep in label(html or "") if keep] or [b.text for b, keep in label(html or "", LONELY) if keep]
+    return "\n\n".join(kept)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:

@@ -22,14 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, in_bitmap, join_hot, materialize
+from .common import UNSPACED, bitmap, in_bitmap, join_hot, materialize
 
 DEPTH, SUPPORT, SHARE, TEXTS, LONG = 3, 3, 0.5, 3, 50
 VARIABLE = "<*>"
-#: Scripts written without spaces (Thai, Lao, Myanmar, Khmer, kana, ideographs): there a character is a token.
-UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u9fff"
-
-
 #: Characters below and beside those; a text of them alone is passed over in one loop.
 SPACED = r"\A[\x00-\u0dff\u1d00-\u2fff]*+\z"
 

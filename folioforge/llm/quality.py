@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import UNSPACED, text_slices
 
 #: Rated documents that the fit uses at most.
 SAMPLE = 8000
@@ -31,6 +31,7 @@ LEAST_DOCS = 3
 CHI2 = 40.0
 EPOCHS, RATE, RIDGE = 150, 0.05, 0.3
 REMEMBERED = 100_000
+CHARACTER = re.compile(f"[{UNSPACED}]")
 EDGE = re.compile(r"^\W+|\W+$")
 
 
@@ -61,6 +62,9 @@ def _level(x: float, cuts: tuple[float, ...]) -> int:
 def features(text: str | None) -> np.ndarray:
     """Ascending slots of the features that the text has (each counts once)."""
     words = (text or "").split()
+    if text and not text.isascii() and CHARACTER.search(text):
+        # without spaces the characters are the words
+        words = CHARACTER.sub(r" \g<0> ", text).split()
     kinds = set(words)
     out = {s for w in kinds for s in _slots[w]}
     n = len(words)

@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import bitmap, in_bitmap, join_hot, materialize, scratch, text_slices
 
 LEAST_REVISIT = 1000
-#: Payload bytes that an archive should hold about, and inflated bytes a member may have.
-ARCHIVE_BYTES, MEMBER_BYTES = 512 << 20, 1 << 30
+#: Bytes that an archive may have, that members are written together in, and that a member may inflate to.
+ARCHIVE_BYTES, BUNDLE, MEMBER_BYTES = 512 << 20, 8 << 20, 1 << 30
 MEMBER = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/(?:0\.1[78]|1\.[01])\r\n")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -114,73 +114,117 @@ def plan_records(pages: DataFrame, keys: DataFrame, least: int = LEAST_REVISIT)
     return copied.select(*out).union(payload.join(bits, may, "left_anti").withColumn("refers_to", F.lit(None).cast("long")).select(*out))
 
 
-def write_warc(pages: DataFrame, path: str, least: int = LEAST_REVISIT, level: int = 6, max_records_per_file: int = 20_000, archive_bytes: int = ARCHIVE_BYTES) -> None:
+def write_warc(pages: DataFrame, path: str, least: int = LEAST_REVISIT, level: int = 6, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Write one record per row below ``path``.  Null html = empty payload; a
-    null page_id gives an identifier without a number.  A file has as many
-    records as make ``archive_bytes`` of average payloads, at most
-    ``max_records_per_file``."""
+    null page_id gives an identifier without a number.
+
+    Archives are bounded in bytes.  Members go to the writer in bundles of at most
+    BUNDLE bytes or one member, and a file has so many bundles that even the
+    largest record in each would make no more than ``archive_bytes`` (or a
+    single record that is larger).
+    """
+    largest = 1 << 10  # of headers, a member's framing and what does not compress
+    keys = materialize(_payloads(pages).select("page_id", "sha1", "n_bytes", (F.col("n_bytes") + F.coalesce(F.octet_length(F.col("url")), F.lit(0))).alias("size")), "warc-keys")
+    largest += (keys.agg(F.max("size")).first()[0] or 0) * 1001 // 1000
+    bundle = max(min(BUNDLE, archive_bytes), largest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def bundled() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["value"])
+            held.clear()
+            return out
+
         for b in text_slices(batches, 2):
-            out = []
             for page_id, url, html, sha1, _, refers_to in zip(*(c.to_pylist() for c in b.columns)):
                 kind = "response" if refers_to is None else "revisit"
-                out.append(member(record_bytes(page_id, url, html.encode("utf-8"), sha1, refers_to, kind), level)[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
-
-    keys = materialize(_payloads(pages).select("page_id", "sha1", "n_bytes"), "warc-keys")
-    mean = keys.agg(F.avg("n_bytes")).first()[0] or 1
-    packed = plan_records(pages, keys, least).mapInArrow(run, "value binary")
+                one = member(record_bytes(page_id, url, html.encode("utf-8"), sha1, refers_to, kind), level)
+                if held and size + len(one) > bundle:
+                    yield bundled()
+                    size = 0
+                held.append(one)
+                size += len(one)
+        if held:
+            yield bundled()
+
+    packed = plan_records(pages, keys.drop("size"), least).mapInArrow(run, "value binary")
     # the cast keeps the bytes as they are
     rows = packed.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\x00").option("compression", "none")
-    rows.option("maxRecordsPerFile", max(1, min(max_records_per_file, int(archive_bytes / max(1, mean))))).text(path)
+    rows.option("maxRecordsPerFile", max(1, archive_bytes // bundle)).text(path)
 
 
 # reading --------------------------------------------------------------------
 
 
-def parse_record(data: bytes, proof: bool = False) -> tuple[dict, int]:
-    """Fields and end of the record that starts ``data``; ValueError if a check
-    fails, and with ``proof`` also if the record states no digest of its own."""
-    v = VERSION.match(data)
+class Broken(ValueError):
+    """A record that fails a check; none begins in what its headers cover, up to ``upto``."""
+
+    def __init__(self, reason: str, upto: int):
+        super().__init__(reason)
+        self.upto = upto
+
+
+class _LineEnds:
+    """Where the next line end stands; as it is asked in ascending order, every
+    byte is searched once."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at = data, -1
+
+    def after(self, at: int) -> int:
+        if self.at < at:
+            found = self.data.find(b"\r\n", at)
+            self.at = found if found >= 0 else len(self.data)
+        return self.at
+
+
+def parse_record(data: bytes, proof: bool = False, at: int = 0, ends: _LineEnds | None = None) -> tuple[dict, int]:
+    """Fields and end of the record at ``at``; Broken if a check fails, and with
+    ``proof`` also if the record states no digest of its own.
+
+    Headers are read line by line up to the first that is none.  A block is not
+    looked at unless it ends where its header says, and not copied unless all
+    checks hold.
+    """
+    v = VERSION.match(data, at)
     if not v:
-        raise ValueError("no version line")
-    end = data.find(b"\r\n\r\n", v.end() - 2)
-    if end < 0:
-        raise ValueError("headers without end")
-    head = {}
-    for line in data[v.end() : end].split(b"\r\n"):
-        name, colon, value = line.partition(b":")
-        if not colon:
-            raise ValueError("malformed header")
+        raise Broken("no version line", at)
+    head, line, ends = {}, v.end(), ends or _LineEnds(data)
+    while (end := ends.after(line)) != line:
+        name, colon, value = data[line:end].partition(b":")
+        # no valid text holds the first bytes of a member
+        if not colon or end >= len(data) or MEMBER in name or MEMBER in value:
+            raise Broken("headers without end" if end >= len(data) else "malformed header", line)
         head[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-    try:
-        n = int(head["content-length"])
-    except (KeyError, ValueError):
-        raise ValueError("no content length") from None
-    if n < 0:
-        raise ValueError("no content length")
-    start = end + 4
-    block, stop = data[start : start + n], start + n
-    if len(block) < n or data[stop : stop + 4] != b"\r\n\r\n":
-        raise ValueError("block of another length")
+        line = end + 2
+    stated_length = head.get("content-length", "")
+    if end >= len(data):
+        raise Broken("headers without end", line)
+    if not (stated_length.isascii() and stated_length.isdigit() and len(stated_length) < 19):
+        raise Broken("no content length", line)
+    start = end + 2
+    stop = start + int(stated_length)
+    if data[stop : stop + 4] != b"\r\n\r\n":
+        raise Broken("block of another length", line)
     stated = head.get("warc-block-digest", "").removeprefix("sha1:")
-    if stated and stated != hashlib.sha1(block).hexdigest():
-        raise ValueError("block digest differs")
+    if stated and stated != hashlib.sha1(memoryview(data)[start:stop]).hexdigest():
+        raise Broken("block digest differs", line)
     if proof and not stated and (head.get("warc-type") == "revisit" or not head.get("warc-payload-digest")):
-        raise ValueError("no digest in a broken member")
-    return _fields(head, block), stop + 4
+        raise Broken("no digest in a broken member", line)
+    return _fields(head, data, start, stop), stop + 4
 
 
-def _fields(head: dict, block: bytes) -> dict:
-    http, _, payload = block.partition(b"\r\n\r\n")
+def _fields(head: dict, data: bytes, start: int, stop: int) -> dict:
+    http = data.find(b"\r\n\r\n", start, stop)
+    http, body = (http, http + 4) if http >= 0 else (stop, stop)
     revisit = head.get("warc-type") == "revisit"
-    length = re.search(rb"(?im)^content-length:[ \t]*(\d+)", http)
+    length = re.compile(rb"(?im)^content-length:[ \t]*(\d+)").search(data, start, http) if revisit else None
     digest = head.get("warc-payload-digest", "").removeprefix("sha1:")
     if not revisit:
-        own = hashlib.sha1(payload).hexdigest()
+        own = hashlib.sha1(memoryview(data)[body:stop]).hexdigest()
         if digest and digest != own:
-            raise ValueError("payload digest differs")
+            raise Broken("payload digest differs", start)
         digest = own
     number = lambda x: int(m[1]) if (m := ID.fullmatch(x or "")) and m[1] else None
     return {
@@ -188,9 +232,9 @@ def _fields(head: dict, block: bytes) -> dict:
         "url": head.get("warc-target-uri"),
         "record_type": head.get("warc-type"),
         "refers_to": number(head.get("warc-refers-to")) if revisit else None,
-        "payload_bytes": int(length[1]) if revisit and length else len(payload),
+        "payload_bytes": int(length[1]) if length else stop - body,
         "payload_digest": digest,
-        "payload": None if revisit else payload,
+        "payload": None if revisit else data[body:stop],
     }
 
 
@@ -254,17 +298,16 @@ class _Starts:
 def _records_of(text: bytes, proof: bool) -> tuple[list[dict], str | None]:
     """The records of an inflated member and the first thing wrong with it; after
     a record that fails, the next version line is looked for."""
-    found, used, wrong = [], 0, None
+    found, used, wrong, ends = [], 0, None, _LineEnds(text)
     while used < len(text):
         try:
-            fields, size = parse_record(text[used : _plain_end(text, used)], proof)
-        except ValueError as e:
+            fields, used = parse_record(text, proof, used, ends)
+        except Broken as e:
             wrong = wrong or str(e)
-            m = VERSION.search(text, used + 1)
+            m = VERSION.search(text, max(used + 1, e.upto))
             used = m.start() if m else len(text)
             continue
         found.append(fields)
-        used += size
     return found, wrong
 
 
@@ -276,7 +319,7 @@ def salvage(data: bytes) -> Iterator[tuple]:
     records with a digest of their own are kept.
     """
     view, at, n = memoryview(data), 0, len(data)
-    starts = _Starts(data)
+    starts, ends = _Starts(data), _LineEnds(data)
     gap = reason = None
     while at < n:
         try:
@@ -285,7 +328,7 @@ def salvage(data: bytes) -> Iterator[tuple]:
                 text, stop, broken = _inflate(view, at)
                 found, wrong = _records_of(text, broken is not None)
                 if broken and not found:
-                    raise ValueError(broken)
+                    raise Broken(broken, at)
                 if broken or wrong:
                     if gap is not None:
                         yield "gap", gap, at, reason
@@ -295,15 +338,14 @@ def salvage(data: bytes) -> Iterator[tuple]:
                     at = starts.after(at + 1) if broken else stop
                     continue
             elif VERSION.match(data, at):
-                # headers tell how much to look at
-                fields, size = parse_record(data[at : _plain_end(data, at)])
-                found, stop = [fields], at + size
+                fields, stop = parse_record(data, False, at, ends)
+                found = [fields]
             else:
-                raise ValueError("neither member nor version line")
-        except ValueError as e:
+                raise Broken("neither member nor version line", at)
+        except Broken as e:
             if gap is None:
                 gap, reason = at, str(e)
-            at = starts.after(at + 1)
+            at = starts.after(max(at + 1, e.upto))
             continue
         if gap is not None:
             yield "gap", gap, at, reason
@@ -315,13 +357,6 @@ def salvage(data: bytes) -> Iterator[tuple]:
         yield "gap", gap, n, reason
 
 
-def _plain_end(data: bytes, at: int) -> int:
-    """Where the uncompressed record at ``at`` should end, by its own header."""
-    head = data.find(b"\r\n\r\n", at)
-    m = re.compile(rb"(?i)\r\ncontent-length:[ \t]*(\d{1,18})").search(data, at, head + 2 if head >= 0 else at)
-    return head + 8 + int(m[1]) if m else min(len(data), at + (1 << 16))
-
-
 def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """Everything found below ``path``: one row per record or gap (``gap``).
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import threading
+import time
 
 import pytest
 from tokenizers import Tokenizer
@@ -71,3 +72,16 @@ def test_frame(spark, library):
         assert r.decoded_sha256 == hashlib.sha256(r.decoded.encode()).hexdigest()
         assert r.ids == library.encode(r.decoded, add_special_tokens=False).ids and r.n_tokens == len(r.ids)
     assert encode_decode(df.limit(0)).count() == 0
+
+
+def test_search_for_long_runs_is_linear():
+    bpe = BpeCodec(default_vocabulary())
+    for unit in ("x" * 2040 + " ", " " * 2040 + "x", "x", " ", "ab "):
+        took = []
+        for n in (1_000_000, 4_000_000):
+            text = unit * (n // len(unit))
+            began = time.time()
+            found = sum(m.end() - m.start() for m in bpe.unsplit.finditer(text))
+            took.append(time.time() - began)
+            assert found == (len(text) if len(unit) == 1 else 0)
+        assert took[1] < 2, unit[:5]

@@ -123,3 +123,18 @@ def test_parts_far_apart():
         k = next(k for k, y in enumerate(index.items) if y.item_id == i)
         passages = [scores(index, set(w[at : at + 2 * D.UNIT]) - {-1}) for at in range(0, len(w), D.UNIT)]
         assert abs(x[0] - max(p.get(u, 0.0) for p in passages for u, own in enumerate(index.item_of) if own == k)) < 1e-9
+
+
+def test_scripts_without_spaces(spark):
+    """An item inside a longer sentence, in brute force and in the index."""
+    r = random.Random(2)
+    signs = [chr(c) for c in range(0x4E00, 0x4F00)] + [chr(c) for c in range(0x0E01, 0x0E20)]
+    say = lambda n: "".join(r.choices(signs, k=n))
+    items = [(i, say(30) if i % 2 else say(25) + "\n" + say(8)) for i in range(20)]
+    rows = [(i, say(120) + (text.replace("\n", say(3)) if i % 4 else "") + say(200)) for i, text in items]
+    rows += [(100, "前文说明" + items[1][1] + "后文继续"), (101, say(400)), (102, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    got = {x.doc_id for x in D.flag_contaminated(docs, tests).where("contaminated").collect()}
+    assert got == {d for d, _ in brute(rows, items)} and 100 in got and 101 not in got and len(got) >= 14
+    assert D.words_of("Ab_c 日本x語") == ["ab", "c", "日", "本", "x", "語"]

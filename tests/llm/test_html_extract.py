@@ -2,7 +2,7 @@ import itertools
 import random
 import time
 
-from folioforge.llm.html_extract import Parser, _edges, extract_main_text, label, log_odds, main_text, min_cut
+from folioforge.llm.html_extract import NOT_CONTENT, Parser, _edges, extract_main_text, label, log_odds, main_text, min_cut
 
 LONG = "This paragraph has a fair number of words, and it says one thing after another until it ends."
 BODY = "\n\n".join(["A title", LONG, "Short one.", LONG + " Again & again."])
@@ -31,6 +31,40 @@ def test_templates():
     assert main_text(inside) == want
 
 
+def test_forms_and_class_words_around_the_article():
+    nav = "<nav><ul><li><a href=/a>Home</a><li><a href=/b>News of the day</a></ul></nav><header><a href=/>Site</a></header>"
+    foot = "<footer>&copy; 2020 Site. All rights are reserved by somebody, somewhere, and for ever.</footer>"
+    side = f"<aside><h2>Related</h2><p>{LONG}</p></aside><div class='sidebar'><p>{LONG}</p></div>"
+    form = "<form><label>Your mail</label><input><p>Subscribe to all our letters now.</p></form>"
+    comments = f"<section class='comments'><h3>Comments</h3><p>{LONG}</p></section>"
+    notice = "<div class='cookie-notice'><p>We use cookies, as everybody does, to see what you do here.</p></div>"
+    want = clean(BODY)
+    wrappers = [("<form method=post action=x><input type=hidden name=__VIEWSTATE value=x>", "</form>"), *((f"<div class={w}>", "</div>") for w in sorted(NOT_CONTENT))]
+    for before, after in wrappers:
+        for open_, close in (("<article>", "</article>"), ("<main>", "</main>"), ("<div id=content>", "</div>"), ("<div>", "</div>")):
+            text = f"<h1>A title</h1>{INNER}"
+            around = f"<html><body>{notice}{nav}{before}{open_}{text}{close}{after}{side}{form}{comments}{foot}"
+            within = f"<html><body>{notice}{nav}{open_}{before}{text}{after}{close}{side}{form}{comments}{foot}"
+            assert main_text(around) == want, (before, open_)
+            assert main_text(within) == want, (before, open_)
+            if before.startswith("<form") or before == "<div class=legal>":
+                assert main_text(f"<html><body>{before}{notice}{nav}{open_}{text}{close}{side}{form}{comments}{foot}{after}") == want, (before, open_)
+    # a form of controls stays one, comments stay comments beside the shortest article
+    assert main_text(f"<form><p>{LONG}</p><label>A</label><input><label>B</label><input></form><p>{LONG} And so on.</p>") == f"{LONG} And so on."
+    assert main_text(f"<p>{LONG}</p><div class=comments>{'<p>' + LONG * 9}</div>") == LONG
+
+
+def test_a_page_of_a_short_plain_list():
+    assert main_text("<ul><li>Milk<li>Eggs<li>Bread</ul>") == "Milk\n\nEggs\n\nBread"
+    assert main_text("<nav><ul><li><a href=/a>Home</a></ul></nav><div class=ad>Buy it</div>") == ""
+
+
+def test_nested_wrappers_are_linear():
+    began = time.time()
+    assert main_text("<div class=widget>" * 3000 + f"<p>{LONG}</p>" + "<form>" * 3000 + f"<p>{LONG * 3}</p>") != ""
+    assert time.time() - began < 10
+
+
 def test_cases():
     assert main_text(None) == main_text("") == main_text("<p> \n</p>") == ""
     assert main_text("<article><p>caf&eacute; &#x1F642; &lt;b&gt;</p></article>") == "café 🙂 <b>"

@@ -88,3 +88,11 @@ def test_scores_against_brute_force(spark):
         s = sum(w[i] for i in set(Q.features(text).tolist()))
         above = [1 - 1 / (1 + np.exp(-(c - s))) for c in (-1.0, 0.5)]
         assert abs(row.expected_grade - sum(above)) < 1e-5 and abs(row.p_top - above[1]) < 1e-5 and row.selected == (round(above[1], 6) >= 0.5)
+
+
+def test_scripts_without_spaces_have_features():
+    from folioforge.llm.quality import features
+
+    a, b = features("前文说明后文继续"), features("前文说明")
+    assert len(b) > 8 and set(b.tolist()) - set(a.tolist()) != set(b.tolist())
+    assert features("plain words, here").tolist() == features("plain words, here").tolist()

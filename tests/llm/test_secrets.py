@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -78,3 +79,15 @@ def test_index_equals_search(monkeypatch, window):
     # rules over other letters, or folding ones, are scanned fully
     odd = Scanner((Rule("a", "stra\u00dfe[0-9]+", 0), Rule("b", "kis[0-9]+", re.IGNORECASE)))
     assert [len(x) for x in odd.scan(["stra\u00dfe1", "\u212ai\u017f1", "x"])] == [1, 1, 0]
+
+
+def test_every_rule_is_linear():
+    parts = ["eyJ", "eyJabcdefgh.", "eyJabcdefgh.eyJ", "token", "token ", "secret=", "password:'", "api_key =", "AKIA", "akia", "0123456789abcde", "f", "ghp_", "gho_abc", "xoxb-", "xoxb-a", "-----BEGIN ", "-----BEGIN RSA ", "AIza", "AIza_", "=", " ", "-", "."]
+    s = Scanner(RULES)
+    for part in parts:
+        took = []
+        for n in (500_000, 2_000_000):
+            began = time.time()
+            s.scan([part * (n // len(part))])
+            took.append(time.time() - began)
+        assert took[1] < 10 and took[1] < 8 * max(took[0], 0.2), part

@@ -116,6 +116,39 @@ def test_false_starts_cost_little():
         assert [x[3]["page_id"] for x in got if x[0] == "record"] == [1, 1]
 
 
+def test_lying_lengths_are_linear():
+    good = rec(1, b"x" * 500)
+
+    def seconds(junk):
+        began = time.time()
+        got = list(salvage(junk + good))
+        assert [x[3]["page_id"] for x in got if x[0] == "record"] == [1], junk[:30]
+        return time.time() - began
+
+    for line in (b"WARC/1.0\r\nContent-Length: 90000000\r\n\r\n", b"WARC/1.0\r\nContent-Length: 200000\r\n\r\n", b"a:WARC/1.0\r\n", b"WARC/1.0\r\na: b\r\n", b"WARC/1.0\r\nContent-Length: " + b"9" * 18 + b"\r\n\r\n", b"WARC/1.0\r\nContent-Length: x\r\n\r\n"):
+        small, large = (seconds(line * (n // len(line))) for n in (1_250_000, 5_000_000))
+        assert large < 10 and large < 8 * max(small, 0.2), line  # the square would be sixteen times as slow
+        inside = seconds(gzip.compress(line * 20_000))
+        assert inside < 10
+
+
+def test_a_url_that_ends_like_a_version_line():
+    one = rec(7, b"abc").replace(b"http://h/", b"http://h/WARC/1.0\r\nX: ", 1) if b"http://h/" in rec(7, b"abc") else rec(7, b"abc").replace(b"Content-Length", b"X: y/WARC/1.0\r\nContent-Length", 1)
+    assert [x[3]["page_id"] for x in salvage(one + one)] == [7, 7]
+
+
+def test_archives_are_bounded_in_bytes(spark):
+    import os
+
+    # a few large pages among many small ones, none of which compresses
+    df = spark.range(400).selectExpr("id as page_id", "'u' as url", "array_join(transform(sequence(1, if(id % 97 = 0, 3000, 10)), x -> sha2(concat(id, x), 256)), '') as html").coalesce(1)
+    path = scratch(spark, "t")
+    write_warc(df, path, archive_bytes=300_000)
+    sizes = [os.path.getsize(f"{path}/{f}") for f in os.listdir(path) if f.startswith("part")]
+    assert max(sizes) <= 300_000 and len(sizes) > 3
+    assert records(read_warc(spark, path)).count() == 400
+
+
 def test_versions_and_bombs(monkeypatch):
     for version in (b"WARC/0.17", b"WARC/0.18", b"WARC/1.0", b"WARC/1.1"):
         one = rec(3, b"abc").replace(b"WARC/1.1", version, 1)
