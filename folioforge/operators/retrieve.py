@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import matching_form, tokens
+from folioforge.operators import lexical
 from folioforge.sources.scratch import written
 
 K1, B, RRF = 1.2, 0.75, 60
@@ -44,7 +45,8 @@ def inverted_index(docs: DataFrame, wanted: DataFrame, id_col: str, fields: Sequ
 
 
 def bm25(queries: DataFrame, docs: DataFrame, id_col: str = "doc_id", text: str | Sequence[str] = "text", within: str | None = None) -> DataFrame:
-    """query_id, id, score for every document with a query term.
+    """query_id, id, score for every document with a query term; for the best of
+    them there is :func:`folioforge.operators.lexical.search`.
 
     ``queries``: query_id, query.  ``text``: one field or several; each has
     statistics of its own and the scores add up.  Counts and mean lengths cover
@@ -123,23 +125,25 @@ def rank_with_overlap(hits: DataFrame) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(w))
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, top_k: int = 25, fields: Sequence[str] = ("content",), within: str | None = None) -> DataFrame:
+def hybrid(queries: DataFrame, chunks: DataFrame, top_k: int = 25, fields: Sequence[str] = ("content",), within: str | None = None, index: lexical.LexicalIndex | None = None) -> DataFrame:
     """query_id, id, score, overlap, rank.
 
     ``queries``: query_id, query, query_vec (may be null: lexical only).
     ``chunks``: id, content, embedding.  Without any hit and without a vector the
     first chunks by id are returned with score 0.  ``fields`` are searched
     lexically; ``within`` is a column of both (the analysis) that must agree.
+    ``index``: of the chunks by id over these fields, if it is stored already.
     """
     fetch = max(2 * top_k, FETCH_LEAST)
-    lexical = top(bm25(queries, chunks, "id", fields, within), fetch)
+    index = index or lexical.build(chunks, None, "id", fields, within)
+    by_words = lexical.search(index, queries, fetch, within)
     asked = queries.where("query_vec is not null")
     if within:
         pairs = chunks.select(within, "id", "embedding").join(asked.select(within, "query_id", "query_vec"), within)
         vector = top(pairs.select("query_id", "id", F.round(cosine(F.col("embedding"), F.col("query_vec")), 6).alias("score")), knn_size(top_k))
     else:
         vector = knn(asked, chunks, knn_size(top_k), "id", "embedding")
-    both = top(fuse(lexical, vector), fetch)
+    both = top(fuse(by_words, vector), fetch)
     with_text = both.join(chunks.select("id", "content"), "id").join(queries.select("query_id", "query"), "query_id")
     ranked = rank_with_overlap(with_text.select("query_id", "id", "score", token_overlap(F.col("query"), F.col("content")).alias("overlap")))
     without = queries.where("query_vec is null").join(both, "query_id", "left_anti")

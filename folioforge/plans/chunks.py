@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import tokens
-from folioforge.operators import chunking, classify, retrieve
+from folioforge.operators import chunking, classify, lexical, retrieve
 
 from .common import GLOSSARY, table
 
@@ -104,7 +104,7 @@ def _queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return retrieve.top(retrieve.bm25(_queries(spark, d), table(spark, d, "documents")), 10).select("query_id", "id", "score", "rank")
+    return lexical.search(lexical.build(table(spark, d, "documents")), _queries(spark, d), 10)
 
 
 _BM25 = rf"""
@@ -137,8 +137,8 @@ COSINE_TOPK = f"WITH {_COS} SELECT query_id, id, score, rank FROM cr"
 
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    lexical = retrieve.top(retrieve.bm25(_queries(spark, d), table(spark, d, "documents")), 30)
-    return retrieve.top(retrieve.fuse(lexical, cosine_topk(spark, d)), 20)
+    words = lexical.search(lexical.build(table(spark, d, "documents")), _queries(spark, d), 30)
+    return retrieve.top(retrieve.fuse(words, cosine_topk(spark, d)), 20)
 
 
 RRF_FUSION = f"""WITH {_BM25}, {_COS},
