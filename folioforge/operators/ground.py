@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from folioforge.functions.text import collapse, grounding_form
+from folioforge.operators.contain import contained
 
 LEAST, PREFERRED, MOST, LEAD = 12, 40, 120, 45
 #: Fixed value, how a citation of a table's cell is written.
@@ -44,17 +45,21 @@ def verify_references(refs: DataFrame, chunks: DataFrame) -> DataFrame:
 
     ``refs``: analysis_id, category, item_no, ref_no, document_id, page_number,
     citation.  ``chunks``: document_id, page_number, chunk_index, content,
-    table_ref, and id.  Adds chunk_id and grounded.  The join is on document and
-    page; a page with many chunks is split like any skewed key.
+    table_ref, and id.  Adds chunk_id and grounded.  Literal citations go through
+    the containment join inside document and page; only citations of table cells
+    meet all chunks of their page that have a table.
     """
-    # normal forms are made once per row, not once per pair
-    c = chunks.select("document_id", "page_number", F.struct("chunk_index", F.col("id").alias("chunk_id")).alias("__at"), F.col("content").alias("__content"), F.col("table_ref").alias("__table"), grounding_form(F.col("content")).alias("__form"))
-    asked = refs.where(F.length(F.trim("citation")) >= LEAST).withColumn("__cite", grounding_form(F.col("citation"))).withColumn("__cell", is_table_citation(F.col("citation")))
-    near = asked.join(c, ["document_id", "page_number"])
-    key = ["analysis_id", "category", "item_no", "ref_no"]
-    by_cell = F.coalesce(holds_cell(F.col("citation"), F.col("__table"), F.col("__content")), F.lit(False))
-    grounds = F.when(F.col("__cell"), by_cell).otherwise((F.col("__cite") != "") & F.contains("__form", "__cite"))
-    hit = near.where(grounds).groupBy(*key).agg(F.min("__at").alias("__at"))
+    on, key = ["document_id", "page_number"], ["analysis_id", "category", "item_no", "ref_no"]
+    at = F.struct("chunk_index", F.col("id").alias("chunk_id"))
+    asked = refs.where(F.length(F.trim("citation")) >= LEAST)
+    cell = is_table_citation(F.col("citation"))
+    literal = asked.where(~cell).select(*key, *on, grounding_form(F.col("citation")).alias("form"))
+    texts = chunks.select(*on, at.alias("__at"), grounding_form(F.col("content")).alias("text"))
+    found = contained(literal, texts, on, ["__at"]).groupBy(*on, "form").agg(F.min("__at").alias("__at"))
+    hit = literal.join(found, [*on, "form"]).select(*key, "__at")
+    tables = chunks.where("table_ref is not null").select(*on, at.alias("__at"), F.col("content").alias("__content"), F.col("table_ref").alias("__table"))
+    by_cell = asked.where(cell).join(tables, on).where(F.coalesce(holds_cell(F.col("citation"), F.col("__table"), F.col("__content")), F.lit(False)))
+    hit = hit.unionByName(by_cell.groupBy(*key).agg(F.min("__at").alias("__at")))
     return refs.join(hit, key, "left").withColumn("chunk_id", F.col("__at.chunk_id")).withColumn("grounded", F.col("__at").isNotNull()).drop("__at")
 
 
@@ -92,44 +97,12 @@ def item_status(refs: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def find_passages(passages: DataFrame, docs: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
-    """item_id, doc_id for every passage that a document holds literally.
-
-    Without a document key there is nothing to join on: the passages' normal
-    forms go into automata of at most about ``most_bytes`` each, one pass over
-    the documents per automaton.
-    """
+def find_passages(passages: DataFrame, docs: DataFrame) -> DataFrame:
+    """item_id, doc_id for every passage that a document holds literally, by the
+    containment join of normal forms."""
     wanted = passages.select("item_id", grounding_form(F.col("text")).alias("form")).where(F.length("form") >= LEAST)
-    size = wanted.agg(F.sum(F.octet_length("form"))).first()[0] or 0
-    n, out = max(1, -(-size // most_bytes)), None
-    for i in range(n):
-        found = _find(wanted if n == 1 else wanted.where(F.pmod(F.xxhash64("form"), F.lit(n)) == i), docs)
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def _find(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    import ahocorasick
-
-    ids: dict[str, list[int]] = {}
-    for r in wanted.collect():
-        ids.setdefault(r.form, []).append(r.item_id)
-    held = docs.sparkSession.sparkContext.broadcast(ids)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = ahocorasick.Automaton()
-        for form, of in held.value.items():
-            automaton.add_word(form, of)
-        if len(automaton):
-            automaton.make_automaton()
-        for f in frames:
-            rows = []
-            for doc_id, form in f.itertuples(index=False):
-                found = {i for _, of in automaton.iter(form) for i in of} if len(automaton) and form else ()
-                rows += [(i, doc_id) for i in sorted(found)]
-            yield pd.DataFrame(rows, columns=["item_id", "doc_id"])
-
-    return docs.select("doc_id", grounding_form(F.col("text")).alias("form")).mapInPandas(run, "item_id long, doc_id long")
+    found = contained(wanted, docs.select("doc_id", grounding_form(F.col("text")).alias("text")), (), ["doc_id"])
+    return wanted.join(found, "form").select("item_id", "doc_id")
 
 
 # shaping of citations: string cursors, so batches of Python ----------------

@@ -1,7 +1,7 @@
 """A stored lexical index and pruned top-k retrieval from it.
 
-Documents have dense numbers; SPAN numbers in a row make a bucket.  The postings
-of a term (of one field, in one space) in one bucket are a block: numbers and
+SPAN documents that are read in a row make a bucket.  The postings
+of a term (of one field, in one space) in one bucket are a block: places and
 saturated frequencies in two arrays, with the largest of them as the block's
 bound.  Blocks are ranged and sorted by term, so a search reads the row groups of
 its terms only.
@@ -18,11 +18,13 @@ threshold.  Nothing that a common term has in millions of documents becomes a ro
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +45,7 @@ SLACK = 2e-6
 
 @dataclass
 class LexicalIndex:
-    """What is stored below ``path``: docs (no, id, space), terms (term, field, df,
+    """What is stored below ``path``: docs (bucket, at, id, space), terms (term, field, df,
     most), blocks (term, field, space, bucket, n, most, ats, ws), fields (field,
     n, mean)."""
 
@@ -61,46 +63,82 @@ def build(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
     column (the analysis, say) in which query and document must agree; counts
     and mean lengths cover all documents.  A null text has no words; rows that
     repeat an identifier are separate documents.
+
+    Documents are counted where they are read: the blocks of a bucket are those of
+    one slice of a task's documents, so only finished blocks are shuffled, once, to
+    be ranged by term.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "lexical-index")
     fields = [text] if isinstance(text, str) else list(text)
     space = F.coalesce(F.col(within).cast("string"), F.lit("")) if within else F.lit("")
-    parts = [F.struct(F.lit(i).alias("field"), tokens(matching_form(F.col(f))).alias("w")) for i, f in enumerate(fields)]
-    # numbered before, not after, a document becomes a row per field
-    picked = docs.select(F.monotonically_increasing_id().alias("raw"), F.col(id_col).alias("id"), space.alias("space"), F.array(*parts).alias("x"))
-    rows = picked.select("raw", "id", "space", F.explode("x").alias("x")).select("raw", "id", "space", "x.field", F.size("x.w").alias("n_words"), F.explode(F.concat("x.w", F.array(F.lit(None).cast("string")))).alias("term"))
-    # identifiers stay on the one row per document that has no term
-    rows = rows.withColumn("id", F.when(F.col("term").isNull(), F.col("id")))
-    counted = written(rows.groupBy("raw", "id", "space", "field", "n_words", "term").agg(F.count("*").alias("tf")), "lexical-postings")
-    marker = counted.where("term is null")
-    # dense numbers: one row per task of the scan
-    task = F.shiftright("raw", 33)
-    sizes = sorted((r.task, r.n) for r in marker.where("field = 0").groupBy(task.alias("task")).agg(F.count("*").alias("n")).collect())
-    bases, at = [], 0
-    for k, n in sizes:
-        bases.append((k, at))
-        at += n
-    base = F.broadcast(spark.createDataFrame(bases, "task long, base long"))
-    numbered = lambda df: df.withColumn("task", task).join(base, "task").withColumn("no", F.col("base") + F.col("raw").bitwiseAND(F.lit((1 << 33) - 1))).drop("task", "base", "raw")
-    numbered(marker.where("field = 0")).select("no", "id", "space").write.parquet(f"{path}/docs")
-    stats = marker.groupBy("field").agg(F.count("*").alias("n"), F.avg("n_words").alias("mean"))
+    picked = docs.select(F.col(id_col).alias("id"), space.alias("space"), *(matching_form(F.coalesce(F.col(f), F.lit(""))).alias(f"f{i}") for i, f in enumerate(fields)))
+    id_type = picked.schema["id"].dataType.simpleString()
+    counted = picked.mapInArrow(_counts(span), f"term string, field int, space string, bucket long, ats array<int>, tfs array<int>, lens array<int>, ids array<{id_type}>, spaces array<string>")
+    counted = written(counted, "lexical-counts")
+    marker = counted.where("term is null")  # one row per field and bucket
+    named = marker.where("field = 0").select("bucket", F.explode(F.arrays_zip("ats", "ids", "spaces")).alias("x"))
+    named.select("bucket", F.col("x.ats").alias("at"), F.col("x.ids").alias("id"), F.col("x.spaces").alias("space")).write.parquet(f"{path}/docs")
+    sums = F.aggregate("lens", F.lit(0).cast("long"), lambda s, x: s + x)
+    stats = marker.groupBy("field").agg(F.sum(F.size("ats")).alias("n"), (F.sum(sums) / F.sum(F.size("ats"))).alias("mean"))
     stats.coalesce(1).write.parquet(f"{path}/fields")
     stats = F.broadcast(spark.read.parquet(f"{path}/fields"))  # one row per field
-    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_words") / F.col("mean")))
-    post = numbered(counted.where("term is not null")).join(stats, "field")
-    bucket = F.floor(F.col("no") / span).alias("bucket")
     key = ["term", "field", "space", "bucket"]
-    post = post.select("term", "field", "space", bucket, (F.col("no") % span).cast("int").alias("at"), part.alias("w"))
-    # a block has span rows at most, so no common term fills a task
-    blocks = post.repartitionByRange(*key).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at", "w"))).alias("p"), F.max("w").alias("most"), F.count("*").alias("n"))
-    blocks = blocks.select(*key, "n", "most", F.col("p.at").alias("ats"), F.col("p.w").alias("ws"))
-    blocks.sortWithinPartitions(*key).write.parquet(f"{path}/blocks")
+    ranged = counted.where("term is not null").select(*key, "ats", "tfs", "lens").repartitionByRange(*key).sortWithinPartitions(*key).join(stats.select("field", "mean"), "field")
+    weights = F.zip_with("tfs", "lens", lambda tf, n: tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / F.col("mean"))))
+    weighed = ranged.select(*key, F.size("ats").alias("n"), "ats", weights.alias("ws"))
+    weighed.select(*key, "n", F.array_max("ws").alias("most"), "ats", "ws").write.parquet(f"{path}/blocks")
     terms = spark.read.parquet(f"{path}/blocks").groupBy("term", "field").agg(F.sum("n").alias("df"), F.max("most").alias("most"))
     terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
     return LexicalIndex(path, span)
 
 
+def _lists(values, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
+
+
+def _counts(span: int):
+    """Blocks of every ``span`` documents, and a row without a term for each field
+    with the documents themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number = TaskContext.get().partitionId() << 32, 0
+        for whole in batches:
+            for lo in range(0, whole.num_rows, span):
+                b = whole.slice(lo, span)
+                bucket, rows = task + number, b.num_rows
+                number += 1
+                spaces = b.column(1).dictionary_encode()
+                for field, texts in enumerate(b.columns[2:]):
+                    parts = pc.split_pattern(texts, " ")
+                    words = parts.flatten()
+                    doc = np.repeat(np.arange(rows), pc.list_value_length(parts).to_numpy())
+                    some = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
+                    coded, doc = words.filter(pa.array(some)).dictionary_encode(), doc[some]
+                    lens = np.bincount(doc, minlength=rows).astype(np.int32)
+                    n_terms = max(1, len(coded.dictionary))
+                    keys, tfs = np.unique((spaces.indices.to_numpy()[doc].astype(np.int64) * n_terms + coded.indices.to_numpy()) * rows + doc, return_counts=True)
+                    block, at = keys // rows, (keys % rows).astype(np.int32)
+                    first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(keys) else np.zeros(0, np.int64)
+                    sizes = np.diff(np.append(first, len(keys)))
+                    none = lambda kind, n: pa.array([None] * n, kind)
+                    kinds = (pa.list_(b.column(0).type), pa.list_(pa.string()))
+                    yield pa.RecordBatch.from_arrays([
+                        coded.dictionary.take(pa.array(block[first] % n_terms)), pa.array(np.full(len(first), field, np.int32)), spaces.dictionary.take(pa.array(block[first] // n_terms)), pa.array(np.full(len(first), bucket)),
+                        _lists(pa.array(at), sizes), _lists(pa.array(tfs.astype(np.int32)), sizes), _lists(pa.array(lens[at]), sizes), *(none(k, len(first)) for k in kinds),
+                    ], NAMES)
+                    one = [rows]
+                    yield pa.RecordBatch.from_arrays([
+                        none(pa.string(), 1), pa.array([field], pa.int32()), none(pa.string(), 1), pa.array([bucket]),
+                        _lists(pa.array(np.arange(rows, dtype=np.int32)), one), none(pa.list_(pa.int32()), 1), _lists(pa.array(lens), one), _lists(b.column(0), one), _lists(b.column(1), one),
+                    ], NAMES)
+
+    return run
+
+
+NAMES = ["term", "field", "space", "bucket", "ats", "tfs", "lens", "ids", "spaces"]
+
+
 def best_of_bucket(span: int, blocks: dict, terms: Sequence[tuple[str, int, float]], space: str, k: int, theta: float) -> tuple[np.ndarray, np.ndarray]:
     """Places and scores of the ``k`` best of one bucket, ties and all, of those
     that may reach ``theta``."""
@@ -123,7 +161,7 @@ def best_of_bucket(span: int, blocks: dict, terms: Sequence[tuple[str, int, floa
 
 
 def _evaluated(pairs: DataFrame, weighted: DataFrame, blocks: DataFrame, k: int, span: int) -> DataFrame:
-    """query_id, no, score from the buckets of ``pairs`` (query_id, bucket, theta)."""
+    """query_id, bucket, at, score from the buckets of ``pairs`` (query_id, bucket, theta)."""
     need = pairs.select("query_id", "bucket").join(weighted.select("query_id", "term", "field", "space"), "query_id").select("term", "field", "space", "bucket").distinct()
     held = blocks.join(need, ["term", "field", "space", "bucket"], "left_semi").select("term", "field", "space", "bucket", "most", "ats", "ws")
     query = weighted.groupBy("query_id", "space").agg(F.array_sort(F.collect_list(F.struct("term", "field", "idf"))).alias("terms"))
@@ -132,16 +170,17 @@ def _evaluated(pairs: DataFrame, weighted: DataFrame, blocks: DataFrame, k: int,
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         own = {(t, f, s): (ats.values.to_numpy(), ws.values.to_numpy(), most.as_py()) for t, f, s, most, ats, ws in zip(*(left[c].to_pylist() for c in ("term", "field", "space")), left["most"], left["ats"], left["ws"])}
-        ids, numbers, scores = [], [], []
+        ids, buckets, places, scores = [], [], [], []
         for bucket, query_id, space, theta, terms in zip(*(right[c].to_pylist() for c in ("bucket", "query_id", "space", "theta", "terms"))):
             at, score = best_of_bucket(span, own, [(x["term"], x["field"], x["idf"]) for x in terms], space, k, theta)
             ids += [query_id] * len(at)
-            numbers.append(at + bucket * span)
+            buckets += [bucket] * len(at)
+            places.append(at)
             scores.append(score)
         join = lambda x, kind: pa.array(np.concatenate(x) if x else [], kind)
-        return pa.table([pa.array(ids, right["query_id"].type), join(numbers, pa.int64()), join(scores, pa.float64())], ["query_id", "no", "score"])
+        return pa.table([pa.array(ids, right["query_id"].type), pa.array(buckets, pa.int64()), join(places, pa.int64()), join(scores, pa.float64())], ["query_id", "bucket", "at", "score"])
 
-    return held.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(run, f"query_id {id_type}, no long, score double")
+    return held.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(run, f"query_id {id_type}, bucket long, at long, score double")
 
 
 def _ranked(rows: DataFrame, k: int, *ties: str) -> DataFrame:
@@ -158,7 +197,7 @@ def search(index: LexicalIndex, queries: DataFrame, k: int, within: str | None =
     """
     spark = queries.sparkSession
     space: Column = F.coalesce(F.col(within).cast("string"), F.lit("")) if within else F.lit("")
-    asked = written(queries.select("query_id", space.alias("space"), F.explode(F.array_distinct(tokens(matching_form(F.col("query"))))).alias("term")), "lexical-asked")
+    asked = queries.select("query_id", space.alias("space"), F.explode(F.array_distinct(tokens(matching_form(F.col("query"))))).alias("term"))
     words = asked.select("term").distinct()
     listed = [r.term for r in words.limit(LISTED + 1).collect()]
     only = (lambda df: df.where(F.col("term").isin(listed))) if len(listed) <= LISTED else (lambda df: df.join(words, "term", "left_semi"))
@@ -171,14 +210,10 @@ def search(index: LexicalIndex, queries: DataFrame, k: int, within: str | None =
     heads = blocks.select("term", "field", "space", "bucket", "most").join(F.broadcast(weighted) if few else weighted, ["term", "field", "space"])
     able = written(heads.groupBy("query_id", "bucket").agg(F.sum(F.col("idf") * F.col("most")).alias("score")), "lexical-able")
     start = _ranked(able, first, "bucket").select("query_id", "bucket", F.lit(0.0).alias("theta"))
-    start = written(start, "lexical-start")
     found = written(_evaluated(start, weighted, blocks, k, index.span), "lexical-found")
-    least = _ranked(found, k, "no").where(F.col("rank") == k).select("query_id", F.col("score").alias("theta"))
+    least = _ranked(found, k, "bucket", "at").where(F.col("rank") == k).select("query_id", F.col("score").alias("theta"))
     rest = able.join(start, ["query_id", "bucket"], "left_anti").join(least, "query_id", "left").withColumn("theta", F.coalesce("theta", F.lit(0.0)))
-    rest = written(rest.where(F.col("score") >= F.col("theta") - SLACK).select("query_id", "bucket", "theta"), "lexical-rest")
-    if rest.isEmpty():
-        every = found
-    else:
-        every = found.unionByName(_evaluated(rest, weighted, blocks, k, index.span))
-    named = every.join(index.read(spark, "docs").select("no", "id"), "no").select("query_id", "id", F.round("score", 6).alias("score"))
+    rest = rest.where(F.col("score") >= F.col("theta") - SLACK).select("query_id", "bucket", "theta")
+    every = found.unionByName(_evaluated(rest, weighted, blocks, k, index.span))
+    named = every.join(index.read(spark, "docs").select("bucket", F.col("at").cast("long").alias("at"), "id"), ["bucket", "at"]).select("query_id", "id", F.round("score", 6).alias("score"))
     return _ranked(named, k, "id")

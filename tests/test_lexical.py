@@ -51,8 +51,7 @@ def test_index_is_stored_and_sorted(spark, tmp_path):
     blocks = again.read(spark, "blocks")
     assert blocks.groupBy("term", "field", "space", "bucket").count().where("count > 1").isEmpty()
     assert blocks.where(F.size("ats") > 16).isEmpty() and blocks.where(F.array_max("ws") != F.col("most")).isEmpty()
-    nos = [r.no for r in again.read(spark, "docs").orderBy("no").collect()]
-    assert nos == list(range(len(docs)))
+    assert again.read(spark, "docs").select("bucket", "at").distinct().count() == len(docs)
     q = spark.createDataFrame([(1, "w1 w2")], "query_id long, query string")
     plan = lexical.search(again, q, 3)._jdf.queryExecution().toString()
     assert "Generate explode(ats" not in plan
