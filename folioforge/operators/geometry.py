@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,29 +25,41 @@ def word_hits(words: DataFrame, citations: DataFrame) -> DataFrame:
     ``words``: document_id, page_number, word_no, text.  ``citations``:
     citation_id, document_id, page_number, citation.  Compares letters and digits
     only.  Out: citation_id, occurrence (from 0), first_word, last_word;
-    occurrences may overlap.  The page's text is one string, found by position
-    and mapped back to words through their running lengths.
+    occurrences may overlap.  A page and its citations meet once: its words are
+    one string, one automaton of all its citations reads it in one pass, and
+    running lengths give the words of a place by binary search.
     """
-    w = Window.partitionBy("document_id", "page_number").orderBy("word_no").rowsBetween(Window.unboundedPreceding, -1)
-    sized = words.withColumn("form", alnum_form(F.col("text"))).withColumn("start", F.coalesce(F.sum(F.length("form")).over(w), F.lit(0)))
-    part = F.struct("word_no", "start", F.length("form").alias("n"), "form")
-    pages = sized.groupBy("document_id", "page_number").agg(F.array_sort(F.collect_list(part)).alias("w"))
-    asked = citations.select("citation_id", "document_id", "page_number", alnum_form(F.col("citation")).alias("needle")).where("needle <> ''")
-    both = asked.join(pages, ["document_id", "page_number"])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for r in f.itertuples(index=False):
-                text = "".join(x["form"] for x in r.w)
-                at, n = text.find(r.needle), 0
-                while at >= 0:
-                    inside = [x["word_no"] for x in r.w if x["n"] and x["start"] < at + len(r.needle) and x["start"] + x["n"] > at]
-                    rows.append((r.citation_id, n, inside[0], inside[-1]))
-                    at, n = text.find(r.needle, at + 1), n + 1
-            yield pd.DataFrame(rows, columns=["citation_id", "occurrence", "first_word", "last_word"])
-
-    return both.select("citation_id", "needle", "w").mapInPandas(run, "citation_id string, occurrence int, first_word int, last_word int")
+    page = ["document_id", "page_number"]
+    own = words.select(*page, F.col("word_no").cast("int").alias("word_no"), alnum_form(F.col("text")).alias("form"))
+    asked = citations.select(*page, F.col("citation_id").cast("string").alias("citation_id"), alnum_form(F.col("citation")).alias("needle")).where("needle <> ''")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        import ahocorasick
+
+        out: list[tuple] = []
+        if left.num_rows and right.num_rows:
+            left = left.filter(pc.not_equal(left["form"], "")).sort_by("word_no")
+            numbers = left["word_no"].to_numpy()
+            ends = np.cumsum(pc.utf8_length(left["form"]).to_numpy())
+            of: dict[str, list[str]] = {}
+            for c, needle in zip(right["citation_id"].to_pylist(), right["needle"].to_pylist()):
+                of.setdefault(needle, []).append(c)
+            index = ahocorasick.Automaton()
+            for needle in of:
+                index.add_word(needle, needle)
+            index.make_automaton()
+            seen = dict.fromkeys(of, 0)
+            # matches of one citation end, and so begin, in ascending order
+            for last, needle in index.iter("".join(left["form"].to_pylist())):
+                a, b = np.searchsorted(ends, (last - len(needle) + 1, last), "right")
+                out += [(c, seen[needle], int(numbers[a]), int(numbers[b])) for c in of[needle]]
+                seen[needle] += 1
+        columns = list(zip(*out)) or [()] * 4
+        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int32()))], ["citation_id", "occurrence", "first_word", "last_word"])
+
+    # both sides may come from one table: new columns keep them apart
+    asked = asked.select(*(F.col(c).alias(c) for c in asked.columns))
+    return own.groupBy(*page).cogroup(asked.groupBy(*page)).applyInArrow(run, "citation_id string, occurrence int, first_word int, last_word int")
 
 
 def line_regions(lines: DataFrame, citations: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from folioforge.sources.schemas import BOX
 
 TABLE_BASE, TABLE_STEP = 10_000_000, 1000
 TOLERANCE, SHEET_TOLERANCE = 2.0, 1.0
+#: Points that the smallest cells of a page's grid measure.
+CELL = 32.0
 EXACT_BELOW, PREFIX = 8, 40
 
 
@@ -77,13 +79,23 @@ def attach_lines(blocks: DataFrame, lines: DataFrame) -> DataFrame:
     """Lines whose centre lies in a box of the block, two points tolerated.
 
     ``blocks``: document_id, block_no, bbox.  ``lines``: document_id,
-    page_number, content, box.  The equi-join on document and page bounds what
-    the containment test sees.
+    page_number, content, box.  A grid of several cell sizes: a box is in the few
+    cells it touches of the size that fits it, a line in the one cell that its
+    centre is in, of each size in use.  So a pair meets once, and only near pairs
+    meet, however many boxes and lines a page has.
     """
     own = blocks.select("document_id", "block_no", F.explode("bbox").alias("b")).withColumn("page_number", F.col("b.page"))
+    widest = F.greatest(F.col("b.width"), F.col("b.height"), F.lit(CELL)) + 2 * TOLERANCE
+    own = own.withColumn("level", F.ceil(F.log2(widest / CELL)).cast("int"))
+    levels = [r.level for r in own.select("level").distinct().collect() if r.level is not None]  # sizes double, so they are few
+    side = CELL * F.pow(F.lit(2.0), F.col("level"))
+    reach = lambda a, n: F.sequence(F.floor((F.col(a) - TOLERANCE) / side), F.floor((F.col(a) + F.col(n) + TOLERANCE) / side))
+    own = own.withColumn("gx", F.explode(reach("b.x", "b.width"))).withColumn("gy", F.explode(reach("b.y", "b.height")))
     cx, cy = F.col("box.x") + F.col("box.width") / 2, F.col("box.y") + F.col("box.height") / 2
+    at = lines.select("document_id", "page_number", "content", "box").withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    at = at.withColumn("gx", F.floor(cx / side)).withColumn("gy", F.floor(cy / side))
     inside = cx.between(F.col("b.x") - TOLERANCE, F.col("b.x") + F.col("b.width") + TOLERANCE) & cy.between(F.col("b.y") - TOLERANCE, F.col("b.y") + F.col("b.height") + TOLERANCE)
-    hit = own.join(lines.select("document_id", "page_number", "content", "box"), ["document_id", "page_number"]).where(inside)
+    hit = own.join(at, ["document_id", "page_number", "level", "gx", "gy"]).where(inside)
     line = F.struct(F.bround("box.y", 1).alias("o"), F.col("box.x").alias("x"), F.struct("box.x", "box.y", "box.width", "box.height", F.col("content").alias("t")).alias("line"))
     got = hit.groupBy("document_id", "block_no").agg(F.array_sort(F.collect_set(line)).getField("line").alias("lines"))
     return blocks.drop("lines").join(got, ["document_id", "block_no"], "left")

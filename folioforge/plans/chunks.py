@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import tokens
-from folioforge.operators import chunking, classify, lexical, retrieve
+from folioforge.operators import chunking, classify, lexical, retrieve, vectors
 
 from .common import GLOSSARY, table
 
@@ -136,6 +136,18 @@ cr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, i
 COSINE_TOPK = f"WITH {_COS} SELECT query_id, id, score, rank FROM cr"
 
 
+def vector_lists_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The same neighbours from stored lists: bounds tell which lists may be left out."""
+    index = vectors.build(table(spark, d, "embeddings"))
+    return vectors.search(index, _vector_queries(spark, d), retrieve.knn_size(10), exact=True)
+
+
+def vector_lists_probed(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours in the lists of the nearest centres only; recall is tested."""
+    index = vectors.build(table(spark, d, "embeddings"))
+    return vectors.search(index, _vector_queries(spark, d), retrieve.knn_size(10))
+
+
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     words = lexical.search(lexical.build(table(spark, d, "documents")), _queries(spark, d), 30)
     return retrieve.top(retrieve.fuse(words, cosine_topk(spark, d)), 20)
@@ -235,6 +247,8 @@ QUERIES = {
     "classify_secondary": (classify_secondary, CLASSIFY_SECONDARY),
     "bm25_topk": (bm25_topk, BM25_TOPK),
     "cosine_topk": (cosine_topk, COSINE_TOPK),
+    "vector_lists_exact": (vector_lists_exact, COSINE_TOPK),
+    "vector_lists_probed": (vector_lists_probed, None),
     "rrf_fusion": (rrf_fusion, RRF_FUSION),
     "overlap_tiebreak": (overlap_tiebreak, OVERLAP_TIEBREAK),
     "parent_expansion": (parent_expansion, PARENT_EXPANSION),

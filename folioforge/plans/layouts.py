@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from folioforge.operators import chunking, extract, geometry, ground, layout, narrative, sections
 from folioforge.sources import schemas
 
+from .chunks import _folded
 from .common import table
+from .facts import _FORM
 
 
 def html_blocks(spark: SparkSession, d: str) -> DataFrame:
@@ -103,6 +105,23 @@ def word_positions(spark: SparkSession, d: str) -> DataFrame:
     return geometry.word_hits(words, asked)
 
 
+WORD_POSITIONS = rf"""
+WITH b AS (SELECT item_id, {_FORM.format("text")} AS f, regexp_replace({_folded("text")}, '[^a-z0-9]', '', 'g') AS needle FROM benchmark),
+t AS (SELECT doc_id, text, {_FORM.format("text")} AS f FROM documents),
+g AS (SELECT item_id, doc_id, needle FROM b JOIN t ON contains(t.f, b.f) AND length(b.f) >= 12 WHERE needle <> ''),
+w AS (SELECT doc_id, unnest(range(0, len(s))) AS word_no, unnest(s) AS word
+      FROM (SELECT doc_id, regexp_split_to_array(text, '\s+') AS s FROM t WHERE doc_id IN (SELECT doc_id FROM g))),
+l AS (SELECT doc_id, word_no, regexp_replace({_folded("word")}, '[^a-z0-9]', '', 'g') AS form FROM w),
+p AS (SELECT *, length(form) AS n, coalesce(sum(length(form)) OVER (PARTITION BY doc_id ORDER BY word_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM l),
+j AS (SELECT doc_id, string_agg(form, '' ORDER BY word_no) AS page FROM l GROUP BY doc_id),
+h AS (SELECT item_id, doc_id, length(needle) AS size, unnest(list_filter(range(0, length(page) - length(needle) + 1), lambda i: substr(page, i + 1, length(needle)) = needle)) AS pos
+      FROM g JOIN j USING (doc_id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY pos) - 1 AS occurrence FROM h)
+SELECT item_id || '-' || doc_id AS citation_id, CAST(occurrence AS INT) AS occurrence, CAST(min(word_no) AS INT) AS first_word, CAST(max(word_no) AS INT) AS last_word
+FROM o JOIN p USING (doc_id) WHERE n > 0 AND start < pos + size AND start + n > pos GROUP BY item_id, doc_id, occurrence
+"""
+
+
 def occurrence_groups(spark: SparkSession, d: str) -> DataFrame:
     """Events of a user as rectangles in order of time; values are their places."""
     e = table(spark, d, "events").select(F.col("user_id").alias("citation_id"), F.col("event_id").alias("rect_no"), (F.col("value") % 50).alias("x"), (F.floor(F.col("value") / 50) * 14.0).alias("y"), F.lit(20.0).alias("width"), F.lit(10.0).alias("height"))
@@ -149,7 +168,7 @@ QUERIES = {
     "repeated_furniture": (repeated_furniture, REPEATED_FURNITURE),
     "shaped_citations": (shaped_citations, None),
     "split_facts": (split_facts, SPLIT_FACTS),
-    "word_positions": (word_positions, None),
+    "word_positions": (word_positions, WORD_POSITIONS),
     "occurrence_groups": (occurrence_groups, OCCURRENCE_GROUPS),
     "answer_items": (answer_items, ANSWER_ITEMS),
     "narrative_sources": (narrative_sources, None),
