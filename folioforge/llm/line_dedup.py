@@ -55,7 +55,8 @@ def _masked(text: Column) -> Column:
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, line_no, masked (tokens joined by one space), n, leaf."""
     at = docs.select("doc_id", F.unhex(F.md5("text")).alias("text_key"), F.split(_masked(F.col("text")), "\n").alias("lines"))
-    at = at.select("doc_id", "text_key", F.posexplode("lines").alias("line_no", "masked"))
+    # a text has one line at least; without "outer" a filter on the number of lines would mask every text twice
+    at = at.select("doc_id", "text_key", F.posexplode_outer("lines").alias("line_no", "masked"))
     # rules of dashes, brackets, numbers alone tell nothing; most lines begin with a letter
     line = F.col("masked")
     at = at.where(((line >= "A") & (line < "[")) | ((line >= "a") & (line < "{")) | line.rlike(r"\p{L}"))
