@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.plans import chunks, facts, layouts, steps
+from folioforge.plans import chunks, facts, layouts, steps, streams
 
-ALL = chunks.QUERIES | facts.QUERIES | layouts.QUERIES | steps.QUERIES
+ALL = chunks.QUERIES | facts.QUERIES | layouts.QUERIES | steps.QUERIES | streams.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
