@@ -55,8 +55,25 @@ def test_upsert_batches(spark, tmp_path):
     moved = spark.read.parquet(f"{tmp_path}/marker").groupBy("seq").count().collect()
     assert {r.seq: r["count"] for r in moved} == {0: 2, 1: 1, 2: 1, 3: 2}
     # rows of a batch that failed before its marker count for nothing
-    make([("b", 99, "lost", 1)]).selectExpr("*", "0 as bucket", "'g' as generation").write.mode("append").partitionBy("bucket", "generation").parquet(f"{tmp_path}/rows")
+    make([("b", 99, "lost", 1)]).selectExpr("*", "0 as bucket", "'g' as generation").write.mode("append").partitionBy("bucket", "generation").parquet(f"{tmp_path}/rows/buckets=16")
     assert ("b", 1, "x", 1) in now() and lifecycle.current(spark, f"{tmp_path}/none") is None
+    put(make([]), 9)
+    assert ("b", 1, "x", 1) in now()
+
+
+def test_upsert_buckets_grow_and_are_cleaned(spark, tmp_path):
+    put = lifecycle.upsert_batches(str(tmp_path), bucket_rows=10, least=2)
+    want = {}
+    for i in range(6):
+        rows = spark.range(60).selectExpr(f"concat('k', (id * {i + 1}) % 150) as key", f"id + {i} * 100 as event_no", "'s' as state", "cast(id as int) as progress")
+        for r in rows.collect():
+            want[r.key] = max(want.get(r.key, (-1,)), (r.event_no, r.state, r.progress))
+        put(rows, i)
+    got = {r.key: (r.event_no, r.state, r.progress) for r in lifecycle.current(spark, str(tmp_path)).collect()}
+    assert got == want
+    assert spark.read.parquet(f"{tmp_path}/marker").agg(F.max("buckets")).first()[0] >= 4
+    kept = [len(list(b.glob("generation=*"))) for b in tmp_path.glob("rows/buckets=*/bucket=*")]
+    assert max(kept) <= 2
 
 
 def test_layout_reader(spark, tmp_path):
