@@ -47,6 +47,34 @@ def _blocks(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def contents_dropped(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as documents, line numbers as pages, their lines as entries that end
+    in a page; of some suppliers the pages fall, or most lines have no number."""
+    f = table(spark, d, "lineitem")
+    kind, n = F.col("l_suppkey") % 4, F.col("l_quantity").cast("int")
+    end = F.when(kind == 1, 60 - n).otherwise(n).cast("string")
+    entry = F.concat_ws(" ", F.concat(F.col("l_linenumber").cast("string"), F.lit(".")), "l_linestatus", end)
+    line = F.when((kind == 2) & (F.col("l_orderkey") % 3 > 0), F.col("l_linestatus")).when((kind == 3) & (F.col("l_orderkey") % 2 == 0), F.concat("l_linestatus", F.lit(" "), "l_returnflag")).otherwise(entry)
+    rows = f.select(F.col("l_suppkey").cast("string").alias("document_id"), F.col("l_linenumber").cast("int").alias("page_number"), line.alias("content"), n.alias("source_order"), F.col("l_orderkey").cast("int").alias("row_order"))
+    last = rows.select("document_id").distinct().select("document_id", F.lit(70).alias("page_number"), F.lit("end").alias("content"), F.lit(0).alias("source_order"), F.lit(0).alias("row_order"))
+    blocks = rows.unionByName(last).select("*", F.lit(None).cast("int").alias("heading_level"), F.lit(None).cast(schemas.TABLE_REF).alias("table_ref"))
+    return sections.without_listings(blocks).groupBy("document_id").agg(F.count("*").alias("n_blocks"), F.count_distinct("page_number").alias("n_pages"))
+
+
+CONTENTS_DROPPED = r"""
+WITH l AS (
+  SELECT CAST(l_suppkey AS VARCHAR) AS d, l_suppkey % 4 AS kind, l_linenumber AS page, CAST(l_quantity AS INT) AS q, l_orderkey AS o, l_linestatus AS m, l_returnflag AS r FROM lineitem),
+b AS (SELECT d, page, q, o, CASE WHEN kind = 2 AND o % 3 > 0 THEN m WHEN kind = 3 AND o % 2 = 0 THEN m || ' ' || r
+                                 ELSE page || '. ' || m || ' ' || CASE WHEN kind = 1 THEN 60 - q ELSE q END END AS line FROM l),
+t AS (SELECT *, TRY_CAST(regexp_extract(line, '(^| )(\d{1,3})$', 2) AS INT) AS target, regexp_matches(line, '^\d+(\.\d+)*\. ') AS numbered FROM b),
+w AS (SELECT *, coalesce(target < max(target) OVER (PARTITION BY d, page ORDER BY q, o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS falls FROM t),
+g AS (SELECT d, page FROM w GROUP BY d, page HAVING count(*) >= 5 AND count(target) >= 0.75 * count(*) AND count(DISTINCT target) >= 3 AND NOT bool_or(falls)
+      AND page < max(target) AND max(target) <= 70 AND count_if(numbered) >= 0.6 * count(*)),
+k AS (SELECT d, page FROM b ANTI JOIN g USING (d, page) UNION ALL SELECT DISTINCT d, 70 FROM b)
+SELECT d AS document_id, count(*) AS n_blocks, count(DISTINCT page) AS n_pages FROM k GROUP BY d
+"""
+
+
 def page_sections(spark: SparkSession, d: str) -> DataFrame:
     out = sections.build_sections(_blocks(spark, d))
     return out.select("document_id", "block_no", "page_number", "is_heading", F.array_join("heading_path", " > ").alias("path"), F.md5("content").alias("content_md5"))
@@ -166,6 +194,7 @@ QUERIES = {
     "page_sections": (page_sections, None),
     "section_chunks": (section_chunks, None),
     "repeated_furniture": (repeated_furniture, REPEATED_FURNITURE),
+    "contents_dropped": (contents_dropped, CONTENTS_DROPPED),
     "shaped_citations": (shaped_citations, None),
     "split_facts": (split_facts, SPLIT_FACTS),
     "word_positions": (word_positions, WORD_POSITIONS),

@@ -85,24 +85,43 @@ def test_heading_without_body_stays():
     assert paths([head("A", 1), head("B", 2)]) == [("A > B", ""), ("A", "")]
 
 
-def test_listing():
-    toc = [row(f"col_1: {i}.1. Cap\ncol_2: {i + 3}", "toc", i, 2) for i in range(1, 8)]
+def frame(spark, docs):
+    kind = "document_id string, page_number int, block_type string, content string, source_order int, row_order int, heading_level int, table_ref struct<table_id:string,row_index:int,headers:array<string>>"
+    return spark.createDataFrame([(d, b.page, b.kind, b.text, i, 0, b.level, b.table) for d, blocks in docs.items() for i, b in enumerate(blocks)], kind)
+
+
+def test_listing(spark):
+    toc = lambda ends: [row(f"col_1: {i}.1. Cap\ncol_2: {e}", "toc", i, 2) for i, e in enumerate(ends, 1)]
     body = [para("text of the tender", p) for p in range(3, 46)]
-    assert not any(b.table for b in sections.drop_listings(toc + body))
-    few = toc[:4]
-    assert len(sections.drop_listings(few + body)) == len(few + body)
-    beyond = [row(f"col_1: {i}.1. Cap\ncol_2: {i * 90}", "toc", i, 2) for i in range(1, 8)]
-    assert len(sections.drop_listings(beyond + body)) == len(beyond + body)
-    falling = [row(f"col_1: {i}.1. Cap\ncol_2: {20 - i}", "toc", i, 2) for i in range(1, 8)]
-    assert len(sections.drop_listings(falling + body)) == len(falling + body)
-
-
-def test_furniture():
-    pages = [x for p in range(1, 6) for x in (para("City  Hall", p), para(f"own text {p}", p))]
-    assert all("Hall" not in b.text for b in sections.drop_furniture(pages))
-    assert len(sections.drop_furniture(pages[:4])) == 4
-    clause = [para("long clause " * 20, p) for p in range(1, 6)]
-    assert len(sections.drop_furniture(clause)) == 5
+    lines = lambda texts: [para(t, 2) for t in texts]
+    entry = [f"{i}. Part" for i in range(1, 7)]
+    docs = {
+        "good": toc(range(4, 11)) + body,
+        "few": toc(range(4, 8)) + body,
+        "beyond": toc([90 * i for i in range(1, 8)]) + body,
+        "falling": toc([20 - i for i in range(1, 8)]) + body,
+        "own page": toc([1] * 3 + [2] * 4) + body,
+        "one target": toc([9] * 7) + body,
+        # a number alone ends the entry above it
+        "lone": lines([x for i, e in enumerate(entry) for x in (e, str(5 + i))]) + body,
+        "lone first": lines(["3", *(f"{e} {5 + i}" for i, e in enumerate(entry))]) + body,
+        "no prefix": lines([f"Part {'abcdef'[i]} {5 + i}" for i in range(6)]) + body,
+        "some without page": lines([f"{i}. Part {i + 3 if i != 4 else ''}" for i in range(1, 7)]) + body,
+        "heading between": lines([f"{i}. Part {i + 3}" for i in range(1, 5)]) + [head("H", 1, 2)] + lines([f"{i}. Part {i + 3}" for i in range(5, 8)]) + body,
+        "escaped": lines([f"{i}\\. Part {i + 3}" for i in range(1, 7)]) + body,
+        "empty": [para("", 2)] + body,
+    }
+    left = {r.document_id: r["count"] for r in sections.without_listings(frame(spark, docs)).groupBy("document_id").count().collect()}
+    gone = {d: len(b) - left.get(d, 0) for d, b in docs.items() if len(b) != left.get(d, 0)}
+    assert gone == {"good": 7, "lone": 12, "lone first": 7, "some without page": 6, "escaped": 6}
+
+
+def test_furniture(spark):
+    pages = [x for p in range(1, 6) for x in (para("City  Hall", p), para(f"own text {p}", p), head("Same", 1, p), row("same row", "t", 1, p))]
+    docs = {"five": pages, "two": pages[:8], "long": [para("long clause " * 20, p) for p in range(1, 6)]}
+    left = sections.without_furniture(frame(spark, docs)).select("document_id", "content").collect()
+    assert all("Hall" not in r.content for r in left if r.document_id == "five")
+    assert [sum(r.document_id == d for r in left) for d in docs] == [15, 8, 5]
 
 
 def test_split_headings():
