@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions.text import tokens
 from folioforge.operators import chunking, classify, lexical, retrieve, vectors
+from folioforge.sources import increment
 
 from .common import GLOSSARY, table
 
@@ -119,6 +120,27 @@ sc AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf *
 BM25_TOPK = f"WITH {_BM25} SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc QUALIFY rank <= 10"
 
 
+def chunk_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as chunks of two states: every fifth document has lost its first line,
+    every seventh has its last line twice, every eleventh is gone."""
+    lines = F.split("text", "\n")
+    was = table(spark, d, "documents").select("doc_id", lines.alias("old"))
+    now = F.when(F.col("doc_id") % 11 == 0, F.array().cast("array<string>")).when(F.col("doc_id") % 5 == 0, F.slice("old", 2, 1 << 30)).when(F.col("doc_id") % 7 == 0, F.concat("old", F.slice("old", -1, 1))).otherwise(F.col("old"))
+    side = lambda c: was.select("doc_id", F.posexplode(c).alias("chunk_index", "line")).withColumn("digest", F.md5("line"))
+    out = increment.difference(side(F.col("old")), side(now), "doc_id")
+    return out.groupBy(F.col("document").alias("doc_id")).agg(*(F.count_if(F.col("change") == c).alias(f"n_{c}") for c in ("added", "removed", "moved", "kept")))
+
+
+CHUNK_CHANGES = """
+WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS old FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, old, CASE WHEN doc_id % 11 = 0 THEN [] WHEN doc_id % 5 = 0 THEN old[2:] WHEN doc_id % 7 = 0 THEN list_concat(old, old[-1:]) ELSE old END AS now FROM t),
+a AS (SELECT doc_id, unnest(range(0, len(old))) AS place, unnest(old) AS line FROM s), b AS (SELECT doc_id, unnest(range(0, len(now))) AS place, unnest(now) AS line FROM s),
+x AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY place) AS k FROM a), y AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY place) AS k FROM b)
+SELECT coalesce(x.doc_id, y.doc_id) AS doc_id, count_if(x.k IS NULL) AS n_added, count_if(y.k IS NULL) AS n_removed, count_if(coalesce(x.place <> y.place, false)) AS n_moved, count_if(coalesce(x.place = y.place, false)) AS n_kept
+FROM x FULL JOIN y ON x.doc_id = y.doc_id AND x.line = y.line AND x.k = y.k GROUP BY 1
+"""
+
+
 def _vector_queries(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
 
@@ -247,6 +269,7 @@ QUERIES = {
     "classify_secondary": (classify_secondary, CLASSIFY_SECONDARY),
     "bm25_topk": (bm25_topk, BM25_TOPK),
     "cosine_topk": (cosine_topk, COSINE_TOPK),
+    "chunk_changes": (chunk_changes, CHUNK_CHANGES),
     "vector_lists_exact": (vector_lists_exact, COSINE_TOPK),
     "vector_lists_probed": (vector_lists_probed, None),
     "rrf_fusion": (rrf_fusion, RRF_FUSION),
