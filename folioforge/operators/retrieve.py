@@ -172,7 +172,7 @@ def expand_parents(hits: DataFrame, chunks: DataFrame, top_k: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k).select("query_id", "id", "b.score", "b.matched_id", "rank")
 
 
-def boost_category(hits: DataFrame, category: str | Column, top_k: int, factor: float = BOOST) -> DataFrame:
+def boost_category(hits: DataFrame, category: str | Column, top_k: int | Column, factor: float = BOOST) -> DataFrame:
     """Raises chunks of a category (or of each row's own); a missing score is 1 / (rank + 1), rank from 0.
 
     ``hits``: query_id, id, rank (from 1), score, primary_category,

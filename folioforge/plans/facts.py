@@ -9,6 +9,7 @@ from folioforge.functions import text as T
 from folioforge.operators import catalog, consolidate, ground, tracking
 from folioforge.streaming import activity
 
+from . import jobs
 from .chunks import _folded
 from .common import table
 
@@ -57,6 +58,41 @@ SELECT r.doc_id AS item_no, page AS page_number, chunk_id, chunk_id IS NOT NULL
 """
 
 
+def settled_items(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as chunks of their own page; of each document an item that cites its
+    beginning, states it only, or does neither, and of every second one a vague
+    item that cites it too (one fact with the first, where that cites it)."""
+    docs = table(spark, d, "documents").where("text is not null")
+    doc = F.col("doc_id").cast("string").alias("document_id")
+    index = docs.select(doc, F.lit(1).alias("page_number"), F.lit(0).alias("chunk_index"), F.col("text").alias("content"), F.lit(None).cast("struct<table_id:string,row_index:int,headers:array<string>>").alias("table_ref"), F.col("doc_id").cast("string").alias("id"))
+    begin, kind = F.substring("text", 1, 60), F.col("doc_id") % 3
+    ref = lambda c: F.array(F.struct(F.col("doc_id").cast("string").alias("document_id"), F.lit(1).alias("page_number"), c.alias("citation"), F.lit(None).cast("string").alias("block_id"), F.lit(None).cast("string").alias("chunk_id")))
+    cited = F.when(kind == 0, begin).otherwise(F.concat(F.lit("nowhere to be found "), F.md5("text")))
+    made = lambda no, tipo, valor, r: F.struct((F.col("doc_id") * 2 + no).cast("int").alias("item_no"), F.lit(tipo).alias("tipo"), valor.alias("valor"), r.alias("source_references"))
+    first = made(0, "dato", F.when(kind == 2, F.lit("no such words anywhere")).otherwise(begin), ref(cited))
+    second = made(1, "otro", F.lit(None).cast("string"), ref(F.substring("text", 1, 50)))
+    rows = docs.select(F.col("source").alias("analysis_id"), F.lit("identificacion").alias("category"), F.explode(F.when(F.col("doc_id") % 2 == 0, F.array(first, second)).otherwise(F.array(first))).alias("i"))
+    items = rows.select("analysis_id", "category", "i.*", F.lit(0.9).alias("confidence"), F.lit("success").alias("extraction_status"))
+    out, _ = jobs.settle(items, index)
+    return out.select(F.col("item_no").cast("long").alias("item_no"), "n_merged", "n_refs", "n_grounded", "n_rescued", "extraction_status", "warning")
+
+
+SETTLED_ITEMS = f"""
+WITH t AS (SELECT doc_id, {_FORM.format("text")} AS f, left(text, 60) AS a, left(text, 50) AS b FROM documents WHERE text IS NOT NULL),
+i AS (SELECT doc_id, doc_id * 2 AS no, false AS vague, CASE WHEN doc_id % 3 = 0 THEN a END AS cite, CASE WHEN doc_id % 3 < 2 THEN a END AS valor, f FROM t
+      UNION ALL SELECT doc_id, doc_id * 2 + 1, true, b, NULL, f FROM t WHERE doc_id % 2 = 0),
+g AS (SELECT *, coalesce(length(trim(cite)) >= 12 AND {_FORM.format("cite")} <> '' AND contains(f, {_FORM.format("cite")}), false) AS grounded,
+             coalesce(length(trim(valor)) >= 12 AND {_FORM.format("trim(valor)")} <> '' AND contains(f, {_FORM.format("trim(valor)")}), false) AS stated FROM i),
+m AS (SELECT *, CASE WHEN vague AND grounded AND bool_or(grounded AND NOT vague) OVER (PARTITION BY doc_id) THEN no - 1 ELSE no END AS item_no FROM g),
+r AS (SELECT DISTINCT item_no, grounded, {_FORM.format("coalesce(cite, CAST(no AS VARCHAR))")} AS mark, bool_or(stated) OVER (PARTITION BY item_no) AS stated FROM m),
+n AS (SELECT item_no, count(*) AS n_refs, count_if(grounded) AS n_grounded, count_if(stated AND NOT grounded) AS n_rescued FROM r GROUP BY item_no),
+k AS (SELECT item_no, count(*) AS n_merged FROM m GROUP BY item_no)
+SELECT item_no, n_merged, n_refs, n_grounded, n_rescued, CASE WHEN n_grounded = 0 THEN 'partial' ELSE 'success' END AS extraction_status,
+       CASE WHEN n_grounded > 0 THEN NULL WHEN n_rescued > 0 THEN 'citation_rescued' ELSE 'citation_unverified' END AS warning
+FROM n JOIN k USING (item_no)
+"""
+
+
 def redact_secrets(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5(T.redact(F.col("text"))).alias("redacted_md5"), (T.redact(F.col("text")) != F.col("text")).alias("changed"))
 

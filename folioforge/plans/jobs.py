@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.operators import chunking, classify, consolidate, extract, ground, layout, retrieve, sections
+from folioforge.operators import chunking, classify, consolidate, extract, ground, layout, lexical, retrieve, sections
 from folioforge.sources import schemas, scratch, store
 
 FIELDS = ("valor", "fecha", "hora", "expresion_relativa", "texto_original", "lugar", "monto_porcentaje", "monto_valor", "moneda")
@@ -55,30 +55,91 @@ def ingest(layouts: DataFrame, analysis_id: str, glossary: Sequence[classify.Cat
     return store.index_ids(extract.embed(labelled, embedder, dim), analysis_id), failed
 
 
-def extract_facts(questions: DataFrame, index: DataFrame, extractor: Callable, top_k: int = 25, tries: int = 3, wait: float = 2.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+def extract_facts(
+    questions: DataFrame, index: DataFrame, extractor: Callable, top_k: int | dict[str, int] = 25, tries: int = 3, wait: float = 2.0, exclusive: DataFrame | None = None, lexical_index: lexical.LexicalIndex | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(items, references, runs): one extractor run per analysis and category.
 
     ``questions``: analysis_id, category, query, query_vec (may be null).
     ``index``: what :func:`ingest` makes.  Retrieval inside the analysis over all
-    text fields, the category's chunks raised, the relevance cut, the token
-    budget, the model, its answer as items, and every reference verified against
-    the chunks of its page.
+    text fields, children giving way to their parents, the category's chunks
+    raised, the relevance cut, the token budget, the model, its answer as items,
+    and what :func:`settle` does with them.  ``top_k`` may differ by category.  A
+    question for which nothing is retrieved is a run with the status not_found and
+    no tokens; the model is not asked.
     """
-    name = F.concat_ws("\x1f", "analysis_id", "category")
-    asked = questions.withColumn("query_id", name)
+    each = top_k if isinstance(top_k, dict) else {}
+    default = 25 if isinstance(top_k, dict) else top_k
+    most = max([default, *each.values()])
+    own_k = F.lit(default)
+    for name, k in each.items():
+        own_k = F.when(F.col("category") == name, k).otherwise(own_k)
+    asked = questions.withColumn("query_id", F.concat_ws("\x1f", "analysis_id", "category"))
     fields = index.withColumn("heading", F.array_join(F.coalesce("heading_path", F.array().cast("array<string>")), " "))
-    hits = retrieve.hybrid(asked, fields, 3 * top_k, ("content", "title", "section_path", "heading"), "analysis_id")
+    hits = retrieve.hybrid(asked, fields, 3 * most, ("content", "title", "section_path", "heading"), "analysis_id", lexical_index)
+    if "parent_chunk_id" in index.columns:
+        hits = retrieve.expand_parents(hits.select("query_id", "id", "score", "rank"), index.select("id", F.col("parent_chunk_id").alias("parent_id")), 3 * most)
     more = index.select("id", "primary_category", "secondary_categories", "token_count", "document_id", "page_number", "content", "section_path")
     hits = hits.join(more, "id").join(asked.select("query_id", "analysis_id", "category"), "query_id")
-    best = retrieve.boost_category(hits, F.col("category"), top_k).withColumns({"score": F.col("boosted"), "rank": F.col("new_rank")})
+    best = retrieve.boost_category(hits, F.col("category"), own_k).withColumns({"score": F.col("boosted"), "rank": F.col("new_rank")})
     kept = retrieve.token_budget(retrieve.relevance_cut(best))
     shown = F.struct("rank", "id", "document_id", "page_number", "section_path", "content")
-    work = kept.groupBy("analysis_id", "category").agg(F.array_sort(F.collect_list(shown)).alias("chunks"))  # bounded by the budget
+    work = scratch.written(kept.groupBy("analysis_id", "category").agg(F.array_sort(F.collect_list(shown)).alias("chunks")), "extractor-work")  # bounded by the budget
     runs = scratch.written(extract.run_extractor(work, extractor, tries, wait), "extractor-runs")
+    none = questions.select("analysis_id", "category").distinct().join(work, ["analysis_id", "category"], "left_anti")
+    none = none.select("analysis_id", "category", F.lit(None).cast("string").alias("answer"), F.lit("not_found").alias("status"), F.lit(None).cast("string").alias("error"), F.lit(0).cast("long").alias("prompt_tokens"), F.lit(0).cast("long").alias("completion_tokens"))
     items = extract.normalise_items(runs.where("status = 'success'"), ["analysis_id", "category"])
-    refs = items.select("analysis_id", "category", "item_no", F.posexplode("source_references").alias("ref_no", "r")).select("analysis_id", "category", "item_no", "ref_no", "r.document_id", "r.page_number", "r.citation")
-    checked = ground.verify_references(refs, index.select("document_id", "page_number", "chunk_index", "content", "table_ref", "id")).withColumn("rescued", F.lit(False))
-    return ground.item_status(checked, items), checked, runs
+    return *settle(items, index, exclusive), runs.unionByName(none)
+
+
+def _references(items: DataFrame) -> DataFrame:
+    rows = items.select("analysis_id", "category", "item_no", F.posexplode("source_references").alias("ref_no", "r"))
+    return rows.select("analysis_id", "category", "item_no", "ref_no", "r.document_id", "r.page_number", "r.citation")
+
+
+def settle(items: DataFrame, index: DataFrame, exclusive: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(items, references): what follows the model's answer.
+
+    Where a category has findings, a not_found with content is partial and one
+    without goes.  Items that share a grounding chunk are one fact if one of them
+    says little of itself.  Of the merged items every citation is verified in the
+    chunks of its page; one that is nowhere gives way to the item's own words if
+    the page has those; a short one takes words around it from its chunk, a long
+    one is cut to where it states the value.  References get origin, chunk and
+    block; items their status, warning and, with ``exclusive`` (terms of other
+    categories), the first foreign term, which is then the warning.
+    """
+    key = ["analysis_id", "category", "item_no"]
+    chunks = index.select("document_id", "page_number", "chunk_index", "content", "table_ref", "id")
+    numbers = ("monto_porcentaje", "monto_valor")
+    items = items.withColumns({c: F.lit(None).cast("double" if c in numbers else "string") for c in FIELDS if c not in items.columns})
+    said = scratch.written(consolidate.mixed_not_found(items, key[:2], extract.substantive(items)), "settle-items")
+    held = ground.verify_references(_references(said), chunks).where("grounded").groupBy(*key).agg(F.collect_set("chunk_id").alias("chunk_ids"))
+    weak = ground.weak_identity(F.col("tipo"), F.col("extraction_status"), F.col("confidence"))
+    groups = ground.merge_split_facts(said.join(held, key, "left").select(*key, weak.alias("weak"), "chunk_ids"))
+    merged = consolidate.merge_items(said.join(groups, key), [*key[:2], "group_no"], ["tipo", *FIELDS])
+    merged = scratch.written(merged.withColumnRenamed("group_no", "item_no"), "settle-merged")
+    checked = scratch.written(ground.verify_references(_references(merged), chunks), "settle-checked")
+    found = ground.rescue(checked, merged, chunks)
+    # the words of the chunk and the value are needed where a citation is too short or too long
+    text = chunks.select(F.col("id").alias("chunk_id"), F.col("content").alias("__content"))
+    shaped = found.join(text, "chunk_id", "left").join(merged.select(*key, F.col("valor").alias("__value")), key, "left")
+    wide = F.when(F.col("chunk_id").isNotNull() & (F.length("citation") < ground.PREFERRED), ground.widen_column(F.col("citation"), F.col("__content"))).otherwise(F.col("citation"))
+    shaped = shaped.withColumn("__wide", wide)
+    final = F.when(F.col("chunk_id").isNotNull() & (F.length("__wide") > ground.MOST), ground.shorten(F.col("__wide"), F.col("__value"))).otherwise(F.col("__wide"))
+    original = checked.select(*key, "ref_no", F.col("citation").alias("original_citation"))
+    shaped = shaped.withColumn("citation", final).drop("__wide", "__content", "__value").join(original, [*key, "ref_no"])
+    shaped = shaped.withColumn("origin", ground.citation_origin(F.col("original_citation"), F.col("citation"), F.col("rescued")))
+    if "blocks" in index.columns:
+        # a block's name is its paragraph's place
+        place = lambda p: F.when(p.isNotNull(), F.concat_ws("--", "document_id", p["page"].cast("string"), p["idx"].cast("string")))
+        blocks = F.transform("blocks", lambda b: F.struct(place(b["para_id"]).alias("block_id"), b["content"].alias("content")))
+        shaped = ground.attach_identity(shaped, index.select("id", blocks.alias("blocks")))
+    refs = scratch.written(shaped, "settle-references")
+    out = ground.item_status(refs, merged)
+    if exclusive is not None:
+        out = consolidate.contamination(out, exclusive).withColumn("warning", F.when(F.col("foreign_term").isNotNull(), "foreign_term").otherwise(F.col("warning")))
+    return out, refs
 
 
 def canonical(category: Column, tipo: Column, strict: bool = False) -> Column:

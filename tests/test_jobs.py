@@ -65,6 +65,46 @@ def test_extractor_run(spark):
     assert got == {"plazos": ("success", 1, None), "garantias": ("partial", 0, "citation_unverified")}
     assert {r.category: (r.status, r.prompt_tokens, r.completion_tokens) for r in runs.collect()} == {"plazos": ("success", 7, 2), "garantias": ("success", 7, 2), "roto": ("failed", 0, 0)}
     assert {r.grounded for r in refs.collect()} == {True, False}
+    # nothing to retrieve: no call, no tokens; fewer chunks for one category
+    seen = []
+    other = spark.createDataFrame([("none", "plazos", "plazo", None), ("a", "plazos", "plazo de entrega garantía", None)], asked.schema)
+    items, _, runs = jobs.extract_facts(other, index, lambda c, chunks: {"items": [{"tipo": "n", "valor": str(len(chunks)), "extraction_status": "success"}]}, {"plazos": 1}, wait=0.0)
+    assert {(r.analysis_id, r.status, r.prompt_tokens) for r in runs.collect()} == {("none", "not_found", 0), ("a", "success", 0)}
+    assert [r.valor for r in items.collect()] == ["1"] and not seen
+
+
+def test_settle(spark):
+    text = "El plazo de entrega de los bienes es de 30 días corridos desde la orden de compra. " + "Otra cláusula sigue aquí. " * 8 + "La multa por mora es del 2 % por día."
+    block = lambda i, t: (None, None, t) if i is None else ((1, i), [], t)
+    index = spark.createDataFrame(
+        [("d", 1, 0, text, None, "c0", [block(0, text[:82]), block(1, text[82:])]), ("d", 2, 1, "La garantía de oferta es del 5 % del total ofertado.", None, "c1", [block(0, "La garantía de oferta es del 5 % del total ofertado.")])],
+        f"document_id string, page_number int, chunk_index int, content string, table_ref {schemas.TABLE_REF}, id string, blocks array<{schemas.SOURCE_BLOCK}>",
+    )
+    rows = [
+        item(0, "plazos_clave", "entrega", valor="30 días", refs=(("d", 1, "30 días corridos"),)),
+        item(1, "plazos_clave", "otro", expresion_relativa="desde la orden", refs=(("d", 1, "orden de compra"),)),  # the same fact
+        item(2, "plazos_clave", "mora", valor="La multa por mora es del 2 %", refs=(("d", 1, "nadie escribió esta cita en el pliego"),)),
+        item(3, "plazos_clave", "sin cita", valor="zz", refs=(("d", 1, "tampoco esta otra cita tan larga"),)),
+        item(4, "plazos_clave", "nada", status="not_found", refs=()),
+        item(5, "garantias", "oferta", valor="multa por mora", refs=(("d", 1, text),)),
+    ]
+    items = spark.createDataFrame(rows, schemas.ITEM)
+    exclusive = spark.createDataFrame([(0, "garantias", 0, "multa")], "category_no int, category string, term_no int, term string")
+    out, refs = jobs.settle(items, index, exclusive)
+    got = {(r.category, r.item_no): (r.extraction_status, r.warning, r.n_merged, r.n_grounded, r.n_rescued) for r in out.collect()}
+    assert got == {
+        ("plazos_clave", 0): ("success", None, 2, 2, 0),
+        ("plazos_clave", 2): ("partial", "foreign_term", 1, 0, 1),
+        ("plazos_clave", 3): ("partial", "citation_unverified", 1, 0, 0),
+        ("garantias", 5): ("success", None, 1, 1, 0),
+    }
+    by = {(r.category, r.item_no, r.ref_no): r for r in refs.collect()}
+    assert by["plazos_clave", 0, 0].origin == "ensanchada" and "30 días corridos" in by["plazos_clave", 0, 0].citation and len(by["plazos_clave", 0, 0].citation) >= 40
+    assert by["plazos_clave", 2, 0].origin == "rescatada" and "multa por mora" in by["plazos_clave", 2, 0].citation and by["plazos_clave", 2, 0].chunk_id == "c0"
+    assert by["plazos_clave", 3, 0].origin == "llm" and by["plazos_clave", 3, 0].chunk_id is None
+    assert by["plazos_clave", 0, 0].block_id == "d--1--0" and by["plazos_clave", 2, 0].block_id == "d--1--1" and by["plazos_clave", 3, 0].block_id is None
+    long = by["garantias", 5, 0]
+    assert long.origin == "ensanchada" and len(long.citation) <= 120 and "2 %" in long.citation and long.citation in text
 
 
 def item(no, category, tipo, status="success", refs=(("d", 1, "una cita bastante larga"),), **k):
