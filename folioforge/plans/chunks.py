@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge.functions import tables
 from folioforge.functions.text import tokens
 from folioforge.operators import chunking, classify, lexical, retrieve, vectors
 from folioforge.sources import increment
@@ -26,6 +27,13 @@ SELECT doc_id, window_no, len(w[window_no * 580 + 1 : window_no * 580 + 700]) AS
 """
 
 
+def windows_in_sql(spark: SparkSession, d: str) -> DataFrame:
+    """The windows by the table function, called laterally."""
+    tables.register(spark)
+    docs = table(spark, d, "documents")
+    return spark.sql("SELECT t.doc_id, w.window_no, CAST(w.n_words AS BIGINT) AS n_words, md5(w.window_text) AS window_md5 FROM {docs} t, LATERAL text_windows(t.text, 700, 120) w", docs=docs)
+
+
 def chunk_counts(spark: SparkSession, d: str) -> DataFrame:
     rows = chunking.window_rows(table(spark, d, "documents").select("doc_id", "source", "text"))
     return rows.groupBy("source").agg(F.count("*").alias("n_chunks"), F.sum("n_words").alias("n_words"), F.max("window_no").alias("last_index"), F.count_distinct("doc_id").alias("n_docs"))
@@ -261,6 +269,7 @@ RETRIEVAL_PURITY = f"""WITH {_HITS} SELECT query_id, count(*) AS n, count_if(pri
 
 QUERIES = {
     "chunk_windows": (chunk_windows, CHUNK_WINDOWS),
+    "windows_in_sql": (windows_in_sql, CHUNK_WINDOWS),
     "chunk_counts": (chunk_counts, CHUNK_COUNTS),
     "paragraph_packing": (paragraph_packing, None),
     "term_hits": (term_hits, TERM_HITS),
