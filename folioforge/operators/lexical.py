@@ -37,6 +37,8 @@ SPAN = 1024
 FIRST = 4
 #: So many different terms are named in the filter of a scan; more are joined.
 LISTED = 5000
+#: Different query terms that may be sent to where documents are read.
+SENT_TERMS = 100_000
 #: Query terms that may be sent to the scans of block heads, by their rows.
 SENT = 1_000_000
 #: Scores are rounded to six digits; bounds are kept so far above them.
@@ -56,7 +58,7 @@ class LexicalIndex:
         return spark.read.parquet(f"{self.path}/{name}")
 
 
-def build(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text: str | Sequence[str] = "text", within: str | None = None, span: int = SPAN) -> LexicalIndex:
+def build(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text: str | Sequence[str] = "text", within: str | None = None, span: int = SPAN, queries: DataFrame | None = None) -> LexicalIndex:
     """Index ``docs`` below ``path`` (a new folder of the shared one by default).
 
     ``text``: one field or several, each with statistics of its own.  ``within``: a
@@ -66,15 +68,22 @@ def build(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
 
     Documents are counted where they are read: the blocks of a bucket are those of
     one slice of a task's documents, so only finished blocks are shuffled, once, to
-    be ranged by term.
+    be ranged by term.  An index that serves ``queries`` (with a column query) only
+    once leaves other terms out where they are read, if those of the queries are
+    few enough to be sent there; what it finds for them is the same.
     """
+    only = None
+    if queries is not None:
+        words = queries.select(F.explode(tokens(matching_form(F.col("query")))).alias("term")).distinct()
+        listed = [r.term for r in words.limit(SENT_TERMS + 1).collect()]
+        only = listed if len(listed) <= SENT_TERMS else None
     spark = docs.sparkSession
     path = path or new_path(spark, "lexical-index")
     fields = [text] if isinstance(text, str) else list(text)
     space = F.coalesce(F.col(within).cast("string"), F.lit("")) if within else F.lit("")
     picked = docs.select(F.col(id_col).alias("id"), space.alias("space"), *(matching_form(F.coalesce(F.col(f), F.lit(""))).alias(f"f{i}") for i, f in enumerate(fields)))
     id_type = picked.schema["id"].dataType.simpleString()
-    counted = picked.mapInArrow(_counts(span), f"term string, field int, space string, bucket long, ats array<int>, tfs array<int>, lens array<int>, ids array<{id_type}>, spaces array<string>")
+    counted = picked.mapInArrow(_counts(span, only), f"term string, field int, space string, bucket long, ats array<int>, tfs array<int>, lens array<int>, ids array<{id_type}>, spaces array<string>")
     counted = written(counted, "lexical-counts")
     marker = counted.where("term is null")  # one row per field and bucket
     named = marker.where("field = 0").select("bucket", F.explode(F.arrays_zip("ats", "ids", "spaces")).alias("x"))
@@ -97,8 +106,8 @@ def _lists(values, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
 
 
-def _counts(span: int):
-    """Blocks of every ``span`` documents, and a row without a term for each field
+def _counts(span: int, only: list[str] | None = None):
+    """Blocks of every ``span`` documents (of the terms ``only``, if given), and a row without a term for each field
     with the documents themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,8 +125,13 @@ def _counts(span: int):
                     some = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
                     coded, doc = words.filter(pa.array(some)).dictionary_encode(), doc[some]
                     lens = np.bincount(doc, minlength=rows).astype(np.int32)
+                    codes = coded.indices.to_numpy()
+                    if only is not None:
+                        kept = pc.is_in(coded.dictionary, value_set=pa.array(only, pa.string())).to_numpy(zero_copy_only=False)
+                        kept = kept[codes] if len(codes) else np.zeros(0, bool)
+                        codes, doc = codes[kept], doc[kept]
                     n_terms = max(1, len(coded.dictionary))
-                    keys, tfs = np.unique((spaces.indices.to_numpy()[doc].astype(np.int64) * n_terms + coded.indices.to_numpy()) * rows + doc, return_counts=True)
+                    keys, tfs = np.unique((spaces.indices.to_numpy()[doc].astype(np.int64) * n_terms + codes) * rows + doc, return_counts=True)
                     block, at = keys // rows, (keys % rows).astype(np.int32)
                     first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(keys) else np.zeros(0, np.int64)
                     sizes = np.diff(np.append(first, len(keys)))

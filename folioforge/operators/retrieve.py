@@ -135,7 +135,7 @@ def hybrid(queries: DataFrame, chunks: DataFrame, top_k: int = 25, fields: Seque
     ``index``: of the chunks by id over these fields, if it is stored already.
     """
     fetch = max(2 * top_k, FETCH_LEAST)
-    index = index or lexical.build(chunks, None, "id", fields, within)
+    index = index or lexical.build(chunks, None, "id", fields, within, queries=queries)
     by_words = lexical.search(index, queries, fetch, within)
     asked = queries.where("query_vec is not null")
     if within:

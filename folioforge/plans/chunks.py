@@ -113,7 +113,8 @@ def _queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.search(lexical.build(table(spark, d, "documents")), _queries(spark, d), 10)
+    asked = _queries(spark, d)
+    return lexical.search(lexical.build(table(spark, d, "documents"), queries=asked), asked, 10)
 
 
 _BM25 = rf"""
@@ -179,7 +180,8 @@ def vector_lists_probed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    words = lexical.search(lexical.build(table(spark, d, "documents")), _queries(spark, d), 30)
+    asked = _queries(spark, d)
+    words = lexical.search(lexical.build(table(spark, d, "documents"), queries=asked), asked, 30)
     return retrieve.top(retrieve.fuse(words, cosine_topk(spark, d)), 20)
 
 
