@@ -29,12 +29,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .buffers import LOWER, bytes_of, words_of
-from .common import bitmap, join_hot, materialize, text_slices
+from .common import arrow_rows, bitmap, join_hot, materialize, text_slices
 
 SUPPORT, LONGEST, TOP, COVER = 30, 4, 2000, 80
 #: Scores count in parts of this many.
 SCALE = 2_000_000
-SLICE_BYTES, CHUNK = 12 << 20, 6 << 20
+SLICE_BYTES, CHUNK = 12 << 20, 2 << 20
+#: Rows of an Arrow batch: of texts, and of slices (up to a few megabytes each).
+TEXT_ROWS, SLICE_ROWS = 1000, 4
 #: Salts of the first rounds of a ranking; each round keeps the best of each salt.
 ROUNDS = (1024, 32)
 _SEPARATES = np.isin(np.arange(256), np.frombuffer(b".,;:!?\n\v\f\r", np.uint8))
@@ -62,19 +64,32 @@ def _chunks(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
 def _coded(data: np.ndarray, breaks: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """Different words, and the places of all words in them; -1 between pieces."""
     found = words_of(data, _IS_WORD, breaks)
-    piece = np.cumsum(_SEPARATES[data], dtype=np.int32)[found.start] + np.searchsorted(breaks, found.start, "right")
-    return found.distinct.cast(pa.binary()).view(pa.string()), np.insert(found.code, np.flatnonzero(piece[1:] != piece[:-1]) + 1, -1).astype(np.int32)
+    piece = np.searchsorted(np.flatnonzero(_SEPARATES[data]), found.start) + np.searchsorted(breaks, found.start, "right")
+    return found.distinct.cast(pa.binary()).view(pa.string()), np.insert(found.code, np.flatnonzero(piece[1:] != piece[:-1]) + 1, -1).astype(np.int32, copy=False)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Small batches joined to about SLICE_BYTES, for few slices and few words in them."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= SLICE_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     task, number = TaskContext.get().partitionId() << 32, 0
-    for b in text_slices(batches, 1, SLICE_BYTES):
+    for b in text_slices(_gathered(batches), 1, SLICE_BYTES):
         langs = b.column(0).dictionary_encode()
         for k, lang in enumerate(langs.dictionary.to_pylist()):
             data, at = bytes_of(b.column(1).filter(pa.array(langs.indices.to_numpy() == k)))
-            data = LOWER[data]
             for lo, hi in _chunks(data, at):
-                words, codes = _coded(data[lo:hi], np.append(at[(at > lo) & (at < hi)] - lo, hi - lo))
+                words, codes = _coded(LOWER[data[lo:hi]], np.append(at[(at > lo) & (at < hi)] - lo, hi - lo))
                 if not len(words):
                     continue
                 counts = np.bincount(codes[codes >= 0], minlength=len(words))
@@ -230,7 +245,9 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LON
     """
     picked = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
     schema = "slice long, lang string, n long, words array<string>, counts array<long>, codes binary"
-    coded = materialize(picked.mapInArrow(_encode, schema), "phrase-slices")
+    spark = docs.sparkSession
+    with arrow_rows(spark, TEXT_ROWS):
+        coded = materialize(picked.mapInArrow(_encode, schema), "phrase-slices")
     totals = coded.groupBy("lang").agg(F.sum("n").alias("n"))
     entries = coded.select("slice", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "x")).select("slice", "lang", "place", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     often = entries.groupBy("lang", "word").agg(F.sum("n").alias("a"), F.count("*").alias("n_rows")).where(F.col("a") >= support)
@@ -240,17 +257,20 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LON
     # bounded by the words of a slice
     named = named.groupBy("slice").agg(F.collect_list(F.struct("place", "id")).alias("x")).select("slice", F.col("x.place").alias("places"), F.col("x.id").alias("ids"))
     spelled = coded.select("slice", "lang", "codes").join(named, "slice").select("lang", "codes", "places", "ids").mapInArrow(_spell, "lang string, codes binary, ids array<long>")
-    spelled = materialize(spelled, "phrase-spelled")
+    with arrow_rows(spark, SLICE_ROWS):
+        spelled = materialize(spelled, "phrase-spelled")
     # a slice has counted its pairs; few of them are in the next slice, so nothing is gained by summing before the shuffle
     pairs = spelled.mapInArrow(_pairs, "w1 long, w2 long, lang string, n long").repartition("lang", "w1", "w2")
     pairs = pairs.groupBy("lang", "w1", "w2").agg(F.sum("n").alias("a")).where(F.col("a") >= support)
-    pairs = materialize(pairs, "phrase-pairs")
+    with arrow_rows(spark, SLICE_ROWS):
+        pairs = materialize(pairs, "phrase-pairs")
     phrases = pairs.select("lang", F.array("w1", "w2").alias("ids"), "a")
     if longest > 2:
         keys = pairs.select("w1", "w2").mapInArrow(_keys_of_pairs, "key long")
         bits = np.array(bitmap(keys, pairs.count(), "phrase-bitmap").first().bits, np.int64)  # at most four megabytes
-        sent = docs.sparkSession.sparkContext.broadcast(bits)
-        windows = materialize(spelled.mapInArrow(_windows(longest, sent), "lang string, window array<long>, n long"), "phrase-windows")
+        sent = spark.sparkContext.broadcast(bits)
+        with arrow_rows(spark, SLICE_ROWS):
+            windows = materialize(spelled.mapInArrow(_windows(longest, sent), "lang string, window array<long>, n long"), "phrase-windows")
         ranges = windows.repartitionByRange("window").sortWithinPartitions("window")
         grown = ranges.mapInArrow(_grown(longest, support), "lang string, phrase array<long>, n long")
         grown = grown.groupBy("lang", F.col("phrase").alias("ids")).agg(F.sum("n").alias("a")).where(F.col("a") >= support)
@@ -270,7 +290,7 @@ def mine_collocations(docs: DataFrame, support: int = SUPPORT, longest: int = LO
     ``cover`` per cent of its occurrences or more is left out.  Ranks go by score
     and a descending, then by the phrase's bytes.  Null lang is ``und``, null text
     empty; repeated rows count each; an empty table gives an empty result.  A
-    worker holds some twenty times a chunk of six megabytes of text (or of the
+    worker holds some twenty times a chunk of two megabytes of text (or of the
     longest run without punctuation).
     """
     totals, words, phrases = frequent_phrases(docs, support, longest, lang_col, text_col)

@@ -96,6 +96,22 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: int | str, most_bytes
             yield b.slice(start)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int):
+    """Arrow batches of ``most`` rows for what runs inside the block.
+
+    An executor builds a batch outside its heap, so rows of megabytes must not
+    meet in batches of the usual 10000.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 # hot keys -------------------------------------------------------------------
 
 #: A key with more than one in HOT of all rows is hot; fewer than HOT keys can be.

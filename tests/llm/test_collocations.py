@@ -109,3 +109,44 @@ def test_long_counts_stay_exact(spark):
     row = spark.createDataFrame([(big, big, big)], "a long, l1 long, r1 long").selectExpr(f"CAST(a AS DECIMAL(20,0)) * {C.SCALE} div (CAST(l1 AS DECIMAL(20,0)) + CAST(r1 AS DECIMAL(20,0))) AS s").first()
     assert row.s == C.SCALE // 2
     assert pa.types.is_string(C._coded(np.frombuffer(b"a b", np.uint8), np.array([3]))[0].type)
+
+
+def test_a_worker_holds_a_small_multiple_of_a_chunk(spark):
+    """Peak of numpy's memory over 16 MB of one language, beside the text itself."""
+    import tracemalloc
+
+    class Task:
+        @staticmethod
+        def get():
+            return Task
+
+        @staticmethod
+        def partitionId():
+            return 0
+
+    text = " ".join(f"w{i % 5003}." for i in range(300))
+    batches = [pa.RecordBatch.from_arrays([pa.array(["en"] * 1000), pa.array([text] * 1000)], ["lang", "text"]) for _ in range(8)]
+    assert sum(b.nbytes for b in batches) > 13e6
+    held, C.TaskContext = C.TaskContext, Task
+    tracemalloc.start()
+    try:
+        n = sum(b.column(2)[0].as_py() for b in C._encode(iter(batches)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        C.TaskContext = held
+    assert n == 8 * 1000 * 300
+    assert peak < 60e6
+
+
+def test_slices_gather_small_batches(spark, monkeypatch):
+    """Batches of a few rows, and slices that join them, change no count."""
+    monkeypatch.setattr(C, "TEXT_ROWS", 7)
+    monkeypatch.setattr(C, "SLICE_ROWS", 1)
+    monkeypatch.setattr(C, "SLICE_BYTES", 4000)
+    monkeypatch.setattr(C, "CHUNK", 900)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    rows = corpus(seed=11)
+    assert as_rows(mine_collocations(frame(spark, rows), support=5)) == brute(rows, 5)
+    assert spark.conf.get(key) == before
