@@ -9,8 +9,10 @@
    signatures by counting bits (corrected for chance collisions), and pairs that
    may reach the threshold are confirmed on the full sets.  This is linear in
    the members and joins dense groups.
-4. Only buckets that still hold several components go on.  Their members are
-   compared in blocks, every pair in one bucket only (that of its first shared
+4. Only buckets that still hold several components go on.  In those larger than a
+   block, members first meet ``CENTRES`` more of the bucket, which is linear too and
+   joins most of a large group of near copies.  What still differs is
+   compared in blocks (a bucket's largest component only with the others), every pair in one bucket only (that of its first shared
    band) and only between different components; what passes the estimate is
    confirmed on the full sets inside the task.  No pairs are written, only the
    links that join components.
@@ -48,6 +50,8 @@ LONGS = PERMS * BITS // 64
 SLACK = 5.0
 #: Members and shingles of a block in step 4, and members a centre meets in one task.
 BLOCK_ROWS, BLOCK_SHINGLES, CHUNK = 500, 500_000, 256
+#: Members of a mixed bucket larger than a block that all others are compared with before step 4.
+CENTRES = 6
 #: Members beyond which a bucket is not compared in blocks; counters of step 5.
 GIANT, COUNTERS = 8000, 1 << 20
 #: In place of a band key whose bucket is left out.
@@ -241,13 +245,40 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
+def _more_stars(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) of the members of buckets larger than a block with CENTRES
+    members of the bucket, where the components differ.  Linear in the members."""
+    large = members.where(F.col("n_rows") > BLOCK_ROWS).select("bkey", "rep", "label", "n", "sig", "n_rows")
+    member = F.struct("rep", "label", "n", "sig")
+    picked = large.groupBy("bkey").agg(F.first("n_rows").alias("n_rows"), *(F.min_by(member, F.xxhash64("rep", F.lit(i))).alias(f"c{i}") for i in range(CENTRES)))
+    picked = picked.withColumn("c", F.array_distinct(F.array(*(f"c{i}" for i in range(CENTRES))))).select("bkey", "n_rows", "c")
+    met = join_hot(large.drop("n_rows"), materialize(picked, "minhash-picked"), ["bkey"], large.count()).select("rep", "label", "n", "sig", F.explode("c").alias("c"))
+    near = (F.col("label") != F.col("c.label")) & (matching(F.col("sig"), F.col("c.sig")) >= least_matches(percent)) & (100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n"))
+    pairs = materialize(met.where(near).select(F.col("c.rep").alias("centre"), "rep").distinct(), "minhash-pairs")
+    sizes = pairs.groupBy("centre").agg(F.count("*").alias("n_rows"))
+    return _star_links(join_hot(pairs, materialize(sizes, "minhash-centres"), ["centre"], pairs.count()), texts, k, percent)
+
+
 def _in_blocks(members: DataFrame) -> DataFrame:
     """Deal the members of each bucket into blocks and every pair of blocks to
-    a task; adds lo, hi (the blocks) and own (the member's block)."""
-    size = members.groupBy("bkey").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"), F.count("*").alias("n_rows"))
-    dealt = join_hot(members, materialize(size, "minhash-sizes"), ["bkey"], members.count()).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    return dealt.select("*", other).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other", "parts", "n_rows")
+    a task; adds lo, hi (the blocks) and own (the member's block).
+
+    Where that takes fewer rows, the members of the bucket's largest component have
+    blocks of their own, which meet only the blocks of the others: a component
+    has no links to look for in itself.
+    """
+    blocks = lambda m, n: F.greatest(F.ceil(F.col(m) / BLOCK_ROWS), F.ceil(F.col(n) / BLOCK_SHINGLES)).cast("int")
+    of_label = members.groupBy("bkey", "label").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    size = of_label.groupBy("bkey").agg(F.sum("m").alias("n_rows"), F.sum("n").alias("n_all"), F.max(F.struct("m", "n", "label")).alias("main"))
+    size = size.select("bkey", "n_rows", "n_all", "main.label", F.col("main.m").alias("m1"), F.col("main.n").alias("n1"), (F.col("n_rows") - F.col("main.m")).alias("m2"), (F.col("n_all") - F.col("main.n")).alias("n2")).where("m2 > 0")
+    size = size.select("bkey", "n_rows", "m1", "m2", F.col("label").alias("main"), blocks("n_rows", "n_all").alias("parts"), blocks("m1", "n1").alias("p1"), blocks("m2", "n2").alias("p2"))
+    size = size.withColumn("split", F.expr("m1 * p2 + m2 * (p1 + p2) < n_rows * parts")).drop("m1", "m2")
+    dealt = join_hot(members, materialize(size, "minhash-sizes"), ["bkey"], members.count())
+    at, is_main = F.xxhash64("rep", F.lit(7)), F.col("split") & (F.col("label") == F.col("main"))
+    own = F.when(is_main, F.col("p2") + F.pmod(at, F.col("p1"))).when(F.col("split"), F.pmod(at, F.col("p2"))).otherwise(F.pmod(at, F.col("parts"))).cast("int")
+    meets = F.when(is_main, F.col("p2")).when(F.col("split"), F.col("p1") + F.col("p2")).otherwise(F.col("parts"))
+    dealt = dealt.select(*members.columns, own.alias("own"), F.explode(F.sequence(F.lit(0), meets - 1)).alias("other"))
+    return dealt.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
@@ -460,6 +491,10 @@ def _decided(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     label = materialize(connected_components(stars, "minhash-components"), "minhash-labels")
 
     members = _mixed(buckets, label, reps)
+    if not members.where(F.col("n_rows") > BLOCK_ROWS).isEmpty():
+        stars = stars.union(materialize(_more_stars(members, texts, k, percent), "minhash-stars"))
+        label = materialize(connected_components(stars, "minhash-components"), "minhash-labels")
+        members = _mixed(buckets, label, reps)
     giant = members.where(F.col("n_rows") > GIANT)
     has_giant = not giant.isEmpty()
     small = members.where(F.col("n_rows") <= GIANT).drop("n_rows")

@@ -77,6 +77,24 @@ def test_hub_whose_copies_are_not_linked(spark, monkeypatch):
     assert sorted((tuple(x) for x in M.near_duplicates(df, 3, 85).collect()), key=repr) == brute(rows, 3, 85)
 
 
+def test_blocks_leave_out_pairs_within_a_component(spark, monkeypatch):
+    """A large component and few others: rows in proportion to the members, and
+    every pair of different components in exactly one task."""
+    monkeypatch.setattr(M, "BLOCK_ROWS", 10)
+    labels = [0] * 200 + list(range(1000, 1008))
+    rows = [(7, i, label, 5) for i, label in enumerate(labels)] + [(8, i, 1, 5) for i in range(50)] + [(9, i, i, 5) for i in range(35)]
+    out = M._in_blocks(spark.createDataFrame(rows, "bkey long, rep long, label long, n long")).collect()
+    assert sum(x.bkey == 7 for x in out) < 3 * 208 and all(x.bkey != 8 for x in out)
+    for bkey, n in (7, 208), (9, 35):
+        met, of = {}, dict(enumerate(labels)) if bkey == 7 else {i: i for i in range(35)}
+        for x in out:
+            if x.bkey == bkey:
+                met.setdefault((x.lo, x.hi), []).append(x)
+        pairs = [(a.rep, b.rep) for (lo, hi), g in met.items() for a in g for b in g if a.own == lo and b.own == hi and (lo < hi or a.rep < b.rep)]
+        pairs = [tuple(sorted(p)) for p in pairs if of[p[0]] != of[p[1]]]
+        assert len(pairs) == len(set(pairs)) == sum(of[i] != of[j] for i in range(n) for j in range(i))
+
+
 @pytest.mark.parametrize("giant", [8000, 3])
 def test_pages_of_one_template(spark, monkeypatch, giant):
     """Template pages below the threshold share buckets; copies among them are found
