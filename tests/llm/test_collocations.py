@@ -130,7 +130,7 @@ def test_a_worker_holds_a_small_multiple_of_a_chunk(spark):
     held, C.TaskContext = C.TaskContext, Task
     tracemalloc.start()
     try:
-        n = sum(b.column(2)[0].as_py() for b in C._encode(iter(batches)))
+        n = sum(b.column(2)[0].as_py() for b in C._encode(iter([pa.concat_batches(batches)])))
         peak = tracemalloc.get_traced_memory()[1]
     finally:
         tracemalloc.stop()
