@@ -59,13 +59,21 @@ def scratch_scope(spark: SparkSession):
             at.getFileSystem(conf).delete(at, True)
 
 
-def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+#: Rows of a table of numbers that a task writes at least, and tasks that may always write.
+TASK_ROWS, FEW_TASKS = 50_000, 24
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False, most_rows: int | None = None) -> DataFrame:
     """Write ``df`` into the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs the rereading of a file, never the
     recomputation of what lies before, and a frame that is used twice is
-    computed once.
+    computed once.  With ``most_rows``, a bound on the rows of a frame of short rows,
+    no more tasks write (and leave files) than they need: where Spark doesn't
+    merge small partitions, a writing task costs more than its few rows.
     """
+    if most_rows is not None:
+        df = df.coalesce(max(FEW_TASKS, -(-most_rows // TASK_ROWS)))
     path = scratch(df.sparkSession, name)
     if keep and (made := _made.get()):
         made.remove(path)
@@ -177,15 +185,16 @@ def row_key(doc_id: Column, text: Column) -> list[Column]:
     return [F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit(1), *parts).alias("k2")]
 
 
-def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int | None = None) -> DataFrame:
     """The rows of ``docs`` that stay; columns unchanged.
 
     ``decided`` has one row (k1, k2, stays) per row of ``docs``.  Rows that are
     equal in identifier and text are settled together: one of them stays or none.
     A bitmap keeps texts about which nothing is decided out of the shuffle.
+    ``most_rows`` is a bound on the rows of ``decided``, if one is known.
     """
     acts = decided.groupBy("k1", "k2").agg(F.max("stays").alias("stays"), F.count("*").alias("n_rows")).where("not stays or n_rows > 1")
-    acts = materialize(acts, "rows-decided")
+    acts = materialize(acts, "rows-decided", most_rows=most_rows)
     n_acts, total = acts.agg(F.count("*"), F.sum("n_rows")).first()
     bits = F.broadcast(bitmap(acts.select(F.col("k1").alias("key")), n_acts, "rows-bitmap"))
     names = {c: f"__{i}" for i, c in enumerate(docs.columns)}

@@ -212,7 +212,7 @@ def _buckets(reps: DataFrame, n_sets: int) -> DataFrame:
     """bkey, rep, centre for the members of buckets of two or more."""
     rows = reps.select(F.explode("bands").alias("bkey"), "rep")
     shared = rows.groupBy("bkey").agg(F.min("rep").alias("centre"), F.count("*").alias("n_rows")).where("n_rows > 1")
-    shared = materialize(shared, "minhash-shared")
+    shared = materialize(shared, "minhash-shared", most_rows=BANDS * n_sets // 2)
     return join_hot(rows, shared, ["bkey"], BANDS * n_sets).drop("n_rows")
 
 
@@ -252,11 +252,13 @@ def _more_stars(members: DataFrame, texts: DataFrame, k: int, percent: int) -> D
     member = F.struct("rep", "label", "n", "sig")
     picked = large.groupBy("bkey").agg(F.first("n_rows").alias("n_rows"), *(F.min_by(member, F.xxhash64("rep", F.lit(i))).alias(f"c{i}") for i in range(CENTRES)))
     picked = picked.withColumn("c", F.array_distinct(F.array(*(f"c{i}" for i in range(CENTRES))))).select("bkey", "n_rows", "c")
-    met = join_hot(large.drop("n_rows"), materialize(picked, "minhash-picked"), ["bkey"], large.count()).select("rep", "label", "n", "sig", F.explode("c").alias("c"))
+    n_large = large.count()
+    met = join_hot(large.drop("n_rows"), materialize(picked, "minhash-picked", most_rows=n_large // BLOCK_ROWS), ["bkey"], n_large).select("rep", "label", "n", "sig", F.explode("c").alias("c"))
     near = (F.col("label") != F.col("c.label")) & (matching(F.col("sig"), F.col("c.sig")) >= least_matches(percent)) & (100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n"))
-    pairs = materialize(met.where(near).select(F.col("c.rep").alias("centre"), "rep").distinct(), "minhash-pairs")
+    pairs = materialize(met.where(near).select(F.col("c.rep").alias("centre"), "rep").distinct(), "minhash-pairs", most_rows=CENTRES * n_large)
     sizes = pairs.groupBy("centre").agg(F.count("*").alias("n_rows"))
-    return _star_links(join_hot(pairs, materialize(sizes, "minhash-centres"), ["centre"], pairs.count()), texts, k, percent)
+    n_pairs = pairs.count()
+    return _star_links(join_hot(pairs, materialize(sizes, "minhash-centres", most_rows=n_pairs), ["centre"], n_pairs), texts, k, percent)
 
 
 def _in_blocks(members: DataFrame) -> DataFrame:
@@ -273,7 +275,8 @@ def _in_blocks(members: DataFrame) -> DataFrame:
     size = size.select("bkey", "n_rows", "n_all", "main.label", F.col("main.m").alias("m1"), F.col("main.n").alias("n1"), (F.col("n_rows") - F.col("main.m")).alias("m2"), (F.col("n_all") - F.col("main.n")).alias("n2")).where("m2 > 0")
     size = size.select("bkey", "n_rows", "m1", "m2", F.col("label").alias("main"), blocks("n_rows", "n_all").alias("parts"), blocks("m1", "n1").alias("p1"), blocks("m2", "n2").alias("p2"))
     size = size.withColumn("split", F.expr("m1 * p2 + m2 * (p1 + p2) < n_rows * parts")).drop("m1", "m2")
-    dealt = join_hot(members, materialize(size, "minhash-sizes"), ["bkey"], members.count())
+    total = members.count()
+    dealt = join_hot(members, materialize(size, "minhash-sizes", most_rows=total), ["bkey"], total)
     at, is_main = F.xxhash64("rep", F.lit(7)), F.col("split") & (F.col("label") == F.col("main"))
     own = F.when(is_main, F.col("p2") + F.pmod(at, F.col("p1"))).when(F.col("split"), F.pmod(at, F.col("p2"))).otherwise(F.pmod(at, F.col("parts"))).cast("int")
     meets = F.when(is_main, F.col("p2")).when(F.col("split"), F.col("p1") + F.col("p2")).otherwise(F.col("parts"))
@@ -474,26 +477,26 @@ def _decided(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     of_set = F.min(F.struct("doc_id", "k1", "k2"))
     reps = able.groupBy("set_key").agg(of_set.alias("o"), F.count("*").alias("n_rows"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     # numbered once, where it is written
-    reps = materialize(reps.select(F.monotonically_increasing_id().alias("rep"), "set_key", "o.*", "n_rows", "n", "bands", "sig"), "minhash-sets")
+    reps = materialize(reps.select(F.monotonically_increasing_id().alias("rep"), "set_key", "o.*", "n_rows", "n", "bands", "sig"), "minhash-sets", most_rows=sigs.count())
     n_sets = reps.count()
-    buckets = materialize(_buckets(reps, n_sets), "minhash-buckets")
+    buckets = materialize(_buckets(reps, n_sets), "minhash-buckets", most_rows=BANDS * n_sets)
+    n_members = buckets.count()
 
     involved = reps.join(buckets.select("rep").distinct(), "rep", "left_semi").select("k1", "k2", "rep", "set_key")
     own = _keyed(docs, id_col, text_col).select("k1", "k2", "text").join(involved, ["k1", "k2"])
     texts = materialize(own.dropDuplicates(["k1", "k2", "rep"]).select("rep", "set_key", "text"), "minhash-texts")
 
     slim = reps.select("rep", "n", "sig")
-    pairs = materialize(buckets.where("rep <> centre").select("rep", "centre").distinct(), "minhash-pairs")
+    pairs = materialize(buckets.where("rep <> centre").select("rep", "centre").distinct(), "minhash-pairs", most_rows=n_members)
     centres = pairs.groupBy("centre").agg(F.count("*").alias("n_rows")).join(slim.select(F.col("rep").alias("centre"), F.col("n").alias("n2"), F.col("sig").alias("sig2")), "centre")
-    pairs = join_hot(pairs.join(slim, "rep"), materialize(centres, "minhash-centres"), ["centre"], pairs.count())
+    pairs = join_hot(pairs.join(slim, "rep"), materialize(centres, "minhash-centres", most_rows=n_members), ["centre"], pairs.count())
     near = (matching(F.col("sig"), F.col("sig2")) >= least_matches(percent)) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
     stars = materialize(_star_links(pairs.where(near).select("centre", "rep", "n_rows"), texts, k, percent), "minhash-stars")
-    label = materialize(connected_components(stars, "minhash-components"), "minhash-labels")
+    label = connected_components(stars, "minhash-components", stars.count())
 
     members = _mixed(buckets, label, reps)
     if not members.where(F.col("n_rows") > BLOCK_ROWS).isEmpty():
-        stars = stars.union(materialize(_more_stars(members, texts, k, percent), "minhash-stars"))
-        label = materialize(connected_components(stars, "minhash-components"), "minhash-labels")
+        label = _joined(label, materialize(_more_stars(members, texts, k, percent), "minhash-stars"))
         members = _mixed(buckets, label, reps)
     giant = members.where(F.col("n_rows") > GIANT)
     has_giant = not giant.isEmpty()
@@ -503,37 +506,43 @@ def _decided(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
         left_out = giant.groupBy("rep").agg(F.collect_set("bkey").alias("left_out"))
         compared = F.transform("bands", lambda x: F.when(F.array_contains("left_out", x), F.lit(GONE)).otherwise(x))
         small = materialize(small.join(left_out, "rep", "left").withColumn("bands", F.when(F.col("left_out").isNull(), F.col("bands")).otherwise(compared)).drop("left_out"), "minhash-small")
-    undecided = materialize(_undecided(small, percent), "minhash-undecided")
+    undecided = materialize(_undecided(small, percent), "minhash-undecided", most_rows=n_members)
     more = materialize(_block_links(small.join(undecided, ["bkey", "rep"], "left_semi"), texts, k, percent), "minhash-links")
     if not more.isEmpty():
-        stars = stars.union(more)
-        label = materialize(connected_components(stars, "minhash-components"), "minhash-labels")
+        label = _joined(label, more)
     if has_giant:
         labelled = giant.select("rep").distinct().join(label, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("label", "rep").alias("label"))
         held = materialize(texts.join(labelled, "rep").join(slim.select("rep", "sig"), "rep"), "minhash-giant")
         rare = materialize(_prefix_pairs(materialize(_prefix_rows(held, k, percent), "minhash-rows"), percent), "minhash-candidates")
         more = materialize(_confirmed(rare, texts, k, percent), "minhash-links")
-        label = materialize(connected_components(stars.union(more), "minhash-components"), "minhash-labels")
+        label = _joined(label, more)
 
     labelled = reps.select("rep", "set_key", "n_rows", "doc_id").join(label, F.col("rep") == F.col("node"), "left").select("rep", "set_key", "n_rows", "doc_id", F.coalesce("label", "rep").alias("label"))
-    labelled = materialize(labelled, "minhash-labelled")
+    labelled = materialize(labelled, "minhash-labelled", most_rows=n_sets)
     least = F.min(F.struct("doc_id", "rep"))
-    component = materialize(labelled.groupBy("label").agg(least.alias("least"), F.count("*").alias("n_rows")), "minhash-least")
+    component = materialize(labelled.groupBy("label").agg(least.alias("least"), F.count("*").alias("n_rows")), "minhash-least", most_rows=n_sets)
     joined = join_hot(labelled.withColumnRenamed("n_rows", "copies"), component, ["label"], n_sets)
     found = joined.select("set_key", F.col("copies").alias("n_rows"), F.col("least.doc_id").alias("component_id"), (F.col("least.rep") == F.col("rep")).alias("first"))
-    joined = join_hot(able.select("doc_id", "k1", "k2", "set_key", "n"), materialize(found, "minhash-found"), ["set_key"], sigs.count()).drop("n_rows")
+    joined = join_hot(able.select("doc_id", "k1", "k2", "set_key", "n"), materialize(found, "minhash-found", most_rows=n_sets), ["set_key"], sigs.count()).drop("n_rows")
     alone = sigs.where("n = 0 or doc_id is null").select("doc_id", "k1", "k2", "set_key", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))
     return joined.unionByName(alone)
 
 
+def _joined(label: DataFrame, more: DataFrame) -> DataFrame:
+    """``label`` after further links: those of before are known by the labels alone."""
+    links = label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more.select("a", "b"))
+    return connected_components(links, "minhash-components", links.count())
+
+
 def _mixed(buckets: DataFrame, label: DataFrame, reps: DataFrame) -> DataFrame:
     """The members of buckets with several components: bkey, rep, label, n_rows (of
     the bucket), n, sig, bands."""
     labelled = buckets.join(label, F.col("rep") == F.col("node"), "left").select("bkey", "rep", F.coalesce("label", "rep").alias("label"))
-    labelled = materialize(labelled, "minhash-members")
+    total = buckets.count()
+    labelled = materialize(labelled, "minhash-members", most_rows=total)
     mixed = labelled.groupBy("bkey").agg(F.min("label").alias("p"), F.max("label").alias("q"), F.count("*").alias("n_rows")).where("p <> q").select("bkey", "n_rows")
-    members = join_hot(labelled, materialize(mixed, "minhash-mixed"), ["bkey"], labelled.count())
-    return materialize(members.join(reps.select("rep", "n", "sig", "bands"), "rep"), "minhash-mixed")
+    members = join_hot(labelled, materialize(mixed, "minhash-mixed", most_rows=total), ["bkey"], total)
+    return materialize(members.join(reps.select("rep", "n", "sig", "bands"), "rep"), "minhash-mixed", most_rows=total)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -561,9 +570,10 @@ def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     found = _decided(docs, k, percent, "doc_id", "text")
     kept = F.col("first") & F.col("doc_id").eqNullSafe(F.col("component_id"))
     decided = materialize(found.select("doc_id", "set_key", "k1", "k2", kept.alias("kept"), (F.col("doc_id").isNotNull() & (F.col("n") > 0)).alias("able")), "minhash-decided")
+    n_rows = decided.count()
     # other texts with the identifier and the set of the one that stays
     ties = decided.where("kept and able").groupBy("doc_id", "set_key").agg(F.min(F.struct("k1", "k2")).alias("best"), F.max(F.struct("k1", "k2")).alias("worst")).where("best <> worst")
-    ties = materialize(ties.select("doc_id", "set_key", "best"), "minhash-ties")
+    ties = materialize(ties.select("doc_id", "set_key", "best"), "minhash-ties", most_rows=n_rows)
     again = decided.where("kept and able").join(ties, ["doc_id", "set_key"]).select("k1", "k2", (F.struct("k1", "k2") == F.col("best")).alias("stays"))
     rest = decided.where("not (kept and able)").union(decided.where("kept and able").join(ties, ["doc_id", "set_key"], "left_anti").select(*decided.columns))
-    return keep_rows(docs, rest.select("k1", "k2", F.col("kept").alias("stays")).union(again))
+    return keep_rows(docs, rest.select("k1", "k2", F.col("kept").alias("stays")).union(again), most_rows=n_rows)

@@ -171,3 +171,26 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)]
     got = {x.node: x.label for x in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {90: 90, 95: 90, 100: 90}
+
+
+def test_components_end_with_the_round_that_settles_them(spark, monkeypatch):
+    """A settled forest is recognised by its first table of minima; no star is written again."""
+    from folioforge.llm import components as C
+
+    made = []
+    real = C.materialize
+    monkeypatch.setattr(C, "materialize", lambda df, name, *a, **b: made.append(name) or real(df, name, *a, **b))
+    stars = spark.createDataFrame([(i, i % 3) for i in range(50)] + [(7, 1)], "a long, b long")
+    assert {x.node: x.label for x in connected_components(stars).collect()} == {i: i % 3 for i in range(50)}
+    assert made == ["components", "components-least"]
+
+
+def test_small_tables_are_few_files(spark):
+    """As many tasks write as the rows need, whatever the number of shuffle partitions."""
+    from folioforge.llm import common as K
+
+    df = spark.range(10_000).repartition(200, "id")
+    got = K.materialize(df, "t", most_rows=10_000)
+    assert len(got.inputFiles()) == K.FEW_TASKS and got.agg({"id": "sum"}).first()[0] == 49_995_000
+    assert len(K.materialize(df, "t", most_rows=200 * K.TASK_ROWS).inputFiles()) == 200
+    assert len(K.materialize(spark.range(100).repartition(5, "id"), "t", most_rows=100).inputFiles()) == 5
