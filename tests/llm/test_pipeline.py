@@ -69,3 +69,25 @@ def test_odd_rows(spark):
 
 def test_words_of_decontamination():
     assert D.words_of("Don't STOP_now, été 2!") == ["don", "t", "stop", "now", "été", "2"]
+
+
+def test_stages_are_planned_with_small_batches(spark):
+    """What a stage returns is written later, in batches of no more than BATCH_ROWS."""
+    import pyarrow as pa
+
+    before = spark.conf.get(corpus_pipeline.BATCH_KEY)
+
+    def sizes(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([b.num_rows for b in batches], pa.int64())], ["n"])
+
+    try:
+        for set_to, most in ("10000", 1000), ("0", 1000), ("70", 70):
+            spark.conf.set(corpus_pipeline.BATCH_KEY, set_to)
+            stage = corpus_pipeline.in_small_batches(lambda spark, docs, sf_dir: docs.mapInArrow(sizes, "n long"))
+            assert max(x.n for x in stage(spark, spark.range(0, 3000, 1, 1), SF).collect()) == most
+        for _, stage in corpus_pipeline.STAGES[1:4]:
+            spark.conf.set(corpus_pipeline.BATCH_KEY, "10000")
+            stage(spark, spark.read.parquet(f"{SF}/documents.parquet").limit(0), SF)
+            assert spark.conf.get(corpus_pipeline.BATCH_KEY) == "1000"
+    finally:
+        spark.conf.set(corpus_pipeline.BATCH_KEY, before)
