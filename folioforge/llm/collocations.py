@@ -247,18 +247,19 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LON
     schema = "slice long, lang string, n long, words array<string>, counts array<long>, codes binary"
     spark = docs.sparkSession
     with arrow_rows(spark, TEXT_ROWS):
-        coded = materialize(picked.mapInArrow(_encode, schema), "phrase-slices")
+        coded = materialize(picked.mapInArrow(_encode, schema), "phrase-slices", long_rows=True)
     totals = coded.groupBy("lang").agg(F.sum("n").alias("n"))
     entries = coded.select("slice", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "x")).select("slice", "lang", "place", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     often = entries.groupBy("lang", "word").agg(F.sum("n").alias("a"), F.count("*").alias("n_rows")).where(F.col("a") >= support)
-    words = materialize(often.withColumn("id", F.monotonically_increasing_id() + 1), "phrase-words")
-    n_entries = coded.agg(F.sum(F.size("words"))).first()[0] or 0
+    with arrow_rows(spark, SLICE_ROWS):
+        words = materialize(often.withColumn("id", F.monotonically_increasing_id() + 1), "phrase-words")
+        n_entries = coded.agg(F.sum(F.size("words"))).first()[0] or 0
     named = join_hot(entries.drop("n"), words.select("lang", "word", "id", "n_rows"), ["lang", "word"], n_entries)
     # bounded by the words of a slice
     named = named.groupBy("slice").agg(F.collect_list(F.struct("place", "id")).alias("x")).select("slice", F.col("x.place").alias("places"), F.col("x.id").alias("ids"))
     spelled = coded.select("slice", "lang", "codes").join(named, "slice").select("lang", "codes", "places", "ids").mapInArrow(_spell, "lang string, codes binary, ids array<long>")
     with arrow_rows(spark, SLICE_ROWS):
-        spelled = materialize(spelled, "phrase-spelled")
+        spelled = materialize(spelled, "phrase-spelled", long_rows=True)
     # a slice has counted its pairs; few of them are in the next slice, so nothing is gained by summing before the shuffle
     pairs = spelled.mapInArrow(_pairs, "w1 long, w2 long, lang string, n long").repartition("lang", "w1", "w2")
     pairs = pairs.groupBy("lang", "w1", "w2").agg(F.sum("n").alias("a")).where(F.col("a") >= support)

@@ -63,21 +63,24 @@ def scratch_scope(spark: SparkSession):
 TASK_ROWS, FEW_TASKS = 50_000, 24
 
 
-def materialize(df: DataFrame, name: str, keep: bool = False, most_rows: int | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, keep: bool = False, most_rows: int | None = None, long_rows: bool = False) -> DataFrame:
     """Write ``df`` into the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs the rereading of a file, never the
     recomputation of what lies before, and a frame that is used twice is
     computed once.  With ``most_rows``, a bound on the rows of a frame of short rows,
     no more tasks write (and leave files) than they need: where Spark doesn't
-    merge small partitions, a writing task costs more than its few rows.
+    merge small partitions, a writing task costs more than its few rows.  With
+    ``long_rows``, for rows of megabytes, Parquet looks at a page's size after every
+    row and not first after a hundred: a page is held whole, and once more outside
+    the heap by what compresses or inflates it, so its bytes must be bounded.
     """
     if most_rows is not None:
         df = df.coalesce(max(FEW_TASKS, -(-most_rows // TASK_ROWS)))
     path = scratch(df.sparkSession, name)
     if keep and (made := _made.get()):
         made.remove(path)
-    df.write.parquet(path)
+    (df.write.option("parquet.page.size.row.check.min", 1) if long_rows else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -106,18 +109,22 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: int | str, most_bytes
 
 @contextmanager
 def arrow_rows(spark: SparkSession, most: int):
-    """Arrow batches of ``most`` rows for what runs inside the block.
+    """Arrow batches, and batches of the Parquet reader, of ``most`` rows for what
+    runs inside the block.
 
-    An executor builds a batch outside its heap, so rows of megabytes must not
-    meet in batches of the usual 10000.
+    An executor builds an Arrow batch outside its heap and the reader joins a
+    batch's texts in one array, so rows of megabytes must not meet in batches of
+    the usual 10000 and 4096.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(most))
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = [spark.conf.get(key) for key in keys]
+    for key in keys:
+        spark.conf.set(key, str(most))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in zip(keys, before):
+            spark.conf.set(key, value)
 
 
 # hot keys -------------------------------------------------------------------

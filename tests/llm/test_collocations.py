@@ -4,9 +4,11 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from folioforge.llm import collocations as C
 from folioforge.llm.collocations import grow, mine_collocations
+from folioforge.llm.common import arrow_rows, materialize
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -150,3 +152,34 @@ def test_slices_gather_small_batches(spark, monkeypatch):
     rows = corpus(seed=11)
     assert as_rows(mine_collocations(frame(spark, rows), support=5)) == brute(rows, 5)
     assert spark.conf.get(key) == before
+
+
+def test_pages_of_slices_are_bounded(spark, monkeypatch):
+    """A page holds few long rows: it is held whole by what compresses and inflates it."""
+    long = []
+
+    def written(df, name, *args, **kwargs):
+        if kwargs.get("long_rows"):
+            long.append(name)
+        return materialize(df, name, *args, **kwargs)
+
+    monkeypatch.setattr(C, "materialize", written)
+    assert mine_collocations(frame(spark, [("en", "a b c. " * 40)])).count() == 1
+    assert {"phrase-slices", "phrase-spelled"} <= set(long)
+
+    rows = spark.range(30).select(F.expr("cast(repeat(sha2(cast(id as string), 512), 5000) as binary)").alias("codes")).coalesce(1)
+    jvm, conf = spark._jvm.org.apache, spark.sparkContext._jsc.hadoopConfiguration()
+    [path] = materialize(rows, "long", long_rows=True).inputFiles()
+    reader = jvm.parquet.hadoop.ParquetFileReader.open(jvm.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.hadoop.fs.Path(path), conf))
+    try:
+        assert reader.readOffsetIndex(reader.getFooter().getBlocks().get(0).getColumns().get(0)).getPageCount() >= 10
+    finally:
+        reader.close()
+
+
+def test_arrow_rows_bounds_the_reader_and_restores(spark):
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = [spark.conf.get(k) for k in keys]
+    with arrow_rows(spark, 3):
+        assert [spark.conf.get(k) for k in keys] == ["3", "3"]
+    assert [spark.conf.get(k) for k in keys] == before
