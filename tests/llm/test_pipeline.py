@@ -91,3 +91,17 @@ def test_stages_are_planned_with_small_batches(spark):
             assert spark.conf.get(corpus_pipeline.BATCH_KEY) == "1000"
     finally:
         spark.conf.set(corpus_pipeline.BATCH_KEY, before)
+
+
+def test_stages_bound_the_batches_of_the_reader(spark):
+    key = corpus_pipeline.READER_KEY
+    before = [(k, spark.conf.get(k)) for k in (key, corpus_pipeline.BATCH_KEY)]
+    stage = corpus_pipeline.in_small_batches(lambda spark, docs, sf_dir: docs)
+    try:
+        for set_to, most in (("4096", "1000"), ("7", "7")):
+            spark.conf.set(key, set_to)
+            stage(spark, spark.range(1), SF)
+            assert spark.conf.get(key) == most
+    finally:
+        for k, value in before:
+            spark.conf.set(k, value)
