@@ -119,6 +119,36 @@ def test_pages_of_one_template(spark, monkeypatch, giant):
     assert sorted((tuple(x) for x in M.near_duplicates(df, 3, 85).collect()), key=repr) == want
 
 
+@pytest.mark.parametrize("pages,shingles", [(1100, M.BLOCK_SHINGLES), (160, 2000)])
+def test_rows_follow_the_members_of_a_bucket(spark, monkeypatch, pages, shingles):
+    """Members of a bucket of several blocks (by members or by shingles) are dealt once,
+    their texts and what the exact filter compares included."""
+    monkeypatch.setattr(M, "BLOCK_SHINGLES", shingles)
+    real, dealt, joined = M._in_blocks, [], []
+
+    def counted(members):
+        out = real(members)
+        dealt.append(("at" in out.columns, members.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(M, "_in_blocks", counted)
+    mixed = M._mixed
+    monkeypatch.setattr(M, "_mixed", lambda *a: joined.append(1) or mixed(*a))
+    r = random.Random(9)
+    template = [f"t{i}" for i in range(50)]
+    rows = []
+    for i in range(pages):
+        page = list(template)
+        for j in range(r.choice([1, 2, 4])):
+            page[r.randrange(50)] = f"o{i}.{j}"
+        rows.append((i, " ".join(page)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted((tuple(x) for x in M.near_duplicates(df, 3, 85).collect()), key=repr) == brute(rows, 3, 85)
+    for exact, members, out in dealt:
+        assert out <= (1.5 if exact else 1) * members
+    assert {x[0] for x in dealt} == {False, True} and len(joined) == 1
+
+
 def test_prefix_filter_misses_nothing(spark):
     """The exact filter alone finds every link, bands or not."""
     r = random.Random(2)
