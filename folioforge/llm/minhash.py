@@ -246,10 +246,12 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
-def _more_stars(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def _more_stars(members: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) of the members of buckets larger than a block with CENTRES
     members of the bucket, where the components differ.  Linear in the members."""
-    large = members.where(F.col("n_rows") > BLOCK_ROWS).select("bkey", "rep", "label", "n", "sig", "n_rows")
+    large = members.where(F.col("n_rows") > BLOCK_ROWS).groupBy("rep").agg(F.first("label").alias("label"), F.first("n").alias("n"), F.collect_list(F.struct("bkey", "n_rows")).alias("in"))
+    large = large.join(reps.select("rep", "sig"), "rep").select(F.inline("in"), "rep", "label", "n", "sig")
+    large = materialize(large, "minhash-large", most_rows=members.count())
     member = F.struct("rep", "label", "n", "sig")
     picked = large.groupBy("bkey").agg(F.first("n_rows").alias("n_rows"), *(F.min_by(member, F.xxhash64("rep", F.lit(i))).alias(f"c{i}") for i in range(CENTRES)))
     picked = picked.withColumn("c", F.array_distinct(F.array(*(f"c{i}" for i in range(CENTRES))))).select("bkey", "n_rows", "c")
@@ -436,7 +438,8 @@ def _prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
     total = rows.count()
     live = materialize(live, "minhash-rare", most_rows=total // 2)
     early = (F.col("n") - F.col("at")) * (100 + percent) >= percent * (F.col("n") + F.col("least_n"))
-    kept = materialize(join_hot(rows, live, ["bkey"], total).where(early).drop("n_rows", "least_n"), "minhash-prefixes", most_rows=total)
+    kept = join_hot(rows.drop("sig"), live, ["bkey"], total).where(early).drop("n_rows", "least_n")
+    kept = materialize(kept.join(rows.where("at = 0").select("rep", "sig"), "rep"), "minhash-prefixes", most_rows=total)
     least = least_matches(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -504,10 +507,11 @@ def _decided(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     stars = materialize(_star_links(pairs.where(near).select("centre", "rep", "n_rows"), texts, k, percent), "minhash-stars")
     label = connected_components(stars, "minhash-components", stars.count())
 
-    members = _mixed(buckets, label, reps)
+    members = _mixed(buckets, label)
     if not members.where(F.col("n_rows") > BLOCK_ROWS).isEmpty():
-        label = _joined(label, materialize(_more_stars(members, texts, k, percent), "minhash-stars"))
-        members = _relabelled(members, label)
+        label = _joined(label, materialize(_more_stars(members, reps, texts, k, percent), "minhash-stars"))
+        members = _mixed(members.drop("label", "n_rows", "n_all"), label)
+    members = materialize(members.join(reps.select("rep", "sig", "bands"), "rep"), "minhash-mixed", most_rows=n_members)
     is_giant = (F.col("n_rows") > GIANT) | (F.col("n_all") > BLOCK_SHINGLES)
     giant = members.where(is_giant)
     has_giant = not giant.isEmpty()
@@ -545,26 +549,14 @@ def _joined(label: DataFrame, more: DataFrame) -> DataFrame:
     return connected_components(links, "minhash-components", links.count())
 
 
-def _mixed(buckets: DataFrame, label: DataFrame, reps: DataFrame) -> DataFrame:
+def _mixed(buckets: DataFrame, label: DataFrame) -> DataFrame:
     """The members of buckets with several components: bkey, rep, n, label, n_rows and
-    n_all (of the bucket), sig, bands."""
+    n_all (of the bucket).  Further links leave no bucket mixed that was not."""
     labelled = buckets.join(label, F.col("rep") == F.col("node"), "left").select("bkey", "rep", "n", F.coalesce("label", "rep").alias("label"))
     total = buckets.count()
-    members = _of_mixed(materialize(labelled, "minhash-members", most_rows=total), total)
-    return materialize(members.join(reps.select("rep", "sig", "bands"), "rep"), "minhash-mixed", most_rows=total)
-
-
-def _relabelled(members: DataFrame, label: DataFrame) -> DataFrame:
-    """``members`` after further links, which leave no bucket mixed that was not."""
-    total = members.count()
-    labelled = members.drop("label", "n_rows", "n_all").join(label, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("label", "rep")).drop("node")
-    return materialize(_of_mixed(materialize(labelled, "minhash-members", most_rows=total), total), "minhash-mixed", most_rows=total)
-
-
-def _of_mixed(labelled: DataFrame, total: int) -> DataFrame:
-    """The rows of buckets with several labels, with n_rows and n_all (sum of n)."""
+    labelled = materialize(labelled, "minhash-members", most_rows=total)
     mixed = labelled.groupBy("bkey").agg(F.min("label").alias("p"), F.max("label").alias("q"), F.count("*").alias("n_rows"), F.sum("n").alias("n_all")).where("p <> q").drop("p", "q")
-    return join_hot(labelled, materialize(mixed, "minhash-mixed", most_rows=total), ["bkey"], total)
+    return materialize(join_hot(labelled, materialize(mixed, "minhash-mixed", most_rows=total), ["bkey"], total), "minhash-members", most_rows=total)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
