@@ -500,9 +500,13 @@ UPLOAD_RULES = """SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderkey % 13 NO
 
 def duplicate_decisions(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
-    found = o.select(F.col("o_custkey").alias("analysis_id"), F.col("o_orderkey").alias("document_id"), (F.col("o_orderkey") + 1).alias("duplicate_of"))
-    word = F.element_at(F.array(F.lit("view_existing"), F.lit("analyze_again"), F.lit("cancel")), (F.col("o_custkey") % 3 + 1).cast("int"))
-    made = o.where("not (o_custkey % 5 = 0 and o_orderstatus = 'P')").select(F.col("o_custkey").alias("analysis_id"), F.col("o_orderkey").alias("document_id"), word.alias("decision"))
+    # rows that repeat an order may differ in status, and each has a decision of its own
+    document = F.struct("o_orderkey", "o_orderstatus").alias("document_id")
+    found = o.select(F.col("o_custkey").alias("analysis_id"), document, (F.col("o_orderkey") + 1).alias("duplicate_of"))
+    # no element_at: of a null index it gives the element of the row before
+    kind = F.col("o_custkey") % 3
+    word = F.when(kind == 0, "view_existing").when(kind == 2, "cancel").when(kind.isNotNull(), "analyze_again")
+    made = o.where("not (o_custkey % 5 = 0 and o_orderstatus = 'P')").select(F.col("o_custkey").alias("analysis_id"), document, word.alias("decision"))
     return catalog.decide(found, made)
 
 

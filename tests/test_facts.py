@@ -251,6 +251,9 @@ def test_catalog(spark):
     found = spark.createDataFrame([("n1", "x", "a1"), ("n1", "y", "a5"), ("n2", "x", "a1"), ("n3", "x", "a1")], "analysis_id string, document_id string, duplicate_of string")
     dec = spark.createDataFrame([("n1", "x", "analyze_again"), ("n1", "y", "view_existing"), ("n2", "x", "cancel")], "analysis_id string, document_id string, decision string")
     assert {r.analysis_id: (r.outcome, r.redirect_to) for r in catalog.decide(found, dec).collect()} == {"n1": ("view", "a5"), "n2": ("cancel", None), "n3": ("ask", None)}
+    # rows that repeat count once each; without any decision nothing is known to be cancelled
+    again = catalog.decide(found.union(found), dec.union(dec))
+    assert {r.analysis_id: (r.outcome, r.cancelled) for r in again.collect()} == {"n1": ("view", 0), "n2": ("cancel", 2), "n3": ("ask", None)}
     stop = lambda s, c, p, late: tuple(values(spark, catalog.stop_check(lit(s), lit(c), lit(1), lit(2 if late else 0), lit(p))))
     assert stop("completed", True, 100, True) == (True, "completed", 100) and stop("analyzing", True, 10, True) == (True, "cancelled", 35)
     assert stop("analyzing", False, 99, True) == (True, "error", 95) and stop("analyzing", None, 50, False) == (False, "analyzing", 50)
@@ -278,3 +281,18 @@ def test_tracking(spark):
     v = spark.createDataFrame([("v", "plazos", [("t", "x", "c", "d", 1), ("t", "x", "c", "d", 1)]), ("v", "otros", [("t", "x", "c", "d", 1)])], "version_id string, category_key string, items array<struct<tipo:string,valor:string,citation:string,document_id:string,page_number:int>>")
     ids = [r.tracking_item_id for r in tracking.seed(v, ["plazos"]).collect()]
     assert len(set(ids)) == 2 and all(len(i) == 24 for i in ids)
+
+
+def test_duplicate_decisions_of_odd_orders_equal_sql(spark, tmp_path):
+    import duckdb
+
+    from folioforge import registry
+
+    # an undecided customer, a repeated order, one that repeats with another status, null keys, and one below zero
+    rows = [(5, 1, "P"), (3, 2, "F"), (3, 2, "F"), (2, 4, "O"), (2, 4, "O"), (10, 7, "P"), (10, 7, "F"), (None, 8, "F"), (8, None, "F"), (8, 9, "F"), (6, None, "O"), (-1, 11, "O")]
+    spark.createDataFrame(rows, "o_custkey long, o_orderkey long, o_orderstatus string").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view orders as select * from read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    want = con.sql(registry.oracle_sql()["duplicate_decisions"])
+    got = registry.queries()["duplicate_decisions"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.select(*want.columns).collect()), key=repr) == sorted(want.fetchall(), key=repr)
