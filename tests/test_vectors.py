@@ -55,3 +55,24 @@ def test_centres_fill_empty_lists():
     centres = vectors.fit_centres(x, 5)
     assert centres.shape == (5, 4) and len(np.unique((x / np.linalg.norm(x, axis=1)[:, None] @ centres.T).argmax(axis=1))) == 5
     assert vectors.fit_centres(np.zeros((3, 4)), 2).shape == (1, 4)
+
+
+def test_knn_compares_blocks_and_gives_what_all_pairs_give(spark, monkeypatch):
+    texts = lambda df: sorted(repr(tuple(x)) for x in df.select("query_id", "id", "score", "rank").collect())
+    rows, queries = data(700)
+    rows += [(9004, [1.0, None] * 8), (9005, []), (9000, [1.0] * 16)]
+    rows += [(9100 + i, [1.0 if j == i % 16 else 0.0 for j in range(16)]) for i in range(40)]  # exact halves
+    queries += [(103, [1.0, None] * 8), (104, [1.0, 2.0]), (105, []), (100, rows[0][1]), (106, [1.0] + [0.0] * 15), (107, [float(x) for x in [1, 127] + [0] * 14])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    q = spark.createDataFrame(queries, "query_id long, query_vec array<double>")
+    every = q.crossJoin(v).select("query_id", F.col("vec_id").alias("id"), F.round(retrieve.cosine(F.col("embedding"), F.col("query_vec")), 6).alias("score"))
+    want = texts(retrieve.top(every, 12))
+    found = retrieve.knn(q, v, 12)
+    assert texts(found) == want
+    # a pair is no row of a join, and a task sends its best only
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(retrieve, "QUERY_BYTES", 8000)
+    monkeypatch.setattr(retrieve, "CELLS", 300)
+    monkeypatch.setattr(retrieve, "BLOCK_BYTES", 4000)
+    assert texts(retrieve.knn(q, v.select(F.col("vec_id").cast("string").alias("vec_id"), "embedding"), 5)) == texts(retrieve.top(every.withColumn("id", F.col("id").cast("string")), 5))
+    assert retrieve.knn(q.limit(0), v, 5).collect() == [] and retrieve.knn(q, v.limit(0), 5).collect() == []
