@@ -1,6 +1,8 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from folioforge import registry
 from folioforge.operators import retrieve, vectors
 
 
@@ -76,3 +78,13 @@ def test_knn_compares_blocks_and_gives_what_all_pairs_give(spark, monkeypatch):
     monkeypatch.setattr(retrieve, "BLOCK_BYTES", 4000)
     assert texts(retrieve.knn(q, v.select(F.col("vec_id").cast("string").alias("vec_id"), "embedding"), 5)) == texts(retrieve.top(every.withColumn("id", F.col("id").cast("string")), 5))
     assert retrieve.knn(q.limit(0), v, 5).collect() == [] and retrieve.knn(q, v.limit(0), 5).collect() == []
+
+
+#: Queries over vector hits.
+OVER_HITS = ["category_boost"]
+
+
+@pytest.mark.parametrize("name", OVER_HITS)
+def test_vector_hits_are_no_join_of_all_pairs(spark, name):
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "Cartesian" not in plan and "MapInArrow" in plan
