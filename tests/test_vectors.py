@@ -81,7 +81,7 @@ def test_knn_compares_blocks_and_gives_what_all_pairs_give(spark, monkeypatch):
 
 
 #: Queries over vector hits.
-OVER_HITS = ["category_boost", "rrf_fusion", "token_budget", "retrieval_purity"]
+OVER_HITS = ["category_boost", "rrf_fusion", "token_budget", "retrieval_purity", "relevance_cut"]
 
 
 @pytest.mark.parametrize("name", OVER_HITS)
