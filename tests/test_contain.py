@@ -62,3 +62,27 @@ def test_one_gram_in_most_texts(spark, monkeypatch):
     assert got.where("form like 'the%'").count() == 900
     assert {x.id for x in got.where("form like 'and%'").collect()} == {i for i in range(900) if i % 3 == 0 and str(i).startswith("3")}
     assert contained(s, t.limit(0), (), ["id"]).collect() == [] and contained(s.limit(0), t, (), ["id"]).collect() == []
+
+
+def test_grams_written_grow_with_the_sought_side_and_not_with_the_texts(spark, monkeypatch):
+    r = random.Random(5)
+    words = ["la", "obra", "del", "plazo", "oferta", "pago", "acta", "de"]
+    rows = [("d", i % 3, i, " ".join(r.choices(words, k=300))) for i in range(240)]
+    rows += [("d", 0, 1000 + i, rows[0][3]) for i in range(20)]  # copies
+    t = spark.createDataFrame(rows, "doc string, page long, id int, text string")
+    s = spark.createDataFrame([(d, p, x[:90]) for d, p, i, x in rows] + [("d", 1, "del plazo oferta")], "doc string, page int, form string")
+    seen, keep = {}, contain.written
+    monkeypatch.setattr(contain, "written", lambda df, name: seen.setdefault(name, keep(df, name)))
+    got = {tuple(x) for x in contained(s, t, ["doc", "page"], ["id"]).collect()}
+    assert got == {(d, p, f[:90], i) for d, p, _, f in rows for d2, p2, i, text in rows if p == p2 and f[:90] in text} | {("d", 1, "del plazo oferta", i) for _, p, i, text in rows if p == 1 and "del plazo oferta" in text}
+    assert seen["contain-held"].count() < 4 * contain.KEPT * len(rows)  # the texts have some 400 picked grams each
+
+
+@pytest.mark.parametrize("sent", [60, 3000])
+def test_candidates_go_to_the_texts_in_several_parts(spark, monkeypatch, sent):
+    monkeypatch.setattr(contain, "SENT", sent)
+    monkeypatch.setattr(contain, "PASSES", 100)
+    t = spark.range(40).selectExpr("'d' as doc", "id", "concat('what number ', id, ' says about its own page, no other one does') as text")
+    s = t.selectExpr("doc", "substring(text, 1, 45) as form").union(spark.createDataFrame([("d", "page")], "doc string, form string"))
+    got = contained(s, t, ["doc"], ["id"])
+    assert got.where("form <> 'page'").count() == 40 and got.where("form = 'page'").count() == 40
