@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.operators import chunking, classify, consolidate, extract, ground, layout, lexical, retrieve, sections
+from folioforge.operators import chunking, classify, consolidate, contain, extract, ground, layout, lexical, retrieve, sections
 from folioforge.sources import schemas, scratch, store
 
 FIELDS = ("valor", "fecha", "hora", "expresion_relativa", "texto_original", "lugar", "monto_porcentaje", "monto_valor", "moneda")
@@ -114,16 +114,21 @@ def settle(items: DataFrame, index: DataFrame, exclusive: DataFrame | None = Non
     numbers = ("monto_porcentaje", "monto_valor")
     items = items.withColumns({c: F.lit(None).cast("double" if c in numbers else "string") for c in FIELDS if c not in items.columns})
     said = scratch.written(consolidate.mixed_not_found(items, key[:2], extract.substantive(items)), "settle-items")
-    held = ground.verify_references(_references(said), chunks).where("grounded").groupBy(*key).agg(F.collect_set("chunk_id").alias("chunk_ids"))
+    texts = ground.page_texts(chunks)
+    held = ground.verify_references(_references(said), chunks, texts).where("grounded").groupBy(*key).agg(F.collect_set("chunk_id").alias("chunk_ids"))
     weak = ground.weak_identity(F.col("tipo"), F.col("extraction_status"), F.col("confidence"))
     groups = ground.merge_split_facts(said.join(held, key, "left").select(*key, weak.alias("weak"), "chunk_ids"))
     merged = consolidate.merge_items(said.join(groups, key), [*key[:2], "group_no"], ["tipo", *FIELDS])
     merged = scratch.written(merged.withColumnRenamed("group_no", "item_no"), "settle-merged")
-    checked = scratch.written(ground.verify_references(_references(merged), chunks), "settle-checked")
-    found = ground.rescue(checked, merged, chunks)
-    # the words of the chunk and the value are needed where a citation is too short or too long
-    text = chunks.select(F.col("id").alias("chunk_id"), F.col("content").alias("__content"))
-    shaped = found.join(text, "chunk_id", "left").join(merged.select(*key, F.col("valor").alias("__value")), key, "left")
+    checked = scratch.written(ground.verify_references(_references(merged), chunks, texts), "settle-checked")
+    found = scratch.written(ground.rescue(checked, merged, chunks, texts), "settle-found")
+    # the words of the chunk are needed where a citation is too short, the value where it is too long
+    brief = F.when(F.length("citation") < ground.PREFERRED, F.col("chunk_id"))
+    wanted = found.select(brief.alias("__brief")).where("__brief is not null").distinct()
+    size = wanted.agg(F.sum(F.octet_length("__brief") + 64)).first()[0] or 0
+    text = chunks.select(F.col("id").alias("__brief"), F.col("content").alias("__content"))
+    text = text.join(F.broadcast(wanted) if size <= contain.SENT else wanted, "__brief", "left_semi")
+    shaped = found.withColumn("__brief", brief).join(text, "__brief", "left").drop("__brief").join(merged.select(*key, F.col("valor").alias("__value")), key, "left")
     wide = F.when(F.col("chunk_id").isNotNull() & (F.length("citation") < ground.PREFERRED), ground.widen_column(F.col("citation"), F.col("__content"))).otherwise(F.col("citation"))
     shaped = shaped.withColumn("__wide", wide)
     final = F.when(F.col("chunk_id").isNotNull() & (F.length("__wide") > ground.MOST), ground.shorten(F.col("__wide"), F.col("__value"))).otherwise(F.col("__wide"))

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from folioforge.operators.classify import Category
 from folioforge.operators.extract import HashEmbedder
 from folioforge.plans import jobs
@@ -144,3 +146,19 @@ def test_labels(spark):
     assert [r.source_references[0].filename for r in jobs.stamp_names(df, labels).orderBy("item_no").collect()] == ["p.pdf", None]
     view = spark.createDataFrame([("a", "analyzing", "extract", 40, None), ("b", "error", None, 95, None)], "analysis_id string, status string, current_stage string, progress int, timeout_at timestamp")
     assert [(r.label, r.ended) for r in jobs.status_view(view).orderBy("analysis_id").collect()] == [("extract 40 %", False), ("queued 95 %", True)]
+
+
+def test_only_chunks_of_brief_citations_are_joined_for_their_words(spark, monkeypatch):
+    ref = lambda c: [{"document_id": "d", "page_number": 1, "citation": c}]
+    text = "La apertura de ofertas sera el lunes proximo en la sede central del organismo"
+    rows = [("a", "identificacion", 1, "dato", "valor", 0.9, "success", ref("apertura de ofertas")), ("a", "identificacion", 2, "dato", "otro valor", 0.9, "success", ref(text[:60]))]
+    items = spark.createDataFrame(rows, "analysis_id string, category string, item_no int, tipo string, valor string, confidence double, extraction_status string, source_references array<struct<document_id:string,page_number:int,citation:string>>")
+    chunks = [("d", 1, 0, text, "c1"), ("d", 1, 1, "una linea que nadie cita en ninguna parte", "c2")]
+    index = spark.createDataFrame(chunks, "document_id string, page_number int, chunk_index int, content string, id string").withColumn("table_ref", F.lit(None).cast("struct<table_id:string,row_index:int,headers:array<string>>"))
+    plans, keep = {}, jobs.scratch.written
+    monkeypatch.setattr(jobs.scratch, "written", lambda df, name: (plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()), keep(df, name))[1])
+    out, refs = jobs.settle(items, index)
+    assert {r.n_grounded for r in out.collect()} == {1}
+    cited = {r.item_no: r.citation for r in refs.collect()}
+    assert len(cited[1]) >= 40 and cited[2] == text[:60].strip()
+    assert "LeftSemi" in plans["settle-references"]
