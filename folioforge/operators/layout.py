@@ -113,12 +113,15 @@ def table_rows(cells: DataFrame) -> DataFrame:
     is_head = F.regexp_replace(F.lower(F.coalesce("kind", F.lit(""))), "[^a-z]", "").isin("columnheader", "stubhead")
     c = c.withColumn("head", is_head)
     key = ["document_id", "table_id"]
-    headers = c.where("head").groupBy(*key, "column_index").agg(F.max_by("content", "row_index").alias("header"))
-    header_rows = c.where("head").select(*key, "row_index").distinct()
-    body = c.join(header_rows, [*key, "row_index"], "left_anti").join(headers, [*key, "column_index"], "left")
-    body = body.withColumn("header", F.coalesce("header", F.concat(F.lit("col_"), (F.col("column_index") + 1).cast("string"))))
-    fields = F.array_sort(F.collect_list(F.struct("column_index", "header", "content")))
-    out = body.groupBy(*key, "row_index").agg(fields.alias("f"))
+    cell = F.struct("column_index", "content", "head")
+    rows = c.groupBy(*key, "row_index").agg(F.array_sort(F.collect_list(cell)).alias("cells"), F.max("head").alias("is_head"))
+    # the header rows of a table are few; each of its rows looks its columns up in them
+    named = F.transform(F.filter("cells", lambda x: x["head"]), lambda x: F.struct(x["column_index"].alias("c"), F.col("row_index").alias("r"), x["content"].alias("header")))
+    rows = rows.withColumn("heads", F.flatten(F.collect_list(F.when(F.col("is_head"), named)).over(Window.partitionBy(*key)))).where("not is_head")
+    own = lambda i: F.array_max(F.transform(F.filter("heads", lambda h: h["c"] == i), lambda h: F.struct(h["r"], h["header"].alias("header"))))["header"]
+    header = lambda i: F.coalesce(own(i), F.concat(F.lit("col_"), (i + 1).cast("string")))
+    fields = F.transform("cells", lambda x: F.struct(x["column_index"], header(x["column_index"]).alias("header"), x["content"]))
+    out = rows.select(*key, "row_index", F.array_sort(fields).alias("f"))
     lines = F.transform("f", lambda x: F.concat_ws(": ", x["header"], x["content"]))
     ref = F.struct("table_id", (F.col("row_index") + 1).alias("row_index"), F.col("f.header").alias("headers"))
     return out.select(*key, (F.col("row_index") + 1).alias("row_index"), F.array_join(lines, "\n").alias("content"), ref.alias("table_ref"))

@@ -84,15 +84,23 @@ SELECT s AS document_id, o AS block_no, string_agg(t, ',' ORDER BY round_even(y,
 """
 
 
+#: Order lines that a task makes cells of.
+LINES = 250_000
+
+
 def table_lines(spark: SparkSession, d: str) -> DataFrame:
     """Orders as tables of three columns, of which two have a header; no flag, no cell."""
-    f = table(spark, d, "lineitem")
+    # orders are dealt before their lines become cells, so cells, rows and tables are made without another shuffle
+    # a line is narrow where it is dealt and five sorted cells behind, so Spark would make the partitions too large
+    f = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), f.count() // LINES)
+    f = f.repartition(n, "l_orderkey")
     row = F.col("l_linenumber")
-    cell = lambda i, kind, c, r=row: F.struct(r.alias("row_index"), F.lit(i).alias("column_index"), F.lit(kind).alias("kind"), c.alias("content"))
-    body = f.select("l_orderkey", F.explode(F.array(cell(0, "content", F.col("l_partkey").cast("string")), cell(1, None, F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).otherwise(" ")), cell(2, None, F.col("l_linestatus")))).alias("c"))
-    heads = f.select("l_orderkey").distinct().select("l_orderkey", F.explode(F.array(cell(0, "columnHeader", F.lit("Part"), F.lit(0)), cell(1, "column_header", F.lit("Flag "), F.lit(0)))).alias("c"))
-    cells = body.unionByName(heads).select(F.col("l_orderkey").alias("document_id"), F.lit("t").alias("table_id"), "c.*").dropDuplicates(["document_id", "row_index", "column_index", "content"])
-    one = cells.groupBy("document_id", "table_id", "row_index", "column_index").agg(F.min("content").alias("content"), F.first("kind").alias("kind"))
+    cell = lambda i, kind, c, r=row: F.struct(r.alias("row_index"), F.lit(i).alias("column_index"), F.lit(kind).cast("string").alias("kind"), c.alias("content"))
+    body = (cell(0, "content", F.col("l_partkey").cast("string")), cell(1, None, F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).otherwise(" ")), cell(2, None, F.col("l_linestatus")))
+    heads = (cell(0, "columnHeader", F.lit("Part"), F.lit(0)), cell(1, "column_header", F.lit("Flag "), F.lit(0)))
+    cells = f.select(F.col("l_orderkey").alias("document_id"), F.lit("t").alias("table_id"), F.explode(F.array(*body, *heads)).alias("c")).select("document_id", "table_id", "c.*")
+    one = cells.groupBy("document_id", "table_id", "row_index", "column_index").agg(F.min("content").alias("content"), F.min("kind").alias("kind"))
     return layout.table_rows(one).select("document_id", "row_index", "content", F.array_join("table_ref.headers", "|").alias("headers"))
 
 

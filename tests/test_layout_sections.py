@@ -169,3 +169,18 @@ def test_chunks_with_children(spark):
     assert {r.section_path for r in got} == {"ARTICULO 5"} and all(r.blocks for r in got)
     assert sections.build_sections(blocks.limit(0)).count() == 0
     assert chunking.clauses("a) corto\nb) corto") == []
+
+
+def test_table_lines_shuffle_orders_once(spark):
+    from folioforge import registry
+
+    df = registry.queries()["table_lines"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_the_last_header_of_a_column_names_it(spark):
+    cells = [("d", "t", 0, 0, "columnHeader", "Old"), ("d", "t", 1, 0, "column header", "New"), ("d", "t", 1, 2, "stubHead", "Z"), ("d", "t", 3, 2, "", "c"), ("d", "t", 3, 0, None, "a"), ("d", "t", 3, 1, None, "b"), ("d", "t", 4, 0, None, " "), ("d", "u", 0, 0, None, "x"), (None, "t", 0, 0, None, "y")]
+    df = spark.createDataFrame(cells, "document_id string, table_id string, row_index int, column_index int, kind string, content string")
+    got = {(r.document_id, r.table_id, r.row_index): r.content for r in layout.table_rows(df).collect()}
+    assert got == {("d", "t", 4): "New: a\ncol_2: b\nZ: c", ("d", "u", 1): "col_1: x", (None, "t", 1): "col_1: y"}
